@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seekstone.llm import chat, packing
+from seekstone.llm import chat, packing, warc
 from seekstone.sources.tables import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -27,7 +27,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {"op3_chat_format": op3_chat_format, "op4_best_fit_packing": op4_best_fit_packing}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as an archive with revisit records, and read it back."""
+    return warc.page_digests(warc.archive_pages(table(spark, sf_dir, "pages")))
+
+
+QUERIES = {"op3_chat_format": op3_chat_format, "op4_best_fit_packing": op4_best_fit_packing, "op10_warc": op10_warc}
 
 ESCAPED_SQL = r"""regexp_replace(regexp_replace(regexp_replace(replace({0}, '\', '\5c'), '<(\||/?s>)', '\\3c\1', 'g'), '<(</?SYS>>)', '\\3c\1', 'g'), '\[(/?INST\])', '\\5b\1', 'g')"""
 
@@ -42,4 +47,10 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(17 + length({ESCAPED_SQL.format('role')}) + length({ESCAPED_SQL.format('text')}))::BIGINT AS formatted_chars
 FROM rows GROUP BY conv_id""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, CASE WHEN strlen(html) >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS first FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, d AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
 }
