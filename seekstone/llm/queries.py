@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seekstone.llm import chat, packing, warc
+from seekstone.llm import chat, packing, topk, warc
 from seekstone.sources.tables import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -27,12 +27,18 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector against all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as an archive with revisit records, and read it back."""
     return warc.page_digests(warc.archive_pages(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {"op3_chat_format": op3_chat_format, "op4_best_fit_packing": op4_best_fit_packing, "op10_warc": op10_warc}
+QUERIES = {"op3_chat_format": op3_chat_format, "op4_best_fit_packing": op4_best_fit_packing, "op6_exact_topk": op6_exact_topk, "op10_warc": op10_warc}
 
 ESCAPED_SQL = r"""regexp_replace(regexp_replace(regexp_replace(replace({0}, '\', '\5c'), '<(\||/?s>)', '\\3c\1', 'g'), '<(</?SYS>>)', '\\3c\1', 'g'), '\[(/?INST\])', '\\5b\1', 'g')"""
 
@@ -47,6 +53,14 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(17 + length({ESCAPED_SQL.format('role')}) + length({ESCAPED_SQL.format('text')}))::BIGINT AS formatted_chars
 FROM rows GROUP BY conv_id""",
+    "op6_exact_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+    list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT *, CASE WHEN strlen(html) >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS first FROM p)
