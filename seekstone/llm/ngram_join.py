@@ -266,3 +266,18 @@ def jaccard_components(documents: DataFrame, percent: int = 75, size: int = SHIN
         .join(components.select(F.col("node").alias("class"), "component"), "class", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id"))
     )
+
+
+def one_of_each(documents: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of ``documents`` without those that link, directly or not, to a smaller ``doc_id``.
+
+    Rows with a null ``doc_id`` stay; of rows with the same ``doc_id`` one stays.
+    """
+    found = jaccard_components(documents, percent)
+    others = found.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = documents.join(others, "doc_id", "left_anti").select(*documents.columns)
+    twice = documents.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    single = kept.join(twice, "doc_id", "left_anti").select(*documents.columns)
+    return single.unionByName(kept.join(twice, "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id"]))

@@ -273,3 +273,18 @@ def redact(found: DataFrame, text: str = "text") -> DataFrame:
 def find_in_documents(documents: DataFrame, fitting: Fitting = Fitting()) -> DataFrame:
     """Fit on a bounded sample of ``documents(doc_id, text)`` and find spans in all of them."""
     return find(documents.select("doc_id", "text"), fit(documents, fitting))
+
+
+def redact_documents(documents: DataFrame, fitting: Fitting = Fitting()) -> DataFrame:
+    """``documents`` with personal data in ``text`` replaced, ``n_chars`` (if there) brought up to date.
+
+    Null texts become empty ones; other columns stay as they are.
+    """
+    model = fit(documents, fitting)
+    others = [c for c in documents.columns if c != "text"]
+    kept = documents.select(F.struct(*others).alias("row"), "text")
+    done = redact(find(kept, model))
+    columns = {c: F.col("row")[c].alias(c) for c in others} | {"text": F.col("text")}
+    if "n_chars" in others:
+        columns["n_chars"] = F.length("text").cast(documents.schema["n_chars"].dataType).alias("n_chars")
+    return done.select(*(columns[c] for c in documents.columns))

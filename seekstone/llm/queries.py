@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seekstone.llm import chat, packing, topk, warc
+from seekstone.llm import chat, decontamination, html_text, ngram_join, packing, pii, ppm, topk, toxicity, warc
 from seekstone.sources.tables import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -14,6 +14,16 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages, without their hosts' templates."""
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte PPM and single-token scores of all documents."""
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations and one full of control strings; digests read back from the output."""
     extra = spark.sql(f"SELECT -1L AS conv_id, t.turn, t.role, '{CONTROL_TEXT}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
@@ -27,18 +37,49 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by a string-kernel machine learned from two thirds of the labels."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best inner products of every hundredth vector against all others."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark items found in all documents."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: base spans and those that boosted trees add."""
+    return pii.digests(pii.find_in_documents(table(spark, sf_dir, "documents")))
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under Jaccard similarity of their shingles."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as an archive with revisit records, and read it back."""
     return warc.page_digests(warc.archive_pages(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {"op3_chat_format": op3_chat_format, "op4_best_fit_packing": op4_best_fit_packing, "op6_exact_topk": op6_exact_topk, "op10_warc": op10_warc}
+QUERIES = {
+    "op1_html_text": op1_html_text,
+    "op2_ppm": op2_ppm,
+    "op3_chat_format": op3_chat_format,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
+    "op6_exact_topk": op6_exact_topk,
+    "op7_decontamination": op7_decontamination,
+    "op8_pii": op8_pii,
+    "op9_ngram_join": op9_ngram_join,
+    "op10_warc": op10_warc,
+}
 
 ESCAPED_SQL = r"""regexp_replace(regexp_replace(regexp_replace(replace({0}, '\', '\5c'), '<(\||/?s>)', '\\3c\1', 'g'), '<(</?SYS>>)', '\\3c\1', 'g'), '\[(/?INST\])', '\\5b\1', 'g')"""
 
@@ -61,6 +102,15 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id,
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM
   (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    "op9_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id)
+JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)""",
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT *, CASE WHEN strlen(html) >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS first FROM p)

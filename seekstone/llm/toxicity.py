@@ -408,3 +408,20 @@ def score_documents(documents: DataFrame, labels: DataFrame, threshold: float =
     machine = train(documents, labels, part("doc_id") != 1, training)
     scored = score_texts(documents.select("doc_id", "text"), machine, "doc_id")
     return scored.select("doc_id", F.coalesce(part("doc_id") == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def reject_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, training: Training = Training()) -> DataFrame:
+    """The rows of ``documents`` that score below ``threshold``, with all their columns.
+
+    Learns as ``score_documents`` does. Null and empty texts have no toxic units and stay.
+    """
+    machine = train(documents, labels, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1, training)
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordValues(machine)
+        for batch in batches:
+            parts = [text_values(machine, known, raw, offsets) for _, _, raw, offsets in chunks(batch.column(at))]
+            yield batch.filter(pa.array(machine.score(np.concatenate(parts)) < threshold)) if parts else batch
+
+    return documents.mapInArrow(run, documents.schema)
