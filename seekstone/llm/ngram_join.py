@@ -34,6 +34,8 @@ COUNTER_PIECES = 64
 #: A shingle whose counter is so far above the mean may have a long list: its list is dealt in a way
 #: that AQE can split.
 LONG_LIST = 2000
+#: Tables of ids with more rows are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -177,38 +179,61 @@ def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 2) -> int:
     return suffix_bound(a[:i], b[:j], depth - 1) + suffix_bound(a[i:], b[j:], depth - 1)
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether sorted sets a and b link."""
+def judged(a: np.ndarray, b: np.ndarray, percent: int, exact: bool) -> int:
+    """1 if sorted sets link, 0 if not, and 2 if shortened hashes leave it open.
+
+    Two shingles that differ may have the same shortened hash; the more such pairs are to be
+    expected, the wider the margin that is left open.
+    """
     least = overlap_needed(len(a), len(b), percent)
     if min(len(a), len(b)) < least or suffix_bound(a, b) < least:
-        return False
+        return 0
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
-    return int((b[at] == a).sum()) >= least
+    shared = int((b[at] == a).sum())
+    if shared < least:
+        return 0
+    return 1 if exact or shared >= least + 3 + (4 * len(a) * len(b) >> 32) else 2
+
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be broadcast if it has few enough ``rows``; else Spark chooses, and can split skew."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
-def set_table(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """``(doc, shingles)`` with sorted sets of the documents in ``ids(doc)``."""
+
+def set_table(documents: DataFrame, ids: DataFrame, size: int, exact: bool) -> DataFrame:
+    """``(doc, shingles)`` with sorted sets of the documents in ``ids(doc)``: of whole hashes, or of
+    hashes shortened to 32 bits, which keep their number and halve what travels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s.tobytes() for _, _, raw, offsets in chunks(batch.column(1)) for s in shingle_sets(Words(raw, offsets), size)]
+            sets = (s for _, _, raw, offsets in chunks(batch.column(1)) for s in shingle_sets(Words(raw, offsets), size))
+            found = [(s if exact else (s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc", "shingles"])
 
-    chosen = documents.select(F.col("doc_id").alias("doc"), F.col("text").cast("string").alias("text")).join(ids, "doc", "left_semi")
+    chosen = documents.select(F.col("doc_id").alias("doc"), F.col("text").cast("string").alias("text")).join(small(ids, ids.count()), "doc", "left_semi")
     return chosen.mapInArrow(run, "doc bigint, shingles binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that link. Sets travel once to each of a text's partners."""
+def verified(pairs: DataFrame, documents: DataFrame, percent: int, size: int, exact: bool = False) -> DataFrame:
+    """Those of ``pairs(a, b)`` that link. Pairs that shortened hashes leave open are judged again."""
+    kind = np.uint64 if exact else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3)))]
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
+            found = [judged(np.frombuffer(x, kind), np.frombuffer(y, kind), percent, exact) for x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int32())], names=["a", "b", "links"])
 
+    ids = stage(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "members")
+    sets = stage(set_table(documents, ids, size, exact), "sets")
     of = lambda side, name: sets.select(F.col("doc").alias(side), F.col("shingles").alias(name))
-    return pairs.join(of("a", "set_a"), "a").join(of("b", "set_b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
+    judgement = pairs.join(of("a", "set_a"), "a").join(of("b", "set_b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint, links int")
+    judgement = stage(judgement.where("links > 0"), "judged")
+    sure = judgement.where("links = 1").select("a", "b")
+    if exact:
+        return sure
+    open_ = judgement.where("links = 2").select("a", "b").distinct()
+    return sure if open_.isEmpty() else sure.unionByName(verified(open_, documents, percent, size, True))
 
 
 def jaccard_components(documents: DataFrame, percent: int = 75, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -229,8 +254,9 @@ def jaccard_components(documents: DataFrame, percent: int = 75, size: int = SHIN
     first = stage(solid.groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("c")).where("c > 1").select("sig_a", "sig_b", "n", "doc"), "classes")
     copies = stage(solid.select("doc_id", "sig_a", "sig_b", "n").join(first, ["sig_a", "sig_b", "n"]).where("doc_id <> doc").select("doc_id", "doc").distinct(), "copies")
     # an id that repeats may belong to several classes: it is posted with each of its sets
-    repeated = solid.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    lone = solid.join(copies.select("doc_id").join(repeated, "doc_id", "left_anti"), "doc_id", "left_anti")
+    repeated = stage(solid.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated")
+    dropped = copies.select("doc_id").join(repeated, "doc_id", "left_anti").distinct()
+    lone = solid.join(small(dropped, copies.count()), "doc_id", "left_anti")
     lists = stage(lists_of(lone.select(F.col("doc_id").alias("doc"), "prefix", "long")), "lists")
     sizes = solid.select(F.col("doc_id").alias("doc"), "n").distinct()
 
@@ -239,22 +265,27 @@ def jaccard_components(documents: DataFrame, percent: int = 75, size: int = SHIN
             pairs = pairs.join(sizes.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}")), side)
         return pairs.where(could_link("a", "b", percent)).select("a", "b").distinct()
 
-    stars = lists.where("doc <> pivot").groupBy(F.col("pivot").alias("a"), F.col("doc").alias("b")).agg(F.min(F.struct("pos", "pivot_pos")).alias("at"))
-    stars = stage(with_sizes(stars.select("a", "b", F.col("at.pivot_pos").alias("pos_a"), F.col("at.pos").alias("pos_b"))), "stars")
-    sets = stage(set_table(documents, stage(lists.select("doc").distinct(), "members"), size), "sets")
+    met = lists.where("doc <> pivot").groupBy(F.col("pivot").alias("a"), F.col("doc").alias("b")).agg(F.min(F.struct("pos", "pivot_pos")).alias("at"))
+    met = stage(met.select("a", "b", F.col("at.pivot_pos").alias("pos_a"), F.col("at.pos").alias("pos_b")), "met")
+    stars = stage(with_sizes(met), "stars")
     same_id = copies.join(repeated, "doc_id", "left_semi").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
-    parts = stage(connected_components(verified(stars, sets, percent).unionByName(same_id)), "parts")
-    labelled = lists.select("token", "doc", "pos").join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    labelled = stage(labelled, "labelled")
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
-    left = stage(labelled.join(mixed, "token").join(sizes, "doc"), "crossing-lists")
+    parts = stage(connected_components(verified(stars, documents, percent, size).unionByName(same_id)), "parts")
+
+    def part_of(df: DataFrame, column: str, name: str) -> DataFrame:
+        return df.join(parts.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
+
+    # lists with a text that its pivot's component does not hold
+    apart = stage(part_of(part_of(met.select("a", "b"), "a", "part_a"), "b", "part_b").where("part_a <> part_b").select(F.col("a").alias("pivot"), F.col("b").alias("doc")), "apart")
+    tokens = stage(lists.join(small(apart, apart.count()), ["pivot", "doc"], "left_semi").select("token").distinct(), "tokens")
+    left = lists.select("token", "doc", "pos").join(small(tokens, tokens.count()), "token", "left_semi").join(sizes, "doc")
+    left = stage(part_of(left, "doc", "component"), "crossing-lists")
     x, y = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "pos", "n", "component"))) for s in "ab")
     crossing = x.join(y, "token").where("doc_a < doc_b and component_a <> component_b").where(could_link("a", "b", percent))
     crossing = crossing.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.first("component_a").alias("part_a"), F.first("component_b").alias("part_b"))
     crossing = stage(crossing.join(stars, ["a", "b"], "left_anti"), "crossings")
     components = parts
     if not crossing.isEmpty():
-        found = verified(crossing.select("a", "b"), sets, percent).join(crossing, ["a", "b"]).select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+        found = verified(crossing.select("a", "b"), documents, percent, size).join(crossing, ["a", "b"]).select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
         joined = stage(connected_components(found), "joined").select(F.col("node").alias("component"), F.col("component").alias("whole"))
         wide = parts.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
         alone = joined.join(parts, joined["component"] == parts["component"], "left_anti")
