@@ -3,12 +3,14 @@
 A text's set holds the hashes of its distinct shingles. Texts with equal sets are one *class*, and
 only the class's smallest id goes on. Every set is ordered rare-first, by counts that all texts have
 contributed to, and only its prefix is posted: two sets with Jaccard similarity t share a shingle
-among the first ``n - ceil(t n) + 1`` of either. Lists of postings are joined in two steps, so that
+among the first ``n - ceil(t n) + 1`` of either. Lists of postings are joined in steps, so that
 a list of very many similar texts does not make all its pairs:
 
-1. *Stars*: each text with the smallest id of its list. Verified pairs give components.
-2. *Crossings*: pairs of a list whose ends step 1 left in different components. Pairs within a
-   component need no check, since only reachability is asked for.
+1. *Stars*: each text with the smallest id, the pivot, of one of its lists; then with the pivots of
+   its other lists. Verified pairs give components.
+2. *Crossings*: all pairs of a list whose ends are still in different components.
+
+Pairs within a component need no check, since only reachability is asked for.
 
 Length and positional filters drop pairs before any set moves; the suffix filter stands before the
 full intersection; each pair is verified once.
@@ -161,13 +163,18 @@ def lists_of(classes: DataFrame) -> DataFrame:
     return short.unionByName(tails.join(heads, "token").select("token", "doc", "pos", "pivot", "pivot_pos"))
 
 
-def could_link(a: str, b: str, percent: int) -> F.Column:
-    """Length and positional filters on rows with n_a, n_b and positions pos_a, pos_b of the shingle
-    that the pair shares first in rare-first order (or a later one, which bounds no less than it)."""
-    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (
-        (100 + percent) * (F.least(F.col(f"pos_{a}"), F.col(f"pos_{b}")) + F.least(n_a - F.col(f"pos_{a}"), n_b - F.col(f"pos_{b}"))) >= percent * (n_a + n_b)
-    )
+def could_link(a: str, b: str, percent: int, all_shared: bool = False) -> F.Column:
+    """Length and positional filters on rows with n and pos of both sides, for a shingle they share.
+
+    Up to a shared shingle a pair may share what stands before it, and from it on what the shorter
+    rest holds. If the pair has a row for each shingle that its prefixes share, nothing before the
+    first of them is shared; a row that passes for a later one would have passed for the first.
+    """
+    n_a, n_b, pos_a, pos_b = (F.col(f"{c}_{s}") for c in ("n", "pos") for s in (a, b))
+    most = F.least(n_a - pos_a, n_b - pos_b)
+    if not all_shared:
+        most = most + F.least(pos_a, pos_b)
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & ((100 + percent) * most >= percent * (n_a + n_b))
 
 
 def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 2) -> int:
@@ -260,36 +267,56 @@ def jaccard_components(documents: DataFrame, percent: int = 75, size: int = SHIN
     lists = stage(lists_of(lone.select(F.col("doc_id").alias("doc"), "prefix", "long")), "lists")
     sizes = solid.select(F.col("doc_id").alias("doc"), "n").distinct()
 
-    def with_sizes(pairs: DataFrame) -> DataFrame:
+    def possible(met: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b), also with their components, that pass the length and positional filters."""
         for side in ("a", "b"):
-            pairs = pairs.join(sizes.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}")), side)
-        return pairs.where(could_link("a", "b", percent)).select("a", "b").distinct()
-
-    met = lists.where("doc <> pivot").groupBy(F.col("pivot").alias("a"), F.col("doc").alias("b")).agg(F.min(F.struct("pos", "pivot_pos")).alias("at"))
-    met = stage(met.select("a", "b", F.col("at.pivot_pos").alias("pos_a"), F.col("at.pos").alias("pos_b")), "met")
-    stars = stage(with_sizes(met), "stars")
-    same_id = copies.join(repeated, "doc_id", "left_semi").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
-    parts = stage(connected_components(verified(stars, documents, percent, size).unionByName(same_id)), "parts")
+            met = met.join(sizes.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}")), side)
+        return met.where(could_link("a", "b", percent)).groupBy("a", "b").agg(F.first("part_a").alias("part_a"), F.first("part_b").alias("part_b"))
 
-    def part_of(df: DataFrame, column: str, name: str) -> DataFrame:
-        return df.join(parts.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
+    def with_part(df: DataFrame, column: str, name: str) -> DataFrame:
+        """``df`` with the component of a text, itself where it has none yet."""
+        labels = parts.select(F.col("node").alias(column), F.col("component").alias(name))
+        return df.join(small(labels, n_parts), column, "left").withColumn(name, F.coalesce(name, column))
 
-    # lists with a text that its pivot's component does not hold
-    apart = stage(part_of(part_of(met.select("a", "b"), "a", "part_a"), "b", "part_b").where("part_a <> part_b").select(F.col("a").alias("pivot"), F.col("b").alias("doc")), "apart")
-    tokens = stage(lists.join(small(apart, apart.count()), ["pivot", "doc"], "left_semi").select("token").distinct(), "tokens")
+    def merge(links: DataFrame) -> DataFrame:
+        """Components after links between components ``(a, b)``."""
+        joined = stage(connected_components(links), "joined").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        wide = parts.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+        alone = joined.join(parts.select("component").distinct(), "component", "left_anti")
+        return stage(wide.unionByName(alone.select(F.col("component").alias("node"), F.col("whole").alias("component"))), "parts")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        """Component pairs of the verified among pairs (a, b, part_a, part_b)."""
+        found = verified(pairs.select("a", "b"), documents, percent, size)
+        return found.join(pairs, ["a", "b"]).select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+
+    # each text with the pivot of one list, that of its prefix's commonest shingle
+    last = lists.groupBy("doc").agg(F.max(F.struct("pos", "pivot", "pivot_pos")).alias("l"))
+    last = last.where("doc <> l.pivot").select(F.col("l.pivot").alias("a"), F.col("doc").alias("b"), F.col("l.pivot_pos").alias("pos_a"), F.col("l.pos").alias("pos_b"))
+    stars = stage(possible(last.withColumns({"part_a": F.col("a"), "part_b": F.col("b")})), "stars")
+    same_id = copies.join(repeated, "doc_id", "left_semi").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
+    parts = stage(connected_components(links_of(stars).unionByName(same_id)), "parts")
+    n_parts = parts.count()
+    # then with the pivots of all its other lists, where these are in other components
+    apart = with_part(with_part(lists, "doc", "part_b"), "pivot", "part_a").where("part_a <> part_b")
+    met = apart.groupBy(F.col("pivot").alias("a"), F.col("doc").alias("b")).agg(F.min(F.struct("pos", "pivot_pos", "part_a", "part_b")).alias("m")).select("a", "b", F.col("m.pos").alias("pos_b"), F.col("m.pivot_pos").alias("pos_a"), "m.part_a", "m.part_b")
+    met = stage(possible(met).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "met")
+    if not met.isEmpty():
+        parts = merge(links_of(met))
+        n_parts = parts.count()
+    # and all pairs across the components that are left in a list
+    labelled = with_part(with_part(lists, "doc", "part_b"), "pivot", "part_a")
+    tokens = stage(labelled.where("part_a <> part_b").select("token").distinct(), "tokens")
     left = lists.select("token", "doc", "pos").join(small(tokens, tokens.count()), "token", "left_semi").join(sizes, "doc")
-    left = stage(part_of(left, "doc", "component"), "crossing-lists")
-    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "pos", "n", "component"))) for s in "ab")
-    crossing = x.join(y, "token").where("doc_a < doc_b and component_a <> component_b").where(could_link("a", "b", percent))
-    crossing = crossing.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.first("component_a").alias("part_a"), F.first("component_b").alias("part_b"))
-    crossing = stage(crossing.join(stars, ["a", "b"], "left_anti"), "crossings")
-    components = parts
+    left = stage(with_part(left, "doc", "part"), "crossing-lists")
+    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("pos", "n", "part")), F.col("doc").alias(s)) for s in "ab")
+    crossing = x.join(y, "token").where("a < b and part_a <> part_b").where(could_link("a", "b", percent, True))
+    crossing = crossing.groupBy("a", "b").agg(F.first("part_a").alias("part_a"), F.first("part_b").alias("part_b"))
+    seen = stars.select("a", "b").unionByName(met.select("a", "b"))
+    crossing = stage(crossing.join(seen, ["a", "b"], "left_anti"), "crossings")
     if not crossing.isEmpty():
-        found = verified(crossing.select("a", "b"), documents, percent, size).join(crossing, ["a", "b"]).select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
-        joined = stage(connected_components(found), "joined").select(F.col("node").alias("component"), F.col("component").alias("whole"))
-        wide = parts.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
-        alone = joined.join(parts, joined["component"] == parts["component"], "left_anti")
-        components = stage(wide.unionByName(alone.select(F.col("component").alias("node"), F.col("whole").alias("component"))), "components")
+        parts = merge(links_of(crossing))
+    components = parts
     return (
         table.select("doc_id", F.col("n").alias("n_shingles"))
         .join(copies.groupBy("doc_id").agg(F.min("doc").alias("class")), "doc_id", "left")
