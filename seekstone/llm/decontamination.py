@@ -121,7 +121,8 @@ def within_radius(found: DataFrame, items: DataFrame, limits: Limits) -> DataFra
     index = items.select("item_id", F.col("fingerprint").alias("item_print"), F.explode(F.expr(f"array({blocks('fingerprint')})")).alias("e"))
     index = index.withColumn("mask", F.explode(masks)).select("item_id", "item_print", F.col("e.block").alias("block"), F.expr("e.value ^ mask").alias("value"))
     probes = found.select("doc_id", "row", "start", "n_words", "fingerprint", F.explode(F.expr(f"array({blocks('fingerprint')})")).alias("e")).select("*", "e.block", "e.value").drop("e")
-    near = probes.join(index, ["block", "value"]).where(F.expr(f"bit_count(fingerprint ^ item_print) <= {limits.radius}"))
+    # Spark takes the size of the item table for that of its many entries, and would broadcast them
+    near = probes.join(index.hint("merge"), ["block", "value"]).where(F.expr(f"bit_count(fingerprint ^ item_print) <= {limits.radius}"))
     return near.select("doc_id", "row", "start", "n_words", "item_id").distinct()
 
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seekstone.llm.textvec import Words, chunks, mix
+from seekstone.shared import stage
 
 ORDER = 4
 DECAY = 0.6
@@ -51,11 +52,11 @@ class Training:
 
 def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Units as rows of bytes behind a start mark, filled up with zeros, and their lengths."""
-    lengths = np.asarray([len(u) + 1 for u in units], dtype=np.int64)
+    lengths = np.fromiter(map(len, units), np.int64, len(units)) + 1
     rows = np.zeros((len(units), int(lengths.max(initial=1))), np.uint8)
     rows[:, 0] = ord("^")
-    for i, u in enumerate(units):
-        rows[i, 1 : len(u) + 1] = np.frombuffer(u, np.uint8)
+    step = np.arange(lengths.sum() - len(units)) - np.repeat(np.cumsum(lengths - 1) - lengths + 1, lengths - 1)
+    rows[np.repeat(np.arange(len(units)), lengths - 1), step + 1] = np.frombuffer(b"".join(units), np.uint8)
     return rows, lengths
 
 
@@ -144,6 +145,46 @@ def normalized(units: list[bytes], others: list[bytes]) -> np.ndarray:
     return out
 
 
+#: Places of three characters of a unit that stand close together.
+CLOSE = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4))
+MASKS = 1 << 16
+
+
+def triple_codes(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Codes of all close triples of encoded units, place by place; -1 where one has ended."""
+    wide = np.pad(rows, ((0, 0), (0, 4))).astype(np.int64)
+    for at in range(rows.shape[1]):
+        for x, y, z in CLOSE:
+            a, b, c = wide[:, at + x], wide[:, at + y], wide[:, at + z]
+            code = (a * 0x9E3B + b * 0x85EB + c * 0xC2B3 + (a * b) * 31 + (b * c) * 17) % MASKS
+            yield np.where(c > 0, code, -1)
+
+
+def close_triples(landmarks: list[bytes]) -> np.ndarray:
+    """For each code of a close triple, the set of landmarks (64 at most) that hold it, as bits."""
+    masks = np.zeros(MASKS, np.uint64)
+    for k, mark in enumerate(landmarks[:64]):
+        rows, _ = encode([mark])
+        for code in triple_codes(rows):
+            if code[0] >= 0:
+                masks[code[0]] |= np.uint64(1 << k)
+    return masks
+
+
+def resembling(rows: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Which encoded units share two close triples or more with one toxic landmark.
+
+    Any other shares with it but subsequences with wide gaps, whose kernel value is next to nothing:
+    it is not judged.
+    """
+    once, twice = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)
+    for code in triple_codes(rows):
+        held = np.where(code >= 0, masks[code], np.uint64(0))
+        twice |= once & held
+        once |= held
+    return twice > 0
+
+
 @dataclass
 class Machine:
     """Landmarks with the weight of each one's kernel value, and the calibration of text values."""
@@ -151,14 +192,21 @@ class Machine:
     landmarks: list[bytes] = field(default_factory=list)
     weights: np.ndarray | None = None
     bias: float = -1.0
+    triples: np.ndarray | None = None
     slope: float = 1.0
     shift: float = 0.0
     lowest: float = -3.0
 
     def values(self, units: list[bytes]) -> np.ndarray:
+        out = np.full(len(units), self.lowest)
         if not self.landmarks or not units:
-            return np.full(len(units), self.lowest)
-        return normalized(units, self.landmarks) @ self.weights + self.bias
+            return out
+        for at in range(0, len(units), 65536):
+            part = units[at : at + 65536]
+            near = np.flatnonzero(resembling(encode(part)[0], self.triples))
+            if len(near):
+                out[at + near] = np.maximum(normalized([part[r] for r in near], self.landmarks) @ self.weights + self.bias, self.lowest)
+        return out
 
     def score(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -30, 30)))
@@ -269,19 +317,27 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, fold: Column, train
     return documents.select("doc_id", "text").join(F.broadcast(both[0].unionByName(both[1])), "doc_id").select("text", "toxic")
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3, steps: int = 30) -> np.ndarray:
-    """A linear support vector machine (squared hinge) by Newton steps; the last weight is the bias."""
+def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2, steps: int = 100) -> np.ndarray:
+    """A linear support vector machine (squared hinge) by damped Newton steps; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        return ridge * w @ w + (cost * np.maximum(1 - y * (x @ w), 0) ** 2).sum()
+
+    now = loss(w)
     for _ in range(steps):
         margin = 1 - y * (x @ w)
         active = margin > 0
-        grad = ridge * w - (x[active] * (cost * y * margin)[active, None]).sum(0)
+        grad = ridge * w - x[active].T @ (cost * y * margin)[active]
         hessian = ridge * np.eye(len(w)) + (x[active] * cost[active, None]).T @ x[active]
-        step = np.linalg.solve(hessian, grad)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        step, size = np.linalg.solve(hessian, grad), 1.0
+        while (then := loss(w - size * step)) > now and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if now - then < 1e-9 * max(1.0, now):
             break
+        now = then
     return w
 
 
@@ -305,47 +361,68 @@ def surprise(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
     return np.where(rate > share, value, 0)
 
 
-def learn(counts: list[tuple[bytes, int, int]], training: Training) -> Machine:
-    """The machine from ``(word, toxic texts, clean texts)``, without its calibration.
+@dataclass
+class WordCounts:
+    """Of words ``(word, toxic texts, clean texts)``: toxic candidates, the commonest clean ones, some
+    of all clean ones by hash; sums over all words."""
+
+    toxic: list[tuple[bytes, int, int]]
+    often: list[tuple[bytes, int, int]]
+    some: list[tuple[bytes, int, int]]
+    t_sum: int
+    c_sum: int
+    words: int
+
+
+def count_words(sample: DataFrame, training: Training) -> WordCounts:
+    """Word counts of a labelled sample; what reaches the driver is bounded by ``training``."""
+    words = stage(distinct_words(sample).distinct().groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")), "words")
+    take = lambda df: [(bytes(r["word"]), r["t"], r["c"]) for r in df.collect()]
+    toxic = take(words.where(f"t >= {training.least_texts} and t > 9 * c and octet_length(word) > 2").orderBy(F.desc("t"), "c", "word").limit(4 * training.candidates))
+    often = take(words.where("c > 0").orderBy(F.desc("c"), "word").limit(training.clean_words // 4))
+    some = take(words.where("c > 0").orderBy(F.xxhash64("word"), "word").limit(training.clean_words - len(often)))
+    known = {w for w, _, _ in often}
+    sums = words.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    return WordCounts(toxic, often, [r for r in some if r[0] not in known], *sums)
+
+
+def learn(counts: WordCounts, training: Training) -> Machine:
+    """The machine from word counts, without its calibration.
 
     A word counts as toxic if it, or the words that the kernel holds near to it, come in toxic texts
     far more often than chance would bring any of the words seen.
     """
-    t, c = (np.asarray([r[k] for r in counts], float) for k in (1, 2))
-    if not t.sum() or not c.sum():
-        return Machine()
-    share = t.sum() / (t.sum() + c.sum())
-    ranked = sorted(((r, s) for r, s in zip(counts, surprise(t, c, share)) if r[1] >= training.least_texts and len(r[0]) > 2 and r[1] > 9 * r[2]), key=lambda x: (-x[1], x[0][0]))[: training.candidates]
-    clean = sorted((r for r in counts if r[2] > 0), key=lambda r: (-r[2], r[0]))
-    often = training.clean_words // 4
-    some = clean
-    if len(clean) > training.clean_words:
-        rest = np.random.default_rng(5).permutation(np.arange(often, len(clean)))[: training.clean_words - often]
-        some = clean[:often] + [clean[i] for i in sorted(rest)]
-    if not ranked:
+    if not counts.t_sum or not counts.c_sum or not counts.toxic:
         return Machine()
+    share = counts.t_sum / (counts.t_sum + counts.c_sum)
+    t, c = (np.asarray([r[k] for r in counts.toxic], float) for k in (1, 2))
+    ranked = sorted(zip(counts.toxic, surprise(t, c, share)), key=lambda x: (-x[1], x[0][0]))[: training.candidates]
+    often, some = len(counts.often), counts.often + counts.some
     positive, negative = [r[0] for r, _ in ranked], [r[0] for r in some]
     among, against = normalized(positive, positive), normalized(positive, negative)
     tox, own = np.asarray([r[1] for r, _ in ranked], float), np.asarray([s for _, s in ranked])
     cl = np.asarray([r[2] for r in some], float)
-    scale = np.r_[np.ones(min(often, len(cl))), np.full(max(0, len(cl) - often), (c.sum() - cl[:often].sum()) / max(1.0, cl[often:].sum()))]
+    # those taken by hash stand for all the rest
+    scale = np.r_[np.ones(often), np.full(len(cl) - often, (counts.c_sum - cl[:often].sum()) / max(1.0, cl[often:].sum()))]
     near_toxic, near_clean = np.where(among > training.near, 1, 0) @ tox, np.where(against > training.near, 1, 0) @ (cl * scale)
     family = np.where(near_toxic > training.purity * (near_toxic + near_clean), surprise(near_toxic, near_clean, share), 0)
-    least = np.log(len(counts) / training.chance)
-    keep = np.flatnonzero(((own > least) & (near_toxic > near_clean)) | (family > 1.5 * least))
+    least = np.log(counts.words / training.chance)
+    keep = np.flatnonzero((own > 3 * least) | ((own > least) & (near_toxic > near_clean)) | (family > 1.5 * least))
     if not len(keep):
         keep = np.arange(min(len(positive), 20))
     positive, among = [positive[i] for i in keep], among[np.ix_(keep, keep)]
     near = against[keep].max(axis=0)
     marks = [positive[i] for i in pick_landmarks(positive, among, training.landmarks * 3 // 4)]
+    insults = len(marks)
     marks += [negative[i] for i in np.argsort(-near, kind="stable")[: training.landmarks - len(marks)]]
     values, vectors = np.linalg.eigh(normalized(marks, marks).astype(float))
     white = vectors / np.sqrt(np.maximum(values, 1e-3))
     x = normalized(positive + negative, marks) @ white
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    cost = np.r_[np.full(len(positive), len(negative) / len(positive)), np.ones(len(negative))]
+    weight = np.clip(tox[keep] / tox[keep].mean(), 0.3, 6)
+    cost = np.r_[weight * len(negative) / weight.sum(), np.ones(len(negative))]
     w = svm(x, y, cost)
-    return Machine(marks, white @ w[:-1], float(w[-1]))
+    return Machine(marks, white @ w[:-1], float(w[-1]), close_triples(marks[:insults]))
 
 
 def calibrate(machine: Machine, value: np.ndarray, label: np.ndarray) -> Machine:
@@ -390,10 +467,7 @@ def train(documents: DataFrame, labels: DataFrame, fold: Column, training: Train
     get the share of label 1 as their score.
     """
     sample = labelled_sample(documents, labels, fold, training)
-    words = distinct_words(sample).distinct().groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
-    # words of a single text teach little: of clean ones a part by hash, and no rare toxic ones
-    words = words.where(f"t >= {training.least_texts} or c >= 2 or pmod(xxhash64(word), 16) = 0")
-    machine = learn([(bytes(r["word"]), r["t"], r["c"]) for r in words.collect()], training)
+    machine = learn(count_words(sample, training), training)
     rows = score_texts(sample.select(F.col("toxic").cast("long").alias("toxic"), "text"), machine, "toxic").select("toxic", "value").toArrow()
     return calibrate(machine, rows["value"].to_numpy(), rows["toxic"].to_numpy())
 
