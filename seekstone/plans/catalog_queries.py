@@ -1,6 +1,430 @@
-"""Queries of the catalog search engine by name, with the SQL that gives the same rows."""
+"""Queries of the catalog search engine by name, with the SQL that gives the same rows.
+
+Parts, suppliers and customers stand in for a catalog of named things, events for the log of what
+was chosen, and page addresses for paths. Batches of search strings are literals.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from seekstone.functions import routing, text as T
+from seekstone.operators import catalog as C, evaluate, files, preferences as P, search as S
+from seekstone.shared import new_folder
+from seekstone.sources.tables import table
+from seekstone.streaming import changes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: A batch of search strings: exact, prefix, inner, of two words, squeezed, initials, reordered.
+BATCH = ("red widget", "wid", "ring", "small", "redwidget", "bb", "bolt blue", "blue b", "idge", "zzz")
+TYPOS = ("widgte", "rnig", "blot", "smal", "bleu", "gear")
+NOW = 1_706_000_000
+TABLE_OF_BATCH = "(VALUES " + ", ".join(f"({k}, '{q}')" for k, q in enumerate(BATCH)) + ") AS b(query_id, q)"
+
+
+def query(sql: str | None = None):
+    def register(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+
+
+def batch(spark: SparkSession, texts: tuple[str, ...] = BATCH) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+
+
+def seconds(df: DataFrame, column: str) -> Column:
+    """Seconds since 1970 of a timestamp with or without zone."""
+    if dict(df.dtypes)[column] == "timestamp_ntz":
+        return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {column})")
+    return F.unix_seconds(column)
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as choices: which item was chosen for which query, and when."""
+    events = table(spark, sf_dir, "events")
+    return events.select(F.col("event_type").alias("query"), F.col("user_id").alias("item_id"), seconds(events, "ts").alias("at"))
+
+
+LOG = "SELECT event_type AS query, user_id AS item_id, floor(epoch(ts))::BIGINT AS moment FROM events"
+USAGE = f"SELECT item_id, count(*) AS launches, max(moment) AS last_used FROM ({LOG}) GROUP BY item_id"
+PAIRS = f"SELECT query, item_id, count(*) AS n, max(moment) AS last_used, count(*) / sum(count(*)) OVER (PARTITION BY query) AS share FROM ({LOG}) GROUP BY query, item_id"
+NORM = "trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g'))"
+DOCS = f"SELECT p_partkey AS id, p_name AS name, {NORM} AS norm, replace({NORM}, ' ', '') AS comp, list_distinct(string_split({NORM}, ' ')) AS words, string_split({NORM}, ' ') AS toks, CASE WHEN len(string_split({NORM}, ' ')) >= 2 THEN array_to_string(list_transform(string_split({NORM}, ' '), lambda t: t[1]), '') ELSE '' END AS acro FROM part"
+POSTINGS = f"SELECT DISTINCT id, unnest(words) AS term FROM ({DOCS})"
+
+
+# --- names -------------------------------------------------------------------------------------
+
+
+@query(f"SELECT p_partkey AS id, {NORM} AS norm, replace({NORM}, ' ', '') AS comp FROM part")
+def normalized_names(spark, sf_dir):
+    return S.enrich(parts(spark, sf_dir)).select("id", "norm", "comp")
+
+
+@query(f"SELECT id, t.pos - 1 AS pos, t.token FROM (SELECT id, unnest(list_transform(toks, lambda x, i: {{'pos': i, 'token': x}})) AS t FROM ({DOCS}))")
+def name_tokens(spark, sf_dir):
+    return parts(spark, sf_dir).select("id", F.posexplode(T.tokens(T.normalize(F.col("name")))).alias("pos", "token")).select("id", F.col("pos").cast("long").alias("pos"), "token")
+
+
+@query("SELECT c_custkey AS id, array_to_string(list_transform(list_filter(string_split_regex(c_mktsegment || c_name, '[^A-Za-z0-9]+'), lambda x: x <> ''), lambda x: lower(regexp_replace(x, '([A-Za-z0-9])([A-Z][a-z])', '\\1 \\2', 'g'))), ' ') AS words FROM customer")
+def camel_words(spark, sf_dir):
+    both = F.concat("c_mktsegment", "c_name")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.array_join(T.split_camel(both), " ").alias("words"))
+
+
+@query(f"SELECT id, acro FROM ({DOCS})")
+def acronyms(spark, sf_dir):
+    return S.enrich(parts(spark, sf_dir)).select("id", "acro")
+
+
+@query(f"SELECT term, count(*) AS df, min(id) AS first_id FROM ({POSTINGS}) GROUP BY term")
+def term_postings(spark, sf_dir):
+    return S.term_postings(S.enrich(parts(spark, sf_dir))).groupBy("term").agg(F.count("*").alias("df"), F.min("id").alias("first_id"))
+
+
+def gram_sql(n: int) -> str:
+    return f"SELECT gram, count(*) AS df, min(id) AS first_id FROM (SELECT DISTINCT id, unnest(list_transform(range(1, length(norm) - {n - 2}), lambda i: substr(norm, i, {n}))) AS gram FROM ({DOCS})) GROUP BY gram"
+
+
+@query(gram_sql(2))
+def bigram_postings(spark, sf_dir):
+    return S.gram_postings(S.enrich(parts(spark, sf_dir)), 2).groupBy("gram").agg(F.count("*").alias("df"), F.min("id").alias("first_id"))
+
+
+@query(gram_sql(3))
+def trigram_postings(spark, sf_dir):
+    return S.gram_postings(S.enrich(parts(spark, sf_dir)), 3).groupBy("gram").agg(F.count("*").alias("df"), F.min("id").alias("first_id"))
+
+
+@query(f"SELECT norm[1] AS first, count(*) AS df FROM ({DOCS}) GROUP BY 1")
+def first_char_postings(spark, sf_dir):
+    return S.first_char_postings(S.enrich(parts(spark, sf_dir))).groupBy("first").agg(F.count("*").alias("df"))
+
+
+@query(f"SELECT 'term' AS kind, count(DISTINCT term) AS keys, count(*) AS postings FROM ({POSTINGS}) UNION ALL SELECT 'bigram', count(*), sum(df)::BIGINT FROM ({gram_sql(2)}) UNION ALL SELECT 'trigram', count(*), sum(df)::BIGINT FROM ({gram_sql(3)})")
+def index_stats(spark, sf_dir):
+    docs = S.enrich(parts(spark, sf_dir))
+    parts_of = {"term": S.term_postings(docs).withColumnRenamed("term", "key"), "bigram": S.gram_postings(docs, 2).withColumnRenamed("gram", "key"), "trigram": S.gram_postings(docs, 3).withColumnRenamed("gram", "key")}
+    whole = None
+    for kind, rows in parts_of.items():
+        one = rows.groupBy("key").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+        whole = one if whole is None else whole.unionByName(one)
+    return whole.groupBy("kind").agg(F.count("*").alias("keys"), F.sum("n").alias("postings"))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT term FROM ({POSTINGS}) WHERE length(term) BETWEEN 2 AND 18),
+o AS (SELECT DISTINCT term, unnest(list_transform(range(1, length(term) + 1), lambda i: substr(term, 1, i - 1) || substr(term, i + 1))) AS v FROM t),
+w AS (SELECT DISTINCT term, unnest(list_transform(range(1, length(v) + 1), lambda i: substr(v, 1, i - 1) || substr(v, i + 1))) AS v FROM o WHERE length(term) <= 10 AND v <> '')
+SELECT term, v AS variant FROM (SELECT * FROM o UNION SELECT * FROM w) WHERE v <> '' AND v <> term""")
+def delete_variants(spark, sf_dir):
+    terms = S.term_postings(S.enrich(parts(spark, sf_dir))).select("term").distinct()
+    return terms.select("term", F.explode(T.delete_variants(F.col("term"))).alias("variant"))
+
+
+@query("SELECT typo, term FROM (VALUES " + ", ".join(f"('{t}')" for t in TYPOS) + f") AS t(typo), (SELECT DISTINCT term FROM ({POSTINGS})) WHERE damerau_levenshtein(typo, term) = 1")
+def one_edit_away(spark, sf_dir):
+    terms = S.term_postings(S.enrich(parts(spark, sf_dir))).select("term").distinct()
+    typos = batch(spark, TYPOS).select(F.col("text").alias("typo"))
+    return terms.join(F.broadcast(typos)).where((F.abs(F.length("typo") - F.length("term")) <= 1) & (T.osa_distance(F.col("typo"), F.col("term")) == 1)).select("typo", "term")
+
+
+@query(f"SELECT p_partkey AS id, left(sha256(p_brand || chr(0) || p_name || chr(0)), 32) AS hash_id FROM part")
+def hash_ids(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.hash_id(F.col("p_brand"), F.col("p_name")).alias("hash_id"))
+
+
+# --- ranked search -----------------------------------------------------------------------------
+
+TIER = "CASE WHEN score >= 1100 THEN 0 WHEN score >= 1000 THEN 1 WHEN score >= 920 THEN 2 WHEN score >= 850 THEN 3 WHEN score >= 800 THEN 4 WHEN score >= 700 THEN 5 WHEN score >= 680 THEN 6 WHEN score >= 550 THEN 7 WHEN score >= 225 THEN 8 ELSE 9 END"
+SEQUENCE = "len(string_split(q, ' ')) = 2 AND len(list_filter(range(1, len(toks)), lambda i: starts_with(toks[i], string_split(q, ' ')[1]) AND len(list_filter(range(i + 1, len(toks) + 1), lambda j: starts_with(toks[j], string_split(q, ' ')[2]))) > 0)) > 0"
+BRANCHES = f"""SELECT query_id, id, name, norm, q, unnest([
+  CASE WHEN norm = q THEN {{'score': 1000, 'near': -1, 'ord': 0, 'tag': 'exact'}} END,
+  CASE WHEN starts_with(norm, q) THEN {{'score': 800, 'near': -1, 'ord': -1, 'tag': 'prefix'}} END,
+  CASE WHEN contains(norm, q) THEN {{'score': 550, 'near': -instr(norm, q), 'ord': -2, 'tag': 'substring'}} END,
+  CASE WHEN strlen(replace(q, ' ', '')) >= 2 AND comp = replace(q, ' ', '') THEN {{'score': 920, 'near': -1, 'ord': -3, 'tag': 'compact-exact'}} END,
+  CASE WHEN strlen(replace(q, ' ', '')) >= 3 AND contains(comp, replace(q, ' ', '')) THEN {{'score': 780, 'near': -instr(comp, replace(q, ' ', '')), 'ord': -4, 'tag': 'compact-substring'}} END,
+  CASE WHEN list_contains(words, q) THEN {{'score': 850, 'near': -1, 'ord': -5, 'tag': 'word-exact'}} END,
+  CASE WHEN length(q) >= 2 AND len(list_filter(words, lambda w: starts_with(w, q))) > 0 THEN {{'score': 720, 'near': -1, 'ord': -6, 'tag': 'word-prefix'}} END,
+  CASE WHEN {SEQUENCE} THEN {{'score': 880, 'near': -1, 'ord': -7, 'tag': 'token-seq'}} END,
+  CASE WHEN length(q) >= 2 AND acro = q THEN {{'score': 680, 'near': -1, 'ord': -8, 'tag': 'acronym'}} END]) AS b
+FROM ({DOCS}), {TABLE_OF_BATCH}"""
+SCORED = f"SELECT *, {TIER} AS tier FROM (SELECT query_id, id, name, norm, b.score AS score, b.tag AS tag, -b.near AS start FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY b.score DESC, b.near DESC, b.ord DESC) AS k FROM ({BRANCHES}) WHERE b IS NOT NULL) WHERE k = 1)"
+RANKED = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier <= 2 DESC, CASE WHEN tier <= 2 THEN tier ELSE 99 END, score DESC, start, strlen(norm), norm, id)::INTEGER AS rank FROM ({SCORED})"
+
+
+@query(f"SELECT query_id, rank, id, name, score, tag, tier FROM ({RANKED}) WHERE rank <= 10")
+def search_topk_batch(spark, sf_dir):
+    return S.search(parts(spark, sf_dir), batch(spark), fuzzy=False)
+
+
+@query(f"SELECT query_id, rank, id, name, score, tag, tier FROM ({RANKED}) WHERE rank <= 10")
+def search_unpruned(spark, sf_dir):
+    return S.search(parts(spark, sf_dir), batch(spark), pruned=False, fuzzy=False)
+
+
+@query(f"SELECT query_id, tag, tier, count(*) AS hits FROM ({SCORED}) GROUP BY ALL")
+def branch_counts(spark, sf_dir):
+    docs, parsed = S.enrich(parts(spark, sf_dir)), S.parse(batch(spark))
+    return S.verify(docs.join(F.broadcast(parsed)), fuzzy=False).groupBy("query_id", "tag", "tier").agg(F.count("*").alias("hits"))
+
+
+@query()
+def search_fuzzy(spark, sf_dir):
+    return S.search(parts(spark, sf_dir), batch(spark, TYPOS))
+
+
+@query(f"SELECT query_id, id FROM ({DOCS}), {TABLE_OF_BATCH} WHERE contains(q, ' ') AND len(list_filter(string_split(q, ' '), lambda t: NOT list_contains(words, t))) = 0")
+def recall_intersect(spark, sf_dir):
+    return S.intersect_tokens(S.enrich(parts(spark, sf_dir)), S.parse(batch(spark)))
+
+
+@query(f"SELECT prefix, term FROM (SELECT p.prefix, term, row_number() OVER (PARTITION BY p.prefix ORDER BY term) AS k FROM (VALUES ('wi'), ('bl'), ('r'), ('gea')) AS p(prefix), (SELECT DISTINCT term FROM ({POSTINGS})) WHERE length(p.prefix) >= 2 AND starts_with(term, p.prefix)) WHERE k <= 512")
+def recall_prefix(spark, sf_dir):
+    prefixes = spark.createDataFrame([("wi",), ("bl",), ("r",), ("gea",)], "prefix string")
+    return S.prefix_terms(S.term_postings(S.enrich(parts(spark, sf_dir))), prefixes)
+
+
+@query(f"WITH g AS ({gram_sql(3)}), w AS (SELECT query_id, pos, substr(q, pos, 3) AS gram FROM (SELECT query_id, q, unnest(range(1, length(q) - 1)) AS pos FROM {TABLE_OF_BATCH})) SELECT query_id, gram FROM (SELECT w.query_id, w.gram, row_number() OVER (PARTITION BY query_id ORDER BY df, pos) AS k FROM w JOIN g USING (gram)) WHERE k = 1")
+def recall_rarest_gram(spark, sf_dir):
+    return S.rarest_gram(S.gram_postings(S.enrich(parts(spark, sf_dir)), 3), S.parse(batch(spark)), 3)
+
+
+@query()
+def recall_union(spark, sf_dir):
+    return S.recall(S.enrich(parts(spark, sf_dir)), S.parse(batch(spark)))
+
+
+# --- preferences -------------------------------------------------------------------------------
+
+
+@query(USAGE)
+def usage_counts(spark, sf_dir):
+    return P.usage(log(spark, sf_dir))
+
+
+@query(PAIRS)
+def pair_shares(spark, sf_dir):
+    return P.pairs(log(spark, sf_dir))
+
+
+@query(f"SELECT item_id, last_used FROM ({USAGE}) WHERE last_used > 0 ORDER BY last_used DESC, item_id LIMIT 16")
+def recent_items(spark, sf_dir):
+    return P.recent(P.usage(log(spark, sf_dir)), 16).select("item_id", "last_used")
+
+
+FRESH = f"CASE WHEN {NOW} - p.last_used <= 2592000 THEN 1.0 WHEN {NOW} - p.last_used <= 7776000 THEN 0.8 WHEN {NOW} - p.last_used <= 15552000 THEN 0.6 ELSE 0.4 END"
+BOOSTS = f"""SELECT p.query, p.item_id, least(160, greatest(0, least(round((30 + 14 * ln(p.n)) * share * {FRESH}), CASE WHEN n >= 3 AND share >= 0.7 THEN 110 ELSE 45 END))
+  + least(round(10 + 8 * ln(u.launches)), 45)
+  + CASE WHEN {NOW} - u.last_used <= 0 OR {NOW} - u.last_used >= 604800 THEN 0 WHEN {NOW} - u.last_used < 86400 THEN 40 ELSE round(40 * (604800 - ({NOW} - u.last_used)) / 518400.0) END)::INTEGER AS boost
+FROM ({PAIRS}) p JOIN ({USAGE}) u USING (item_id)"""
+
+
+@query(BOOSTS)
+def history_boost(spark, sf_dir):
+    rows = log(spark, sf_dir)
+    return P.history_boost(P.pairs(rows), P.usage(rows), NOW)
+
+
+def preferences_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    rows = log(spark, sf_dir)
+    hits = rows.select("query", "item_id").distinct().withColumn("score", (F.lit(400) + F.pmod(F.col("item_id") * 37, F.lit(700))).cast("int"))
+    items = lambda sql: P.usage(rows).where(sql).select("item_id")
+    return rows, hits.withColumn("tier", S.quality_tier(F.col("score"))), items("item_id % 11 = 3"), items("item_id % 7 = 2"), items("item_id % 13 = 5")
+
+
+HITS = f"SELECT *, {TIER} AS tier FROM (SELECT DISTINCT query, item_id, (400 + item_id * 37 % 700)::INTEGER AS score FROM ({LOG}))"
+PERSONAL = f"""SELECT query, item_id, tier, (score + CASE WHEN item_id % 11 = 3 THEN greatest(180, boost) ELSE boost END - CASE WHEN item_id % 7 = 2 AND tier > 2 THEN 180 ELSE 0 END)::INTEGER AS score,
+  CASE WHEN item_id % 11 = 3 THEN '+pin' WHEN item_id % 7 = 2 AND tier > 2 THEN '+demote' WHEN boost > 0 THEN '+history' ELSE '' END AS why
+FROM ({HITS}) JOIN ({BOOSTS}) USING (query, item_id) WHERE item_id % 13 <> 5"""
+
+
+@query(f"SELECT query, rank, item_id, score, why FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier <= 2 DESC, CASE WHEN tier <= 2 THEN tier ELSE 99 END, score DESC, tier, item_id)::INTEGER AS rank FROM ({PERSONAL})) WHERE rank <= 10")
+def personalized_rank(spark, sf_dir):
+    rows, hits, pinned, demoted, hidden = preferences_of(spark, sf_dir)
+    boosts = P.history_boost(P.pairs(rows), P.usage(rows), NOW)
+    return P.rerank(P.personalize(hits, boosts, pinned, demoted, hidden), 10).select("query", "rank", "item_id", "score", "why")
+
+
+@query(f"SELECT coalesce(m.new_id, u.item_id) AS item_id, sum(launches)::BIGINT AS launches, max(last_used) AS last_used FROM ({USAGE}) u LEFT JOIN (SELECT DISTINCT item_id AS old_id, item_id // 2 AS new_id FROM ({USAGE}) WHERE item_id % 2 = 1) m ON m.old_id = u.item_id GROUP BY 1")
+def id_remap(spark, sf_dir):
+    used = P.usage(log(spark, sf_dir))
+    return P.remap(used, used.where("item_id % 2 = 1").select(F.col("item_id").alias("old_id"), F.expr("item_id div 2").alias("new_id")))
+
+
+@query(f"""SELECT item_id, section FROM (SELECT item_id, section, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY section, place) AS k FROM (
+  SELECT item_id, 0 AS section, -launches AS place FROM ({USAGE}) WHERE item_id % 11 = 3 UNION ALL SELECT item_id, 1, -last_used FROM ({USAGE}) UNION ALL SELECT c_custkey, 2, 0 FROM customer))
+  WHERE k = 1 AND item_id % 13 <> 5 AND item_id IN (SELECT c_custkey FROM customer)) ORDER BY section, place, item_id LIMIT 40""")
+def empty_query_sections(spark, sf_dir):
+    used = P.usage(log(spark, sf_dir))
+    items = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id"))
+    pinned = used.where("item_id % 11 = 3").select("item_id", F.col("launches").alias("pinned_at"))
+    hidden = items.where("item_id % 13 = 5")
+    return P.empty_query_sections(items, used, pinned, hidden, 40).select("item_id", "section")
+
+
+# --- catalog building --------------------------------------------------------------------------
+
+SOURCES = "CASE p_partkey % 4 WHEN 0 THEN 'start-menu' WHEN 1 THEN 'desktop' WHEN 2 THEN 'commands' ELSE 'uninstall' END"
+ROWS = f"SELECT p_partkey AS id, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' (x64)' ELSE '' END AS name, 'C:\\' || p_type || '\\' || (p_partkey % 97) || '.exe' AS target, CASE WHEN p_partkey % 2 = 0 THEN ' -v ' END AS args, {SOURCES} AS source FROM part"
+RANK = "CASE source WHEN 'start-menu' THEN 0 WHEN 'desktop' THEN 1 WHEN 'commands' THEN 5 WHEN 'uninstall' THEN 100 ELSE 8 END"
+
+
+def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    source = F.when(k % 4 == 0, "start-menu").when(k % 4 == 1, "desktop").when(k % 4 == 2, "commands").otherwise("uninstall")
+    return table(spark, sf_dir, "part").select(
+        k.alias("id"),
+        F.concat("p_name", F.when(k % 3 == 0, " (x64)").otherwise("")).alias("name"),
+        F.concat(F.lit("C:\\"), "p_type", F.lit("\\"), (k % 97).cast("string"), F.lit(".exe")).alias("target"),
+        F.when(k % 2 == 0, " -v ").alias("args"),
+        source.alias("source"),
+    )
+
+
+@query(f"""WITH r AS (SELECT *, lower(target) AS key, trim(coalesce(args, '')) AS ka FROM ({ROWS})), b AS (SELECT *, row_number() OVER (PARTITION BY key, ka ORDER BY {RANK}, id) AS k FROM r),
+n AS (SELECT key, ka, list_distinct(list(name)) AS names FROM r GROUP BY key, ka)
+SELECT id, name, target, source, array_to_string(list_sort(list_filter(names, lambda x: lower(x) <> lower(name))), '|') AS keywords FROM b JOIN n USING (key, ka) WHERE k = 1""")
+def dedupe_best_source(spark, sf_dir):
+    return C.dedupe(catalog_rows(spark, sf_dir)).select("id", "name", "target", "source", F.array_join("keywords", "|").alias("keywords"))
+
+
+@query(f"SELECT source, CASE source WHEN 'commands' THEN 'CommandAlias' WHEN 'uninstall' THEN 'Supplemental' ELSE 'Formal' END AS layer, count(*) AS n FROM ({ROWS}) GROUP BY ALL")
+def source_layers(spark, sf_dir):
+    return catalog_rows(spark, sf_dir).groupBy("source", C.layer(F.col("source")).alias("layer")).agg(F.count("*").alias("n"))
+
+
+GROUP_KEYS = f"SELECT id, unnest(['t:' || lower(target), 'f:' || lower(regexp_replace(target, '\\\\[^\\\\]*$', '')) || '|' || trim(regexp_replace(lower(name), '\\s*[(\\[][^)\\]]*[)\\]]\\s*$', ''))]) AS key FROM ({ROWS})"
+GROUPS = f"""WITH RECURSIVE k AS MATERIALIZED ({GROUP_KEYS}), h AS MATERIALIZED (SELECT k.id, m.head FROM k JOIN (SELECT key, min(id) AS head FROM k GROUP BY key) m USING (key) WHERE k.id <> m.head),
+e AS MATERIALIZED (SELECT id AS a, head AS b FROM h UNION SELECT head, id FROM h), g(id, root) AS (SELECT id, id FROM ({ROWS}) UNION SELECT e.a, g.root FROM g JOIN e ON e.b = g.id WHERE g.root < e.a)
+SELECT id, min(root) AS group_id FROM g GROUP BY id"""
+
+
+@query(GROUPS)
+def launch_groups(spark, sf_dir):
+    return C.launch_groups(catalog_rows(spark, sf_dir))
+
+
+@query(f"WITH g AS ({GROUPS}) SELECT group_id, id FROM (SELECT group_id, r.id, row_number() OVER (PARTITION BY group_id ORDER BY {RANK}, r.id) AS k FROM ({ROWS}) r JOIN g ON g.id = r.id) WHERE k = 1")
+def group_representatives(spark, sf_dir):
+    rows = catalog_rows(spark, sf_dir)
+    return C.representatives(rows, C.launch_groups(rows))
+
+
+@query(f"""WITH d AS (SELECT s_suppkey AS id, p_name AS name FROM supplier JOIN part ON p_partkey = s_suppkey * 3), m AS (SELECT d.id, (SELECT min(r.id) FROM ({ROWS}) r WHERE r.source IN ('start-menu', 'desktop') AND replace(lower(r.name), ' ', '') = replace(lower(d.name), ' ', '')) AS host_id FROM d)
+SELECT host_id, array_to_string(list_sort(list(id)), ',') AS absorbed FROM m WHERE host_id IS NOT NULL GROUP BY host_id""")
+def discovery_absorb(spark, sf_dir):
+    found = table(spark, sf_dir, "supplier").join(parts(spark, sf_dir).withColumnRenamed("id", "p"), F.expr("p = s_suppkey * 3")).select(F.col("s_suppkey").alias("id"), "name")
+    hosts, _ = C.absorb(found, catalog_rows(spark, sf_dir))
+    return hosts.where("absorbed is not null").select(F.col("id").alias("host_id"), F.array_join("absorbed", ",").alias("absorbed"))
+
+
+# --- paths and addresses -----------------------------------------------------------------------
+
+PATHS = "SELECT page_id AS frn, replace(regexp_replace(url, '^[a-z]+://', ''), '/', '\\') || CASE page_id % 5 WHEN 0 THEN '.png' WHEN 1 THEN '.PDF' WHEN 2 THEN '.mp3' WHEN 3 THEN '' ELSE '.zip' END AS path, page_id % 10 = 3 AS is_dir FROM pages"
+BASE = "regexp_extract(path, '[^\\\\]*$')"
+
+
+def path_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    end = F.when(k % 5 == 0, ".png").when(k % 5 == 1, ".PDF").when(k % 5 == 2, ".mp3").when(k % 5 == 3, "").otherwise(".zip")
+    path = F.translate(F.regexp_replace("url", "^[a-z]+://", ""), "/", "\\")
+    return table(spark, sf_dir, "pages").select(k.alias("frn"), F.concat(path, end).alias("path"), (k % 10 == 3).alias("is_dir"))
+
+
+@query(f"SELECT kind, frn FROM (SELECT frn, is_dir, CASE WHEN contains({BASE}, '.') THEN lower(string_split({BASE}, '.')[-1]) ELSE '' END AS x FROM ({PATHS})), (VALUES ('images', 'png'), ('documents', 'pdf'), ('audio', 'mp3'), ('archives', 'zip'), ('documents', 'html')) AS t(kind, e) WHERE x = e AND NOT is_dir UNION ALL SELECT 'folders', frn FROM ({PATHS}) WHERE is_dir")
+def file_types(spark, sf_dir):
+    rows = path_rows(spark, sf_dir)
+    kinds = ("images", "documents", "audio", "archives", "folders")
+    held = F.array_compact(F.array(*(F.when(files.of_type(F.col("path"), F.col("is_dir"), k), F.lit(k)) for k in kinds)))
+    return rows.select(F.explode(held).alias("kind"), "frn")
+
+
+@query(f"SELECT frn FROM ({PATHS}) WHERE contains(lower({BASE}), 'p') AND contains(lower({BASE}), '1')")
+def basename_terms(spark, sf_dir):
+    return path_rows(spark, sf_dir).where(files.name_has_all(F.col("path"), F.lit("P 1"))).select("frn")
+
+
+HOSTS = "SELECT DISTINCT string_split(path, '\\')[1] AS host FROM ({0})".format(PATHS)
+
+
+@query(f"SELECT p.frn FROM ({PATHS}) p WHERE NOT EXISTS (SELECT 1 FROM (SELECT host || '\\en' AS folder FROM ({HOSTS})) e WHERE lower(p.path) = lower(e.folder) OR starts_with(lower(p.path), lower(e.folder) || '\\'))")
+def excluded_folders(spark, sf_dir):
+    rows = path_rows(spark, sf_dir)
+    folders = rows.select(F.concat(F.element_at(F.split("path", r"\\"), 1), F.lit("\\en")).alias("folder")).distinct()
+    return files.outside(rows, folders).select("frn")
+
+
+@query(f"SELECT frn, CASE WHEN starts_with(path, string_split(path, '\\')[1] || '\\en\\') THEN 'moved\\english' || substr(path, length(string_split(path, '\\')[1]) + 4) ELSE 'moved' || substr(path, length(string_split(path, '\\')[1]) + 1) END AS current FROM ({PATHS})")
+def longest_ancestor_rename(spark, sf_dir):
+    rows = path_rows(spark, sf_dir)
+    host = F.element_at(F.split("path", r"\\"), 1)
+    moves = rows.select(host.alias("base"), F.lit("moved").alias("now")).unionByName(rows.select(F.concat(host, F.lit("\\en")).alias("base"), F.lit("moved\\english").alias("now"))).distinct()
+    return files.renamed(rows, moves).select("frn", "current")
+
+
+@query("WITH c AS (SELECT user_id AS frn, event_id AS seq, CASE WHEN event_type <> 'error' THEN event_type || value END AS path FROM events), l AS (SELECT frn, arg_max(coalesce(path, chr(0)), seq) AS path FROM c GROUP BY frn) SELECT c_custkey AS frn, c_name AS path FROM customer WHERE c_custkey NOT IN (SELECT frn FROM l) UNION ALL SELECT frn, event_type || CAST(user_id AS VARCHAR) FROM (SELECT l.frn, e.event_type, e.user_id FROM (SELECT user_id AS frn, max(event_id) AS seq FROM events GROUP BY user_id) l JOIN events e ON e.event_id = l.seq WHERE e.event_type <> 'error')")
+def base_overlay(spark, sf_dir):
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("frn"), F.col("c_name").alias("path"))
+    path = F.when(F.col("event_type") != "error", F.concat("event_type", F.col("user_id").cast("string")))
+    return files.overlaid(base, table(spark, sf_dir, "events").select(F.col("user_id").alias("frn"), F.col("event_id").alias("seq"), path.alias("path")))
+
+
+@query("WITH RECURSIVE n AS (SELECT c_custkey AS frn, CASE WHEN c_custkey >= 5 THEN c_custkey // 5 END AS parent, 'n' || c_custkey AS name FROM customer), t(frn, path) AS (SELECT frn, name FROM n WHERE parent IS NULL UNION ALL SELECT n.frn, t.path || '\\' || n.name FROM t JOIN n ON n.parent = t.frn) SELECT * FROM t")
+def tree_paths(spark, sf_dir):
+    k = F.col("c_custkey")
+    nodes = table(spark, sf_dir, "customer").select(k.alias("frn"), F.when(k >= 5, F.expr("c_custkey div 5")).alias("parent_frn"), F.concat(F.lit("n"), k.cast("string")).alias("name"))
+    return files.tree_paths(nodes)
+
+
+@query("SELECT page_id, 'https://find.example/?q=' || url_encode(left(url, 40)) || '&x=1' AS search FROM pages")
+def search_urls(spark, sf_dir):
+    template = F.lit("https://find.example/?q={searchTerms}&x=1")
+    return table(spark, sf_dir, "pages").select("page_id", T.search_url(template, F.left("url", F.lit(40))).alias("search"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'https://' || regexp_extract(url, '://([^/]*)', 1) END AS url FROM pages")
+def normalized_urls(spark, sf_dir):
+    shown = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.regexp_extract("url", "://([^/]*)", 1))
+    return table(spark, sf_dir, "pages").select("page_id", T.normalize_url(shown).alias("url"))
+
+
+@query("SELECT p_partkey AS query_id, CASE WHEN starts_with(p_name, 'red') THEN 'colours' ELSE 'bolts' END AS provider, trim(substr(p_name, CASE WHEN starts_with(p_name, 'red') THEN 4 ELSE 5 END)) AS rest FROM part WHERE starts_with(p_name, 'red') OR starts_with(p_name, 'blue ') OR p_name = 'blue'")
+def trigger_routes(spark, sf_dir):
+    triggers = spark.createDataFrame([("colours", "prefix", "red", 0), ("bolts", "keyword", "blue", 1)], "provider string, kind string, value string, place int")
+    return routing.route(parts(spark, sf_dir).select(F.col("id").alias("query_id"), F.col("name").alias("text")), triggers)
+
+
+@query("SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+# --- evaluation and streams --------------------------------------------------------------------
+
+
+@query(f"""WITH x AS (SELECT query_id, min(id) AS id FROM ({SCORED}) GROUP BY query_id), p AS (SELECT x.query_id, min(r.rank) AS r FROM x LEFT JOIN (SELECT * FROM ({RANKED}) WHERE rank <= 10) r USING (query_id, id) GROUP BY x.query_id)
+SELECT count(*) AS cases, avg(coalesce(r = 1, false)::INTEGER) AS top1, avg(coalesce(r <= 5, false)::INTEGER) AS recall_at_5, avg(coalesce(1.0 / r, 0)) AS mrr FROM p""")
+def eval_metrics(spark, sf_dir):
+    docs, parsed = S.enrich(parts(spark, sf_dir)), S.parse(batch(spark))
+    expected = S.verify(docs.join(F.broadcast(parsed)), fuzzy=False).groupBy("query_id").agg(F.min("id").alias("id"))
+    return evaluate.metrics(S.search(parts(spark, sf_dir), batch(spark), fuzzy=False), expected)
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def stream_latest_state(spark, sf_dir):
+    """The events table read as a stream of files, kept as each user's last event."""
+    source = new_folder(spark, "events")
+    table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value").write.parquet(source)
+    return changes.latest_state(spark, source, "user_id bigint, event_id bigint, event_type string, value double", "user_id", ["event_id"])
