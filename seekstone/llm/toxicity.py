@@ -14,6 +14,7 @@ machine learns to tell the words that come in toxic texts alone from the words o
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -118,13 +119,13 @@ def _paired(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float = DEC
     return (decay * decay * match * prior[:, :p, :q]).sum(axis=(1, 2))
 
 
-def by_length(units: list[bytes], step: int = 3) -> Iterator[np.ndarray]:
+def by_length(units: list[bytes], block: int, step: int = 3) -> Iterator[np.ndarray]:
     """Indices of units of about the same length, in blocks."""
     sizes = np.asarray([len(u) for u in units])
     for size in range(0, LONGEST + 1, step):
         rows = np.flatnonzero((sizes >= size) & (sizes < size + step))
-        for at in range(0, len(rows), 2048):
-            yield rows[at : at + 2048]
+        for at in range(0, len(rows), block):
+            yield rows[at : at + block]
 
 
 def normalized(units: list[bytes], others: list[bytes]) -> np.ndarray:
@@ -135,7 +136,8 @@ def normalized(units: list[bytes], others: list[bytes]) -> np.ndarray:
     groups = {}
     for k, o in enumerate(others):
         groups.setdefault((len(o) + 2) // 3, []).append(k)
-    for rows in by_length(units):
+    # blocks so small that the tables of all pairs stay in the cache
+    for rows in by_length(units, max(64, 24_000 // max(1, *map(len, groups.values())))):
         mine, _ = encode([units[r] for r in rows])
         self_mine = self_kernel(mine)
         for columns in groups.values():
@@ -152,11 +154,11 @@ MASKS = 1 << 16
 
 def triple_codes(rows: np.ndarray) -> Iterator[np.ndarray]:
     """Codes of all close triples of encoded units, place by place; -1 where one has ended."""
-    wide = np.pad(rows, ((0, 0), (0, 4))).astype(np.int64)
+    wide = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, 4))).astype(np.int32).T)
     for at in range(rows.shape[1]):
         for x, y, z in CLOSE:
-            a, b, c = wide[:, at + x], wide[:, at + y], wide[:, at + z]
-            code = (a * 0x9E3B + b * 0x85EB + c * 0xC2B3 + (a * b) * 31 + (b * c) * 17) % MASKS
+            a, b, c = wide[at + x], wide[at + y], wide[at + z]
+            code = (a * 0x9E3B + b * 0x85EB + c * 0xC2B3 + (a * b) * 31 + (b * c) * 17) & (MASKS - 1)
             yield np.where(c > 0, code, -1)
 
 
@@ -172,17 +174,19 @@ def close_triples(landmarks: list[bytes]) -> np.ndarray:
 
 
 def resembling(rows: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """Which encoded units share two close triples or more with one toxic landmark.
+    """Which encoded units share three close triples or more with one toxic landmark.
 
     Any other shares with it but subsequences with wide gaps, whose kernel value is next to nothing:
     it is not judged.
     """
-    once, twice = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)
+    once, twice, thrice = (np.zeros(len(rows), np.uint64) for _ in range(3))
+    masks = np.append(masks, np.uint64(0))  # where a code is -1
     for code in triple_codes(rows):
-        held = np.where(code >= 0, masks[code], np.uint64(0))
+        held = masks[code]
+        thrice |= twice & held
         twice |= once & held
         once |= held
-    return twice > 0
+    return thrice > 0
 
 
 @dataclass
@@ -196,6 +200,7 @@ class Machine:
     slope: float = 1.0
     shift: float = 0.0
     lowest: float = -3.0
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def values(self, units: list[bytes]) -> np.ndarray:
         out = np.full(len(units), self.lowest)
@@ -257,6 +262,17 @@ class WordValues:
         return out
 
 
+_KNOWN: dict[str, WordValues] = {}
+
+
+def word_values(machine: Machine) -> WordValues:
+    """A Python worker's values of words, kept from task to task for one machine."""
+    if machine.name not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[machine.name] = WordValues(machine)
+    return _KNOWN[machine.name]
+
+
 def judge(machine: Machine, words: list[bytes]) -> np.ndarray:
     """The highest value of each word's stretches."""
     units, first = [], []
@@ -451,7 +467,7 @@ def score_texts(documents: DataFrame, machine: Machine, key: str, kind: str = "b
     """``(key, value, score)`` of every row of ``documents(key, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordValues(machine)
+        known = word_values(machine)
         for batch in batches:
             parts = [text_values(machine, known, raw, offsets) for _, _, raw, offsets in chunks(batch.column(1))]
             value = np.concatenate(parts) if parts else np.zeros(0)
@@ -493,7 +509,7 @@ def reject_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.7
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordValues(machine)
+        known = word_values(machine)
         for batch in batches:
             parts = [text_values(machine, known, raw, offsets) for _, _, raw, offsets in chunks(batch.column(at))]
             yield batch.filter(pa.array(machine.score(np.concatenate(parts)) < threshold)) if parts else batch
