@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from seekstone.llm.textvec import bound_batches
 from seekstone.shared import stage
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"'<]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)>|<[!?][^>]*(?:>|\Z)""", re.S)
@@ -282,6 +283,7 @@ def extract_pages(pages: DataFrame, rule: Recurrence = Recurrence()) -> DataFram
     roles count there; rows are returned as often as they come, null ids too. Other columns are
     ignored, and an empty table gives no rows.
     """
+    bound_batches(pages.sparkSession)
     pages = with_host(pages)
     known = templates(pages, rule)
     n = known.agg(F.coalesce(F.sum(F.size("digests")), F.lit(0))).first()[0]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from seekstone.graph import connected_components
-from seekstone.llm.textvec import SHINGLE_WORDS, Words, chunks, mix, shingle_sets
+from seekstone.llm.textvec import SHINGLE_WORDS, Words, bound_batches, chunks, mix, shingle_sets
 from seekstone.shared import stage
 
 #: Counters of the shingle counts that order the sets. Their number is fixed, whatever the input's
@@ -254,6 +254,7 @@ def jaccard_components(documents: DataFrame, percent: int = 75, size: int = SHIN
     ignored, and an empty table gives no rows.
     """
     spark = documents.sparkSession
+    bound_batches(spark)
     documents = documents.select("doc_id", "text")
     counts = spark.sparkContext.broadcast(shingle_counts(documents, size))
     table = stage(prefixes(documents, percent, size, counts), "prefixes")

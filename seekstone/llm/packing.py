@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from seekstone.llm.textvec import bound_batches
 from seekstone.shared import stage
 
 END_ID = 1
@@ -285,4 +286,5 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, caps: Capacities =
 
     An empty document is one piece holding END_ID. Other columns are ignored.
     """
+    bound_batches(documents.sparkSession)
     return pack(ids_digest(tokenize_pieces(documents, tokenizer_path, caps.tokens, id_column)), caps, id_column)

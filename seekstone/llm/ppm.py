@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seekstone.llm.textvec import Words, chunks
+from seekstone.llm.textvec import Words, bound_batches, chunks
 from seekstone.shared import stage
 
 #: Bytes of context. A gram of ORDER + 1 bytes fits 64 bits.
@@ -256,6 +256,7 @@ def score(documents: DataFrame, folds: int = 10, held_fold: int = 0, block_bytes
     empty table gives no rows.
     """
     spark = documents.sparkSession
+    bound_batches(spark)
     rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     rows = rows.select("doc_id", "text", (~held).alias("train"))

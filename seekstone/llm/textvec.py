@@ -10,9 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of text that are handled at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows that go to a Python worker at once: whole texts, of which a worker holds several copies.
+ROWS_AT_ONCE = 1000
 SHINGLE_WORDS = 5
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -27,6 +30,11 @@ _SHINGLE_FACTORS = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uin
 _powers = {_BASE: np.ones(1, np.uint64), _BASE_INVERSE: np.ones(1, np.uint64)}
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Python workers get few texts at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     h = h.astype(np.uint64, copy=True)

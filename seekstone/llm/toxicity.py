@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seekstone.llm.textvec import Words, chunks, mix
+from seekstone.llm.textvec import Words, bound_batches, chunks, mix
 from seekstone.shared import stage
 
 ORDER = 4
@@ -482,6 +482,7 @@ def train(documents: DataFrame, labels: DataFrame, fold: Column, training: Train
     Rows whose label is null or neither 0 nor 1 are left out. Without rows of both labels all texts
     get the share of label 1 as their score.
     """
+    bound_batches(documents.sparkSession)
     sample = labelled_sample(documents, labels, fold, training)
     machine = learn(count_words(sample, training), training)
     rows = score_texts(sample.select(F.col("toxic").cast("long").alias("toxic"), "text"), machine, "toxic").select("toxic", "value").toArrow()
