@@ -29,7 +29,7 @@ ORDER = 4
 DECAY = 0.6
 #: A unit of more bytes is judged in overlapping stretches of so many.
 LONGEST = 24
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 400_000
 
 KEEP = np.zeros(256, dtype=bool)
 KEEP[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1), *range(128, 256)]] = True
