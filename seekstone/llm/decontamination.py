@@ -76,7 +76,7 @@ def small(df: DataFrame, rows: int, most: int) -> DataFrame:
 def seeds(documents: DataFrame, items: DataFrame, limits: Limits) -> DataFrame:
     """``(doc_id, row, start, n_words)``: distinct windows that a shared shingle aligns with an item."""
     entries = stage(items.select("n_words", "size", F.posexplode("grams").alias("at", "gram")).distinct(), "item-shingles")
-    sizes = [r["size"] for r in entries.select("size").distinct().collect()]  # five at most
+    sizes = [r["size"] for r in entries.select("size").distinct().collect()] or [SHINGLE_WORDS]  # five at most
     keys = entries.select("gram").distinct()
     n_keys, n_entries = keys.count(), entries.count()
     words = documents.select("doc_id", "row", words_of(F.col("text")).alias("w"))

@@ -2,8 +2,8 @@
 
 A page becomes a tree of elements. Every container outside the prose gets a hash of its subtree;
 Spark counts, for each host, on how many different pages a subtree stands, and those that recur on
-many pages are the site's template and are deleted. Pages count as different when their largest
-text differs, so that copies of one article never make its text a template. What no count can know,
+many pages are the site's template and are deleted. Pages count as different when their article's
+largest block differs, so that copies of one article never make its text a template. What no count can know,
 because it differs from page to page, goes by its element or its stated role: scripts, forms, menus,
 sidebars, notices, adverts, reader comments.
 """
@@ -232,10 +232,14 @@ def digest_tree(tree: Node) -> dict[int, int]:
     return found
 
 
-def largest_text(tree: Node) -> int:
-    """A digest of the page's largest block of text, which tells pages apart."""
-    blocks = main_blocks(tree, frozenset())
-    return xxhash.xxh3_64_intdigest(max(blocks, key=len)) - (1 << 63) if blocks else 0
+def page_mark(tree: Node) -> int:
+    """A digest that tells pages apart: of an article's largest block, which near copies mostly share,
+    or, where no article or main element is named, of the whole text."""
+    for tag in ("article", "main"):
+        blocks = [b for n in roots(tree, tag) for b in blocks_of(n, frozenset())]
+        if blocks:
+            return xxhash.xxh3_64_intdigest(max(blocks, key=len)) - (1 << 63)
+    return xxhash.xxh3_64_intdigest("\n".join(blocks_of(tree, frozenset()))) - (1 << 63)
 
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -255,7 +259,7 @@ def subtrees(pages: DataFrame) -> DataFrame:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tree = parse(html)
                 found = digest_tree(tree)
-                mark = largest_text(tree)
+                mark = page_mark(tree)
                 hosts += [host] * len(found)
                 digests += found
                 marks += [mark] * len(found)
