@@ -6,6 +6,7 @@ come from array operations on its bytes. Texts are cut into chunks by size, neve
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +66,14 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, idle ones too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, end text, bytes, offsets) of stretches of about ``most`` bytes."""
     raw, at = texts(column)
@@ -74,6 +83,7 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         end = min(end, n)
         yield first, end, raw[at[first] : at[end]], at[first : end + 1] - at[first]
         first = end
+    give_back()
 
 
 class Words:
