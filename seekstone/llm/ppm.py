@@ -113,9 +113,9 @@ def contents(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
         at += len(column)
 
 
-def holdings(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Distinct grams and words of a block with their counts in training texts."""
-    trained = table.column("train").to_numpy().astype(bool)
+def holdings(table: pa.Table, count_all: bool = False) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Distinct grams and words of a block with their counts in training texts, or in all."""
+    trained = table.column("train").to_numpy().astype(bool) | count_all
     parts: dict[int, tuple[list, list]] = {GRAM: ([], []), WORD: ([], [])}
     for first, grams, begin, hashes, words in contents(table):
         of = trained[first : first + len(begin) - 1]
@@ -310,7 +310,7 @@ def score(documents: DataFrame, folds: int = 10, held_fold: int = 0, block_bytes
             return rows_out([], out_arrow)
         given: dict[tuple, bytes] = {(k, b): x for k, b, x in zip(*(answered[c].to_pylist() for c in ("kind", "bucket", "values")))}
         known = {}
-        for kind, (keys, _) in holdings(table).items():
+        for kind, (keys, _) in holdings(table, True).items():
             values = np.zeros(len(keys), np.float64 if kind == GRAM else np.int64)
             for bucket, r in in_buckets(kind, keys, blocks):
                 values[r] = unpack(given[kind, bucket], values.dtype.type)
