@@ -17,6 +17,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -95,8 +96,9 @@ def kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float = DECA
     return total
 
 
-def self_kernel(a: np.ndarray, block: int = 4096) -> np.ndarray:
+def self_kernel(a: np.ndarray) -> np.ndarray:
     out = np.zeros(len(a), np.float32)
+    block = max(64, 200_000 // a.shape[1] ** 2)  # so small that the tables stay in the cache
     for at in range(0, len(a), block):
         out[at : at + block] = _paired(a[at : at + block], a[at : at + block])
     return out
@@ -104,19 +106,18 @@ def self_kernel(a: np.ndarray, block: int = 4096) -> np.ndarray:
 
 def _paired(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """Kernel of row k of ``a`` with row k of ``b``."""
-    p, q = a.shape[1], b.shape[1]
-    at = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] != 0)
-    match = at.astype(np.float32)
-    prior = np.ones((len(a), p + 1, q + 1), np.float32)
+    x, y, d = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), np.float32(decay)
+    match = ((x[:, None] == y[None]) & (x[:, None] != 0)).astype(np.float32) * (d * d)
+    prior = np.ones_like(match)
     for _ in range(1, order):
-        now = np.zeros_like(prior)
-        for i in range(1, p + 1):
-            along = np.zeros(len(a), np.float32)
-            for j in range(1, q + 1):
-                along = decay * along + decay * decay * match[:, i - 1, j - 1] * prior[:, i - 1, j - 1]
-                now[:, i, j] = decay * now[:, i - 1, j] + along
-        prior = now
-    return (decay * decay * match * prior[:, :p, :q]).sum(axis=(1, 2))
+        now = match * prior
+        for j in range(1, now.shape[1]):
+            now[:, j] += d * now[:, j - 1]
+        for i in range(1, now.shape[0]):
+            now[i] += d * now[i - 1]
+        prior = np.zeros_like(match)
+        prior[1:, 1:] = now[:-1, :-1]
+    return (match * prior).sum(axis=(0, 1))
 
 
 def by_length(units: list[bytes], block: int, step: int = 3) -> Iterator[np.ndarray]:
@@ -147,46 +148,60 @@ def normalized(units: list[bytes], others: list[bytes]) -> np.ndarray:
     return out
 
 
-#: Places of three characters of a unit that stand close together.
-CLOSE = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4))
-MASKS = 1 << 16
+class Trie:
+    """The subsequences of all landmarks with the sum of what each adds to a unit's value.
 
-
-def triple_codes(rows: np.ndarray) -> Iterator[np.ndarray]:
-    """Codes of all close triples of encoded units, place by place; -1 where one has ended."""
-    wide = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, 4))).astype(np.int32).T)
-    for at in range(rows.shape[1]):
-        for x, y, z in CLOSE:
-            a, b, c = wide[at + x], wide[at + y], wide[at + z]
-            code = (a * 0x9E3B + b * 0x85EB + c * 0xC2B3 + (a * b) * 31 + (b * c) * 17) & (MASKS - 1)
-            yield np.where(c > 0, code, -1)
-
-
-def close_triples(landmarks: list[bytes]) -> np.ndarray:
-    """For each code of a close triple, the set of landmarks (64 at most) that hold it, as bits."""
-    masks = np.zeros(MASKS, np.uint64)
-    for k, mark in enumerate(landmarks[:64]):
-        rows, _ = encode([mark])
-        for code in triple_codes(rows):
-            if code[0] >= 0:
-                masks[code[0]] |= np.uint64(1 << k)
-    return masks
-
-
-def resembling(rows: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """Which encoded units share three close triples or more with one toxic landmark.
-
-    Any other shares with it but subsequences with wide gaps, whose kernel value is next to nothing:
-    it is not judged.
+    A unit's value is linear in its own subsequences, so one walk over them replaces a kernel table
+    for each landmark, and a walk ends where no landmark goes on.
     """
-    once, twice, thrice = (np.zeros(len(rows), np.uint64) for _ in range(3))
-    masks = np.append(masks, np.uint64(0))  # where a code is -1
-    for code in triple_codes(rows):
-        held = masks[code]
-        thrice |= twice & held
-        twice |= once & held
-        once |= held
-    return thrice > 0
+
+    def __init__(self, landmarks: list[bytes], weights: np.ndarray):
+        sums: dict[bytes, float] = {}
+        for mark, scale in zip(landmarks, weights / np.sqrt(np.maximum(self_kernel(encode(landmarks)[0]), 1e-12))):
+            mark = b"^" + mark
+            for at in combinations(range(len(mark)), ORDER):
+                held = bytes(mark[i] for i in at)
+                sums[held] = sums.get(held, 0.0) + scale * DECAY ** (at[-1] - at[0] + 1)
+        letters = sorted(set(b"".join(sums)))
+        self.letter = np.zeros(256, np.int32)
+        self.letter[letters] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        #: By length, the number of a prefix that goes on by a letter; 0 where no landmark has it.
+        self.steps: list[np.ndarray] = []
+        known = {b"": 0}
+        for length in range(1, ORDER):
+            longer = {held: k + 1 for k, held in enumerate(sorted({held[:length] for held in sums}))}
+            step = np.zeros((len(known) + 1) * self.width, np.int32)
+            for held, k in longer.items():
+                step[known[held[:-1]] * self.width + self.letter[held[-1]]] = k
+            self.steps.append(step)
+            known = longer
+        self.last = np.zeros((len(known) + 1) * self.width, np.float32)
+        for held, value in sums.items():
+            self.last[known[held[:-1]] * self.width + self.letter[held[-1]]] = value
+
+    def sums(self, rows: np.ndarray) -> np.ndarray:
+        """For each encoded unit the weighted sum of its kernel values with all landmarks, still to be
+        divided by the root of its self kernel."""
+        total = np.zeros(len(rows), np.float64)
+        at = np.ascontiguousarray(self.letter[rows].T)
+        decay = (DECAY ** np.arange(len(at) + 1)).astype(np.float32)
+
+        def walk(depth: int, first: int, last: int, number: np.ndarray, live: np.ndarray) -> None:
+            for place in range(last + 1, len(at) - (ORDER - 1 - depth)):
+                now = self.steps[depth][number * self.width + at[place, live]]
+                on = np.flatnonzero(now)
+                if not len(on):
+                    continue
+                start, here, those = (first if depth else place), now[on], live[on]
+                if depth < ORDER - 2:
+                    walk(depth + 1, start, place, here, those)
+                else:
+                    ends = self.last[here * self.width + at[place + 1 :, those]]
+                    total[those] += decay[place + 2 - start : len(at) + 1 - start] @ ends
+
+        walk(0, 0, -1, np.zeros(len(rows), np.int32), np.arange(len(rows)))
+        return total
 
 
 @dataclass
@@ -196,21 +211,25 @@ class Machine:
     landmarks: list[bytes] = field(default_factory=list)
     weights: np.ndarray | None = None
     bias: float = -1.0
-    triples: np.ndarray | None = None
     slope: float = 1.0
     shift: float = 0.0
     lowest: float = -3.0
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
+    trie: Trie | None = None  # made where the machine is first used
 
     def values(self, units: list[bytes]) -> np.ndarray:
+        """The machine's value of every unit."""
         out = np.full(len(units), self.lowest)
         if not self.landmarks or not units:
             return out
-        for at in range(0, len(units), 65536):
-            part = units[at : at + 65536]
-            near = np.flatnonzero(resembling(encode(part)[0], self.triples))
-            if len(near):
-                out[at + near] = np.maximum(normalized([part[r] for r in near], self.landmarks) @ self.weights + self.bias, self.lowest)
+        if self.trie is None:
+            self.trie = Trie(self.landmarks, self.weights)
+        for at in by_length(units, 4096):
+            rows, _ = encode([units[r] for r in at])
+            sums = self.trie.sums(rows)
+            like = np.flatnonzero(sums)
+            sums[like] /= np.sqrt(np.maximum(self_kernel(rows[like]), 1e-12))
+            out[at] = np.maximum(sums + self.bias, self.lowest)
         return out
 
     def score(self, value: np.ndarray) -> np.ndarray:
@@ -300,7 +319,7 @@ def text_values(machine: Machine, known: WordValues, raw: np.ndarray, offsets: n
         for text in near:
             found = spelled_out(whole[offsets[text] : offsets[text + 1]].translate(bytes.maketrans(b"\t\n\v\f\r", b"     ")))
             if found:
-                out[text] = max(out[text], judge(machine, found).max())
+                out[text] = max(out[text], judge(known.machine, found).max())
     return out
 
 
@@ -429,7 +448,6 @@ def learn(counts: WordCounts, training: Training) -> Machine:
     positive, among = [positive[i] for i in keep], among[np.ix_(keep, keep)]
     near = against[keep].max(axis=0)
     marks = [positive[i] for i in pick_landmarks(positive, among, training.landmarks * 3 // 4)]
-    insults = len(marks)
     marks += [negative[i] for i in np.argsort(-near, kind="stable")[: training.landmarks - len(marks)]]
     values, vectors = np.linalg.eigh(normalized(marks, marks).astype(float))
     white = vectors / np.sqrt(np.maximum(values, 1e-3))
@@ -438,7 +456,7 @@ def learn(counts: WordCounts, training: Training) -> Machine:
     weight = np.clip(tox[keep] / tox[keep].mean(), 0.3, 6)
     cost = np.r_[weight * len(negative) / weight.sum(), np.ones(len(negative))]
     w = svm(x, y, cost)
-    return Machine(marks, white @ w[:-1], float(w[-1]), close_triples(marks[:insults]))
+    return Machine(marks, white @ w[:-1], float(w[-1]))
 
 
 def calibrate(machine: Machine, value: np.ndarray, label: np.ndarray) -> Machine:

@@ -291,6 +291,19 @@ def test_string_kernel_equals_its_definition():
             assert got[i, j] == pytest.approx(brute(b"^" + a, b"^" + b), rel=1e-4, abs=1e-7)
 
 
+def test_toxicity_judges_every_unit():
+    rng = random.Random(2)
+    marks = [b"fuck", b"scum", b"grubflix", b"dromzak", b"\xc3\xa9tron", b"harmless"]
+    weights = np.asarray([3.0, 2.5, 4.0, 1.5, 2.0, -3.0])
+    machine = toxicity.Machine(marks, weights, -1.0)
+    units = [b"", b"a", b"fck", b"scm", b"fk", b"fuuuuck", b"f1u2c3k", b"gxrxuxbxfxlxixx", b"gubfix", b"drmzk", b"\xc3\xa9tr0n", b"pilfwot", b"zzzz"]
+    units += [bytes(rng.choices(b"fuckscmgrblixdozahe1\xc3\xa9", k=rng.randint(1, toxicity.LONGEST))) for _ in range(300)]
+    whole = np.maximum(toxicity.normalized(units, marks) @ weights + machine.bias, machine.lowest)
+    assert machine.values(units) == pytest.approx(whole, rel=1e-4, abs=1e-4)
+    assert toxicity.normalized([b"fck"], [b"fuck"])[0, 0] == pytest.approx(toxicity.normalized([b"scm"], [b"scum"])[0, 0])
+    assert machine.values([b"fck"])[0] > machine.bias
+
+
 def test_packing(spark):
     texts = ["Hello, world! It's", "", None, "naïve ΣΑΣ <|endoftext|> 東京 test", LONG, *[" ".join(["word"] * n) for n in range(1, 200)], "hello", "hello"]
     got = packing.pack_documents(documents(spark, texts), queries.TOKENIZER).collect()
