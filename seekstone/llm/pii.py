@@ -71,9 +71,10 @@ FEATURES = {
 
 @dataclass(frozen=True)
 class Fitting:
-    """Bounds of the sample of texts and of the boosting; precision that thresholds must reach."""
+    """Bounds of the sample of spans (of each kind and label) and of the boosting; precision that
+    thresholds must reach."""
 
-    texts: int = 3000
+    spans: int = 1000
     trees: int = 12
     depth: int = 3
     precision: float = 0.98
@@ -167,20 +168,31 @@ def node_sql(node, names: list[str]) -> str:
     return f"CASE WHEN f.{names[split.featureIndex()]} <= {float(split.threshold())!r}D THEN {left} ELSE {right} END"
 
 
-def training_rows(documents: DataFrame, fitting: Fitting) -> DataFrame:
-    """Weakly labelled spans with features of a bounded sample of texts that hold any number or sign.
-
-    Rewritten copies: a phone without its plus or its brackets, an address with "@" and "." spelled
-    out, a card with other separators, an IP address with spaces; each keeps its original's label.
-    """
-    sample = documents.select("doc_id", "text").where("rlike(text, '[0-9@]')").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fitting.texts)
-    found = base_spans(sample)
+def labelled_spans(documents: DataFrame) -> DataFrame:
+    """``(h, span)`` of all base matches with their weak labels; ``h`` is a hash of the text's id."""
+    found = base_spans(documents.select("doc_id", "text").where("rlike(text, '[0-9@]')"))
     sets = []
     for k in KINDS:
         positive = with_kind(f"base_{k}", k, "text", "true")
         negative = with_kind(f"filter(raw_{k}, x -> NOT ({CHECKS[k]}))", k, "text")
         sets += [positive, negative]
-    found = found.select("doc_id", F.expr(f"concat({', '.join(sets)})").alias("spans"))
+    return found.select(F.xxhash64("doc_id").alias("h"), F.explode(F.expr(f"concat({', '.join(sets)})")).alias("span"))
+
+
+def quotas(spans: DataFrame, most: int) -> DataFrame:
+    """Of each kind and label about ``most`` of its spans, chosen by a hash; all where there are fewer."""
+    place = "pmod(xxhash64(h, span.start, span.text, span.before), 1000000)"
+    sizes = spans.groupBy("span.kind", "span.weak").count().collect()  # two rows a kind at most
+    share = " ".join(f"WHEN span.kind = '{r['kind']}' AND span.weak = {str(r['weak']).lower()} THEN {most / r['count'] * 1e6!r}D" for r in sizes)
+    return spans.where(f"{place} < CASE {share} END") if sizes else spans
+
+
+def with_copies(spans: DataFrame) -> DataFrame:
+    """Features and label of ``(h, span)`` and of its rewritten copies.
+
+    Rewritten copies: a phone without its plus or its brackets, an address with "@" and "." spelled
+    out, a card with other separators, an IP address with spaces; each keeps its original's label.
+    """
     rewritten = """concat(spans,
       transform(filter(spans, x -> x.kind = 'phone'), x -> struct(x.kind AS kind, x.start AS start, x.end AS end, regexp_replace(x.text, '^[+][0-9]+ ?', '') AS text, x.before AS before, x.after AS after, 0 AS luhn, x.weak AS weak)),
       transform(filter(spans, x -> x.kind = 'phone'), x -> struct(x.kind AS kind, x.start AS start, x.end AS end, regexp_replace(x.text, '[+()]', '') AS text, x.before AS before, x.after AS after, 0 AS luhn, x.weak AS weak)),
@@ -189,8 +201,8 @@ def training_rows(documents: DataFrame, fitting: Fitting) -> DataFrame:
       transform(filter(spans, x -> x.kind = 'card'), x -> struct(x.kind AS kind, x.start AS start, x.end AS end, rtrim('.', regexp_replace(x.text, '([0-9]{4})', '$1.')) AS text, x.before AS before, x.after AS after, x.luhn AS luhn, x.weak AS weak)),
       transform(filter(spans, x -> x.kind = 'ip'), x -> struct(x.kind AS kind, x.start AS start, x.end AS end, replace(x.text, '.', ' . ') AS text, x.before AS before, x.after AS after, x.luhn AS luhn, x.weak AS weak)),
       transform(filter(spans, x -> x.kind = 'card' AND NOT x.weak), x -> struct('phone' AS kind, x.start AS start, x.end AS end, x.text AS text, x.before AS before, x.after AS after, x.luhn AS luhn, false AS weak)))"""
-    spans = found.select("doc_id", F.explode(F.expr(features_sql(rewritten))).alias("f"))
-    return spans.select(F.xxhash64("doc_id").alias("h"), "f.*").withColumn("label", F.col("weak").cast("double"))
+    copies = spans.select("h", F.array("span").alias("spans")).select("h", F.explode(F.expr(features_sql(rewritten))).alias("f"))
+    return copies.select("h", "f.*").withColumn("label", F.col("weak").cast("double"))
 
 
 def probability(model: Model) -> str:
@@ -198,21 +210,23 @@ def probability(model: Model) -> str:
 
 
 def fit(documents: DataFrame, fitting: Fitting = Fitting()) -> Model:
-    """Boosted trees and calibrated thresholds; without enough spans of both labels nothing is added."""
+    """Boosted trees from a quota of spans of each kind and label over the whole table, and thresholds
+    calibrated on all held-out spans; where the table lacks spans of a label nothing is added."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = stage(training_rows(documents, fitting), "pii-training")
+    spans = stage(labelled_spans(documents), "pii-spans")
+    rows = stage(with_copies(quotas(spans.where("pmod(h, 4) <> 0"), fitting.spans)), "pii-training")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if min(sizes.get(0.0, 0), sizes.get(1.0, 0)) < fitting.least_rows:
         return Model()
     names = list(FEATURES)
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
-    boosted = GBTClassifier(labelCol="label", maxIter=fitting.trees, maxDepth=fitting.depth, stepSize=0.3, seed=3).fit(vectors.where("pmod(h, 4) <> 0").select("features", "label"))
+    boosted = GBTClassifier(labelCol="label", maxIter=fitting.trees, maxDepth=fitting.depth, stepSize=0.3, seed=3).fit(vectors.select("features", "label"))
     trees = [f"{w!r}D * ({node_sql(t._java_obj.rootNode(), names)})" for w, t in zip(boosted.treeWeights, boosted.trees)]
     model = Model(" + ".join(trees))
     struct = ", ".join(names)
-    held = rows.where("pmod(h, 4) = 0").select("kind_name", "label", F.expr(f"transform(array(struct({struct})), f -> {probability(model)})[0]").alias("p"))
+    held = with_copies(spans.where("pmod(h, 4) = 0")).select("kind_name", "label", F.expr(f"transform(array(struct({struct})), f -> {probability(model)})[0]").alias("p"))
     bins = held.groupBy("kind_name", F.floor(F.col("p") * 100).alias("bin")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()  # 101 rows a kind at most
     for kind in KINDS:
         good = n = 0.0
@@ -271,7 +285,7 @@ def redact(found: DataFrame, text: str = "text") -> DataFrame:
 
 
 def find_in_documents(documents: DataFrame, fitting: Fitting = Fitting()) -> DataFrame:
-    """Fit on a bounded sample of ``documents(doc_id, text)`` and find spans in all of them."""
+    """Fit on a bounded sample of the spans of ``documents(doc_id, text)`` and find spans in all of them."""
     return find(documents.select("doc_id", "text"), fit(documents, fitting))
 
 

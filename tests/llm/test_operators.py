@@ -251,6 +251,16 @@ def test_pii_adds_spans_and_redacts(spark):
     assert "[EMAIL]" in done[0] and "@" not in done[0] and done[402] == extra[2]
 
 
+def test_pii_learns_from_rare_spans(spark):
+    texts = [f"item {i} costs {i % 90} today" for i in range(12_000)]
+    for i in range(60):
+        texts[200 * i] = f"write to u{i}@mail{i % 9}.example.com"
+        texts[200 * i + 1] = f"server at 10.{i}.7.{3 * i}"
+        texts[200 * i + 2] = f"order 12345678901{i % 90 + 10} was sent"
+    model = pii.fit(documents(spark, texts))
+    assert model.sql is not None and {"email", "ip"} <= set(model.thresholds)
+
+
 def test_toxicity_on_held_out_documents(spark):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choices(["ra", "to", "mi", "len", "sa", "ku", "ve"], k=rng.randint(1, 3))) for _ in range(300)]
