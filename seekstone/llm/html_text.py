@@ -192,7 +192,7 @@ def roots(node: Node, tag: str) -> list[Node]:
 def main_blocks(tree: Node, template: frozenset) -> list[str]:
     """Blocks of the article if the page names one, else of its main element, else of what is left."""
     for tag in ("article", "main"):
-        found = [b for n in roots(tree, tag) for b in blocks_of(n, template)]
+        found = [b for n in roots(tree, tag) for b in blocks_of(n, frozenset())]  # no count deletes prose here
         if found:
             return found
     return blocks_of(tree, template)
@@ -207,13 +207,17 @@ def extract(html: str, template: frozenset = frozenset()) -> str:
 
 
 def digest_tree(tree: Node) -> dict[int, int]:
-    """Digests of all nodes, without deep recursion; returns those of containers that may be template."""
+    """Digests of all nodes, without deep recursion; returns those of containers that may be template:
+    none within an article or main element."""
     found: dict[int, int] = {}
-    order, todo = [], [tree]
+    order, todo, prose = [], [(tree, False)], set()
     while todo:
-        n = todo.pop()
+        n, within = todo.pop()
         order.append(n)
-        todo += [c for c in n.children if not isinstance(c, str)]
+        within = within or n.tag in ("article", "main")
+        if within:
+            prose.add(id(n))
+        todo += [(c, within) for c in n.children if not isinstance(c, str)]
     sizes: dict[int, int] = {}
     for n in reversed(order):
         parts, size = [n.tag, n.attributes], 0
@@ -227,7 +231,7 @@ def digest_tree(tree: Node) -> dict[int, int]:
                 parts.append(f"\x00{child.digest}")
         sizes[id(n)] = size
         n.digest = xxhash.xxh3_64_intdigest("\x01".join(parts)) - (1 << 63)
-        if n.tag in CONTAINERS and size:
+        if n.tag in CONTAINERS and size and id(n) not in prose:
             found[n.digest] = size  # paragraphs are no containers: what articles share stays
     return found
 

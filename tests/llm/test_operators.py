@@ -146,6 +146,15 @@ def test_html_text(spark):
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_html_text_keeps_what_articles_share(spark, tag):
+    shared = "<ul><li>one<li>two</ul><table><tr><td>cell</table><div>passage</div><section><p>more</section>"
+    rows = [(i, f"http://a.example/{i}", f"<body><div>Same box</div><{tag}><p>The longest paragraph, edited in copy {i}</p>{shared}</{tag}>") for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html_text.extract_pages(pages).collect():
+        assert r["text"].split("\n\n") == [f"The longest paragraph, edited in copy {r['page_id']}", "one", "two", "cell", "passage", "more"]
+
+
 def test_html_text_on_generated_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     source = {r["page_id"]: r["html"] for r in pages.collect()}
