@@ -46,10 +46,9 @@ BODY_LIKE = frozenset(("html", "body", "article", "main"))
 
 @dataclass(frozen=True)
 class Recurrence:
-    """A subtree is template if it stands on ``pages`` different pages of its host, and on this share."""
+    """A subtree is template if it stands on ``pages`` different pages of its host, however many it has."""
 
     pages: int = 4
-    share: float = 0.005
     broadcast_rows: int = 1_000_000
 
 
@@ -251,37 +250,39 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 def with_host(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), HOST, 1))
-    return pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
+    return pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host")).withColumn("own", F.xxhash64("host", "html"))
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """``(host, digest, page)`` of every container subtree; ``page`` stands for the page's main text."""
+    """``(host, digest, page, own)`` of every container subtree; ``page`` stands for the page's main
+    text, ``own`` for its host and html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, digests, marks = [], [], []
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            hosts, digests, marks, owns = [], [], [], []
+            for host, html, own in zip(*(c.to_pylist() for c in batch.columns)):
                 tree = parse(html)
                 found = digest_tree(tree)
                 mark = page_mark(tree)
                 hosts += [host] * len(found)
                 digests += found
                 marks += [mark] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(marks, pa.int64())], names=["host", "digest", "page"])
+                owns += [own] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (digests, marks, owns))], names=["host", "digest", "page", "own"])
 
-    return pages.where("host <> ''").select("host", "html").mapInArrow(run, "host string, digest bigint, page bigint")
+    return pages.where("host <> ''").select("host", "html", "own").mapInArrow(run, "host string, digest bigint, page bigint, own bigint")
 
 
 def templates(pages: DataFrame, rule: Recurrence) -> DataFrame:
-    """``(host, digests)``: the template subtrees of each host that has any.
+    """``(own, digests)``: of each page that holds any, the template subtrees of its host that it holds.
 
-    A host's array is bounded: a subtree in it stands on ``share`` of the host's pages at least.
+    A page's array is bounded by the page, not by what its host has.
     """
-    seen = stage(subtrees(pages).distinct(), "subtrees")
-    pages_of = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    often = seen.groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= rule.pages)
-    often = often.join(pages_of, "host").where(F.col("n") >= rule.share * F.col("pages"))
-    return stage(often.groupBy("host").agg(F.collect_list("digest").alias("digests")), "templates")
+    seen = stage(subtrees(pages), "subtrees")
+    often = stage(seen.select("host", "digest", "page").distinct().groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= rule.pages).select("host", "digest"), "often")
+    often = F.broadcast(often) if often.count() <= rule.broadcast_rows else often
+    held = seen.select("host", "digest", "own").join(often, ["host", "digest"])
+    return stage(held.groupBy("own").agg(F.collect_set("digest").alias("digests")), "templates")
 
 
 def extract_pages(pages: DataFrame, rule: Recurrence = Recurrence()) -> DataFrame:
@@ -295,7 +296,7 @@ def extract_pages(pages: DataFrame, rule: Recurrence = Recurrence()) -> DataFram
     pages = with_host(pages)
     known = templates(pages, rule)
     n = known.agg(F.coalesce(F.sum(F.size("digests")), F.lit(0))).first()[0]
-    given = pages.join(F.broadcast(known) if n <= rule.broadcast_rows else known, "host", "left")
+    given = pages.join(F.broadcast(known) if n <= rule.broadcast_rows else known, "own", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -155,6 +155,15 @@ def test_html_text_keeps_what_articles_share(spark, tag):
         assert r["text"].split("\n\n") == [f"The longest paragraph, edited in copy {r['page_id']}", "one", "two", "cell", "passage", "more"]
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_html_text_counts_alike_on_large_hosts(spark, most):
+    box = lambda i: "<div>Links of one section</div>" if i < 5 else ""
+    rows = [(i, f"http://{'large' if i < 1500 else 'small'}.example/{i}", f"<body>{box(i % 1500)}<p>Own text {i}</p>") for i in range(1510)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html_text.extract_pages(pages, html_text.Recurrence(broadcast_rows=most)).collect():
+        assert r["text"] == f"Own text {r['page_id']}"
+
+
 def test_html_text_on_generated_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     source = {r["page_id"]: r["html"] for r in pages.collect()}
