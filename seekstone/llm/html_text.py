@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -36,11 +37,16 @@ CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "ht
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}}
 CONTAINERS = frozenset("div nav ul ol dl table footer header aside section form menu center figure details".split())
-#: Words of a class, id or role that say that an element is not the article's prose.
-STATED = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|contentinfo|sidebar|complementary|aside|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|ads?|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|recommended|recommendations|subscribe|subscription|newsletter|breadcrumbs?|pagination|pager|login|signup|search|widget|copyright|toolbar|skip|hidden|sr-only)(?:$|[\s_-])",
-    re.I,
+#: Words of a class, id or role that say that an element is not the article's prose, and
+#: words that say nothing beside them. A name counts as a whole: ``has-sidebar`` states no sidebar.
+STATED = frozenset(
+    "nav navbar navigation menu header masthead footer contentinfo sidebar complementary aside cookie cookies consent gdpr notice notices alert popup modal overlay ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner comment comments commentlist disqus replies reply respond share sharing social related recommended recommendations subscribe subscription newsletter breadcrumb breadcrumbs pagination pager login signup search widget copyright toolbar skip hidden sr-only".split()
 )
+BESIDE = frozenset("site page global main primary secondary top bottom left right container wrapper wrap box list item items section area block bar link links inner outer button buttons form panel post posts article articles story stories content text title group row col column unit slot icon icons count thread js mobile desktop".split())
+#: Words that name prose, too, where they stand within an article; ids that still count on its sections.
+OF_PROSE = frozenset("header masthead notice notices alert search".split())
+READERS = frozenset("comments commentlist disqus replies respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BODY_LIKE = frozenset(("html", "body", "article", "main"))
 
 
@@ -53,31 +59,74 @@ class Recurrence:
 
 
 class Node:
-    __slots__ = ("tag", "children", "dropped", "digest", "attributes")
+    __slots__ = ("tag", "children", "dropped", "named", "digest", "attributes")
 
     def __init__(self, tag: str, attributes: str):
         self.tag, self.attributes = tag, attributes
         self.children: list = []
-        self.dropped, self.digest = False, 0
+        self.dropped, self.named, self.digest = False, False, 0  # named: dropped by its name alone
 
 
-def stated(tag: str, attributes: str, within: bool) -> bool:
-    """Whether an element says itself that it holds no prose of the article."""
+@lru_cache(maxsize=20_000)
+def names_no_prose(tag: str, name: str, value: str, within: bool) -> bool:
+    """Whether a class, id or role says that its element holds no prose of the article."""
+    if name == "id" and tag in HEADINGS:
+        return False
+    for token in value.lower().split():
+        if name == "id" and within and tag == "section":
+            found = token in READERS
+        else:
+            parts = [w for w in re.split("[-_]+", token) if w and not w.isdigit()]
+            held = {token, *parts} & STATED - (OF_PROSE if within else frozenset())
+            found = token in held or bool(held) and all(w in STATED or w in BESIDE for w in parts)
+        if found:
+            return True
+    return False
+
+
+def stated(tag: str, attributes: str, within: bool) -> tuple[bool, bool]:
+    """Whether an element says itself that it holds no prose of the article, and whether only its name
+    says so."""
     if tag in NEVER or tag == "header" and not within:
-        return True
+        return True, tag == "form"
     if not attributes or tag in BODY_LIKE:
-        return False
+        return False, False
+    named = False
     for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if hidden or name in ("class", "id", "role") and STATED.search(value) or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+        if hidden or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return True, False
+        named = named or name in ("class", "id", "role") and names_no_prose(tag, name, value, within)
+    return named, named
+
+
+def spare(tree: Node) -> None:
+    """Keep elements dropped by name that hold most of the page's text, or more of article and main
+    elements than all that is kept."""
+    order, todo, kept = [], [(tree, True, False)], []
+    while todo:
+        n, free, within = todo.pop()
+        order.append(n)
+        free = free and not n.dropped
+        if free and not within and n.tag in ("article", "main"):
+            within = True
+            kept.append(n)
+        todo += [(c, free, within) for c in n.children if not isinstance(c, str) and (c.named or not c.dropped)]
+    size: dict[int, int] = {}
+    held: dict[int, int] = {}
+    for n in reversed(order):
+        size[id(n)] = sum(len(c.strip()) if isinstance(c, str) else size.get(id(c), 0) for c in n.children)
+        held[id(n)] = size[id(n)] if n.tag in ("article", "main") else sum(held.get(id(c), 0) for c in n.children if not isinstance(c, str))
+    most = sum(size[id(n)] for n in kept)
+    for n in order:
+        if n.named and n.dropped and (held[id(n)] > most or n.tag != "form" and 2 * size[id(n)] > size[id(tree)]):
+            n.dropped = False
 
 
 def parse(html: str) -> Node:
     """The tree of a page, however malformed; leaves are strings with references decoded."""
     root = Node("html", "")
-    stack, at, within = [root], 0, 0
+    stack, at, within, named = [root], 0, 0, False
 
     def leave(to: int) -> None:
         nonlocal within
@@ -123,7 +172,8 @@ def parse(html: str) -> Node:
         if stack[-1].tag == "head" and tag in BLOCKS:
             leave(len(stack) - 1)
         node = Node(tag, attributes)
-        node.dropped = tag in RAW or stated(tag, attributes, within > 0)
+        node.dropped, node.named = (True, False) if tag in RAW else stated(tag, attributes, within > 0)
+        named = named or node.named
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(f"</{tag}[^a-zA-Z]", re.I).search(html, at)
@@ -135,6 +185,8 @@ def parse(html: str) -> Node:
         rest = html[at:]
         cut = re.search(r"<(?:/?[a-zA-Z]|!)[^<>]*\Z", rest)  # a tag that the page's end cuts off
         stack[-1].children.append(unescape(rest[: cut.start()] if cut else rest))
+    if named:
+        spare(root)
     return root
 
 
@@ -189,12 +241,26 @@ def roots(node: Node, tag: str) -> list[Node]:
 
 
 def main_blocks(tree: Node, template: frozenset) -> list[str]:
-    """Blocks of the article if the page names one, else of its main element, else of what is left."""
+    """Blocks of the article if the page names one, else of its main element, else of what is left, or,
+    where nothing is, of what was dropped by its name."""
     for tag in ("article", "main"):
         found = [b for n in roots(tree, tag) for b in blocks_of(n, frozenset())]  # no count deletes prose here
         if found:
             return found
-    return blocks_of(tree, template)
+    found = blocks_of(tree, template)
+    return found or (main_blocks(tree, template) if restore(tree) else [])
+
+
+def restore(tree: Node) -> int:
+    """Keep again what was dropped by its name; returns how many elements."""
+    n, todo = 0, [tree]
+    while todo:
+        node = todo.pop()
+        if node.named and node.dropped:
+            node.dropped = False
+            n += 1
+        todo += [c for c in node.children if not isinstance(c, str)]
+    return n
 
 
 def extract(html: str, template: frozenset = frozenset()) -> str:

@@ -164,6 +164,20 @@ def test_html_text_counts_alike_on_large_hosts(spark, most):
         assert r["text"] == f"Own text {r['page_id']}"
 
 
+def test_html_text_names_drop_no_prose():
+    page = "<body><div class='{0}'><article><header class='entry-header'><h1 id='related-search'>Head</h1></header><p>Prose of some length</p>{1}</article></div><div class='site-footer'>foot</div>"
+    inner = "<section id='related-work'><p>Work</p></section><section id='search-algorithms'>Search</section><div class='notice'>Note</div>"
+    kept = "Head\n\nProse of some length\n\nWork\n\nSearch\n\nNote"
+    for name in ("layout has-sidebar", "no-sidebar", "sidebar", "widget-container", "x"):
+        assert html_text.extract(page.format(name, inner)) == kept
+    for gone in ("<div class='share-bar'>s</div>", "<section id='comments'>c</section>", "<div class='ad'>a</div>", "<div class='related-posts'>r</div>", "<p hidden>h</p>"):
+        assert html_text.extract(page.format("x", inner + gone)) == kept
+    assert html_text.extract("<body><form id=f><div><article>All of it</article></div></form>") == "All of it"
+    assert html_text.extract("<div class=sidebar><article>short</article></div><article>The long article</article>") == "The long article"
+    assert html_text.extract("<div class='notice'>one</div><div class='search'>two</div>") == "one\n\ntwo"
+    assert html_text.extract("<nav>n</nav><script>s</script><div class=menu></div>") == ""
+
+
 def test_html_text_on_generated_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     source = {r["page_id"]: r["html"] for r in pages.collect()}
