@@ -141,6 +141,16 @@ def recall(docs: DataFrame, parsed: DataFrame) -> DataFrame:
     squeezed = docs.select("id", F.col("comp").alias("norm"))
     grams = gram_postings(squeezed, 3)
     channels.append(rarest_gram(grams, parsed.select("query_id", F.col("c").alias("q")), 3).join(grams, "gram").select("query_id", "id"))
+    # queries too short for these grams: a character anywhere in a name, and names of few long characters
+    grams = gram_postings(docs, 1)
+    channels.append(rarest_gram(grams, parsed.where("length(q) = 1"), 1).join(grams, "gram").select("query_id", "id"))
+    for n in (1, 2):
+        short = parsed.where(f"octet_length(c) >= 3 AND length(c) = {n}").select("query_id", F.col("c").alias("gram"))
+        channels.append(short.join(gram_postings(squeezed, n), "gram").select("query_id", "id"))
+    # queries of single characters only: names with a word that begins with the first of them
+    initials = terms.select("id", F.left("term", F.lit(1)).alias("first")).distinct()
+    spelled = parsed.where("size(q_tokens) >= 2 AND forall(q_tokens, t -> length(t) = 1)").select("query_id", F.element_at("q_tokens", 1).alias("first"))
+    channels.append(spelled.join(initials, "first").select("query_id", "id"))
     acronyms = docs.where("acro <> ''").select("id", F.col("acro").alias("q"))
     channels.append(parsed.select("query_id", "q").join(acronyms, "q").select("query_id", "id"))
     channels.append(delete_recall(terms, words).select("query_id", "id"))

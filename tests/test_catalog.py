@@ -144,3 +144,11 @@ def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLE_SQL) <= set(entry_module.oracle_sql())
     assert os.path.exists(DATA)
+
+
+def test_short_queries_find_what_the_unpruned_search_finds(spark):
+    names = ["Blue Ring", "red widget", "Rapid Web", "web r", "cab", "b", "é bolt", "xébz", "\u5fae\u4fe1 app", "zzz", ""]
+    catalog = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    queries = spark.createDataFrame(list(enumerate(["b", "r w", "é", "é b", "\u5fae", "\u5fae\u4fe1", "w", "r", "q"])), "query_id long, text string")
+    pruned, whole = ({tuple(r) for r in S.search(catalog, queries, k=20, pruned=p, fuzzy=False).collect()} for p in (True, False))
+    assert pruned == whole and len([r for r in whole if r[0] == 0]) == 7 and len([r for r in whole if r[0] == 1]) == 2
