@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from seekstone.shared import stage
+from seekstone.shared import discard, stage
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Components of the undirected graph ``edges(a, b)`` as ``(node, component)``.
 
     ``component`` is the smallest node of the component. Nodes without edges are not returned;
@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     and Beyond", 2014): O(log n) rounds. Each step shuffles the edges by node and keeps at most one
     row per edge, and the minimum of a neighbourhood is a partially aggregated ``min`` that is
     joined back, so that a node with very many neighbours is never gathered in one task. Each half
-    round is staged in the shared folder; rounds end when the edges no longer change.
+    round is staged in the shared folder, and the one before it is deleted; rounds end when the edges
+    no longer change. Components that ``max_rounds`` do not finish are an error, never a result.
     """
     clean = (
         edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -39,10 +40,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = stage(large.distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small")
+        previous, e = e, stage(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small")
         after = state(e)
+        discard(large)
+        discard(previous)
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components are not final after {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seekstone.functions import text as T
+from seekstone.shared import stage
 
 #: Extensions of each type (fixed values).
 TYPES = {
@@ -57,18 +58,42 @@ def overlaid(base: DataFrame, changes: DataFrame) -> DataFrame:
     return base.select("frn", "path").join(latest, "frn", "left_anti").unionByName(latest.where("path is not null"))
 
 
-def tree_paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def tree_paths(nodes: DataFrame, max_depth: int = 32_768) -> DataFrame:
     """``(frn, path)`` of ``nodes(frn, parent_frn, name)``; roots have no parent.
 
-    Each step joins the paths found so far with their children; nodes of a cycle or without a way
-    to a root get no path. Steps end with the deepest level.
+    Each step joins the paths found last with their children and stages the level, so that no plan
+    grows with the depth. Steps end with the deepest level; nodes of a cycle or without a way to a
+    root get no path (``tree_faults`` names them). A tree deeper than ``max_depth`` is an error.
     """
-    level = nodes.where("parent_frn is null").select("frn", F.col("name").alias("path"))
-    out = level
+    below = nodes.select(F.col("frn").alias("child"), "parent_frn", "name")
+    level = stage(nodes.where("parent_frn is null").select("frn", F.col("name").alias("path")), "tree-level")
+    out = [level]
     for _ in range(max_depth):
-        below = nodes.select(F.col("frn").alias("child"), "parent_frn", "name")
-        level = level.join(below, level["frn"] == below["parent_frn"]).select(F.col("child").alias("frn"), F.concat_ws("\\", "path", "name").alias("path"))
+        level = stage(level.join(below, level["frn"] == below["parent_frn"]).select(F.col("child").alias("frn"), F.concat_ws("\\", "path", "name").alias("path")), "tree-level")
         if level.isEmpty():
             break
-        out = out.unionByName(level)
-    return out
+        out.append(level)
+    else:
+        raise RuntimeError(f"a tree deeper than {max_depth} levels")
+    return nodes.sparkSession.read.schema(level.schema).parquet(*(f.rpartition("/")[0] for x in out for f in x.inputFiles()[:1]))
+
+
+def tree_faults(nodes: DataFrame) -> DataFrame:
+    """``(frn, fault)`` of ``nodes(frn, parent_frn, name, is_dir)``: what the layout route rejects.
+
+    ``missing-parent``, ``parent-not-a-folder``, ``many-names`` (a folder under several names), and
+    ``cycle`` for every node below none of these that no way leads to a root. One row a node, the
+    first fault in this order.
+    """
+    parents = nodes.groupBy(F.col("frn").alias("p")).agg(F.max(F.col("is_dir").cast("int")).alias("p_dir"))
+    known = nodes.join(parents, nodes["parent_frn"] == parents["p"], "left")
+    names = nodes.where("is_dir").groupBy("frn").agg(F.count_distinct("parent_frn", "name").alias("n")).where("n > 1").select("frn")
+    direct = known.where("parent_frn is not null and (p is null or p_dir = 0)").select("frn", F.when(F.col("p").isNull(), "missing-parent").otherwise("parent-not-a-folder").alias("fault"))
+    direct = direct.unionByName(names.select("frn", F.lit("many-names").alias("fault")))
+    order = F.expr("CASE fault WHEN 'missing-parent' THEN 0 WHEN 'parent-not-a-folder' THEN 1 WHEN 'many-names' THEN 2 ELSE 3 END")
+    # below a missing parent a node has no way to a root either, but no cycle: those are reached from it
+    starts = nodes.where("parent_frn is null").select("frn", "parent_frn", "name").unionByName(known.where("parent_frn is not null and p is null").select("frn", F.lit(None).cast("long").alias("parent_frn"), "name"))
+    rest = nodes.join(starts.select("frn"), "frn", "left_anti").select("frn", "parent_frn", "name")
+    reached = tree_paths(starts.unionByName(rest)).select("frn").distinct()
+    lost = nodes.select("frn").distinct().join(reached, "frn", "left_anti").select("frn", F.lit("cycle").alias("fault"))
+    return direct.unionByName(lost).groupBy("frn").agg(F.min_by("fault", order).alias("fault"))
