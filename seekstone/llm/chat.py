@@ -3,7 +3,8 @@
 A message holds *parts* of type text, image, audio or document. A visitor over the parts turns each
 into text of the formatted conversation: a text part is escaped, any other part becomes a
 placeholder, in order, and leaves a reference to its attachment with the number of tokens that it
-expands to. Control strings that stand in a text are escaped reversibly, so that the formatted
+expands to. Text parts that follow one another are one run and escaped as one, so that no control
+string can be put together from the ends of two parts. Control strings that stand in a text are escaped reversibly, so that the formatted
 string can be read back without loss.
 
 A turn is ``<|turn|>ROLE\\nCONTENT<|end|>\\n``.
@@ -59,36 +60,50 @@ def visit_text(part: Column, costs: ExpansionCosts) -> tuple[Column, Column]:
 
 
 def visit_image(part: Column, costs: ExpansionCosts) -> tuple[Column, Column]:
-    side = lambda x: F.ceil(F.coalesce(x, F.lit(0)) / costs.patch)
+    side = lambda x: F.ceil(F.greatest(F.coalesce(x, F.lit(0)), F.lit(0)) / costs.patch)
     return F.lit(PLACEHOLDERS["image"]), (side(part["width"]) * side(part["height"])).cast("long")
 
 
 def visit_audio(part: Column, costs: ExpansionCosts) -> tuple[Column, Column]:
-    return F.lit(PLACEHOLDERS["audio"]), F.ceil(F.coalesce(part["seconds"], F.lit(0.0)) * costs.audio_tokens_per_second).cast("long")
+    return F.lit(PLACEHOLDERS["audio"]), F.ceil(F.greatest(F.nanvl(F.coalesce(part["seconds"], F.lit(0.0)), F.lit(0.0)), F.lit(0.0)) * costs.audio_tokens_per_second).cast("long")
 
 
 def visit_document(part: Column, costs: ExpansionCosts) -> tuple[Column, Column]:
-    return F.lit(PLACEHOLDERS["document"]), (F.coalesce(part["pages"], F.lit(0)) * costs.tokens_per_page).cast("long")
+    return F.lit(PLACEHOLDERS["document"]), (F.greatest(F.coalesce(part["pages"], F.lit(0)), F.lit(0)) * costs.tokens_per_page).cast("long")
 
 
 VISITORS = {"image": visit_image, "audio": visit_audio, "document": visit_document}
 
 
-def flatten_parts(parts: Column, costs: ExpansionCosts = ExpansionCosts()) -> Column:
-    """``array<struct<text,kind,ref,tokens>>``: what each part becomes, in order.
+def runs_of(parts: Column) -> Column:
+    """The parts with each run of text parts joined to one; a null array is empty, a null part or one of
+    unknown type is text, and a null text is empty."""
+    kind = lambda p: F.when(p["type"].isin(*VISITORS), p["type"]).otherwise(F.lit("text"))
+    plain = F.transform(F.coalesce(parts, F.array().cast(f"array<{PART_TYPE}>")), lambda p: F.struct(kind(p).alias("type"), F.coalesce(p["text"], F.lit("")).alias("text"), *(p[c].alias(c) for c in ("ref", "width", "height", "seconds", "pages"))).cast(PART_TYPE))
+    # a run starts where a part or the one before it is no text; its number tells its parts
+    starts = F.transform(plain, lambda p, i: (i == 0) | (p["type"] != "text") | (F.get(plain, i - 1)["type"] != "text"))
+    first = F.filter(F.transform(starts, lambda s, i: F.when(s, i)), lambda i: i.isNotNull())
+    upto = lambda k: F.coalesce(F.get(first, k + 1), F.size(plain))
+
+    def run(at: Column, k: Column) -> Column:
+        held = F.slice(plain, at + 1, upto(k) - at)
+        return F.struct(held[0]["type"].alias("type"), F.array_join(F.transform(held, lambda p: p["text"]), "").alias("text"), *(held[0][c].alias(c) for c in ("ref", "width", "height", "seconds", "pages"))).cast(PART_TYPE)
+
+    return F.when(F.size(plain) <= 1, plain).otherwise(F.transform(first, run))
 
-    A null array is empty; a null part or a part of unknown type counts as text.
-    """
+
+def flatten_parts(parts: Column, costs: ExpansionCosts = ExpansionCosts()) -> Column:
+    """``array<struct<text,kind,ref,tokens>>``: what each run of text parts and each other part becomes,
+    in order. Sizes that are null, negative or no number count as 0."""
 
     def one(part: Column) -> Column:
         text, tokens = visit_text(part, costs)
         for kind, visit in VISITORS.items():
             shown, n = visit(part, costs)
             text, tokens = F.when(part["type"] == kind, shown).otherwise(text), F.when(part["type"] == kind, n).otherwise(tokens)
-        kind = F.when(part["type"].isin(*VISITORS), part["type"]).otherwise(F.lit("text"))
-        return F.struct(text.alias("text"), kind.alias("kind"), part["ref"].alias("ref"), tokens.alias("tokens"))
+        return F.struct(text.alias("text"), part["type"].alias("kind"), part["ref"].alias("ref"), tokens.alias("tokens"))
 
-    return F.transform(F.coalesce(parts, F.array().cast(f"array<{PART_TYPE}>")), one)
+    return F.transform(runs_of(parts), one)
 
 
 def text_part(text: Column) -> Column:
@@ -155,10 +170,15 @@ def parse_formatted(formatted: Column) -> Column:
     )
 
 
+def masked_texts(formatted: Column, loss_spans: Column) -> Column:
+    """The texts under the loss mask, cut from the formatted conversation and unescaped, in order."""
+    return F.transform(loss_spans, lambda x: unescape(F.substr(formatted, (x["start"] + 1).cast("int"), x["length"].cast("int"))))
+
+
 def digests(formatted: DataFrame) -> DataFrame:
     """Columns of the query: digests of the turns and of all text under the loss mask, read back."""
     read = formatted.withColumn("read", parse_formatted(F.col("formatted")))
-    loss = F.array_join(F.transform(F.filter("read", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join(masked_texts(F.col("formatted"), F.col("loss_spans")), "")
     return read.select(
         "conv_id",
         F.size("read").cast("long").alias("n_turns"),

@@ -78,7 +78,6 @@ class Fitting:
     trees: int = 12
     depth: int = 3
     precision: float = 0.98
-    least_rows: int = 50
 
 
 @dataclass
@@ -143,15 +142,49 @@ def with_kind(array: str, kind: str, text: str, weak: str = "false") -> str:
       CASE WHEN length(x.text) > 40 THEN 0 ELSE CAST({luhn('x.text')} AS INT) END AS luhn, {weak} AS weak))"""
 
 
+def walked(array: str, kind: str, merge: str) -> str:
+    """Spans of an array, sorted by where they start, with each run of overlapping neighbours made one.
+
+    ``merge`` gives what ``y``, the span held, and ``x``, which starts before its end, become. The walk
+    goes in stretches of 256 spans, so that very many cost no square.
+    """
+    state = f"struct<last:{kind},done:array<{kind}>>"
+    step = f"""CASE WHEN s.last IS NULL THEN struct(x AS last, s.done AS done)
+      WHEN x.start < s.last.end THEN struct(transform(array(s.last), y -> {merge})[0] AS last, s.done AS done)
+      ELSE struct(x AS last, array_append(s.done, s.last) AS done) END"""
+    inner = f"aggregate(slice(a, k * 256 + 1, 256), CAST(struct(o.last AS last, array() AS done) AS {state}), (s, x) -> CAST({step} AS {state}))"
+    whole = f"struct<last:{kind},done:array<array<{kind}>>>"
+    outer = f"""aggregate(sequence(0, CAST((size(a) - 1) div 256 AS INT)), CAST(struct(NULL AS last, array() AS done) AS {whole}),
+      (o, k) -> CAST(transform(array({inner}), i -> struct(i.last AS last, array_append(o.done, i.done) AS done))[0] AS {whole}),
+      o -> array_append(flatten(o.done), o.last))"""
+    return f"transform(array(CAST({array} AS array<{kind}>)), a -> CASE WHEN size(a) = 0 THEN a ELSE {outer} END)[0]"
+
+
+COVER = "struct<start:int,end:int,kind:string>"
+
+
+def covers(array: str) -> str:
+    """Stretches that the spans of an array cover, overlapping spans as one under the first one's kind."""
+    spans = f"array_sort(transform({array}, x -> struct(x.start AS start, x.end AS end, x.kind AS kind)))"
+    return walked(spans, COVER, "struct(y.start AS start, greatest(x.end, y.end) AS end, y.kind AS kind)")
+
+
+def replaced(text: str, array: str, by: str) -> str:
+    """A text with the disjoint, sorted stretches of an array replaced; ``by`` is SQL on stretch ``x``."""
+    pieces = f"""concat(transform({array}, (x, i) -> concat(substring({text}, CASE WHEN i = 0 THEN 1 ELSE {array}[greatest(i - 1, 0)].end + 1 END, x.start - CASE WHEN i = 0 THEN 0 ELSE {array}[greatest(i - 1, 0)].end END), {by})),
+      array(substring({text}, element_at({array}, -1).end + 1, length({text}))))"""
+    return f"CASE WHEN size({array}) = 0 THEN {text} ELSE array_join({pieces}, '') END"
+
+
 def proposals(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` after ``base_spans`` with ``proposed``: spans of the looser forms that overlap no
-    base span, each with its kind, context and features."""
-    documents = documents.withColumns({f"loose_{k}": matches(F.col(text), LOOSE[k], LOOSE_TRIGGER[k], f"`{text}`") for k in KINDS})
-    taken = "concat(" + ", ".join(f"base_{k}" for k in KINDS) + ")"
-    documents = documents.withColumn("taken", F.expr(taken))
-    free = "filter(loose_{k}, x -> NOT exists(taken, b -> b.start < x.end AND x.start < b.end))"
-    proposed = ", ".join(with_kind(free.format(k=k), k, f"`{text}`") for k in KINDS)
-    return documents.withColumn("proposed", F.expr(f"concat({proposed})")).drop(*(f"loose_{k}" for k in KINDS))
+    """``documents`` after ``base_spans`` with ``proposed``: what the looser forms match once every base
+    span is masked by underscores, so that none overlaps one, each with its kind, context and features."""
+    base = "concat(" + ", ".join(f"transform(base_{k}, x -> struct(x.start AS start, x.end AS end, '{k}' AS kind))" for k in KINDS) + ")"
+    documents = documents.withColumn("taken", F.expr(covers(base)))
+    documents = documents.withColumn("masked", F.expr(replaced(f"`{text}`", "taken", "repeat('_', x.end - x.start)")))
+    documents = documents.withColumns({f"loose_{k}": matches(F.col("masked"), LOOSE[k], LOOSE_TRIGGER[k], "masked") for k in KINDS})
+    proposed = ", ".join(with_kind(f"loose_{k}", k, f"`{text}`") for k in KINDS)
+    return documents.withColumn("proposed", F.expr(f"concat({proposed})")).drop("masked", *(f"loose_{k}" for k in KINDS))
 
 
 def features_sql(array: str) -> str:
@@ -211,14 +244,15 @@ def probability(model: Model) -> str:
 
 def fit(documents: DataFrame, fitting: Fitting = Fitting()) -> Model:
     """Boosted trees from a quota of spans of each kind and label over the whole table, and thresholds
-    calibrated on all held-out spans; where the table lacks spans of a label nothing is added."""
+    calibrated on all held-out spans, for each kind, or over all kinds for one that has none. Where a
+    table has no span at all of one label there is nothing to learn, and nothing is added."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     spans = stage(labelled_spans(documents), "pii-spans")
     rows = stage(with_copies(quotas(spans.where("pmod(h, 4) <> 0"), fitting.spans)), "pii-training")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if min(sizes.get(0.0, 0), sizes.get(1.0, 0)) < fitting.least_rows:
+    if not (sizes.get(0.0) and sizes.get(1.0)):
         return Model()
     names = list(FEATURES)
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
@@ -229,11 +263,16 @@ def fit(documents: DataFrame, fitting: Fitting = Fitting()) -> Model:
     held = with_copies(spans.where("pmod(h, 4) = 0")).select("kind_name", "label", F.expr(f"transform(array(struct({struct})), f -> {probability(model)})[0]").alias("p"))
     bins = held.groupBy("kind_name", F.floor(F.col("p") * 100).alias("bin")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()  # 101 rows a kind at most
     for kind in KINDS:
+        own = [r for r in bins if r["kind_name"] == kind] or bins
+        by_bin: dict[int, tuple[float, int]] = {}
+        for r in own:
+            good, n = by_bin.get(r["bin"], (0.0, 0))
+            by_bin[r["bin"]] = (good + r["good"], n + r["n"])
         good = n = 0.0
-        for r in sorted((r for r in bins if r["kind_name"] == kind), key=lambda r: -r["bin"]):
-            good, n = good + r["good"], n + r["n"]
-            if good >= fitting.precision * n and n >= 5 and r["bin"] >= 50:
-                model.thresholds[kind] = r["bin"] / 100
+        for at in sorted(by_bin, reverse=True):
+            good, n = good + by_bin[at][0], n + by_bin[at][1]
+            if good >= fitting.precision * n and at >= 50:
+                model.thresholds[kind] = at / 100
     return model
 
 
@@ -241,8 +280,9 @@ def find(documents: DataFrame, model: Model) -> DataFrame:
     """``documents`` with ``base_<kind>``, and ``spans``: ``array<struct<start,rank,end,kind,base>>``.
 
     ``spans`` holds all base spans and those proposals whose probability reaches their kind's
-    threshold; of selected proposals that overlap, the most probable stays (ties: the first).
-    Null texts are empty, and rows are taken as they come, repeated ones and null ids too.
+    threshold; along a text, of two selected proposals that overlap the more probable stays (ties: the
+    first). Null texts are empty, an empty table gives no rows, and rows are taken as they come,
+    repeated ones and null ids too. The work for a text grows in proportion to its length.
     """
     found = base_spans(documents)
     base = "concat(" + ", ".join(f"transform(base_{k}, x -> struct(x.start AS start, {i} AS rank, x.end AS end, '{k}' AS kind, true AS base))" for i, k in enumerate(KINDS)) + ")"
@@ -252,7 +292,8 @@ def find(documents: DataFrame, model: Model) -> DataFrame:
     least = "CASE f.kind_name " + " ".join(f"WHEN '{k}' THEN {v}D" for k, v in model.thresholds.items()) + " ELSE 2D END"
     found = found.withColumn("scored", F.expr(f"transform({features_sql('proposed')}, f -> struct(f.start AS start, f.end AS end, f.kind_name AS kind, {probability(model)} AS p, {least} AS least))"))
     found = found.withColumn("chosen", F.expr("filter(scored, x -> x.p >= x.least)"))
-    best = "filter(chosen, (x, i) -> NOT exists(filter(transform(chosen, (y, j) -> struct(y.start AS start, y.end AS end, y.p AS p, j AS j)), y -> y.j <> i AND y.start < x.end AND x.start < y.end), y -> y.p > x.p OR (y.p = x.p AND y.j < i)))"
+    scored = "struct<start:int,end:int,kind:string,p:double>"
+    best = walked("array_sort(transform(chosen, x -> struct(x.start AS start, x.end AS end, x.kind AS kind, x.p AS p)))", scored, "CASE WHEN x.p > y.p THEN x ELSE y END")
     rank = "CASE x.kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
     added = f"transform({best}, x -> struct(x.start AS start, {rank} AS rank, x.end AS end, x.kind AS kind, false AS base))"
     return found.withColumn("spans", F.expr(f"array_sort(concat({base}, {added}))")).drop("proposed", "scored", "chosen", "taken")
@@ -274,14 +315,8 @@ def digests(found: DataFrame) -> DataFrame:
 
 def redact(found: DataFrame, text: str = "text") -> DataFrame:
     """``found`` with every span replaced by its kind in square brackets; overlapping spans as one."""
-    merged = """aggregate(spans, CAST(array() AS array<struct<start:int,end:int,kind:string>>), (acc, x) ->
-      CASE WHEN size(acc) > 0 AND x.start < element_at(acc, -1).end
-        THEN concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start AS start, greatest(x.end, element_at(acc, -1).end) AS end, element_at(acc, -1).kind AS kind)))
-        ELSE array_append(acc, struct(x.start AS start, x.end AS end, x.kind AS kind)) END)"""
-    found = found.withColumn("merged", F.expr(merged))
-    pieces = f"""concat(transform(merged, (x, i) -> concat(substring({text}, CASE WHEN i = 0 THEN 1 ELSE merged[greatest(i - 1, 0)].end + 1 END, x.start - CASE WHEN i = 0 THEN 0 ELSE merged[greatest(i - 1, 0)].end END), '[', upper(x.kind), ']')),
-      array(substring({text}, element_at(merged, -1).end + 1, length({text}))))"""
-    return found.withColumn(text, F.expr(f"CASE WHEN size(merged) = 0 THEN {text} ELSE array_join({pieces}, '') END")).drop("merged")
+    found = found.withColumn("merged", F.expr(covers("spans")))
+    return found.withColumn(text, F.expr(replaced(f"`{text}`", "merged", "concat('[', upper(x.kind), ']')"))).drop("merged")
 
 
 def find_in_documents(documents: DataFrame, fitting: Fitting = Fitting()) -> DataFrame:
