@@ -53,19 +53,27 @@ def simhash_sql(shingles: str) -> str:
       THEN shiftleft(1L, b) ELSE 0L END), 0L, (u, v) -> u | v)"""
 
 
+def bag_sql(shingles: str) -> str:
+    """A bag of hashes as a set of as many: the second, third, ... occurrence of a hash becomes another
+    hash, so that a set's intersection counts the lesser of both counts."""
+    numbered = f"""aggregate(array_sort({shingles}), CAST(struct(0L AS held, 0 AS k, array() AS out) AS struct<held:bigint,k:int,out:array<bigint>>),
+      (s, h) -> CASE WHEN size(s.out) > 0 AND s.held = h THEN struct(h AS held, s.k + 1 AS k, array_append(s.out, xxhash64(h, s.k + 1)) AS out)
+        ELSE struct(h AS held, 0 AS k, array_append(s.out, h) AS out) END, s -> s.out)"""
+    return f"CASE WHEN size(array_distinct({shingles})) = size({shingles}) THEN {shingles} ELSE {numbered} END"
+
+
 def weighted_jaccard_sql(a: str, b: str) -> str:
-    """Sum of the lesser over sum of the greater counts of all shingles of two sorted bags."""
-    common = f"""aggregate(array_intersect({a}, {b}), 0, (s, h) -> s + least(size(filter({a}, y -> y = h)), size(filter({b}, y -> y = h))))"""
-    return f"transform(array({common}), c -> CAST(c AS DOUBLE) / (size({a}) + size({b}) - c))[0]"
+    """Sum of the lesser over sum of the greater counts of all shingles of two bags (``bag_sql``)."""
+    return f"transform(array(size(array_intersect({a}, {b}))), c -> CAST(c AS DOUBLE) / (size({a}) + size({b}) - c))[0]"
 
 
 def item_table(benchmark: DataFrame) -> DataFrame:
-    """``(item_id, n_words, size, grams, fingerprint)``; items without words are left out."""
+    """``(item_id, n_words, size, grams, fingerprint, bag)``; items without words are left out."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where("item_id is not null and size(w) > 0")
     items = items.withColumn("size", F.least(F.size("w"), F.lit(SHINGLE_WORDS)))
     grams = "CASE size " + " ".join(f"WHEN {k} THEN {shingles_sql('w', k)}" for k in range(1, SHINGLE_WORDS + 1)) + " END"
     items = items.select("item_id", F.size("w").alias("n_words"), "size", F.expr(grams).alias("grams"))
-    return items.withColumn("fingerprint", F.expr(simhash_sql("grams")))
+    return items.withColumns({"fingerprint": F.expr(simhash_sql("grams")), "bag": F.expr(bag_sql("grams"))})
 
 
 def small(df: DataFrame, rows: int, most: int) -> DataFrame:
@@ -97,7 +105,7 @@ def windows(documents: DataFrame, found: DataFrame) -> DataFrame:
     whole = whole.withColumn("w", F.expr("slice(w, start + 1, n_words)"))
     grams = "CASE least(size, size(w)) " + " ".join(f"WHEN {k} THEN {shingles_sql('w', k)}" for k in range(1, SHINGLE_WORDS + 1)) + " END"
     whole = whole.select("doc_id", "row", "start", "n_words", F.expr(grams).alias("grams"))
-    return whole.withColumn("fingerprint", F.expr(simhash_sql("grams")))
+    return whole.select("doc_id", "row", "start", "n_words", F.expr(simhash_sql("grams")).alias("fingerprint"), F.expr(bag_sql("grams")).alias("bag"))
 
 
 def neighbours(bits: int, most: int) -> list[int]:
@@ -135,15 +143,35 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, limits: Limits = Limi
     with a null ``doc_id`` are searched and returned with it, and rows that repeat give one result
     for each ``doc_id`` and item. Other columns are ignored, and empty tables give no rows.
     """
+    both = leaking_windows(documents, benchmark, limits)
+    best = both.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"), -F.col("n_words"))).alias("b"))
+    return best.select("doc_id", "item_id", (-F.col("b.col2")).alias("start"), (-F.col("b.col3")).alias("n_words"), F.col("b.similarity").alias("similarity"))
+
+
+def row_of(documents: DataFrame) -> Column:
+    """What names a row: a hash of its id and its text."""
+    return F.xxhash64(documents["doc_id"], F.coalesce(documents["text"].cast("string"), F.lit("")))
+
+
+def without_leaks(documents: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The rows of ``documents`` in which no benchmark item is found, with all their columns.
+
+    Each row is judged by its own text, whether its ``doc_id`` is null or stands on several rows.
+    """
+    found = stage(leaking_windows(documents, benchmark, limits).select(F.col("row").alias("_leak")).distinct(), "leaks")
+    return documents.join(small(found, found.count(), limits.broadcast_rows), row_of(documents) == F.col("_leak"), "left_anti").select(*documents.columns)
+
+
+def leaking_windows(documents: DataFrame, benchmark: DataFrame, limits: Limits) -> DataFrame:
+    """``(doc_id, row, item_id, start, n_words, similarity)`` of all windows that are similar enough."""
     rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("row", row_of(rows))
     items = stage(item_table(benchmark), "items")
     found = stage(seeds(rows, items, limits), "seeds")
     shown = stage(windows(rows.join(found.select("row").distinct(), "row", "left_semi"), found).distinct(), "windows")
-    near = within_radius(shown.drop("grams"), items, limits)
-    both = near.join(shown.select(F.col("row").alias("r"), F.col("start").alias("s"), F.col("n_words").alias("n"), F.col("grams").alias("here")).distinct(), F.expr("row = r and start = s and n_words = n")).join(
-        items.select("item_id", F.col("grams").alias("there")), "item_id"
+    near = within_radius(shown.drop("bag"), items, limits)
+    both = near.join(shown.select(F.col("row").alias("r"), F.col("start").alias("s"), F.col("n_words").alias("n"), F.col("bag").alias("here")).distinct(), F.expr("row = r and start = s and n_words = n")).join(
+        items.select("item_id", F.col("bag").alias("there")), "item_id"
     )
-    both = both.select("doc_id", "item_id", "start", "n_words", F.expr(weighted_jaccard_sql("here", "there")).alias("similarity")).where(F.col("similarity") >= limits.similarity)
-    best = both.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"), -F.col("n_words"))).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.col2")).alias("start"), (-F.col("b.col3")).alias("n_words"), F.col("b.similarity").alias("similarity"))
+    both = both.select("doc_id", "row", "item_id", "start", "n_words", F.expr(weighted_jaccard_sql("here", "there")).alias("similarity"))
+    return both.where(F.col("similarity") >= limits.similarity)

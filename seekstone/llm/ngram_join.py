@@ -37,7 +37,7 @@ COUNTER_PIECES = 64
 #: that AQE can split.
 LONG_LIST = 2000
 #: Tables of ids with more rows are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -182,7 +182,7 @@ def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 2) -> int:
     if depth == 0 or len(a) < 8 or len(b) < 8:
         return min(len(a), len(b))
     middle = a[len(a) // 2]
-    i, j = len(a) // 2, int(np.searchsorted(b, middle))
+    i, j = int(np.searchsorted(a, middle)), int(np.searchsorted(b, middle))  # equal hashes stay together
     return suffix_bound(a[:i], b[:j], depth - 1) + suffix_bound(a[i:], b[j:], depth - 1)
 
 
@@ -310,8 +310,10 @@ def jaccard_components(documents: DataFrame, percent: int = 75, size: int = SHIN
     tokens = stage(labelled.where("part_a <> part_b").select("token").distinct(), "tokens")
     left = lists.select("token", "doc", "pos").join(small(tokens, tokens.count()), "token", "left_semi").join(sizes, "doc")
     left = stage(with_part(left, "doc", "part"), "crossing-lists")
-    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("pos", "n", "part")), F.col("doc").alias(s)) for s in "ab")
-    crossing = x.join(y, "token").where("a < b and part_a <> part_b").where(could_link("a", "b", percent, True))
+    # only sets of about the same size can link: those of one band of sizes, or of the next
+    x, y = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("pos", "n", "part")), F.col("doc").alias(s), F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent)).cast("int").alias("band")) for s in "ab")
+    y = y.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    crossing = x.join(y, ["token", "band"]).where("a < b and part_a <> part_b").where(could_link("a", "b", percent, True))
     crossing = crossing.groupBy("a", "b").agg(F.first("part_a").alias("part_a"), F.first("part_b").alias("part_b"))
     seen = stars.select("a", "b").unionByName(met.select("a", "b"))
     crossing = stage(crossing.join(seen, ["a", "b"], "left_anti"), "crossings")
@@ -330,13 +332,23 @@ def jaccard_components(documents: DataFrame, percent: int = 75, size: int = SHIN
 def one_of_each(documents: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of ``documents`` without those that link, directly or not, to a smaller ``doc_id``.
 
-    Rows with a null ``doc_id`` stay; of rows with the same ``doc_id`` one stays.
+    Rows with a null ``doc_id`` stay. Where several rows have one ``doc_id``, each of their different
+    texts counts by itself: the first by hash under the id, the others behind all ids. Of rows with
+    the same id and text one stays. Empty texts resemble nothing and stay; an empty table gives none.
     """
-    found = jaccard_components(documents, percent)
-    others = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = documents.join(others, "doc_id", "left_anti").select(*documents.columns)
-    twice = documents.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select("doc_id")
+    text = F.coalesce(documents["text"].cast("string"), F.lit(""))
+    twice = stage(documents.groupBy("doc_id").agg(F.count("*").alias("c"), F.min(F.xxhash64(text)).alias("first")).where("c > 1 and doc_id is not null").select("doc_id", "first"), "twice")
     if twice.isEmpty():
-        return kept
-    single = kept.join(twice, "doc_id", "left_anti").select(*documents.columns)
-    return single.unionByName(kept.join(twice, "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id"]))
+        found = jaccard_components(documents, percent)
+        others = found.where("component_id <> doc_id").select("doc_id").distinct()
+        return documents.join(others, "doc_id", "left_anti").select(*documents.columns)
+    row = F.struct(*(documents[c].alias(c) for c in documents.columns)).alias("row")
+    marked = documents.select(row, documents["doc_id"].alias("id"), text.alias("text")).join(twice.withColumnRenamed("doc_id", "t"), F.col("id") == F.col("t"), "left")
+    beyond = F.xxhash64("id", "text").bitwiseAND(2**62 - 1).bitwiseOR(2**62)
+    key = F.when(F.col("t").isNull() | (F.xxhash64("text") == F.col("first")), F.col("id")).otherwise(beyond)
+    marked = stage(marked.select("row", key.alias("doc_id"), "text", F.col("t").isNotNull().alias("again")), "marked")
+    others = jaccard_components(marked.where("not again").select("doc_id", "text").unionByName(marked.where("again").select("doc_id", "text").distinct()), percent)
+    others = others.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = marked.join(others, "doc_id", "left_anti")
+    single, again = kept.where("not again").select("row"), kept.where("again").groupBy("doc_id").agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(again).select(*(F.col("row")[c].alias(c) for c in documents.columns))

@@ -59,6 +59,7 @@ class WordTokenizer:
         self.bpe = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.plain = regex.compile(PLAIN_WORD).fullmatch
         self.pieces = regex.compile(WORD_PIECES).findall
+        self.separators = regex.compile(r"[\x1c-\x1f]").search
         self.normal = unicodedata.normalize
         self.limit = cache_words
         self.words: dict[str, bytes] = {}
@@ -85,6 +86,8 @@ class WordTokenizer:
     def ids(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
         known, out = self.words, []
+        if self.separators(text):  # white space to Python, not to the file's splitter
+            return array("I", self.slow.encode(text, add_special_tokens=False).ids).tobytes()
         if "<|" not in text and "\u03a3" not in text:
             text = text.lower()  # else special strings could appear, or a final sigma
         for w in text.split():
@@ -139,14 +142,15 @@ def ids_digest(pieces: DataFrame) -> DataFrame:
 class Capacities:
     """What a sequence holds at most, and how much each dimension counts in the choice of a bin.
 
-    The defaults of ``documents`` and ``attention`` bind only where a caller lowers them: a sequence
-    of n tokens holds at most n documents, and the squares of its parts sum to n squared at most.
+    All three weigh in the choice of a bin. The defaults of ``documents`` and ``attention`` bind only
+    where a caller lowers them: a sequence of n tokens holds at most n documents, and the squares of
+    its parts sum to n squared at most.
     """
 
     tokens: int = 4096
     documents: int = 4096
     attention: int = 4096 * 4096
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 0.5, 0.5)
     rule: str = "norm"  # or "dot"
 
     def demand(self, length: int) -> np.ndarray:

@@ -2,83 +2,74 @@
 
 Vectors become integers, ``floor(scale * x)``. Candidates are dealt over blocks of bounded size and
 queries over blocks of their own; a task holds one block of each. Per block and dimension there is
-one list of candidates sorted by component. For a query, each list is read from its better end and
-contributes ``q[d] * x[d]``; the reader keeps a lower and an upper bound of every candidate's score:
-what it has seen, plus for each unread list the list's worst or the last seen contribution. Reading
-stops when no candidate outside the k best lower bounds can still qualify, ties included. Scores of
-those left undecided are then resolved exactly. The k best of every block meet in one last ranking.
+one list of candidates sorted by component. A query reads all lists in step, each from its better
+end, where a row contributes ``q[d] * x[d]``; it keeps a lower and an upper bound of every
+candidate's score: what it has seen, plus for each list it was not seen in the list's worst or the
+last contribution read. Reading stops when no candidate outside a few can still qualify, ties
+included. Scores of those few are then resolved exactly. The k best of every block meet in one last
+ranking.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 #: Integer sums up to this are exact in double precision.
 EXACT = 2**53
-QUERIES_AT_ONCE = 64
+#: A score beyond what a long holds counts as the nearest long.
+LEAST, MOST = -(2**63), 2**63 - 1
+
 
 class SortedLists:
-    """A block of vectors with one sorted list per dimension, read from either end."""
+    """A block of vectors with one list of rows per dimension, sorted by component."""
 
     def __init__(self, x: np.ndarray):
-        self.x = x.T.astype(float)  # dimension by row
-        order = np.argsort(self.x, axis=1, kind="stable")
-        self.values = np.take_along_axis(self.x, order, axis=1)
-        self.place = np.empty_like(order)
-        np.put_along_axis(self.place, order, np.arange(x.shape[0])[None, :].repeat(x.shape[1], 0), axis=1)
-
-    def read(self, depth: int) -> tuple[np.ndarray, ...]:
-        """What ``depth`` entries of each list tell of every component: bounds from lists read from
-        their upper end (least, most) and from their lower end (most, least). Entries that were read
-        are known; one that was not lies between the list's far end and the last entry read."""
-        n = self.x.shape[1]
-        upper, lower = self.place >= n - depth, self.place < depth
-        far_down, far_up = self.values[:, :1], self.values[:, -1:]
-        return (
-            np.where(upper, self.x, far_down),
-            np.where(upper, self.x, self.values[:, n - depth : n - depth + 1]),
-            np.where(lower, self.x, far_up),
-            np.where(lower, self.x, self.values[:, depth - 1 : depth]),
-        )
-
-
-#: Bounds are compared when these parts of the lists have been read.
-DEPTHS = (0.25, 0.5, 0.75)
-
-
-def nra(lists: SortedLists, keys: np.ndarray, queries: np.ndarray, k: int, query_keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the rows and scores of the k best by (score falling, key rising).
-
-    ``keys`` are the rows' ids; a row whose key is the query's own takes no part. A query reads the
-    list of a dimension from the upper end where its component is positive, else from the lower
-    end; queries go through the lists together. A row stays while its upper bound reaches the k-th
-    best lower bound; a query stops when few rows are left, and only those are scored.
+        self.x = x.astype(float)
+        self.order = np.argsort(self.x.T, axis=1, kind="stable").astype(np.int32)
+        self.values = np.take_along_axis(self.x.T, self.order, axis=1)
+
+    def entries(self, lists: np.ndarray, upper: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and components of the entries ``start`` to ``end`` of some lists, each counted from its
+        upper or its lower end."""
+        n = self.x.shape[0]
+        rows, values = np.empty((len(lists), end - start), np.int32), np.empty((len(lists), end - start))
+        high, low = lists[upper], lists[~upper]
+        rows[upper], values[upper] = self.order[high, n - end : n - start][:, ::-1], self.values[high, n - end : n - start][:, ::-1]
+        rows[~upper], values[~upper] = self.order[low, start:end], self.values[low, start:end]
+        return rows, values
+
+
+def nra(lists: SortedLists, keys: np.ndarray, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rows and scores of the k best of a query by (score falling, key rising), and the entries read.
+
+    ``keys`` are the rows' ids; a row whose key is ``own`` takes no part. Depths double from a
+    sixteenth of the lists. A row is out when its upper bound is below the k-th best lower bound.
     """
-    n = lists.x.shape[1]
-    plus, minus = np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
-    alive = keys[None, :] != query_keys[:, None]
-    going = np.arange(len(queries))
-    for depth in (max(1, int(part * n)) for part in DEPTHS):
-        if n <= 4 * k or not len(going):
-            break
-        up_low, up_high, down_low, down_high = lists.read(depth)
-        low = plus[going] @ up_low + minus[going] @ down_low
-        low[~alive[going]] = -np.inf
-        floor = np.partition(low, n - k, axis=1)[:, n - k]
-        high = plus[going] @ up_high + minus[going] @ down_high
-        alive[going] &= high >= floor[:, None]
-        going = going[alive[going].sum(axis=1) > max(4 * k, 64)]
-    out = []
-    for mask, query in zip(alive, queries):
-        rows = np.flatnonzero(mask)
-        score = (query.astype(float) @ lists.x[:, rows]).astype(np.int64)
-        order = np.lexsort((keys[rows], -score))[:k]
-        out.append((rows[order], score[order]))
-    return out
+    n = lists.x.shape[0]
+    at = np.flatnonzero(query)  # a list that a query has no weight for tells nothing
+    weight, other = query[at].astype(float), keys != own
+    upper = weight > 0
+    ends = weight * np.where(upper, lists.values[at, 0], lists.values[at, -1])  # each list's worst
+    least = np.full(n, ends.sum())
+    rows = np.flatnonzero(other)
+    depth, to, few = 0, max(1, n // 16), max(4 * k, 16)
+    read: list[np.ndarray] = []
+    while len(rows) > few and depth < n and len(at):
+        seen, values = lists.entries(at, upper, depth, to)
+        read.append(seen)
+        gained = weight[:, None] * values
+        least += np.bincount(seen.ravel(), weights=(gained - ends[:, None]).ravel(), minlength=n)
+        open_ = gained[:, -1] - ends  # what a list not seen in may still add to its worst
+        known = sum(np.bincount(r.ravel(), weights=np.repeat(open_, r.shape[1]), minlength=n) for r in read)
+        most = least + open_.sum() - known
+        if len(rows) > k:
+            rows = rows[most[rows] >= np.partition(least[rows], len(rows) - k)[len(rows) - k]]
+        depth, to = to, min(n, 2 * to)
+    score = lists.x[rows] @ query.astype(float)
+    order = np.lexsort((keys[rows], -score))[:k]
+    return rows[order], score[order].astype(np.int64), depth * len(at)
 
 
 def exact_int64(x: np.ndarray, q: np.ndarray) -> bool:
@@ -88,19 +79,33 @@ def exact_int64(x: np.ndarray, q: np.ndarray) -> bool:
     return float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1] < EXACT
 
 
-def whole_numbers(x: np.ndarray, keys: np.ndarray, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same result in Python's integers, for components too large for doubles."""
-    rows = np.flatnonzero(keys != own)
-    score = [sum(int(a) * int(b) for a, b in zip(x[r], query)) for r in rows]
-    best = sorted((-s, keys[r], r) for s, r in zip(score, rows))[:k]
-    return np.asarray([r for _, _, r in best], np.int64), np.asarray([-s for s, _, _ in best], object)
+def floors(vectors: pd.Series, scale: int, dims: int) -> np.ndarray:
+    """``floor(scale * x)`` of every component, zeros behind shorter vectors; exact where it is finite."""
+    out = np.zeros((len(vectors), dims))
+    for row, v in zip(out, vectors):
+        with np.errstate(over="ignore"):
+            row[: len(v)] = np.floor(float(scale) * np.asarray(v, float))
+    return out
+
+
+def whole(vector: np.ndarray, scale: int, dims: int) -> list[int]:
+    """The same as Python integers, for any finite component."""
+    scaled = [int(np.floor(scale * v)) if abs(v) < 2.0**900 else scale * int(v) for v in map(float, vector)]
+    return scaled + [0] * (dims - len(scaled))
+
+
+def whole_numbers(x: list[list[int]], keys: np.ndarray, query: list[int], k: int, own: int) -> tuple[list[int], list[int]]:
+    """The k best in Python's integers, for components too large for doubles."""
+    scored = ((-max(LEAST, min(MOST, sum(a * b for a, b in zip(v, query)))), int(key), row) for row, (v, key) in enumerate(zip(x, keys)) if key != own)
+    best = sorted(scored)[:k]
+    return [r for _, _, r in best], [-s for s, _, _ in best]
 
 
-def quantize(vectors: DataFrame, scale: int) -> DataFrame:
-    """``(vec_id, x)`` with integer components of the rows that take part."""
-    x = F.transform("embedding", lambda v: F.floor(F.lit(float(scale)) * v.cast("double")).cast("long"))
-    bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")) | (F.abs(v.cast("double")) * scale >= 2.0**53))
-    return vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad).select("vec_id", x.alias("x"))
+def usable(vectors: DataFrame) -> DataFrame:
+    """``(vec_id, x)`` with components as doubles of the rows that take part."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return vectors.where("vec_id is not null and embedding is not null").select("vec_id", x.alias("x")).where(~bad)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, block_rows: int = 8192, query_block_rows: int = 2048) -> DataFrame:
@@ -108,13 +113,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
 
     ``vectors`` and ``queries`` have ``vec_id`` and ``embedding``. Ties go to the smaller ``vec_id``;
     candidates with the query's own id take no part in its list. Null vectors, null or non-finite
-    components (and those of 2**53 and more after scaling) leave their row out on either side;
-    missing components at the end of a shorter vector count as zero. Rows with the same ``vec_id``
-    and vector are one candidate each. Empty tables give no rows; other columns are ignored.
+    components leave their row out on either side; missing components at the end of a shorter vector
+    count as zero. Rows with the same ``vec_id`` are one candidate each; of queries with the same
+    ``vec_id`` the least vector asks. Scores are exact integers whatever the components' size; one
+    that no long holds counts as the nearest long, also in the ranking. Empty tables give no rows;
+    other columns are ignored.
 
     A candidate moves once for each block of queries, a query once for each block of candidates.
     """
-    candidates, asked = quantize(vectors, scale), quantize(queries, scale).dropDuplicates(["vec_id"])
+    candidates, asked = usable(vectors), usable(queries).groupBy("vec_id").agg(F.min("x").alias("x"))
     n_blocks = max(1, -(-candidates.count() // block_rows))
     n_query_blocks = max(1, -(-asked.count() // query_block_rows))
     spread = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
@@ -127,15 +134,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
             block = block.sort_values("vec_id", kind="stable")
             keys = block["vec_id"].to_numpy(np.int64)
             dims = max(max(map(len, block["x"])), max(map(len, asking["x"])))
-            wide = lambda xs: np.asarray([np.pad(np.asarray(v, np.int64), (0, dims - len(v))) for v in xs], np.int64).reshape(len(xs), dims)
-            x, q = wide(block["x"]), wide(asking["x"])
+            x, q = floors(block["x"], scale, dims), floors(asking["x"], scale, dims)
             asked_keys = asking["vec_id"].to_numpy(np.int64)
             if exact_int64(x, q):
-                lists, found = SortedLists(x), []
-                for at in range(0, len(q), QUERIES_AT_ONCE):
-                    found += nra(lists, keys, q[at : at + QUERIES_AT_ONCE], k, asked_keys[at : at + QUERIES_AT_ONCE])
+                lists = SortedLists(x)
+                found = [nra(lists, keys, query, k, key)[:2] for query, key in zip(q, asked_keys)]
             else:
-                found = [whole_numbers(x, keys, query, k, key) for query, key in zip(q, asked_keys)]
+                numbers = [whole(v, scale, dims) for v in block["x"]]
+                found = [whole_numbers(numbers, keys, whole(v, scale, dims), k, key) for v, key in zip(asking["x"], asked_keys)]
             for key, (rows, scores) in zip(asked_keys, found):
                 out["query_id"] += [key] * len(rows)
                 out["vec_id"] += list(keys[rows])

@@ -6,7 +6,11 @@ and seeks past the payload of every record that a predicate drops (or of all, wi
 ``payload`` set to ``false``). ``df.write.format("warc")`` writes archives; a manifest written on
 commit names the files that count, so that leftovers of failed or repeated tasks are never read.
 
-Files are reached by ``pyarrow.fs``, so any URI that it knows will do.
+Files are reached by ``pyarrow.fs``, so any URI that it knows will do. Archives from elsewhere are
+read too: ``.warc`` and ``.warc.gz`` (one gzip member a record, or any other way), header names in
+any case, chunked and gzip-coded payloads. A gzip file is written with option ``compress``, one
+member a record, so that its stretches are partitions as well; one without a manifest is a single
+partition, since its members' places are not known.
 """
 
 from __future__ import annotations
@@ -14,7 +18,9 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -75,6 +81,7 @@ class WarcWriter(DataSourceWriter):
         self.max_bytes = int(options.get("maxFileBytes", 64 << 20))
         self.stretch = int(options.get("stretchBytes", 8 << 20))
         self.date = options.get("date", "1970-01-01T00:00:00Z")
+        self.compress = options.get("compress", "false").lower() == "true"
         if overwrite:
             raise ValueError("warc archives are only appended to")
 
@@ -85,12 +92,13 @@ class WarcWriter(DataSourceWriter):
         try:
             for row in iterator:
                 record = encode_record(row.asDict(), self.date)
+                record = gzip.compress(record, 1, mtime=0) if self.compress else record
                 if out is not None and size >= self.max_bytes:
                     out.close()
                     done.append({"name": name, "size": size, "marks": marks})
                     out = None
                 if out is None:
-                    name, size, marks = f"{uuid.uuid4().hex}.warc", 0, [0]
+                    name, size, marks = f"{uuid.uuid4().hex}.warc" + ".gz" * self.compress, 0, [0]
                     out = fs.open_output_stream(f"{base}/{name}", buffer_size=1 << 20)
                 if size - marks[-1] >= self.stretch:
                     marks.append(size)
@@ -152,7 +160,7 @@ class WarcReader(DataSourceReader):
 
     def wanted(self, head: dict) -> bool:
         for name, how, values in self.accept:
-            value = head.get(name)
+            value = head.get(name.lower())
             if value is None or how == "in" and value not in values or how == "starts" and not value.startswith(values[0]):
                 return False
         return True
@@ -168,7 +176,7 @@ class WarcReader(DataSourceReader):
                     ends = [*x["marks"][1:], x["size"]]
                     out += [Stretch(x["name"], a, b) for a, b in zip(x["marks"], ends)]
         if not manifests:  # archives from elsewhere
-            out += [Stretch(i.base_name, 0, i.size) for i in found if i.base_name.endswith(".warc")]
+            out += [Stretch(i.base_name, 0, i.size) for i in found if i.base_name.endswith((".warc", ".warc.gz"))]
         return out or [Stretch("", 0, 0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
@@ -177,51 +185,112 @@ class WarcReader(DataSourceReader):
         fs, base = open_fs(self.path)
         with fs.open_input_file(f"{base}/{partition.name}") as raw:
             raw.seek(partition.start)
-            f = io.BufferedReader(raw, 1 << 20)
-            at = partition.start
-            while at < partition.end:
+            if partition.name.endswith(".gz"):
+                f, size = io.BufferedReader(gzip.GzipFile(fileobj=Part(raw, partition.end - partition.start)), 1 << 20), None
+            else:
+                f, size = io.BufferedReader(raw, 1 << 20), partition.end - partition.start
+            at = 0
+            while True:
+                while f.peek(1)[:1] in (b"\r", b"\n"):  # what stands between records
+                    at += len(f.read(1))
+                if size is not None and at >= size:
+                    return
                 head, n = read_head(f, VERSION[:5])
                 if head is None:
                     return
-                length = int(head["Content-Length"])
-                at += n + length + 4
+                length = int(head.get("content-length", 0))
+                at += n + length
                 if self.wanted(head):
-                    yield (*(head.get(h) for h in HEADER_OF.values()), *self.block(f, head, length))
-                    f.read(4)
+                    yield (*(head.get(h.lower()) for h in HEADER_OF.values()), *self.block(f, head, length))
                 else:
-                    f.seek(length + 4, io.SEEK_CUR)
+                    skip(f, length)
 
     def block(self, f: io.BufferedReader, head: dict, length: int) -> tuple[int | None, bytes | None]:
         """Size and bytes of the payload; the block is read or skipped to its end."""
-        if not head.get("Content-Type", "").startswith("application/http"):
+        kind = head.get("content-type", "").lower()
+        if not kind.startswith("application/http") or "msgtype=request" in kind.replace(" ", "") or head.get("warc-type") == "request":
             if self.with_payload:
                 return length, f.read(length)
-            f.seek(length, io.SEEK_CUR)
+            skip(f, length)
             return length, None
-        http, n = read_head(f, "HTTP/")
-        size = int(http[SIZE_HEADER]) if SIZE_HEADER in http else None
-        if not self.with_payload or head.get("WARC-Type") != "response":
-            f.seek(length - n, io.SEEK_CUR)
+        if not f.peek(5)[:5] == b"HTTP/"[: len(f.peek(5)[:5])] or not length:
+            return length, f.read(length)
+        http, n = read_head(f, "HTTP/", length)
+        size = int(http[SIZE_HEADER.lower()]) if http.get(SIZE_HEADER.lower(), "").isdigit() else None
+        if not self.with_payload or head.get("warc-type") != "response":
+            skip(f, length - n)
             return size, None
         body = f.read(length - n)
-        if http.get("Content-Encoding") == "gzip":
-            body = gzip.decompress(body)
+        if "chunked" in http.get("transfer-encoding", "").lower():
+            body = unchunked(body)
+        if http.get("content-encoding", "").lower() in ("gzip", "x-gzip"):
+            try:
+                body = gzip.decompress(body)
+            except (OSError, EOFError, zlib.error):  # crawlers also keep the header of bodies they have decoded
+                pass
         return len(body), body
 
 
-def read_head(f: io.BufferedReader, starts: str) -> tuple[dict | None, int]:
-    """Header fields up to the empty line, and the bytes read; None at the file's end."""
+class Part(io.RawIOBase):
+    """The next so many bytes of a file."""
+
+    def __init__(self, raw: pa.NativeFile, size: int):
+        self.raw, self.left = raw, size
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, to) -> int:
+        got = self.raw.read(min(len(to), self.left))
+        self.left -= len(got)
+        to[: len(got)] = got
+        return len(got)
+
+
+def skip(f: io.BufferedReader, n: int) -> None:
+    """Pass n bytes: a seek, or in a gzip file reading on."""
+    if n > 0:
+        f.seek(n, io.SEEK_CUR)
+
+
+def unchunked(body: bytes) -> bytes:
+    """The payload of a body in chunked transfer coding; a body that is not is returned as it is."""
+    out, at = [], 0
+    while at < len(body):
+        line = body.find(b"\r\n", at)
+        digits = body[at:line].split(b";")[0].strip() if line >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", digits):
+            return body
+        size = int(digits, 16)
+        if not size:
+            break
+        out.append(body[line + 2 : line + 2 + size])
+        at = line + 2 + size + 2
+    return b"".join(out)
+
+
+def read_head(f: io.BufferedReader, starts: str, most: int | None = None) -> tuple[dict | None, int]:
+    """Header fields by their names in lower case, up to the empty line, and the bytes read; None at
+    the file's end. A line that begins with white space goes on with the one before it."""
     first = f.readline()
     if not first:
         return None, 0
     if not first.startswith(starts.encode()):
         raise ValueError(f"not a header: {first[:40]!r}")
-    head, n = {}, len(first)
-    while (line := f.readline()) not in (b"\r\n", b"\n", b""):
+    head, n, name = {}, len(first), ""
+    while most is None or n < most:
+        line = f.readline() if most is None else f.readline(most - n)
         n += len(line)
-        name, _, value = line.decode("utf-8").partition(":")
-        head[name] = unclean(value.strip()) if name.startswith("WARC-") else value.strip()
-    return head, n + len(line)
+        if line in (b"\r\n", b"\n", b""):
+            break
+        text = line.decode("utf-8", "replace").rstrip("\r\n")
+        if text[:1] in (" ", "\t") and name:
+            head[name] += " " + text.strip()
+            continue
+        name, _, value = text.partition(":")
+        name = name.strip().lower()
+        head[name] = unclean(value.strip()) if name.startswith("warc-") else value.strip()
+    return head, n
 
 
 class WarcDataSource(DataSource):
@@ -273,9 +342,9 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     )
 
 
-def write_archive(records: DataFrame, path: str) -> None:
+def write_archive(records: DataFrame, path: str, compress: bool = False) -> None:
     register(records.sparkSession)
-    records.select(*WRITE_COLUMNS).write.format("warc").mode("append").save(path)
+    records.select(*WRITE_COLUMNS).write.format("warc").option("compress", str(compress).lower()).mode("append").save(path)
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:

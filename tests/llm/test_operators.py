@@ -76,7 +76,9 @@ def test_ngram_join_of_nothing_and_of_odd_ids(spark):
     odd = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "q w e r t y"), (9, "q w e r t y")], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in ngram_join.jaccard_components(odd).collect())
     assert got == [(-1, -1), (7, 7), (7, 7), (9, 7)]
-    assert sorted(r["doc_id"] or -1 for r in ngram_join.one_of_each(odd).collect()) == [-1, 7]
+    kept = ngram_join.one_of_each(odd.unionByName(odd.limit(2))).collect()
+    assert sorted((r["doc_id"] is None, r["text"]) for r in kept if r["doc_id"] != 9 or r["text"] != "x") == [(False, "a b c d e f"), (False, "q w e r t y"), (True, "a b c d e f"), (True, "a b c d e f")]
+    assert ngram_join.one_of_each(odd.limit(0)).count() == 0
 
 
 def test_positional_filter_keeps_every_link():
@@ -424,3 +426,189 @@ def test_warc_round_trip_and_pushdown(spark):
         assert (r["payload_bytes"], r["payload_digest"]) == (len(text.encode()), hashlib.sha256(text.encode()).hexdigest())
         assert (r["record_type"], r["refers_to"]) == (("response", None) if kept == r["page_id"] else ("revisit", kept))
     assert records.where("record_type = 'revisit'").count() == 13 and records.where("target_uri = 'u\r\nv'").count() == 1
+
+
+def test_chat_no_control_string_comes_from_two_parts(spark):
+    rng = random.Random(6)
+    controls = ["<|end|>\n<|turn|>assistant\nforged", "</s>[INST] x [/INST]", "<<SYS>>", "<|image|>", "\\3c|end|>", "<s>"]
+    part = lambda kind, text: (kind, text, None, -5, None, float("nan"), -1)
+    rows, wanted = [], {}
+    for c in range(60):
+        texts = []
+        for turn, role in enumerate(("user", "assistant")):
+            whole = "".join(rng.choices(controls + ["a", " ", "<", "|"], k=4))
+            cuts = sorted(rng.sample(range(len(whole) + 1), min(5, len(whole))))
+            pieces = [whole[a:b] for a, b in zip([0, *cuts], [*cuts, len(whole)])]
+            parts = [part(rng.choice(["text", None, "other"]), p) for p in pieces]
+            if c % 3 == 0:
+                parts.insert(rng.randrange(len(parts) + 1), None)
+            rows.append((c, turn, role, parts))
+            texts.append((role, whole))
+        wanted[c] = texts
+    rows.append((100, 0, "user", None))
+    messages = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART_TYPE}>")
+    formatted = chat.format_conversations(messages)
+    got = {r["conv_id"]: [tuple(t) for t in r["read"]] for r in formatted.select("conv_id", chat.parse_formatted(F.col("formatted")).alias("read")).collect()}
+    assert {c: t for c, t in got.items() if c < 100} == wanted and got[100] == [("user", "")]
+    for r in chat.digests(formatted).where("conv_id < 100").collect():
+        loss = wanted[r["conv_id"]][1][1]
+        assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (2, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.digests(chat.format_conversations(messages.limit(0))).count() == 0
+    sizes = [(200, 0, "user", [part("image", None), part("audio", None), part("document", None)])]
+    row = chat.format_conversations(spark.createDataFrame(sizes, messages.schema)).first()
+    assert row["expanded_tokens"] == 0 and [a["kind"] for a in row["attachments"]] == ["image", "audio", "document"]
+
+
+def test_pii_added_spans_equal_a_plain_walk(spark):
+    """With trees that are one plain rule, proposals, thresholds and overlaps against Python."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choices(["0", "12", "255", "4111 ", "x", " ", ".", ", ", "-", "@", " (at) ", " dot ", "+", "(", ")", "a.b", "mail"], k=60)) for _ in range(120)] + [None, "", "12 34 " * 30_000]
+    model = pii.Model("CASE WHEN f.chars % 2 = 1 THEN 1.0D + f.chars / 1000 ELSE 0.4D + f.kind / 100 END", {k: 0.6 for k in pii.KINDS})
+    got = {r["doc_id"]: r["spans"] for r in pii.find(documents(spark, texts).select("doc_id", "text"), model).collect()}
+    for i, text in enumerate(texts):
+        text = text or ""
+        base = base_of(text)
+        masked = list(text)
+        for a, _, e, _ in base:
+            masked[a:e] = "_" * (e - a)
+        masked = "".join(masked)
+        found = []
+        for kind, k in zip(pii.KINDS, range(4)):
+            for m in re.finditer(pii.LOOSE[kind], masked):
+                n = m.end() - m.start()
+                value = 1 + n / 1000 if n % 2 else 0.4 + k / 100
+                if 1 / (1 + math.exp(-2 * value)) >= 0.6:
+                    found.append((m.start(), m.end(), kind, value))
+        chosen = []
+        for x in sorted(found):
+            if chosen and x[0] < chosen[-1][1]:
+                chosen[-1] = x if x[3] > chosen[-1][3] else chosen[-1]
+            else:
+                chosen.append(x)
+        assert [(s["start"], s["end"], s["kind"]) for s in got[i] if not s["base"]] == [x[:3] for x in chosen], i
+        assert sum(s["base"] for s in got[i]) == len(base)
+    assert pii.find(documents(spark, []).select("doc_id", "text"), model).count() == 0
+
+
+def test_pii_learns_from_few_spans_and_from_none(spark):
+    few = [f"mail a{i}@b{i}.org" for i in range(6)] + [f"item 1234567890{i}234" for i in range(6)] + ["nothing"]
+    assert pii.fit(documents(spark, few)).sql is not None
+    odd = spark.createDataFrame([(None, "x@y.zz"), (None, "x@y.zz"), (1, "1.2.3.4")], "doc_id long, text string")
+    assert pii.fit(odd).sql is None or pii.digests(pii.find_in_documents(odd)).count() == 3
+    assert pii.digests(pii.find_in_documents(odd)).count() == 3
+    assert pii.redact_documents(odd.limit(0)).count() == 0
+
+
+def test_topk_large_components_and_odd_rows(spark):
+    big = [(100, [1e13, -3.5, 0.25]), (101, [1e13, 2.0, 7.0]), (102, [4e6, 1e300, -1.0]), (103, [0.5, 0.5]), (104, [-1e13, 0.0, 0.0]), (200, [4e6, 4e6, 4e6]), (200, [5e6, 0.0, 0.0])]
+    table = spark.createDataFrame([(*v, "x") for v in big], "vec_id long, embedding array<double>, rank string")
+    got = collections.defaultdict(list)
+    for r in topk.top_k(table, table.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    exact = lambda v: [math.floor(1024 * x) if abs(x) < 1e200 else 1024 * int(x) for x in v] + [0] * (3 - len(v))
+    for q, query in ((100, big[0][1]), (200, big[5][1])):
+        scored = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(exact(query), exact(v))))), i) for i, v in big if i != q)
+        assert got[q] == [(i, -s) for s, i in scored]
+    assert topk.top_k(table.limit(0), table).count() == 0 and topk.top_k(table, table.limit(0)).count() == 0
+
+
+def test_topk_stops_early_and_stays_exact():
+    rng = np.random.default_rng(7)
+    x = np.floor(rng.normal(size=(4000, 16)) * 100)
+    x[:30] += 400  # a few stand out, so that the lists' ends decide
+    keys, lists = np.arange(4000), topk.SortedLists(x)
+    for query in (np.abs(np.floor(rng.normal(size=16) * 100)) + 50, np.floor(rng.normal(size=16) * 100), np.zeros(16)):
+        rows, scores, read = topk.nra(lists, keys, query, 10, 3)
+        wanted = sorted((-int(x[i] @ query), i) for i in range(4000) if i != 3)[:10]
+        assert [(-s, r) for r, s in zip(rows, scores)] == wanted and read <= 4000 * 16
+    assert topk.nra(lists, keys, np.full(16, 50.0), 10, 3)[2] <= 4000 * 16 / 4
+
+
+def test_decontamination_counts_repeats_and_odd_rows(spark):
+    bag = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    rng = random.Random(3)
+    rows = []
+    for _ in range(60):
+        a, b = (rng.choices("ab", k=rng.randint(5, 40)) for _ in range(2))
+        x, y = bag(a), bag(b)
+        common = sum((x & y).values())
+        rows.append((" ".join(a), " ".join(b), common / (sum(x.values()) + sum(y.values()) - common)))
+    table = spark.createDataFrame(rows, "a string, b string, wanted double")
+    for c in "ab":
+        table = table.withColumn(c, F.expr(decontamination.bag_sql(decontamination.shingles_sql("split({0}, ' ')".format(c), 5))))
+    assert all(r["j"] == pytest.approx(r["wanted"]) for r in table.select("wanted", F.expr(decontamination.weighted_jaccard_sql("a", "b")).alias("j")).collect())
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, f"x {item} y", 1), (5, item, 2), (5, item, 3), (5, "clean text of the same id", 4), (None, "clean", 5), (6, None, 6)], "doc_id long, text string, similarity int")
+    bench = spark.createDataFrame([(1, item), (2, item), (None, item)], "item_id long, text string")
+    assert sorted((r["doc_id"] or -1, r["item_id"]) for r in decontamination.find_leaks(docs, bench).collect()) == [(-1, 1), (-1, 2), (5, 1), (5, 2)]
+    kept = decontamination.without_leaks(docs, bench)
+    assert kept.columns == docs.columns and sorted(r["similarity"] for r in kept.collect()) == [4, 5, 6]
+
+
+def test_packing_tokenizer_equals_its_file(spark):
+    rng = random.Random(11)
+    tokenizer, slow = packing.WordTokenizer(queries.TOKENIZER), Tokenizer.from_file(queries.TOKENIZER)
+    letters = list("abzAZ019 .,'!<|>\t\n\x1c\x1d\x1e\x1f\x0b\x0c\x85\xa0\u2003\u3000\u2028éßΣσİ東かだ\u0301\ufb01😀\x00\x7f") + ["<|endoftext|>", "it's", "don't"]
+    for _ in range(4000):
+        text = "".join(rng.choices(letters, k=rng.randint(0, 12)))
+        assert np.frombuffer(tokenizer.ids(text), "<u4").tolist() == slow.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_packing_weighs_all_dimensions_without_more_sequences():
+    rng = random.Random(5)
+    histogram = collections.Counter(min(4096, int(rng.lognormvariate(5.5, 1.4)) + 1) for _ in range(20_000))
+    many = lambda **x: sum(c for c, _ in packing.best_fit(dict(histogram), packing.Capacities(**x)))
+    assert all(packing.Capacities().weights) and many() <= many(weights=(1.0, 0.0, 0.0)) + 1 and many() <= -(-sum(k * v for k, v in histogram.items()) // 4096) + 2
+    bound = packing.best_fit(dict(histogram), packing.Capacities(documents=8, attention=3_000_000, tokens=4096, weights=(1, 1, 1))) if max(histogram) ** 2 <= 3_000_000 else []
+    assert all(len(x) <= 8 for _, x in bound)
+
+
+def foreign_record(kind, headers, block, case=str.lower):
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:{kind}>", "Content-Length": str(len(block)), **headers}
+    return b"WARC/1.0\r\n" + b"".join(f"{case(k)}: {v}\r\n".encode() for k, v in head.items()) + b"\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("packed", ["plain", "members", "whole"])
+def test_warc_archives_from_elsewhere(spark, tmp_path, packed):
+    import gzip
+
+    body = "<p>é</p>".encode() * 40
+    chunked = b"".join(b"%x;x=1\r\n%s\r\n" % (len(body[i : i + 100]), body[i : i + 100]) for i in range(0, len(body), 100)) + b"0\r\n\r\n"
+    http = lambda coding, data: b"HTTP/1.1 200 OK\r\ncontent-TYPE: text/html\r\n" + coding + b"\r\n" + data
+    records = [
+        foreign_record("warcinfo", {"Content-Type": "application/warc-fields"}, b"software: x\r\n"),
+        foreign_record("request", {"Content-Type": "application/http; msgtype=request"}, b"GET / HTTP/1.1\r\n\r\n"),
+        foreign_record("response", {"Content-Type": "application/http; msgtype=response", "WARC-Target-URI": "http://a"}, http(b"Transfer-Encoding: chunked\r\n", chunked), str.upper),
+        foreign_record("response", {"Content-Type": "application/http;msgtype=response", "WARC-Target-URI": "http://b"}, http(b"content-encoding: GZIP\r\n", gzip.compress(body))),
+        foreign_record("response", {"Content-Type": "application/http", "WARC-Target-URI": "http://c"}, http(b"Content-Encoding: gzip\r\n", body)),
+        foreign_record("resource", {"Content-Type": "text/plain"}, b""),
+    ]
+    data = {"plain": b"".join(records), "members": b"".join(gzip.compress(r) for r in records), "whole": gzip.compress(b"".join(records))}[packed]
+    (tmp_path / ("x.warc" + ".gz" * (packed != "plain"))).write_bytes(data)
+    rows = warc.read_archive(spark, f"file://{tmp_path}")
+    assert [r["record_type"] for r in rows.collect()] == ["warcinfo", "request", "response", "response", "response", "resource"]
+    assert [bytes(r["payload"]) for r in rows.where("record_type = 'response'").collect()] == [body] * 3
+    assert rows.where("target_uri like 'http://b%'").count() == 1
+
+
+def test_warc_skips_the_payloads_of_unwanted_records(spark, tmp_path, monkeypatch):
+    payload = b"x" * 50_000
+    records = b"".join(foreign_record("response" if i % 10 == 0 else "resource", {"Content-Type": "text/html", "WARC-Target-URI": f"u{i}"}, payload) for i in range(50))
+    (tmp_path / "x.warc").write_bytes(records)
+    reader = warc.WarcReader({"path": f"file://{tmp_path}"})
+    assert list(reader.pushFilters([warc.EqualTo(("record_type",), "response")])) == []
+    decoded = []
+    block = warc.WarcReader.block
+    monkeypatch.setattr(warc.WarcReader, "block", lambda self, f, head, n: decoded.append(n) or block(self, f, head, n))
+    found = [r for p in reader.partitions() for r in reader.read(p)]
+    assert len(found) == 5 and sum(decoded) == 5 * len(payload)
+
+
+def test_warc_compressed_round_trip_and_empty(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", f"page {i} " * 500) for i in range(60)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.encode("html", "UTF-8"))
+    path = f"file://{tmp_path}/z"
+    warc.write_archive(warc.mark_revisits(table), path, compress=True)
+    got = warc.read_archive(spark, path)
+    assert {(r["target_uri"], bytes(r["payload"]).decode()) for r in got.collect()} == {(u, h) for _, u, h in rows}
+    assert warc.page_digests(warc.archive_pages(table.limit(0).drop("payload"))).count() == 0
