@@ -1,37 +1,45 @@
-"""The corpus pipeline: stages that each call one operator, over the table of documents."""
+"""The corpus pipeline: stages that each call one operator, over the table of documents.
+
+Every stage keeps all columns but the last, takes empty tables, and lets the driver give back what
+the plans of the stage before it held.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from seekstone.llm import decontamination, ngram_join, packing, pii, queries, toxicity
-from seekstone.shared import stage
+from seekstone.shared import release, stage
 from seekstone.sources.tables import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the string-kernel machine rejects go."""
+    """Documents that the string-kernel machine rejects go; null and empty texts stay."""
+    release(spark)
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id stays."""
+    """Of each group of near copies, the document with the smallest id stays; null ids and empty texts stay."""
+    release(spark)
     return ngram_join.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(stage(leaks, "leaks"), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item go, each by its own text, null ids too."""
+    release(spark)
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind."""
+    """Personal data in the texts is replaced by its kind; no row goes, and null texts become empty."""
+    release(spark)
     return pii.redact_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing of all documents that are left."""
+    """Best-fit packing of all documents that are left, repeated and empty ones too."""
+    release(spark)
     return packing.pack_documents(docs, queries.TOKENIZER)
 
 
