@@ -89,19 +89,25 @@ def fuzzy_budget(query: Column) -> Column:
 
 
 def fuzzy_score(query: Column, word: Column) -> Column:
-    """400 for one edit, 280 for two within the budget, else null; lengths decide first."""
-    near = F.abs(F.length(query) - F.length(word)) <= fuzzy_budget(query)
+    """400 for one edit, 280 for two within the budget, else null; lengths and letters decide first."""
+    budget = fuzzy_budget(query)
+    strange = F.size(F.filter(F.split(query, ""), lambda ch: ~F.contains(word, ch)))
+    near = (F.abs(F.length(query) - F.length(word)) <= budget) & (strange <= budget)
     d = F.when(near, osa_distance(query, word))
-    return F.when((d > 0) & (d <= fuzzy_budget(query)), F.when(d == 1, 400).when(d == 2, 280))
+    return F.when((d > 0) & (d <= budget), F.when(d == 1, 400).when(d == 2, 280))
 
 
-def contains_cjk(text: Column) -> Column:
-    return F.rlike(text, F.lit("[\\u3400-\\u4dbf\\u4e00-\\u9fff]"))
+CJK, CJK_WEB = "\\u3400-\\u4dbf\\u4e00-\\u9fff", "\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff\\u3000-\\u303f"
+
+
+def contains_cjk(text: Column, web: bool = False) -> Column:
+    """Whether a text holds a Chinese character; on the web also compatibility forms and punctuation."""
+    return F.rlike(text, F.lit(f"[{CJK_WEB if web else CJK}]"))
 
 
 def script_parts(text: Column) -> Column:
     """Runs of CJK characters and of ASCII letters and digits, in order."""
-    return F.regexp_extract_all(text, F.lit("([\\u3400-\\u4dbf\\u4e00-\\u9fff]+|[A-Za-z0-9]+)"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(f"([{CJK}]+|[A-Za-z0-9]+)"), F.lit(1))
 
 
 def hash_id(*parts: Column) -> Column:
@@ -116,10 +122,22 @@ def percent_encode(text: Column) -> Column:
     return reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), steps, F.url_encode(text))
 
 
+#: Where a search goes without a template: Chinese texts, all others (fixed values).
+CHINESE_ENGINE, OTHER_ENGINE = "https://www.baidu.com/s?wd=", "https://www.bing.com/search?q="
+
+
 def search_url(template: Column, query: Column) -> Column:
-    """The query put in place of ``{searchTerms}`` or ``%s``, else behind the template."""
+    """The query put in place of ``{searchTerms}`` or ``%s``, else behind the template; without a
+    template the engine goes by the query's script."""
     q = percent_encode(query)
-    return F.when(F.contains(template, F.lit("{searchTerms}")), F.replace(template, F.lit("{searchTerms}"), q)).when(F.contains(template, F.lit("%s")), F.replace(template, F.lit("%s"), q)).otherwise(F.concat(template, q))
+    put = F.when(F.contains(template, F.lit("{searchTerms}")), F.replace(template, F.lit("{searchTerms}"), q)).when(F.contains(template, F.lit("%s")), F.replace(template, F.lit("%s"), q)).otherwise(F.concat(template, q))
+    return F.when(template.isNull() | (F.trim(template) == ""), F.concat(F.when(contains_cjk(query, True), CHINESE_ENGINE).otherwise(OTHER_ENGINE), q)).otherwise(put)
+
+
+def valid_template(template: Column) -> Column:
+    """Whether a search template is a web address that has a place for the query or takes it at its end."""
+    t = F.trim(template)
+    return F.coalesce(F.rlike(t, F.lit(r"^(?i)https?://[^\s/]+(/\S*)?$")) & (F.contains(t, F.lit("{searchTerms}")) | F.contains(t, F.lit("%s")) | F.rlike(t, F.lit(r"[=/]$"))), F.lit(False))
 
 
 def normalize_url(text: Column) -> Column:
@@ -151,15 +169,128 @@ def under(path: Column, folder: Column) -> Column:
     return (p == f) | F.startswith(p, F.concat(f, F.lit("\\")))
 
 
+def stem(path: Column) -> Column:
+    """The name without what stands behind its last dot; a dot at the start is part of the name."""
+    return F.regexp_replace(basename(path), r"(?<=.)[.][^.]*$", "")
+
+
+def parent(path: Column) -> Column:
+    """What stands before the last separator; null without one."""
+    return F.when(F.rlike(path, F.lit(r"[\\/]")), F.regexp_replace(path, r"[\\/][^\\/]*$", ""))
+
+
+def replaced_prefix(path: Column, old: Column, new: Column) -> Column:
+    """A path at or below ``old`` moved to ``new``; any other as it is."""
+    return F.when(under(path, old), F.concat(new, F.substr(path, F.length(F.rtrim(F.translate(old, "/", "\\"), F.lit("\\"))) + 1))).otherwise(path)
+
+
+def shell_body(target: Column) -> Column:
+    """A target without a leading ``shell:AppsFolder``."""
+    return F.regexp_replace(target, r"(?i)^shell:appsfolder\\?", "")
+
+
+def is_shell_package(target: Column) -> Column:
+    """A packaged program: an apps-folder target that is no path."""
+    return F.rlike(F.trim(target), F.lit(r"(?i)^shell:appsfolder")) & ~F.rlike(shell_body(F.trim(target)), F.lit(r"[\\/]"))
+
+
+#: Names of folders that lie within an installation (fixed values).
+INNER_FOLDERS = "bin bin32 bin64 x86 x64 win32 win64 program programs app apps office6 office5 utility uninstall uninst".split()
+
+
+def install_root(target: Column) -> Column:
+    """The installation's folder: above version numbers and folders that only divide it; null for a
+    target that is no path."""
+    body = shell_body(F.trim(target))
+    inner = rf"(?i)[\\/](?:(?=[0-9.]*[0-9])(?=[0-9.]*[.])[0-9.]+|office[0-9]*|{'|'.join(INNER_FOLDERS)})$"
+    folder = parent(body)
+    climbed = F.regexp_replace(folder, rf"(?:{inner[:-1].replace('(?i)', '')})+$".replace("(?:", "(?i)(?:", 1), "")
+    return F.when(folder.isNotNull(), path_key(climbed))
+
+
+def launch_identity(target: Column, args: Column) -> Column:
+    """What is started and how: the target's key without the apps-folder prefix, and the arguments."""
+    return F.concat(path_key(shell_body(F.trim(target))), F.lit("\x1f"), F.trim(F.coalesce(args, F.lit(""))))
+
+
+def stable_item_id(target: Column, args: Column) -> Column:
+    return hash_id(path_key(target), F.coalesce(args, F.lit("")))
+
+
+def legacy_item_id(target: Column, args: Column, source: Column) -> Column:
+    return hash_id(path_key(target), F.coalesce(args, F.lit("")), source)
+
+
 def family_key(name: Column) -> Column:
-    """Lower case, without closing brackets' contents, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"\s*[(\[][^)\]]*[)\]]\s*$", ""), r"\s+", " "))
+    """Lower case, without a bracket's contents at the end, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.lower(name)), r"(\([^(\[]*\)|\[[^(\[]*\])$", ""), r"(?U)\s+", " "))
 
 
-def arguments_equal(a: Column, b: Column) -> Column:
-    """Whether two argument strings are the same but for ``/from=`` tokens."""
+def stem_names_family(target: Column, name: Column) -> Column:
+    """Whether a program's file name is another row's family or its first word (three letters at least)."""
+    s, family = F.lower(stem(shell_body(target))), family_key(name)
+    return F.coalesce((F.octet_length(s) >= 3) & ~F.contains(s, F.lit(" ")) & ((family == s) | F.startswith(family, F.concat(s, F.lit(" ")))), F.lit(False))
+
+
+def stem_begins_name(target: Column, name: Column) -> Column:
+    """Whether a name's letters and digits begin with a program's file name (three letters at least)."""
+    s, plain = F.lower(stem(shell_body(target))), F.regexp_replace(normalize(name), "[^A-Za-z0-9]", "")
+    return F.coalesce((F.octet_length(s) >= 3) & (plain != "") & F.startswith(plain, s), F.lit(False))
+
+
+def direct_path(text: Column) -> Column:
+    """The absolute drive or network path that a text is, without one pair of quotes; else null."""
+    t = F.trim(text)
+    value = F.when(F.rlike(t, F.lit('^".*"$')) & (F.length(t) >= 2), F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+    wrong = (value == "") | F.rlike(value, F.lit('[\\x00\\r\\n"]')) | F.rlike(value, F.lit(r"^\\\\[?.]\\"))
+    drive, share = F.rlike(value, F.lit(r"^[A-Za-z]:[\\/][^:]*$")), F.rlike(value, F.lit(r"^\\\\[^\\]+\\[^\\]+"))
+    return F.when(~wrong & (drive | share), value)
+
+
+def plugin_url_allowed(url: Column) -> Column:
+    u = F.trim(url)
+    return F.coalesce(F.rlike(u, F.lit(r"^(?i)https?://")) & ~F.rlike(u, F.lit("[\\x00\\r\\n]")), F.lit(False))
+
+
+def plugin_path_allowed(path: Column) -> Column:
+    """A drive or network path without control characters and without what a shell reads."""
+    p = F.trim(path)
+    plain = ~F.rlike(p, F.lit("[\\x00\\r\\n&|><^;\"'`%]"))
+    place = F.rlike(p, F.lit(r"^[A-Za-z]:[\\/][^:]*$")) | (F.rlike(p, F.lit(r"^\\\\[^\\]*\\")) & ~F.rlike(p, F.lit(r"^\\\\[?.]\\")))
+    return F.coalesce(plain & place, F.lit(False))
+
 
-    def core(x: Column) -> Column:
-        return F.array_join(F.filter(F.split(F.trim(F.coalesce(x, F.lit(""))), r"\s+"), lambda t: ~F.startswith(F.lower(t), F.lit("/from="))), " ")
+def web_id(kind: Column, browser: Column, rest: Column) -> Column:
+    return F.concat(kind, F.lit(":"), browser, F.lit(":"), rest)
 
-    return core(a) == core(b)
+
+def parsed_web_id(item: Column) -> Column:
+    """``struct<kind,browser,rest>`` of a web id; what follows the second colon is the rest; else null."""
+    part = lambda k: F.regexp_extract(item, "^(url|websearch):([^:]*):((?s).*)$", k)
+    return F.when(F.rlike(item, F.lit("^(url|websearch):[^:]*:")), F.struct(part(1).alias("kind"), part(2).alias("browser"), part(3).alias("rest")))
+
+
+def expanded(path: Column, variables: Column) -> Column:
+    """``%NAME%`` replaced by the map's value (names in upper case); unknown names stay."""
+    names = F.array_distinct(F.regexp_extract_all(path, F.lit("%([^%]+)%"), F.lit(1)))
+    return F.aggregate(names, path, lambda p, n: F.replace(p, F.concat(F.lit("%"), n, F.lit("%")), F.coalesce(F.try_element_at(variables, F.upper(n)), F.concat(F.lit("%"), n, F.lit("%")))))
+
+
+def minified_json(text: Column) -> Column:
+    """A JSON text without white space between its parts; null where it is none."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def base64_decoded(text: Column) -> Column:
+    """The UTF-8 text of a Base64 text; null where either is broken."""
+    return F.try_validate_utf8(F.try_to_binary(text, F.lit("base64")).cast("string"))
+
+
+def arguments_core(args: Column) -> Column:
+    """Arguments without ``/from=`` tokens, single spaces; none are empty."""
+    return F.array_join(F.filter(F.split(F.trim(F.coalesce(args, F.lit(""))), r"\s+"), lambda t: ~F.rlike(F.lower(t), F.lit("^(/|-|--)from="))), " ")
+
+
+def arguments_equal(a: Column, b: Column) -> Column:
+    """Whether two argument strings are the same, or are but for ``/from=`` tokens and spaces."""
+    return arguments_core(a) == arguments_core(b)

@@ -1,4 +1,8 @@
-"""Building one catalog out of many sources: layers, deduplication, absorption, launch groups."""
+"""Building one catalog out of many sources: layers, filters, deduplication, merging, launch groups.
+
+Rows have ``id, name, target, args, source``; ``display_name, search_keywords, working_dir, icon,
+is_lnk`` take part where they are there.
+"""
 
 from __future__ import annotations
 
@@ -7,70 +11,259 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from seekstone.functions import text as T
 from seekstone.graph import connected_components
 
-#: Order of sources when rows name the same thing (fixed values).
-SOURCE_RANK = {"start-menu": 0, "desktop": 1, "portable": 2, "app-paths": 3, "uwp": 4, "commands": 5, "uninstall": 100}
-FORMAL, SYSTEM = ("start-menu", "desktop", "uwp", "manual", "app-paths"), ("builtin", "settings")
+#: Sources by layer (fixed values).
+FORMAL = ("start-menu", "desktop", "uwp", "apps-folder", "portable", "manual")
+SYSTEM = ("builtin", "builtin-system", "win-settings")
+SUPPLEMENTAL = ("app-paths", "uninstall")
+COMMAND_ALIAS = ("commands", "scoop")
+HIDEABLE = (*FORMAL, *SUPPLEMENTAL, "protocols", *COMMAND_ALIAS)
+#: Which row stays of those that start the same thing (fixed values).
+DEDUPE_ORDER = {"manual": 0, "start-menu": 1, "desktop": 2, "portable": 3, "uninstall": 4, "app-paths": 5, "uwp": 6, "apps-folder": 6, "commands": 7}
+#: Which row stays of formal rows with one name (fixed values).
+FORMAL_ORDER = {"start-menu": 0, "desktop": 1, "portable": 2, "apps-folder": 3, "uwp": 3}
+#: Which row stands for a launch group, after shortcuts of the start menu (0) and the desktop (1) (fixed values).
+LAUNCH_ORDER = {"start-menu": 2, "desktop": 3, "portable": 4, "app-paths": 5, "uwp": 6, "apps-folder": 6, "commands": 7, "uninstall": 100}
+#: Parts of the paths of folders that are the system's own (fixed values).
+SYSTEM_FOLDERS = ("\\windows\\system32\\", "\\windows\\syswow64\\", "\\windows\\winsxs\\", "\\windowsapps\\", "\\winget\\links\\", "\\chocolatey\\bin\\", "\\microsoft\\windowsapps\\")
+#: What names of helpers hold, and of shortcuts that start no program (fixed values).
+HELPERS = "uninstall uninstaller unins update updater setup installer installhelper repair maintenance crashpad crashreport crashreporter helper elevated redistributable redist webview2 webview".split()
+SKIPPED = ("uninstall", "unins000", "help", "readme", "license", "documentation", "website", "release notes", "setup")
+LAUNCHABLE = ("exe", "com", "bat", "cmd", "msc", "appref-ms", "lnk")
+#: What names of commands hold that are no entries, and endings that name an architecture (fixed values).
+COMMAND_HELPERS = "mcphost mcpserver adminserver packaging pcappce".split()
+ARCHITECTURES = "arm64 arm32 aarch64 x86_64 amd64 x64 x86 ia32 win64 win32".split()
+SDK_WORDS = "sdk toolchain debug dbg runtime redist redistributable helper host".split()
 
 
-def source_rank(source: Column) -> Column:
-    rank = F.lit(8)
-    for name, k in SOURCE_RANK.items():
+def order_of(source: Column, ranks: dict[str, int], other: int = 8) -> Column:
+    rank = F.lit(other)
+    for name, k in ranks.items():
         rank = F.when(source == name, k).otherwise(rank)
     return rank
 
 
 def layer(source: Column) -> Column:
     """Formal, System, CommandAlias; what is not known is Supplemental."""
-    return F.when(source.isin(*FORMAL), "Formal").when(source.isin(*SYSTEM), "System").when(source == "commands", "CommandAlias").otherwise("Supplemental")
+    return F.when(source.isin(*FORMAL), "Formal").when(source.isin(*SYSTEM), "System").when(source.isin(*COMMAND_ALIAS), "CommandAlias").otherwise("Supplemental")
+
+
+def in_system_folder(target: Column) -> Column:
+    padded = F.concat(F.lit("\\"), T.path_key(F.trim(target)), F.lit("\\"))
+    return F.coalesce(F.greatest(*(F.contains(padded, F.lit(x)) for x in SYSTEM_FOLDERS)), F.lit(False))
+
+
+def hidden_on_empty_query(source: Column, target: Column) -> Column:
+    """Rows that do not fill an empty query's list: aliases, discoveries and the system's own."""
+    return layer(source).isin("CommandAlias", "Supplemental") | in_system_folder(target)
+
+
+def holds_any(text: Column, words: list[str] | tuple[str, ...]) -> Column:
+    return F.greatest(*(F.contains(text, F.lit(w)) for w in words))
+
+
+def is_helper(name: Column) -> Column:
+    """Names of maintenance programs, and names without letters and digits."""
+    plain = F.lower(F.regexp_replace(name, "[^A-Za-z0-9]", ""))
+    return (plain == "") | holds_any(plain, HELPERS)
+
+
+def is_skippable(name: Column) -> Column:
+    return holds_any(F.lower(name), SKIPPED)
+
+
+def is_launchable(target: Column) -> Column:
+    """Whether a shortcut's target is a program: by its extension, or a shell name."""
+    t = F.trim(target)
+    name = T.basename(t)
+    return (t != "") & (F.startswith(t, F.lit("shell:")) | F.startswith(t, F.lit("::")) | (F.rlike(name, F.lit(".[.]")) & T.extension(t).isin(*LAUNCHABLE)))
+
+
+def is_command(name: Column) -> Column:
+    """Whether a command's file name is worth an entry: short, no helper, no architecture's variant."""
+    n, low = F.trim(name), F.lower(F.trim(name))
+    plain = F.regexp_replace(low, "[^a-z0-9]", "")
+    ends = "|".join(ARCHITECTURES)
+    joined = F.rlike(low, F.lit(f"[^-_.]({ends})$"))
+    marked = F.rlike(low, F.lit(f"(^|[^a-z0-9])({ends})([^a-z0-9]|$)")) & holds_any(plain, SDK_WORDS)
+    return (n != "") & (F.length(n) <= 24) & ~is_helper(n) & ~holds_any(plain, COMMAND_HELPERS) & ~joined & ~marked
+
+
+def same_text(a: Column, b: Column) -> Column:
+    return F.lower(a) == F.lower(b)
+
+
+def merged_keywords(name: Column, display: Column, own: Column, others: Column) -> Column:
+    """``own`` and those of ``others`` that are neither a name nor there already, whatever their case;
+    each keeps its first spelling and its place."""
+    empty = F.array().cast("array<string>")
+    return F.aggregate(F.coalesce(others, empty), F.coalesce(own, empty), lambda held, x: F.when(x.isNull() | same_text(x, name) | F.coalesce(same_text(x, display), F.lit(False)) | F.exists(held, lambda h: same_text(h, x)), held).otherwise(F.array_append(held, x)))
+
+
+def names_of(rows: DataFrame) -> Column:
+    """All names of a row: name, display name, keywords."""
+    has = set(rows.columns)
+    said = F.array("name", *(["display_name"] if "display_name" in has else []))
+    return F.array_compact(F.concat(said, F.coalesce("search_keywords", F.array().cast("array<string>"))) if "search_keywords" in has else said)
 
 
 def dedupe(rows: DataFrame) -> DataFrame:
-    """One row for each target and arguments of ``rows(id, name, target, args, source)``.
+    """One row for each launch identity of ``rows``.
 
-    The best source's row stays (ties: the smallest id) with the other names as ``keywords``, sorted.
-    Names are gathered as a set for one target only.
+    The best source's row stays (ties: the least key of target, arguments, name and id) and takes the
+    other rows' names as ``keywords``, in order of those rows.
     """
-    key = [T.path_key(F.col("target")).alias("key"), F.trim(F.coalesce("args", F.lit(""))).alias("key_args")]
-    keyed = rows.select("*", *key)
-    best = keyed.groupBy("key", "key_args").agg(F.min(F.struct(source_rank(F.col("source")).alias("r"), "id", "name", "source", "target", "args")).alias("b"), F.collect_set("name").alias("names"))
-    others = F.array_sort(F.filter("names", lambda n: F.lower(n) != F.lower(F.col("b.name"))))
-    return best.select("b.id", "b.name", "b.target", "b.args", "b.source", others.alias("keywords"))
+    order = F.struct(order_of(F.col("source"), DEDUPE_ORDER).alias("r"), T.path_key(F.col("target")).alias("t"), F.coalesce("args", F.lit("")).alias("a"), F.col("name").alias("n"), F.col("id").alias("i"))
+    keyed = rows.select("*", T.launch_identity(F.col("target"), F.col("args")).alias("key"), order.alias("_order"), names_of(rows).alias("_names"))
+    kept = [c for c in rows.columns if c != "keywords"]
+    best = keyed.groupBy("key").agg(F.min_by(F.struct(*kept), "_order").alias("b"), F.array_sort(F.collect_list(F.struct("_order", "_names"))).alias("all"))
+    display = F.col("b.display_name") if "display_name" in kept else F.lit(None).cast("string")
+    own = F.col("b.search_keywords") if "search_keywords" in kept else F.array().cast("array<string>")
+    return best.select(*(F.col(f"b.{c}").alias(c) for c in kept), merged_keywords(F.col("b.name"), display, own, F.flatten(F.transform("all", lambda x: x["_names"]))).alias("keywords"))
+
+
+def absorbed(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``rows`` without the losers of ``pairs(winner, loser)``, whose names the winners' ``keywords`` hold.
+
+    A winner that is itself a loser passes nothing on: it goes with its own names only.
+    """
+    pairs = pairs.groupBy("loser").agg(F.min("winner").alias("winner"))
+    given = pairs.join(rows.select(F.col("id").alias("loser"), names_of(rows).alias("_names")), "loser")
+    given = given.groupBy("winner").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("loser", "_names"))), lambda x: x["_names"])).alias("_given"))
+    left = rows.join(pairs.select(F.col("loser").alias("id")), "id", "left_anti").join(given, F.col("id") == F.col("winner"), "left").drop("winner")
+    own = F.col("search_keywords") if "search_keywords" in rows.columns else F.array().cast("array<string>")
+    display = F.col("display_name") if "display_name" in rows.columns else F.lit(None).cast("string")
+    return left.withColumn("search_keywords", merged_keywords(F.col("name"), display, own, F.col("_given"))).drop("_given")
+
+
+def compact_name(name: Column) -> Column:
+    return T.compact(T.normalize(name))
+
+
+def merge_commands(rows: DataFrame) -> DataFrame:
+    """Commands that have the compact name of a row of another source go into the first such row."""
+    named = rows.select("id", "source", compact_name(F.col("name")).alias("k"))
+    hosts = named.where("source <> 'commands'").groupBy("k").agg(F.min("id").alias("winner"))
+    return absorbed(rows, named.where("source = 'commands'").join(hosts, "k").select("winner", F.col("id").alias("loser")))
+
+
+def keys_of(rows: DataFrame, side: str) -> DataFrame:
+    """What two rows are compared by."""
+    target = F.col("target")
+    keys = {
+        "id": F.col("id"), "source": F.col("source"), "name": F.col("name"), "target": target, "args": F.col("args"),
+        "launch": T.launch_identity(target, F.col("args")), "path": T.path_key(target), "root": T.install_root(target), "family": T.family_key(F.col("name")),
+        "compact": compact_name(F.col("name")), "stem": F.lower(T.stem(T.shell_body(target))),
+    }
+    return rows.select(*(c.alias(f"{side}_{k}") for k, c in keys.items()))
+
+
+def same_program(a: str, b: str) -> Column:
+    """Rows of one launch, of one file with equal arguments, or of one installation and family."""
+    c = lambda side, k: F.col(f"{side}_{k}")
+    equal_args = T.arguments_equal(c(a, "args"), c(b, "args"))
+    family = ((c(a, "family") == c(b, "family")) & (c(a, "family") != "")) | T.stem_begins_name(c(a, "target"), c(b, "name")) | T.stem_begins_name(c(b, "target"), c(a, "name"))
+    by_path = (c(a, "path") == c(b, "path")) & (c(a, "path") != "")
+    return (c(a, "launch") == c(b, "launch")) | (by_path & equal_args) | (~by_path & (c(a, "root") == c(b, "root")) & equal_args & family)
+
+
+def absorb(rows: DataFrame) -> DataFrame:
+    """Discovered rows (app paths, uninstall entries) go into the first formal or system row that is the
+    same program. Both sides meet on their launch, path or installation, never pairwise."""
+    found = keys_of(rows.where(F.col("source").isin(*SUPPLEMENTAL)), "a")
+    hosts = keys_of(rows.where(layer(F.col("source")).isin("Formal", "System")), "b")
+    keyed = lambda df, s: df.withColumn("k", F.explode(F.array_compact(F.array(F.concat(F.lit("l"), f"{s}_launch"), F.concat(F.lit("p"), f"{s}_path"), F.concat(F.lit("r"), f"{s}_root")))))
+    met = keyed(found, "a").join(keyed(hosts, "b"), "k").where(same_program("a", "b"))
+    return absorbed(rows, met.groupBy(F.col("a_id").alias("loser")).agg(F.min("b_id").alias("winner")))
+
+
+def merge_formal(rows: DataFrame) -> DataFrame:
+    """Formal rows with one compact name go into the first of them (by source, then id) if they are its
+    shell twin, both web shortcuts, or the same program; others with the name stay."""
+    formal = keys_of(rows.where(F.col("source").isin(*FORMAL_ORDER)), "b").where("b_compact <> ''")
+    order = F.struct(order_of(F.col("b_source"), FORMAL_ORDER), F.col("b_id"))
+    first = formal.groupBy(F.col("b_compact").alias("k")).agg(F.min_by(F.struct(*formal.columns), order).alias("w"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("k", *(F.col(f"w.{c}").alias(c.replace("b_", "a_", 1)) for c in formal.columns))
+    met = formal.join(first, F.col("b_compact") == F.col("k")).where("a_id <> b_id")
+    shell = lambda s: F.col(f"{s}_source").isin("uwp", "apps-folder")
+    url = lambda s: T.extension(F.col(f"{s}_target")) == "url"
+    twins = shell("a") != shell("b")
+    return absorbed(rows, met.where(twins | (~shell("a") & url("a") & url("b")) | same_program("a", "b")).select(F.col("a_id").alias("winner"), F.col("b_id").alias("loser")))
+
+
+def drop_system_names(rows: DataFrame) -> DataFrame:
+    """Apps-folder rows that are named as a system entry go."""
+    system = rows.where(layer(F.col("source")) == "System").select(T.normalize(F.col("name")).alias("k")).distinct()
+    shell = rows.where("source = 'apps-folder'").select("id", T.normalize(F.col("name")).alias("k")).join(system, "k", "left_semi")
+    return rows.join(shell.select("id"), "id", "left_anti")
+
+
+def with_metadata(rows: DataFrame, metadata: DataFrame) -> DataFrame:
+    """``rows`` with a program's own texts (``metadata(target, texts)``) as further keywords."""
+    said = metadata.groupBy(T.path_key(F.col("target")).alias("k")).agg(F.array_sort(F.flatten(F.collect_list("texts"))).alias("_texts"))
+    joined = rows.join(said, T.path_key(F.col("target")) == F.col("k"), "left").drop("k")
+    own = F.col("search_keywords") if "search_keywords" in rows.columns else F.array().cast("array<string>")
+    display = F.col("display_name") if "display_name" in rows.columns else F.lit(None).cast("string")
+    short = F.filter("_texts", lambda t: (F.trim(t) != "") & (F.octet_length(t) <= 512))
+    return joined.withColumn("search_keywords", merged_keywords(F.col("name"), display, own, short)).drop("_texts")
+
+
+def build(rows: DataFrame) -> DataFrame:
+    """All steps in their order: dedupe, commands, discoveries, formal names, system names."""
+    once = dedupe(rows)
+    once = once.drop("search_keywords").withColumnRenamed("keywords", "search_keywords")
+    return drop_system_names(merge_formal(absorb(merge_commands(once))))
 
 
 def launch_groups(rows: DataFrame) -> DataFrame:
-    """``(id, group_id)``: rows that start the same thing, by target and by family within a folder.
+    """``(id, group_id)``: rows that start the same thing.
 
-    Rows that share a key are linked to the key's smallest id, never pairwise; groups are the
-    connected components, named by their smallest id.
+    Rows are linked by their launch, by one file with equal arguments, by installation and family (or
+    a file named as the family's first word), and packaged programs by family, also with rows of
+    formal path sources and app paths that have no installation folder of their own. Each rule is a
+    key: rows of a key are linked to its smallest id, never pairwise; groups are the components.
     """
-    folder = F.regexp_replace(T.path_key(F.col("target")), r"\\[^\\]*$", "")
-    keys = rows.select("id", F.explode(F.array(F.concat(F.lit("t:"), T.path_key(F.col("target"))), F.concat(F.lit("f:"), folder, F.lit("|"), T.family_key(F.col("name"))))).alias("key"))
-    heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    edges = keys.join(heads, "key").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    t, family = F.col("target"), T.family_key(F.col("name"))
+    path, root = T.path_key(F.trim(T.shell_body(t))), T.install_root(t)
+    core = T.arguments_core(F.col("args"))
+    stem, first = F.lower(T.stem(T.shell_body(t))), F.substring_index(family, " ", 1)
+    named = (F.octet_length(stem) >= 3) & ~F.contains(stem, F.lit(" "))
+    shell, friendly = T.is_shell_package(t), F.col("source").isin("start-menu", "desktop", "portable", "manual", "app-paths")
+    key = lambda kind, role, *parts: F.struct(F.concat(F.lit(kind), *(x for p in parts for x in (F.lit("\x1f"), p))).alias("key"), F.lit(role).alias("role"))
+    keys = F.array(
+        key("l", 0, T.launch_identity(t, F.col("args"))),
+        F.when(F.rlike(path, F.lit(r"\\")), key("e", 0, path, core)),
+        F.when(family != "", key("r", 0, root, family)),
+        F.when(family != "", key("s", 1, root, first)),
+        F.when(named, key("s", 2, root, stem)),
+        F.when((family != "") & (shell | (friendly & root.isNotNull())), key("f", 0, family)),
+    )
+    keyed = rows.select("id", shell.alias("shell"), path.alias("path"), F.explode(F.filter(keys, lambda k: k["key"].isNotNull())).alias("k")).select("id", "shell", "path", "k.key", "k.role")
+    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last"), F.min("path").alias("p"), F.max("path").alias("q"), F.max("shell").alias("any_shell"), F.min("role").alias("r"), F.max("role").alias("t"))
+    # rows of one file are one only with equal arguments, so a family must hold several files; a file's
+    # name links rows of a family to the file's rows; path rows of a family are linked by a packaged one
+    heads = heads.where("head <> last AND (left(key, 1) IN ('l', 'e') OR p <> q) AND (left(key, 1) <> 's' OR (r = 1 AND t = 2)) AND (left(key, 1) <> 'f' OR any_shell)")
+    edges = keyed.join(heads.select("key", "head"), "key").select(F.col("head").alias("a"), F.col("id").alias("b"))
     found = connected_components(edges)
     return rows.select("id").join(found, rows["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("group_id"))
 
 
+def launch_rank(rows: DataFrame) -> Column:
+    """Order in which a group's rows are taken to stand for it: source, working folder, id."""
+    has, source = set(rows.columns), F.col("source")
+    rank = order_of(source, LAUNCH_ORDER)
+    if "is_lnk" in has:
+        rank = F.when(F.col("is_lnk") & (source == "start-menu"), 0).when(F.col("is_lnk") & (source == "desktop"), 1).otherwise(rank)
+    no_folder = F.col("working_dir").isNull().cast("int") if "working_dir" in has else F.lit(0)
+    return F.struct(rank.alias("rank"), no_folder.alias("no_folder"), F.col("id").alias("id"))
+
+
 def representatives(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """``(group_id, id)``: of each group the row of the best source (ties: the smallest id)."""
+    """``(group_id, id)``: of each group the row that stands for it."""
     joined = rows.join(groups, "id")
-    return joined.groupBy("group_id").agg(F.min(F.struct(source_rank(F.col("source")).alias("r"), "id")).alias("m")).select("group_id", F.col("m.id").alias("id"))
+    return joined.groupBy("group_id").agg(F.min(launch_rank(joined)).alias("m")).select("group_id", F.col("m.id").alias("id"))
 
 
-def absorb(discovered: DataFrame, hosts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Discovered rows that a Formal or System row with the same compact name takes in.
-
-    Returns hosts with ``absorbed`` (ids, sorted) and the discovered rows that are left.
-    """
-    name = T.compact(T.normalize(F.col("name")))
-    able = hosts.where(layer(F.col("source")).isin("Formal", "System")).withColumn("k", name)
-    first = able.groupBy("k").agg(F.min("id").alias("host_id"))
-    met = discovered.withColumn("k", name).join(first, "k").select("host_id", F.col("id").alias("taken"))
-    gathered = met.groupBy("host_id").agg(F.array_sort(F.collect_set("taken")).alias("absorbed"))
-    with_taken = hosts.join(gathered, hosts["id"] == gathered["host_id"], "left").drop("host_id")
-    return with_taken, discovered.join(met, discovered["id"] == met["taken"], "left_anti")
-
-
-def keep_per_folder(rows: DataFrame, per_folder: int) -> DataFrame:
-    """At most so many rows of each folder, in order of path: the scanner's own limit."""
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("folder").orderBy("path"))).where(F.col("k") <= per_folder).drop("k")
+def keep_per_folder(rows: DataFrame, per_folder: int, total: int | None = None) -> DataFrame:
+    """At most so many rows of each folder, in order of path, and in all: the scanner's own limits."""
+    kept = rows.withColumn("_k", F.row_number().over(Window.partitionBy("folder").orderBy("path"))).where(F.col("_k") <= per_folder).drop("_k")
+    return kept if total is None else kept.orderBy("folder", "path").limit(total)

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seekstone.functions import text as T
 from seekstone.shared import stage
 
 #: Extensions of each type (fixed values).
 TYPES = {
-    "images": ("png", "jpg", "jpeg", "gif", "bmp", "webp", "svg", "ico", "tif", "tiff"),
-    "documents": ("txt", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "md", "csv", "html", "rtf"),
-    "videos": ("mp4", "mkv", "avi", "mov", "wmv", "webm"),
-    "audio": ("mp3", "wav", "flac", "aac", "ogg", "m4a"),
-    "archives": ("zip", "7z", "rar", "tar", "gz", "xz"),
+    "images": "jpg jpeg png gif webp bmp ico svg heic heif avif tif tiff".split(),
+    "documents": "pdf doc docx xls xlsx ppt pptx txt md rtf odt ods odp csv".split(),
+    "videos": "mp4 mkv mov avi wmv webm flv m4v mpeg mpg".split(),
+    "audio": "mp3 wav flac aac m4a ogg wma opus".split(),
+    "archives": "zip 7z rar tar gz bz2 xz iso".split(),
 }
 
 
@@ -36,8 +36,21 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "\\"))
 
 
-def outside(rows: DataFrame, excluded: DataFrame) -> DataFrame:
-    """``rows(path, ...)`` that lie in none of ``excluded(folder)``: an equi join on the folders above."""
+def excludable(folder: Column) -> Column:
+    """Whether a folder may be excluded: an absolute drive path without NUL and without dot parts."""
+    path = F.translate(folder, "/", "\\")
+    dots = F.exists(F.split(F.substr(path, F.lit(4)), r"\\"), lambda x: x.isin(".", ".."))
+    return F.coalesce(F.rlike(path, F.lit(r"^[A-Za-z]:\\")) & ~F.contains(path, F.char(F.lit(0))) & ~dots, F.lit(False))
+
+
+def outside(rows: DataFrame, excluded: DataFrame, checked: bool = False) -> DataFrame:
+    """``rows(path, ...)`` that lie in none of ``excluded(folder)``: an equi join on the folders above.
+
+    With ``checked`` a folder that may not be excluded is an error of the query.
+    """
+    if checked:
+        wrong = F.raise_error(F.concat(F.lit("not an absolute folder: "), F.coalesce("folder", F.lit("null"))))
+        excluded = excluded.withColumn("folder", F.when(excludable(F.col("folder")), F.col("folder")).otherwise(wrong))
     marks = rows.select("path", F.explode(ancestors(F.col("path"))).alias("above")).distinct()
     keys = excluded.select(F.rtrim(T.path_key(F.col("folder")), F.lit("\\")).alias("above")).distinct()
     return rows.join(marks.join(keys, "above", "left_semi").select("path").distinct(), "path", "left_anti")
@@ -53,9 +66,36 @@ def renamed(rows: DataFrame, moves: DataFrame) -> DataFrame:
 
 def overlaid(base: DataFrame, changes: DataFrame) -> DataFrame:
     """``(frn, path)`` after ``changes(frn, seq, path)``: the latest change of a file shadows its base
-    rows; a null path deletes."""
+    rows; a null path deletes. A path that stands twice comes once, the base row before the overlay's."""
     latest = changes.groupBy("frn").agg(F.max(F.struct("seq", "path")).alias("c")).select("frn", "c.path")
-    return base.select("frn", "path").join(latest, "frn", "left_anti").unionByName(latest.where("path is not null"))
+    both = base.select("frn", "path").join(latest, "frn", "left_anti").withColumn("late", F.lit(0)).unionByName(latest.where("path is not null").withColumn("late", F.lit(1)))
+    return both.groupBy("path").agg(F.min(F.struct("late", "frn")).alias("m")).select(F.col("m.frn").alias("frn"), "path")
+
+
+def snapshots_merged(snapshots: DataFrame, bases: DataFrame) -> DataFrame:
+    """``snapshots(volume, ordinal, path)`` as one table whose ordinals run through: each volume's begin
+    where the volumes before it end (``bases(volume, rows)``)."""
+    before = Window.orderBy("volume").rowsBetween(Window.unboundedPreceding, -1)
+    starts = bases.select("volume", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))  # one row a volume: 26 at most
+    return snapshots.join(F.broadcast(starts), "volume").select((F.col("ordinal") + F.col("start")).alias("ordinal"), "volume", "path")
+
+
+def found_paths(base: DataFrame, moves: DataFrame, overlay: DataFrame, query: Column, kind: str, excluded: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The file query: at most ``limit`` hits ``(origin, position, path)``, and the exact number of all.
+
+    ``base(ordinal, frn, path, is_dir, shadowed)`` matches by its own name, filters look at the path
+    after renamed folders (``moves``); ``overlay(volume, frn, path, is_dir)`` rows follow in order of
+    volume and number. Hits that show one path come once, the total counts them as they are.
+    """
+    if not 0 <= limit <= 1000:
+        raise ValueError("limit must be 0..1000")
+    shown = renamed(base.where("not shadowed").where(name_has_all(F.col("path"), query)), moves)
+    first = shown.select(F.lit(0).alias("origin"), F.lit("").alias("volume"), F.col("ordinal").alias("position"), F.col("current").alias("path"), "is_dir")
+    later = overlay.where(name_has_all(F.col("path"), query)).select(F.lit(1).alias("origin"), "volume", F.col("frn").alias("position"), "path", "is_dir")
+    fits = first.unionByName(later).where(of_type(F.col("path"), F.col("is_dir"), kind))
+    fits = outside(fits, excluded, True)
+    once = fits.groupBy(T.path_key(F.col("path")).alias("key")).agg(F.min(F.struct("origin", "volume", "position", "path")).alias("m")).select("m.*")
+    return once.orderBy("origin", "volume", "position").limit(limit).select("origin", "position", "path"), fits.agg(F.count("*").alias("total"))
 
 
 def tree_paths(nodes: DataFrame, max_depth: int = 32_768) -> DataFrame:

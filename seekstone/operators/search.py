@@ -1,8 +1,12 @@
 """Ranked search of a catalog by a batch of short queries.
 
-``enrich`` derives what is searched, ``postings`` and ``recall`` find candidates by equi joins on
-terms, grams and delete variants, ``verify`` scores each candidate by its best branch, and ``rank``
-orders them. Catalogs are shuffled by term at most; a batch of queries is a table too.
+``enrich`` derives what is searched. A row's searchable content becomes *keys* (grams, word starts,
+initials, delete variants, ...), a query becomes keys of the same kinds by channel, and one join of
+both finds the candidates; of a channel that needs all its keys only the rarest one is followed.
+``verify`` scores each candidate by its best branch, ``rank`` orders them. Recall never decides a
+score: it holds every row that any branch accepts, and the unpruned search is there to prove it.
+
+A catalog has ``id`` and ``name``; the other fields of ``OPTIONAL`` take part where they are there.
 """
 
 from __future__ import annotations
@@ -10,21 +14,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seekstone.functions import text as T
+from seekstone.shared import stage
 
 #: Scores of the branches (fixed values).
-EXACT, COMPACT_EXACT, TOKEN_SEQUENCE, WORD_EXACT, PREFIX = 1000, 920, 880, 850, 800
-COMPACT_SUBSTRING, WORD_PREFIX, ACRONYM, SUBSTRING = 780, 720, 680, 550
-USER_ALIAS, BUILTIN_ALIAS = 1100, 950
-PROTECTED_TIER, MAX_PREFIX_TERMS, TOP_K = 2, 512, 10
+USER_ALIAS, EXACT, BUILTIN_ALIAS, COMPACT_EXACT, TOKEN_SEQUENCE, WORD_EXACT, PREFIX = 1100, 1000, 950, 920, 880, 850, 800
+COMPACT_SUBSTRING, KEYWORD_READING, KEYWORD_READING_PREFIX, READING_EXACT, WORD_PREFIX, INITIALS = 780, 780, 760, 750, 720, 700
+ACRONYM, INITIALS_INNER, KEYWORD_INITIALS_INNER, SUBSTRING, SKIP, SKIP_LEAST = 680, 620, 600, 550, 320, 280
+CONTEXT_DISCOUNT, CONTEXT_COMPACT_DISCOUNT, CONTEXT_READING_DISCOUNT = 160, 220, 130
+PROTECTED_TIER, MAX_PREFIX_TERMS, TOP_K, SKIP_GAPS = 2, 512, 10, 3
 #: Least score of each quality tier, from 0 on (fixed values).
 TIERS = (1100, 1000, 920, 850, 800, 700, 680, 550, 225)
+#: Order of fields and of kinds of match among equal evidence (fixed values).
+NAME, DISPLAY, ALIAS, READING, KEYWORD, CONTEXT = range(6)
+WHOLE, START, INSIDE, LETTERS, SKIPPED, NEAR = range(6)
+#: A place or a length that is not known.
+UNKNOWN = 2_147_483_647
+#: Batches of keys or queries of more rows are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+OPTIONAL = ("display_name", "search_keywords", "search_context", "reading", "initials", "char_readings", "keyword_readings", "keyword_initials", "context_readings", "context_initials", "source", "target")
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def extra_keywords(catalog: DataFrame) -> Column:
+    """Keywords that a system entry's address holds: a settings page's or a tool's name, dashes as spaces."""
+    system = F.col("source").isin("win-settings", "builtin-system")
+    page = F.when(system & F.startswith("target", F.lit("ms-settings:")), F.replace(F.substr("target", F.lit(13)), F.lit("-"), F.lit(" ")))
+    key = F.col("id").cast("string")
+    tool = F.when(system & F.startswith(key, F.lit("system-tool:")), F.replace(F.substr(key, F.lit(13)), F.lit("-"), F.lit(" ")))
+    return F.array_compact(F.array(page, tool))
 
 
 def enrich(catalog: DataFrame) -> DataFrame:
-    """``catalog(id, name)`` with its normalized name, compact name, words and acronym."""
-    out = catalog.withColumn("norm", T.normalize(F.col("name")))
-    out = out.withColumns({"comp": T.compact(F.col("norm")), "words": F.array_distinct(F.concat(T.tokens(F.col("norm")), T.split_camel(F.col("name"))))})
-    return out.withColumn("acro", T.acronym(T.tokens(F.col("norm"))))
+    """``catalog`` with normalized and compact names, words, acronym, and the same of its other fields."""
+    has, raw = set(catalog.columns), [F.col("name")]
+    fields = {"norm": T.normalize(F.col("name"))}
+    if "display_name" in has:
+        raw.append(F.coalesce("display_name", "name"))
+        fields["display"] = T.normalize(raw[-1])
+    out = catalog.withColumns(fields)
+    fields = {"comp": T.compact(F.col("norm"))}
+    words = [T.tokens(F.col("norm")), *(T.split_camel(x) for x in raw)]
+    if "display_name" in has:
+        fields["comp_display"] = T.compact(F.col("display"))
+    if "search_keywords" in has:
+        said = F.coalesce("search_keywords", F.array().cast("array<string>"))
+        if {"source", "target"} <= has:
+            said = F.concat(said, extra_keywords(catalog))
+        said = F.filter(said, lambda k: k.isNotNull() & (T.normalize(k) != ""))
+        fields["keywords"] = F.array_distinct(F.transform(said, T.normalize))
+        fields["keyword_comps"] = F.transform(F.array_distinct(F.transform(said, T.normalize)), T.compact)
+        words.append(F.flatten(F.transform(said, lambda k: F.concat(T.tokens(T.normalize(k)), T.split_camel(k)))))
+    if "search_context" in has:
+        said = F.filter(F.coalesce("search_context", F.array().cast("array<string>")), lambda k: k.isNotNull() & (T.normalize(k) != ""))
+        fields["contexts"] = F.array_distinct(F.transform(said, T.normalize))
+        fields["context_comps"] = F.transform(F.array_distinct(F.transform(said, T.normalize)), T.compact)
+        fields["context_terms"] = F.array_distinct(F.flatten(F.transform(said, lambda k: F.concat(F.array(T.normalize(k)), T.tokens(T.normalize(k)), T.split_camel(k)))))
+    # a null name has no words of its own
+    fields["words"] = F.array_distinct(F.flatten(F.array(*(F.coalesce(w, F.array().cast("array<string>")) for w in words))))
+    return out.withColumns(fields).withColumn("acro", T.acronym(T.tokens(F.col("norm"))))
 
 
 def parse(queries: DataFrame) -> DataFrame:
@@ -40,59 +91,336 @@ def quality_tier(score: Column) -> Column:
     return tier
 
 
-def in_order(words: Column, wanted: Column) -> Column:
-    """Whether the wanted words begin, in order, words of a name."""
-    met = F.aggregate(words, F.lit(0), lambda k, w: k + F.when((k < F.size(wanted)) & F.startswith(w, F.coalesce(F.get(wanted, k), F.lit("￿"))), 1).otherwise(0))
-    return met == F.size(wanted)
-
-
-def branches(fuzzy: bool = True) -> Column:
-    """All branches of a candidate as ``array<struct<score,rank,start,tag>>``; null where one fails.
-
-    ``rank`` falls with the order of evidence, so that the greatest struct is the best branch.
-    """
-    q, c, norm, comp, words = (F.col(x) for x in ("q", "c", "norm", "comp", "words"))
-
-    def branch(condition: Column, score: int, tag: str, order: int, start: Column = F.lit(1)) -> Column:
-        return F.when(condition, F.struct(F.lit(score).alias("score"), (-start).cast("int").alias("near"), F.lit(-order).alias("order"), F.lit(tag).alias("tag")))
-
-    tests = [
-        branch(norm == q, EXACT, "exact", 0),
-        branch(F.startswith(norm, q), PREFIX, "prefix", 1),
-        branch(F.contains(norm, q), SUBSTRING, "substring", 2, F.expr("instr(norm, q)")),
-        branch((F.octet_length(c) >= 2) & (comp == c), COMPACT_EXACT, "compact-exact", 3),
-        branch((F.octet_length(c) >= 3) & F.contains(comp, c), COMPACT_SUBSTRING, "compact-substring", 4, F.expr("instr(comp, c)")),
-        branch(F.array_contains(words, q), WORD_EXACT, "word-exact", 5),
-        branch((F.length(q) >= 2) & F.exists(words, lambda w: F.startswith(w, q)), WORD_PREFIX, "word-prefix", 6),
-        branch((F.size("q_tokens") >= 2) & in_order(words, F.col("q_tokens")), TOKEN_SEQUENCE, "token-seq", 7),
-        branch((F.length(q) >= 2) & (F.col("acro") == q), ACRONYM, "acronym", 8),
+# --- scoring -----------------------------------------------------------------------------------
+
+
+def hit(condition: str, score: int | str, tag: str, field: int, kind: int, start: str = "0", span: str = "length(q)", gaps: str = "0", edit: str = "0") -> str:
+    """SQL of a branch: what it gives where its condition holds, else null. Of equal scores the earlier
+    start wins, then fewer gaps, fewer edits, the longer span, the field, the kind of match."""
+    return f"""CASE WHEN {condition} THEN struct(CAST({score} AS INT) AS score, -CAST({start} AS INT) AS early, -CAST({gaps} AS INT) AS tight, -CAST({edit} AS INT) AS true_to,
+      CAST({span} AS INT) AS span, -{field} AS field, -{kind} AS kind, '{tag}' AS tag) END"""
+
+
+def place(source: str, nth: str) -> str:
+    """SQL of the place in a normalized text of its nth character that is no space, both from 0."""
+    return f"(get(filter(sequence(1, length({source})), j -> substr({source}, j, 1) <> ' '), {nth}) - 1)"
+
+
+def plain(text: str, exact: int, prefix: int, inside: int, tags: str, field: int) -> str:
+    """A text that is, begins with or holds the query."""
+    at = f"instr({text}, q)"
+    return "CASE " + " ".join(f"WHEN {c} THEN {h}" for c, h in (
+        (f"{text} = q", hit("true", exact, f"{tags}exact", field, WHOLE, span=str(UNKNOWN))),
+        (f"startswith({text}, q)", hit("true", prefix, f"{tags}prefix", field, START)),
+        (f"contains({text}, q)", hit("true", inside, f"{tags}substring", field, INSIDE, f"{at} - 1")),
+    )) + " END"
+
+
+def squeezed(compact: str, source: str, exact: int, inside: int, tags: str, field: int) -> str:
+    """A text without spaces that is or holds the query without spaces; places are those in the text."""
+    first, last = place(source, f"instr({compact}, c) - 1"), place(source, f"instr({compact}, c) + length(c) - 2")
+    return "CASE " + " ".join(f"WHEN {c} THEN {h}" for c, h in (
+        (f"octet_length(c) >= 2 AND {compact} = c", hit("true", exact, f"{tags}compact-exact", field, WHOLE, span=str(UNKNOWN))),
+        (f"octet_length(c) >= 3 AND contains({compact}, c)", hit("true", inside, f"{tags}compact-substring", field, INSIDE, first, f"{last} - {first} + 1")),
+    )) + " END"
+
+
+def token_sequence() -> str:
+    """The query's words meet words of the row in order: each begins one, or spells initials of some."""
+    letters = "array_join(transform(words, w -> left(w, 1)), '')"
+    starts = "filter(sequence(1, length(norm)), i -> substr(norm, i, 1) <> ' ' AND (i = 1 OR substr(norm, i - 1, 1) = ' '))"
+    step = f"""transform(array(array_min(filter(sequence(0, size(words) - 1), j -> j >= s.next AND (startswith(words[j], t) OR (length(t) >= 2 AND substr(letters, j + 1, length(t)) = t))))), j ->
+      CASE WHEN j IS NULL OR NOT s.met THEN struct(s.next AS next, s.gaps AS gaps, s.first AS first, false AS met)
+        ELSE struct(j + CASE WHEN startswith(words[j], t) THEN 1 ELSE length(t) END AS next, s.gaps + j - s.next AS gaps, CASE WHEN s.first < 0 THEN j ELSE s.first END AS first, true AS met) END)[0]"""
+    walk = f"aggregate(q_tokens, struct(0 AS next, 0 AS gaps, -1 AS first, true AS met), (s, t) -> {step})"
+    met = hit("s.met", TOKEN_SEQUENCE, "token-seq", NAME, INSIDE, f"coalesce(get({starts}, s.first) - 1, {UNKNOWN})", gaps="s.gaps")
+    return f"CASE WHEN size(q_tokens) >= 2 AND size(words) > 0 THEN transform(array({letters}), letters -> transform(array({walk}), s -> {met})[0])[0] END"
+
+
+def by_any_reading() -> str:
+    """Characters read one after another by any of their readings, in full or by the first letter, the
+    last one also in part; characters without a reading stand for themselves."""
+    onward = """array_distinct(flatten(transform(s.at, p -> array_compact(concat(
+        transform(ch.readings, r -> CASE WHEN startswith(substr(q, p + 1), r) THEN p + length(r) END),
+        transform(ch.readings, r -> CASE WHEN substr(q, p + 1, 1) = left(r, 1) THEN p + 1 END),
+        array(CASE WHEN substr(q, p + 1, 1) = lower(ch.ch) THEN p + 1 END))))))"""
+    part = "exists(s.at, p -> p < length(q) AND exists(ch.readings, r -> startswith(r, substr(q, p + 1))))"
+    state = "struct<at:array<int>,n:int,done:boolean>"
+    step = f"""CASE WHEN s.done OR size(s.at) = 0 THEN s ELSE transform(array({onward}), o ->
+        CAST(struct(o AS at, s.n + 1 AS n, {part} OR exists(o, p -> p >= length(q)) AS done) AS {state}))[0] END"""
+    walk = f"aggregate(slice(char_readings, i + 1, size(char_readings)), CAST(struct(array(0) AS at, 0 AS n, false AS done) AS {state}), (s, ch) -> {step})"
+    found = f"get(filter(transform(sequence(0, size(char_readings) - 1), i -> transform(array({walk}), s -> CASE WHEN s.done THEN struct(i AS i, s.n AS n) END)[0]), x -> x IS NOT NULL), 0)"
+    met = hit("x IS NOT NULL", READING_EXACT - 20, "reading-any", READING, INSIDE, "x.i", "greatest(x.n, length(q))")
+    wanted = "length(q) >= 2 AND rlike(q, '[A-Za-z0-9]') AND size(char_readings) > 0 AND exists(char_readings, x -> size(x.readings) > 0)"
+    return f"CASE WHEN {wanted} THEN transform(array({found}), x -> {met})[0] END"
+
+
+def strict_branches(has: set[str]) -> tuple[list[str], list[str]]:
+    """SQL of all branches of the fields that there are: single ones, and arrays of them."""
+    one = [
+        plain("norm", EXACT, PREFIX, SUBSTRING, "", NAME),
+        squeezed("comp", "norm", COMPACT_EXACT, COMPACT_SUBSTRING, "", NAME),
+        hit("array_contains(words, q)", WORD_EXACT, "word-exact", NAME, WHOLE, span=str(UNKNOWN)),
+        hit("length(q) >= 2 AND exists(words, w -> w <> q AND startswith(w, q))", WORD_PREFIX, "word-prefix", NAME, START),
+        token_sequence(),
+        hit("length(q) >= 2 AND acro = q", ACRONYM, "acronym", NAME, LETTERS),
     ]
-    strict = F.array_compact(F.array(*tests))
-    if not fuzzy:
-        return strict
-    near = F.array_max(F.array_compact(F.transform(F.array_union(words, F.array(norm)), lambda w: T.fuzzy_score(q, w))))
-    loose = F.when((F.length(q) >= 2) & near.isNotNull(), F.array(F.struct(near.alias("score"), F.lit(-1).alias("near"), F.lit(-9).alias("order"), F.lit("fuzzy").alias("tag"))))
-    # the edit distance is only worked out where nothing better was found
-    return F.when(F.size(strict) > 0, strict).otherwise(F.coalesce(loose, strict))
+    many: list[str] = []
+    if "display" in has:
+        one += [plain("display", EXACT, PREFIX, SUBSTRING, "", DISPLAY), squeezed("comp_display", "display", COMPACT_EXACT, COMPACT_SUBSTRING, "", NAME)]
+    if "user_alias" in has:
+        one.append(hit("user_alias", USER_ALIAS, "user-alias-exact", ALIAS, WHOLE, span=str(UNKNOWN)))
+    if "builtin_alias" in has:
+        one.append(hit("builtin_alias", BUILTIN_ALIAS, "alias-exact", ALIAS, WHOLE, span=str(UNKNOWN)))
+    if "keywords" in has:
+        many.append(f"transform(keywords, x -> {plain('x', WORD_EXACT, WORD_PREFIX, SUBSTRING - 40, 'keyword-', KEYWORD)})")
+        many.append(f"transform(arrays_zip(keyword_comps, keywords), x -> {squeezed('x.keyword_comps', 'x.keywords', WORD_EXACT, COMPACT_SUBSTRING - 60, 'keyword-', KEYWORD)})")
+    if "reading" in has:
+        one.append(hit("reading <> '' AND reading = q", READING_EXACT, "reading-exact", READING, WHOLE, span="length(name)"))
+        one.append(hit("reading <> '' AND reading <> q AND startswith(reading, q)", READING_EXACT - 50, "reading-prefix", READING, START))
+    if "initials" in has:
+        one.append(hit("initials <> '' AND initials = q", INITIALS, "initials-exact", READING, WHOLE, span="length(name)"))
+        one.append(hit("initials <> q AND startswith(initials, q)", f"CASE WHEN length(q) = 1 THEN {INITIALS - 60} ELSE {INITIALS - 40} END", "initials-prefix", READING, START))
+        at = place("norm", "instr(initials, q) - 1")
+        one.append(hit("NOT startswith(initials, q) AND contains(initials, q)", f"CASE WHEN length(q) = 1 THEN {INITIALS_INNER + 40} ELSE {INITIALS_INNER} END", "initials-inner", READING, INSIDE, f"coalesce({at}, {UNKNOWN})"))
+    if "char_readings" in has:
+        one.append(by_any_reading())
+    two = "length(q) >= 2 AND "
+    for field, prefix, name, full, begun, inner, short in (
+        ("keyword", "keyword-", KEYWORD, KEYWORD_READING, KEYWORD_READING_PREFIX, KEYWORD_INITIALS_INNER, (KEYWORD_READING, KEYWORD_READING_PREFIX)),
+        ("context", "context-", CONTEXT, READING_EXACT - CONTEXT_READING_DISCOUNT, READING_EXACT - CONTEXT_READING_DISCOUNT - 40, INITIALS_INNER - CONTEXT_READING_DISCOUNT, (INITIALS - CONTEXT_READING_DISCOUNT, INITIALS - CONTEXT_READING_DISCOUNT - 40)),
+    ):
+        if f"{field}_readings" in has:
+            many.append(f"transform({field}_readings, x -> coalesce({hit(two + 'x = q', full, prefix + 'reading-exact', name, WHOLE, span=str(UNKNOWN))}, {hit(two + 'startswith(x, q)', begun, prefix + 'reading-prefix', name, START)}))")
+        if f"{field}_initials" in has:
+            many.append(f"transform({field}_initials, x -> coalesce({hit(two + 'x = q', short[0], prefix + 'initials-exact', name, WHOLE, span=str(UNKNOWN))}, {hit(two + 'startswith(x, q)', short[1], prefix + 'initials-prefix', name, START)}, {hit(two + 'contains(x, q)', inner, prefix + 'initials-inner', name, INSIDE, 'instr(x, q) - 1')}))")
+    if "contexts" in has:
+        long = lambda array: f"CASE WHEN length(q) >= 2 THEN {array} END"
+        many.append(long(f"transform(contexts, x -> {plain('x', WORD_EXACT - CONTEXT_DISCOUNT, WORD_PREFIX - CONTEXT_DISCOUNT, SUBSTRING - CONTEXT_DISCOUNT, 'context-', CONTEXT)})"))
+        many.append(f"transform(context_terms, x -> coalesce({hit(two + 'x = q', WORD_EXACT - CONTEXT_DISCOUNT, 'context-word-exact', CONTEXT, WHOLE, span=str(UNKNOWN))}, {hit(two + 'startswith(x, q)', WORD_PREFIX - CONTEXT_DISCOUNT, 'context-word-prefix', CONTEXT, START)}))")
+        many.append(long(f"transform(arrays_zip(context_comps, contexts), x -> {squeezed('x.context_comps', 'x.contexts', COMPACT_EXACT - CONTEXT_COMPACT_DISCOUNT, COMPACT_SUBSTRING - CONTEXT_COMPACT_DISCOUNT, 'context-', CONTEXT)})"))
+    return one, many
+
+
+def skipped(text: str, off: int, tag: str, field: int) -> str:
+    """The query's characters in order with one to three others between: the shortest such stretch of a
+    text, the first among equals; none where the shortest has no others."""
+    end = f"""aggregate(sequence(i, least(length({text}), i + length(q) + {SKIP_GAPS - 1})), struct(0 AS k, CAST(NULL AS INT) AS at), (s, j) ->
+      CASE WHEN s.at IS NULL AND substr({text}, j, 1) = substr(q, s.k + 1, 1) THEN struct(s.k + 1 AS k, CASE WHEN s.k + 1 = length(q) THEN j END AS at) ELSE s END).at"""
+    best = f"array_min(filter(transform(filter(sequence(1, length({text})), i -> substr({text}, i, 1) = left(q, 1)), i -> struct({end} - i + 1 AS span, i AS i)), x -> x.span IS NOT NULL))"
+    met = hit(f"x.span BETWEEN length(q) + 1 AND length(q) + {SKIP_GAPS}", f"greatest({SKIP_LEAST}, {SKIP} - 8 * (x.span - length(q))) - {off}", tag, field, SKIPPED, "x.i - 1", "x.span", "x.span - length(q)")
+    return f"CASE WHEN length({text}) > length(q) THEN transform(array({best}), x -> {met})[0] END"
+
+
+def near(text: Column, off: int, tag: str, field: int) -> Column:
+    """One or two edits away from a text as a whole, else from one of its words."""
+    q = F.col("q")
+    score = F.coalesce(T.fuzzy_score(q, text), F.array_max(F.array_compact(F.transform(T.tokens(text), lambda w: T.fuzzy_score(q, w)))))
+    found = F.when(score.isNotNull(), score)
+    edits = F.when(found == 400, 1).otherwise(2)
+    return F.when(found.isNotNull(), F.struct((found - off).cast("int").alias("score"), F.lit(-UNKNOWN).alias("early"), F.lit(0).alias("tight"), (-edits).alias("true_to"), F.greatest(F.length(q) - edits, F.lit(0)).cast("int").alias("span"), F.lit(-field).alias("field"), F.lit(-NEAR).alias("kind"), F.lit(tag).alias("tag")))
 
 
 def verify(candidates: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Candidates with ``score``, ``tag``, ``start`` and ``tier``; those without any branch go."""
-    best = candidates.withColumn("best", F.array_max(branches(fuzzy))).where(F.col("best").isNotNull() & (F.col("q") != ""))
-    out = best.withColumns({"score": F.col("best.score"), "tag": F.col("best.tag"), "start": -F.col("best.near")}).drop("best")
-    return out.withColumn("tier", quality_tier(F.col("score")))
+    """Candidates with ``score``, ``tag``, ``tier`` and evidence (``start``, ``gaps``, ``edits``, ``span``,
+    ``field``, ``kind``); those without any branch go.
+
+    Skips are only looked for below 320, edits (of queries of three characters or more) below 400: each
+    is worked out where nothing better is.
+    """
+    has = set(candidates.columns)
+    one, many = strict_branches(has)
+    # each kind of branch is a column of its own, so that no expression grows too large for one method
+    parts = {f"b{k}": F.expr(f"array_max(array_compact(array({sql})))") for k, sql in enumerate(one)} | {f"m{k}": F.expr(f"array_max(array_compact({sql}))") for k, sql in enumerate(many)}
+    scored = candidates.where("q <> ''").withColumns(parts)
+    scored = scored.withColumn("best", F.array_max(F.array_compact(F.array(*parts)))).drop(*parts)
+    if fuzzy:
+        skips = [skipped("norm", 0, "skip", NAME)] + [skipped("display", 0, "skip", DISPLAY)] * ("display" in has)
+        if "keywords" in has:
+            skips.append(f"get(filter(transform(keywords, x -> {skipped('x', 30, 'keyword-skip', KEYWORD)}), x -> x IS NOT NULL), 0)")
+        skip = f"CASE WHEN length(q) >= 4 AND (best IS NULL OR best.score < {SKIP}) THEN coalesce({', '.join(skips)}) END"
+        scored = scored.withColumn("best", F.expr(f"array_max(array_compact(array(best, {skip})))"))
+        found = [near(F.col("norm"), 0, "fuzzy", NAME)] + [near(F.col("display"), 0, "fuzzy", NAME)] * ("display" in has)
+        if "keywords" in has:
+            found.append(F.array_max(F.array_compact(F.transform("keywords", lambda k: near(k, 30, "keyword-fuzzy", KEYWORD)))))
+        if "reading" in has:
+            found.append(F.array_max(F.array_compact(F.transform(F.array("reading", "initials") if "initials" in has else F.array("reading"), lambda k: near(k, 20, "reading-fuzzy", READING)))))
+        loose = F.when((F.length("q") >= 3) & (F.col("best").isNull() | (F.col("best.score") < 400)), F.coalesce(*found))
+        scored = scored.withColumn("best", F.array_max(F.array_compact(F.array("best", loose))))
+    scored = scored.where("best is not null")
+    evidence = {"start": -F.col("best.early"), "gaps": -F.col("best.tight"), "edits": -F.col("best.true_to"), "span": F.col("best.span"), "field": -F.col("best.field"), "kind": -F.col("best.kind")}
+    return scored.withColumns({"score": F.col("best.score"), "tag": F.col("best.tag"), **evidence}).drop("best").withColumn("tier", quality_tier(F.col("score")))
+
+
+def evidence_order() -> list[Column]:
+    return [F.col("start"), F.col("gaps"), F.col("edits"), F.desc("span"), F.col("field"), F.col("kind")]
 
 
 def final_order() -> list[Column]:
-    """Protected tiers first and by tier; then score, place of the match, length, name, id."""
+    """Protected tiers first and by tier; then score, evidence, length of the name in bytes, name, id."""
     shielded = F.col("tier") <= PROTECTED_TIER
-    return [shielded.desc(), F.when(shielded, F.col("tier")).otherwise(99), F.desc("score"), F.col("start"), F.octet_length("norm"), F.col("norm"), F.col("id")]
+    return [shielded.desc(), F.when(shielded, F.col("tier")).otherwise(99), F.desc("score"), *evidence_order(), F.octet_length("name"), F.lower("name"), F.col("id")]
 
 
 def rank(hits: DataFrame, k: int = TOP_K) -> DataFrame:
     """The k best of each query with ``rank`` from 1; ids make the order total."""
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*final_order()))
-    return hits.withColumn("rank", place).where(F.col("rank") <= k)
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(*final_order()))
+    return hits.withColumn("rank", best).where(F.col("rank") <= k)
+
+
+# --- keys --------------------------------------------------------------------------------------
+
+
+def _keyed(kind: str, array: Column) -> Column:
+    return F.transform(array, lambda x: F.concat(F.lit(kind), x))
+
+
+def _grams(kind: str, texts: list[Column], sizes: set[int]) -> list[Column]:
+    return [_keyed(f"{kind}{n}", T.grams(x, n)) for x in texts for n in sorted(sizes)]
+
+
+def _grams_of(kind: str, n: int):
+    return lambda x: _keyed(f"{kind}{n}", T.grams(x, n))
+
+
+def many_edits(term: Column) -> Column:
+    """What is left of a term of at most 12 characters after one or two deletions, and itself."""
+    once = F.transform(F.sequence(F.lit(1), F.greatest(F.length(term), F.lit(1))), lambda i: F.concat(F.substr(term, F.lit(1), i - 1), F.substr(term, i + 1)))
+    twice = F.flatten(F.transform(once, lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1))), lambda i: F.concat(F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1)))))
+    return F.when(F.length(term).between(1, 12), F.array_distinct(F.concat(F.array(term), once, twice))).otherwise(F.array().cast("array<string>"))
+
+
+def doc_keys(docs: DataFrame, kinds: set[str]) -> Column:
+    """All keys of a row of the kinds that queries ask for."""
+    has = set(docs.columns)
+    empty = F.array().cast("array<string>")
+    single = [F.coalesce(F.col(c), F.lit("")) for c in ("norm", "display", "reading", "initials") if c in has]
+    lists = [F.coalesce(F.col(c), empty) for c in ("keywords", "contexts", "keyword_readings", "keyword_initials", "context_readings", "context_initials") if c in has]
+    comps = [F.coalesce(F.col(c), F.lit("")) for c in ("comp", "comp_display") if c in has]
+    comp_lists = [F.coalesce(F.col(c), empty) for c in ("keyword_comps", "context_comps") if c in has]
+    out = []
+    for kind, texts, arrays in (("g", single, lists), ("k", comps, comp_lists)):
+        sizes = {int(k[1]) for k in kinds if k[0] == kind}
+        out += _grams(kind, texts, sizes)
+        out += [F.flatten(F.transform(a, _grams_of(kind, n))) for a in arrays for n in sorted(sizes)]
+    if "x" in kinds:
+        out.append(F.flatten(F.transform("words", lambda w: F.array(F.concat(F.lit("x"), F.left(w, F.lit(1))), F.concat(F.lit("x"), F.left(w, F.lit(2)))))))
+    if "y" in kinds:
+        out.append(_keyed("y", T.grams(F.array_join(F.transform("words", lambda w: F.left(w, F.lit(1))), ""), 2)))
+    if "a" in kinds:
+        out.append(F.array(F.concat(F.lit("a"), F.coalesce("acro", F.lit("")))))
+    if "i" in kinds:
+        out.append(F.array(F.concat(F.lit("i"), F.col("id").cast("string"))))
+    if "h" in kinds and "char_readings" in has:
+        out.append(F.flatten(F.transform(F.coalesce("char_readings", F.array().cast("array<struct<ch:string,readings:array<string>>>")), lambda x: F.concat(F.array(F.concat(F.lit("h"), F.lower(x["ch"]))), F.transform(x["readings"], lambda r: F.concat(F.lit("h"), F.left(r, F.lit(1))))))))
+    if "d" in kinds:
+        terms = F.array_distinct(F.concat(F.flatten(F.transform(F.array(*single), T.tokens)), F.array(*single), *(F.flatten(F.transform(a, lambda x: F.concat(F.array(x), T.tokens(x)))) for a in lists)))
+        out.append(F.flatten(F.transform(terms, lambda w: _keyed("d", many_edits(w)))))
+    return F.array_distinct(F.concat(*out)) if out else empty
+
+
+def query_keys(parsed: DataFrame, fuzzy: bool = True, aliases: DataFrame | None = None) -> DataFrame:
+    """``(query_id, channel, rarest, key)``: a row is a candidate if it holds any key of a channel, or, of
+    a channel with ``rarest``, the one that fewest rows hold."""
+
+    def channel(name: str, rarest: bool, keys: Column, when: str = "true") -> DataFrame:
+        return parsed.where(when).select("query_id", F.lit(name).alias("channel"), F.lit(rarest).alias("rarest"), F.explode(F.array_distinct(keys)).alias("key"))
+
+    q, c = F.col("q"), F.col("c")
+    longest = F.element_at(F.array_sort(F.transform("q_tokens", lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t")))), 1)["t"]
+
+    def inside(kind: str, x: Column) -> Column:
+        short = F.array(F.concat(F.lit(kind), F.length(x).cast("string"), x))
+        return F.when(F.length(x) <= 2, short).otherwise(_keyed(f"{kind}3", T.grams(x, 3)))
+
+    out = [
+        channel("text", True, inside("g", q), "q <> ''"),
+        channel("compact", True, inside("k", c), "octet_length(c) >= 2"),
+        channel("words", False, F.when(F.length(longest) >= 2, F.array(F.concat(F.lit("x"), F.left(longest, F.lit(2))), F.concat(F.lit("y"), F.left(longest, F.lit(2))))).otherwise(F.array(F.concat(F.lit("x"), longest))), "size(q_tokens) >= 2"),
+        channel("acronym", False, F.array(F.concat(F.lit("a"), q)), "length(q) >= 2"),
+        channel("reading", False, F.array(F.concat(F.lit("h"), F.left(q, F.lit(1)))), "length(q) >= 2 AND rlike(q, '[A-Za-z0-9]')"),
+    ]
+    if fuzzy:
+        out.append(channel("skip", True, _keyed("g1", T.grams(q, 1)), "length(q) >= 4"))
+        out.append(channel("edits", False, _keyed("d", many_edits(q)), "length(q) >= 3"))
+        # of five pieces of a longer text two edits, swaps of neighbours even, leave one as it is
+        size = F.floor(F.length(q) / 5).cast("int")
+        pieces = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat(F.lit("g2"), F.substr(q, i * size + 1, F.lit(2))))
+        out.append(channel("pieces", False, pieces, "length(q) >= 11"))
+    if aliases is not None:
+        known = parsed.join(aliases, parsed["q"] == aliases["alias"]).select("query_id", "target_id", T.normalize(F.col("target_name")).alias("t"))
+        out.append(known.where("target_id is not null").select("query_id", F.lit("alias-id").alias("channel"), F.lit(False).alias("rarest"), F.concat(F.lit("i"), F.col("target_id").cast("string")).alias("key")))
+        named = known.where("target_id is null and t <> ''").select("query_id", F.concat(F.lit("alias-"), F.col("t")).alias("channel"), F.lit(True).alias("rarest"), F.explode(inside("g", F.col("t"))).alias("key"))
+        out.append(named)
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.unionByName(x)
+    return whole
+
+
+def recall(docs: DataFrame, parsed: DataFrame, fuzzy: bool = True, aliases: DataFrame | None = None) -> DataFrame:
+    """``(query_id, id)``: every row that any branch could accept, each once.
+
+    One pass over the rows' keys keeps those that some query asks for; how many rows hold each of them
+    decides which key of a channel is followed. A key that many rows hold is never gathered: only
+    counted, and joined by broadcast where the batch of queries is small.
+    """
+    asked = stage(query_keys(parsed, fuzzy, aliases), "asked")
+    kinds = asked.select(F.when(F.left("key", F.lit(1)).isin("g", "k"), F.left("key", F.lit(2))).otherwise(F.left("key", F.lit(1))).alias("kind")).groupBy("kind").count().collect()  # nine at most
+    wanted = asked.select("key").distinct()
+    keys = docs.select("id", F.explode(doc_keys(docs, {r["kind"] for r in kinds})).alias("key"))
+    held = stage(keys.join(small(wanted, sum(r["count"] for r in kinds)), "key"), "held-keys")
+    sizes = held.groupBy("key").agg(F.count("*").alias("rows"))
+    rarest = asked.where("rarest").join(sizes, "key").groupBy("query_id", "channel").agg(F.min_by("key", F.struct("rows", "key")).alias("key"))
+    followed = asked.where("not rarest").select("query_id", "key").unionByName(rarest.select("query_id", "key")).distinct()
+    return held.join(small(followed, sum(r["count"] for r in kinds)), "key").select("query_id", "id").distinct()
+
+
+def with_aliases(candidates: DataFrame, aliases: DataFrame | None) -> DataFrame:
+    """Candidates with ``user_alias`` and ``builtin_alias`` where ``aliases(alias, target_id, target_name,
+    builtin)`` are given: by id, or where no id is known by a part of the name."""
+    if aliases is None:
+        return candidates
+    text = [F.col(c) for c in ("norm", "display") if c in candidates.columns]
+    gathered = aliases.groupBy("alias").agg(F.collect_list(F.struct("target_id", T.normalize(F.col("target_name")).alias("t"), F.coalesce("builtin", F.lit(False)).alias("builtin"))).alias("targets"))
+    out = candidates.join(gathered, candidates["q"] == gathered["alias"], "left").drop("alias")
+
+    def meets(t: Column) -> Column:
+        by_name = F.lit(False)
+        for x in text:
+            by_name = by_name | F.contains(x, t["t"])
+        return F.coalesce(F.when(t["target_id"].isNotNull(), t["target_id"].cast("string") == F.col("id").cast("string")).otherwise(by_name), F.lit(False))
+
+    targets = F.coalesce("targets", F.array().cast(out.schema["targets"].dataType))
+    flags = {"user_alias": F.exists(targets, lambda t: ~t["builtin"] & meets(t)), "builtin_alias": F.exists(targets, lambda t: t["builtin"] & meets(t))}
+    return out.withColumns(flags).drop("targets")
+
+
+def candidates_of(docs: DataFrame, parsed: DataFrame, pruned: bool = True, fuzzy: bool = True, aliases: DataFrame | None = None) -> DataFrame:
+    """Rows and queries that meet; unpruned, every row for every query of a short batch."""
+    if pruned:
+        met = recall(docs, parsed, fuzzy, aliases)
+        return with_aliases(met.join(docs, "id").join(small(parsed, parsed.count()), "query_id"), aliases)
+    if parsed.count() > BROADCAST_ROWS:
+        raise ValueError("the unpruned search takes short batches of queries only")
+    return with_aliases(docs.join(F.broadcast(parsed)), aliases)
+
+
+def search(catalog: DataFrame, queries: DataFrame, k: int = TOP_K, pruned: bool = True, fuzzy: bool = True, aliases: DataFrame | None = None) -> DataFrame:
+    """``(query_id, rank, id, name, score, tag, tier)``: the k best hits of each query.
+
+    An empty query gives the catalog in the order of its ids, with score 0 and tag ``default``. Null
+    names are never hit but by their other fields; repeated ids are rows of their own.
+    """
+    docs, parsed = enrich(catalog), parse(queries)
+    hits = rank(verify(candidates_of(docs, parsed, pruned, fuzzy, aliases), fuzzy), k).select("query_id", "rank", "id", "name", "score", "tag", "tier")
+    first = catalog.select("id", "name").orderBy("id").limit(k)
+    place_of = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
+    empty = parsed.where("q = ''").select("query_id").join(F.broadcast(first))  # k rows
+    return hits.unionByName(empty.select("query_id", place_of.alias("rank"), "id", "name", F.lit(0).alias("score"), F.lit("default").alias("tag"), F.lit(len(TIERS)).alias("tier")))
+
+
+# --- the index as tables -----------------------------------------------------------------------
 
 
 def term_postings(docs: DataFrame) -> DataFrame:
@@ -114,8 +442,8 @@ def prefix_terms(terms: DataFrame, prefixes: DataFrame, most: int = MAX_PREFIX_T
     """
     two = lambda c: F.left(F.col(c), F.lit(2))
     met = terms.select("term").distinct().withColumn("two", two("term")).join(prefixes.where("length(prefix) >= 2").distinct().withColumn("two", two("prefix")), "two")
-    place = F.row_number().over(Window.partitionBy("prefix").orderBy("term"))
-    return met.where("startswith(term, prefix)").withColumn("k", place).where(F.col("k") <= most).select("prefix", "term")
+    order = F.row_number().over(Window.partitionBy("prefix").orderBy("term"))
+    return met.where("startswith(term, prefix)").withColumn("k", order).where(F.col("k") <= most).select("prefix", "term")
 
 
 def rarest_gram(grams: DataFrame, parsed: DataFrame, n: int) -> DataFrame:
@@ -125,50 +453,6 @@ def rarest_gram(grams: DataFrame, parsed: DataFrame, n: int) -> DataFrame:
     return wanted.join(sizes, "gram").groupBy("query_id").agg(F.min(F.struct("df", "pos", "gram")).alias("m")).select("query_id", F.col("m.gram").alias("gram"))
 
 
-def recall(docs: DataFrame, parsed: DataFrame) -> DataFrame:
-    """``(query_id, id)``: the union of all channels; may hold too much, never decides a score."""
-    terms = term_postings(docs)
-    words = parsed.select("query_id", F.explode(F.array_union("q_tokens", F.array("q"))).alias("term"))
-    channels = [words.join(terms, "term").select("query_id", "id")]
-    prefixes = words.withColumnRenamed("term", "prefix")
-    expanded = prefixes.join(prefix_terms(terms, prefixes.select("prefix")), "prefix").select("query_id", "term")
-    channels.append(expanded.join(terms, "term").select("query_id", "id"))
-    compacts = docs.select("id", F.col("comp").alias("c"))
-    channels.append(parsed.where("octet_length(c) >= 2").select("query_id", "c").join(compacts, "c").select("query_id", "id"))
-    for n in (3, 2):
-        grams = gram_postings(docs, n)
-        channels.append(rarest_gram(grams, parsed, n).join(grams, "gram").select("query_id", "id"))
-    squeezed = docs.select("id", F.col("comp").alias("norm"))
-    grams = gram_postings(squeezed, 3)
-    channels.append(rarest_gram(grams, parsed.select("query_id", F.col("c").alias("q")), 3).join(grams, "gram").select("query_id", "id"))
-    # queries too short for these grams: a character anywhere in a name, and names of few long characters
-    grams = gram_postings(docs, 1)
-    channels.append(rarest_gram(grams, parsed.where("length(q) = 1"), 1).join(grams, "gram").select("query_id", "id"))
-    for n in (1, 2):
-        short = parsed.where(f"octet_length(c) >= 3 AND length(c) = {n}").select("query_id", F.col("c").alias("gram"))
-        channels.append(short.join(gram_postings(squeezed, n), "gram").select("query_id", "id"))
-    # queries of single characters only: names with a word that begins with the first of them
-    initials = terms.select("id", F.left("term", F.lit(1)).alias("first")).distinct()
-    spelled = parsed.where("size(q_tokens) >= 2 AND forall(q_tokens, t -> length(t) = 1)").select("query_id", F.element_at("q_tokens", 1).alias("first"))
-    channels.append(spelled.join(initials, "first").select("query_id", "id"))
-    acronyms = docs.where("acro <> ''").select("id", F.col("acro").alias("q"))
-    channels.append(parsed.select("query_id", "q").join(acronyms, "q").select("query_id", "id"))
-    channels.append(delete_recall(terms, words).select("query_id", "id"))
-    out = channels[0]
-    for c in channels[1:]:
-        out = out.unionByName(c)
-    return out.distinct()
-
-
-def delete_recall(terms: DataFrame, words: DataFrame) -> DataFrame:
-    """``(query_id, term, id)``: terms that share a delete variant with a query's word, or are one."""
-    sides = lambda df, name: df.select(name, F.explode(F.array_union(T.delete_variants(F.col(name)), F.array(name))).alias("variant"))
-    known = sides(terms.select("term").distinct(), "term")
-    asked = sides(words.where("octet_length(term) > 2").select(F.col("term").alias("word")).distinct(), "word")
-    near = asked.join(known, "variant").select("word", "term").distinct()
-    return words.withColumnRenamed("term", "word").join(near, "word").join(terms, "term").select("query_id", "term", "id").distinct()
-
-
 def intersect_tokens(docs: DataFrame, parsed: DataFrame) -> DataFrame:
     """``(query_id, id)``: documents that hold every word of a query of two words or more."""
     wanted = parsed.where(F.size("q_tokens") >= 2).select("query_id", F.size(F.array_distinct("q_tokens")).alias("n"), F.explode(F.array_distinct("q_tokens")).alias("term"))
@@ -176,14 +460,27 @@ def intersect_tokens(docs: DataFrame, parsed: DataFrame) -> DataFrame:
     return hits.where("met = n").select("query_id", "id")
 
 
-def search(catalog: DataFrame, queries: DataFrame, k: int = TOP_K, pruned: bool = True, fuzzy: bool = True) -> DataFrame:
-    """``(query_id, rank, id, name, score, tag, tier)``: the k best hits of each query.
-
-    With ``pruned`` false every document is scored for every query: the plan to test recall against.
-    """
-    docs, parsed = enrich(catalog), parse(queries)
-    if pruned:
-        candidates = recall(docs, parsed).join(docs, "id").join(parsed, "query_id")
-    else:
-        candidates = docs.join(F.broadcast(parsed))
-    return rank(verify(candidates, fuzzy), k).select("query_id", "rank", "id", "name", "score", "tag", "tier")
+def channel_stats(docs: DataFrame, parsed: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """``(query_id, channel, candidates)``: how many rows each channel's keys meet, each row as often as
+    it holds one of them."""
+    asked = query_keys(parsed, fuzzy)
+    kinds = {"g1", "g2", "g3", "k1", "k2", "k3", "x", "y", "a", "h"} | ({"d"} if fuzzy else set())
+    keys = docs.select("id", F.explode(doc_keys(docs, kinds)).alias("key"))
+    return keys.join(small(asked, asked.count()), "key").groupBy("query_id", "channel").agg(F.count("*").alias("candidates"))
+
+
+def name_candidates(catalog: DataFrame, queries: DataFrame, k: int, hidden: DataFrame | None = None) -> DataFrame:
+    """``(query_id, rank, id, score)``: targets to choose from for an alias, by a short ladder: equal 4,
+    begins 3, reading begins 2, holds or initials begin 1."""
+    docs = enrich(catalog)
+    if hidden is not None:
+        docs = docs.join(hidden.select(F.col("item_id").alias("id")).distinct(), "id", "left_anti")
+    parsed = parse(queries).where("q <> ''")
+    met = recall(docs, parsed, False).join(docs, "id").join(small(parsed, parsed.count()), "query_id")
+    names = [c for c in ("norm", "display") if c in docs.columns]
+    any_of = lambda test: " OR ".join(test.format(n) for n in names)
+    reading = "startswith(reading, q)" if "reading" in docs.columns else "false"
+    letters = "startswith(initials, q)" if "initials" in docs.columns else "false"
+    score = F.expr(f"CASE WHEN {any_of('{} = q')} THEN 4 WHEN {any_of('startswith({}, q)')} THEN 3 WHEN {reading} THEN 2 WHEN {any_of('contains({}, q)')} OR {letters} THEN 1 ELSE 0 END")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.octet_length("name"), F.lower("name"), "id")
+    return met.withColumn("score", score).where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from seekstone.functions import routing, text as T
-from seekstone.operators import catalog as C, evaluate, files, preferences as P, search as S
+from seekstone.functions import calculator, routing, text as T
+from seekstone.operators import catalog as C, evaluate, files, preferences as P, results, search as S
 from seekstone.shared import new_folder
 from seekstone.sources.tables import table
-from seekstone.streaming import changes
+from seekstone.streaming import changes, overlay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -137,7 +137,9 @@ def delete_variants(spark, sf_dir):
 def one_edit_away(spark, sf_dir):
     terms = S.term_postings(S.enrich(parts(spark, sf_dir))).select("term").distinct()
     typos = batch(spark, TYPOS).select(F.col("text").alias("typo"))
-    return terms.join(F.broadcast(typos)).where((F.abs(F.length("typo") - F.length("term")) <= 1) & (T.osa_distance(F.col("typo"), F.col("term")) == 1)).select("typo", "term")
+    keys = lambda df, name: df.select(name, F.explode(S.many_edits(F.col(name))).alias("variant"))
+    met = keys(terms, "term").join(keys(typos, "typo"), "variant").select("typo", "term").distinct()
+    return met.where(T.osa_distance(F.col("typo"), F.col("term")) == 1)
 
 
 @query(f"SELECT p_partkey AS id, left(sha256(p_brand || chr(0) || p_name || chr(0)), 32) AS hash_id FROM part")
@@ -148,20 +150,45 @@ def hash_ids(spark, sf_dir):
 # --- ranked search -----------------------------------------------------------------------------
 
 TIER = "CASE WHEN score >= 1100 THEN 0 WHEN score >= 1000 THEN 1 WHEN score >= 920 THEN 2 WHEN score >= 850 THEN 3 WHEN score >= 800 THEN 4 WHEN score >= 700 THEN 5 WHEN score >= 680 THEN 6 WHEN score >= 550 THEN 7 WHEN score >= 225 THEN 8 ELSE 9 END"
-SEQUENCE = "len(string_split(q, ' ')) = 2 AND len(list_filter(range(1, len(toks)), lambda i: starts_with(toks[i], string_split(q, ' ')[1]) AND len(list_filter(range(i + 1, len(toks) + 1), lambda j: starts_with(toks[j], string_split(q, ' ')[2]))) > 0)) > 0"
-BRANCHES = f"""SELECT query_id, id, name, norm, q, unnest([
-  CASE WHEN norm = q THEN {{'score': 1000, 'near': -1, 'ord': 0, 'tag': 'exact'}} END,
-  CASE WHEN starts_with(norm, q) THEN {{'score': 800, 'near': -1, 'ord': -1, 'tag': 'prefix'}} END,
-  CASE WHEN contains(norm, q) THEN {{'score': 550, 'near': -instr(norm, q), 'ord': -2, 'tag': 'substring'}} END,
-  CASE WHEN strlen(replace(q, ' ', '')) >= 2 AND comp = replace(q, ' ', '') THEN {{'score': 920, 'near': -1, 'ord': -3, 'tag': 'compact-exact'}} END,
-  CASE WHEN strlen(replace(q, ' ', '')) >= 3 AND contains(comp, replace(q, ' ', '')) THEN {{'score': 780, 'near': -instr(comp, replace(q, ' ', '')), 'ord': -4, 'tag': 'compact-substring'}} END,
-  CASE WHEN list_contains(words, q) THEN {{'score': 850, 'near': -1, 'ord': -5, 'tag': 'word-exact'}} END,
-  CASE WHEN length(q) >= 2 AND len(list_filter(words, lambda w: starts_with(w, q))) > 0 THEN {{'score': 720, 'near': -1, 'ord': -6, 'tag': 'word-prefix'}} END,
-  CASE WHEN {SEQUENCE} THEN {{'score': 880, 'near': -1, 'ord': -7, 'tag': 'token-seq'}} END,
-  CASE WHEN length(q) >= 2 AND acro = q THEN {{'score': 680, 'near': -1, 'ord': -8, 'tag': 'acronym'}} END]) AS b
+#: In these names words hold no signs, so words are the parts between spaces.
+FIRST = "list_filter(range(1, len(toks) + 1), lambda i: starts_with(toks[i], string_split(q, ' ')[1]) AND len(list_filter(range(i + 1, len(toks) + 1), lambda j: starts_with(toks[j], string_split(q, ' ')[2]))) > 0)[1]"
+SECOND = f"list_filter(range({FIRST} + 1, len(toks) + 1), lambda j: starts_with(toks[j], string_split(q, ' ')[2]))[1]"
+SPACELESS = "list_filter(range(1, length(norm) + 1), lambda j: norm[j] <> ' ')"
+COMPACT_AT = "instr(comp, replace(q, ' ', ''))"
+
+
+def sql_hit(condition: str, score: int, tag: str, kind: int, start: str = "0", span: str = "length(q)", gaps: str = "0") -> str:
+    return f"CASE WHEN {condition} THEN {{'score': {score}, 'start': {start}, 'gaps': {gaps}, 'edits': 0, 'span': {span}, 'kind': {kind}, 'tag': '{tag}'}} END"
+
+
+BRANCHES = f"""SELECT query_id, id, name, norm, toks, q, unnest([
+  {sql_hit("norm = q", 1000, "exact", 0, span="2147483647")},
+  {sql_hit("norm <> q AND starts_with(norm, q)", 800, "prefix", 1)},
+  {sql_hit("NOT starts_with(norm, q) AND contains(norm, q)", 550, "substring", 2, "instr(norm, q) - 1")},
+  {sql_hit("strlen(replace(q, ' ', '')) >= 2 AND comp = replace(q, ' ', '')", 920, "compact-exact", 0, span="2147483647")},
+  {sql_hit("strlen(replace(q, ' ', '')) >= 3 AND comp <> replace(q, ' ', '') AND contains(comp, replace(q, ' ', ''))", 780, "compact-substring", 2, f"{SPACELESS}[{COMPACT_AT}] - 1", f"{SPACELESS}[{COMPACT_AT} + length(replace(q, ' ', '')) - 1] - {SPACELESS}[{COMPACT_AT}] + 1")},
+  {sql_hit("list_contains(words, q)", 850, "word-exact", 0, span="2147483647")},
+  {sql_hit("length(q) >= 2 AND len(list_filter(words, lambda w: w <> q AND starts_with(w, q))) > 0", 720, "word-prefix", 1)},
+  {sql_hit(f"contains(q, ' ') AND {FIRST} IS NOT NULL", 880, "token-seq", 2, f"length(array_to_string(toks[1:{FIRST} - 1], ' ')) + CASE WHEN {FIRST} > 1 THEN 1 ELSE 0 END", gaps=f"{SECOND} - 2")},
+  {sql_hit("length(q) >= 2 AND acro = q", 680, "acronym", 3)}]) AS b
 FROM ({DOCS}), {TABLE_OF_BATCH}"""
-SCORED = f"SELECT *, {TIER} AS tier FROM (SELECT query_id, id, name, norm, b.score AS score, b.tag AS tag, -b.near AS start FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY b.score DESC, b.near DESC, b.ord DESC) AS k FROM ({BRANCHES}) WHERE b IS NOT NULL) WHERE k = 1)"
-RANKED = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier <= 2 DESC, CASE WHEN tier <= 2 THEN tier ELSE 99 END, score DESC, start, strlen(norm), norm, id)::INTEGER AS rank FROM ({SCORED})"
+BEST = "SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY b.score DESC, b.start, b.gaps, b.edits, b.span DESC, b.kind, b.tag DESC) AS k FROM ({0}) WHERE b IS NOT NULL"
+SCORED = f"SELECT *, {TIER} AS tier FROM (SELECT query_id, id, name, norm, b, b.score AS score, b.tag AS tag FROM ({BEST.format(BRANCHES)}) WHERE k = 1)"
+PLACE = "row_number() OVER (PARTITION BY query_id ORDER BY tier <= 2 DESC, CASE WHEN tier <= 2 THEN tier ELSE 99 END, score DESC, b.start, b.gaps, b.edits, b.span DESC, b.kind, strlen(name), lower(name), id)::INTEGER AS rank"
+RANKED = f"SELECT *, {PLACE} FROM ({SCORED})"
+
+#: Skipped characters and edits, looked for where no branch above gives 320 or 400.
+TYPO_TABLE = "(VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(TYPOS)) + ") AS b(query_id, q)"
+IN_ORDER = "regexp_extract(substr(norm, i, length(q) + 3), '^' || q[1] || array_to_string(list_transform(range(2, length(q) + 1), lambda j: '[^' || q[j] || ']*' || q[j]), ''))"
+EDITS = "CASE WHEN damerau_levenshtein(q, {0}) BETWEEN 1 AND CASE WHEN strlen(q) <= 2 THEN 0 WHEN strlen(q) <= 5 THEN 1 ELSE 2 END THEN damerau_levenshtein(q, {0}) END"
+LOOSE = f"""WITH strict AS MATERIALIZED (SELECT query_id, id, name, norm, toks, q, b FROM ({BEST.format(BRANCHES.replace(TABLE_OF_BATCH, TYPO_TABLE))}) WHERE k = 1),
+met AS (SELECT d.query_id, d.id, d.name, d.norm, d.toks, d.q, s.b FROM (SELECT query_id, id, name, norm, toks, q FROM ({DOCS}), {TYPO_TABLE}) d LEFT JOIN strict s USING (query_id, id)),
+skips AS (SELECT *, CASE WHEN length(q) >= 4 AND (b IS NULL OR b.score < 320) THEN list_min(list_filter(list_transform(range(1, length(norm) + 1), lambda i: length({IN_ORDER}) * 1000 + i), lambda x: x >= 1000)) END AS x FROM met),
+with_skips AS (SELECT query_id, id, name, norm, toks, q, CASE WHEN x // 1000 BETWEEN length(q) + 1 AND length(q) + 3 THEN {{'score': (greatest(280, 320 - 8 * (x // 1000 - length(q))))::INTEGER, 'start': (x % 1000 - 1)::INTEGER, 'gaps': (x // 1000 - length(q))::INTEGER, 'edits': 0, 'span': (x // 1000)::INTEGER, 'kind': 4, 'tag': 'skip'}} ELSE b END AS b FROM skips),
+near AS (SELECT *, CASE WHEN length(q) >= 3 AND (b IS NULL OR b.score < 400) THEN coalesce({EDITS.format('norm')}, list_min(list_transform(toks, lambda t: {EDITS.format('t')}))) END AS e FROM with_skips),
+every AS (SELECT query_id, id, name, norm, CASE WHEN e IS NULL OR b.score >= CASE e WHEN 1 THEN 400 ELSE 280 END THEN b ELSE {{'score': CASE e WHEN 1 THEN 400 ELSE 280 END, 'start': 2147483647, 'gaps': 0, 'edits': e::INTEGER, 'span': (length(q) - e)::INTEGER, 'kind': 5, 'tag': 'fuzzy'}} END AS b FROM near),
+tiers AS (SELECT *, {TIER} AS tier FROM (SELECT *, b.score AS score, b.tag AS tag FROM every WHERE b IS NOT NULL))
+SELECT query_id, rank, id, name, score, tag, tier FROM (SELECT *, {PLACE} FROM tiers) WHERE rank <= 10"""
 
 
 @query(f"SELECT query_id, rank, id, name, score, tag, tier FROM ({RANKED}) WHERE rank <= 10")
@@ -174,13 +201,18 @@ def search_unpruned(spark, sf_dir):
     return S.search(parts(spark, sf_dir), batch(spark), pruned=False, fuzzy=False)
 
 
+def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows that a branch accepts, found by recall."""
+    docs, parsed = S.enrich(parts(spark, sf_dir)), S.parse(batch(spark))
+    return S.verify(S.candidates_of(docs, parsed, fuzzy=False), fuzzy=False)
+
+
 @query(f"SELECT query_id, tag, tier, count(*) AS hits FROM ({SCORED}) GROUP BY ALL")
 def branch_counts(spark, sf_dir):
-    docs, parsed = S.enrich(parts(spark, sf_dir)), S.parse(batch(spark))
-    return S.verify(docs.join(F.broadcast(parsed)), fuzzy=False).groupBy("query_id", "tag", "tier").agg(F.count("*").alias("hits"))
+    return accepted(spark, sf_dir).groupBy("query_id", "tag", "tier").agg(F.count("*").alias("hits"))
 
 
-@query()
+@query(LOOSE)
 def search_fuzzy(spark, sf_dir):
     return S.search(parts(spark, sf_dir), batch(spark, TYPOS))
 
@@ -201,9 +233,10 @@ def recall_rarest_gram(spark, sf_dir):
     return S.rarest_gram(S.gram_postings(S.enrich(parts(spark, sf_dir)), 3), S.parse(batch(spark)), 3)
 
 
-@query()
+@query(f"SELECT query_id, id FROM ({SCORED})")
 def recall_union(spark, sf_dir):
-    return S.recall(S.enrich(parts(spark, sf_dir)), S.parse(batch(spark)))
+    """Recall loses nothing that a branch accepts: its rows after verification are those of a full scan."""
+    return accepted(spark, sf_dir).select("query_id", "id")
 
 
 # --- preferences -------------------------------------------------------------------------------
@@ -225,26 +258,33 @@ def recent_items(spark, sf_dir):
 
 
 FRESH = f"CASE WHEN {NOW} - p.last_used <= 2592000 THEN 1.0 WHEN {NOW} - p.last_used <= 7776000 THEN 0.8 WHEN {NOW} - p.last_used <= 15552000 THEN 0.6 ELSE 0.4 END"
-BOOSTS = f"""SELECT p.query, p.item_id, least(160, greatest(0, least(round((30 + 14 * ln(p.n)) * share * {FRESH}), CASE WHEN n >= 3 AND share >= 0.7 THEN 110 ELSE 45 END))
-  + least(round(10 + 8 * ln(u.launches)), 45)
-  + CASE WHEN {NOW} - u.last_used <= 0 OR {NOW} - u.last_used >= 604800 THEN 0 WHEN {NOW} - u.last_used < 86400 THEN 40 ELSE round(40 * (604800 - ({NOW} - u.last_used)) / 518400.0) END)::INTEGER AS boost
-FROM ({PAIRS}) p JOIN ({USAGE}) u USING (item_id)"""
+#: Items that were chosen for a query, and others that were never chosen for it.
+ASKED = f"SELECT DISTINCT query, item_id FROM ({LOG}) UNION SELECT DISTINCT query, item_id * 3 + 1 FROM ({LOG})"
+BOOSTS = f"""SELECT h.query, h.item_id, least(160, CASE WHEN p.n IS NULL THEN 0 ELSE greatest(0, least(round((30 + 14 * ln(p.n)) * share * {FRESH}), CASE WHEN n >= 3 AND share >= 0.7 THEN 110 ELSE 45 END)) END
+  + CASE WHEN u.launches IS NULL THEN 0 ELSE least(round(10 + 8 * ln(u.launches)), 45) END
+  + CASE WHEN u.last_used IS NULL OR {NOW} - u.last_used <= 0 OR {NOW} - u.last_used >= 604800 THEN 0 WHEN {NOW} - u.last_used < 86400 THEN 40 ELSE round(40 * (604800 - ({NOW} - u.last_used)) / 518400.0) END)::INTEGER AS boost
+FROM ({ASKED}) h LEFT JOIN ({PAIRS}) p USING (query, item_id) LEFT JOIN ({USAGE}) u ON u.item_id = h.item_id"""
+
+
+def asked(rows: DataFrame) -> DataFrame:
+    chosen = rows.select("query", "item_id")
+    return chosen.unionByName(chosen.select("query", (F.col("item_id") * 3 + 1).alias("item_id"))).distinct()
 
 
 @query(BOOSTS)
 def history_boost(spark, sf_dir):
     rows = log(spark, sf_dir)
-    return P.history_boost(P.pairs(rows), P.usage(rows), NOW)
+    return P.with_boosts(asked(rows), P.pairs(rows), P.usage(rows), NOW)
 
 
 def preferences_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     rows = log(spark, sf_dir)
-    hits = rows.select("query", "item_id").distinct().withColumn("score", (F.lit(400) + F.pmod(F.col("item_id") * 37, F.lit(700))).cast("int"))
-    items = lambda sql: P.usage(rows).where(sql).select("item_id")
+    hits = asked(rows).withColumn("score", (F.lit(400) + F.pmod(F.col("item_id") * 37, F.lit(700))).cast("int"))
+    items = lambda sql: asked(rows).where(sql).select("item_id").distinct()
     return rows, hits.withColumn("tier", S.quality_tier(F.col("score"))), items("item_id % 11 = 3"), items("item_id % 7 = 2"), items("item_id % 13 = 5")
 
 
-HITS = f"SELECT *, {TIER} AS tier FROM (SELECT DISTINCT query, item_id, (400 + item_id * 37 % 700)::INTEGER AS score FROM ({LOG}))"
+HITS = f"SELECT *, {TIER} AS tier FROM (SELECT query, item_id, (400 + item_id * 37 % 700)::INTEGER AS score FROM ({ASKED}))"
 PERSONAL = f"""SELECT query, item_id, tier, (score + CASE WHEN item_id % 11 = 3 THEN greatest(180, boost) ELSE boost END - CASE WHEN item_id % 7 = 2 AND tier > 2 THEN 180 ELSE 0 END)::INTEGER AS score,
   CASE WHEN item_id % 11 = 3 THEN '+pin' WHEN item_id % 7 = 2 AND tier > 2 THEN '+demote' WHEN boost > 0 THEN '+history' ELSE '' END AS why
 FROM ({HITS}) JOIN ({BOOSTS}) USING (query, item_id) WHERE item_id % 13 <> 5"""
@@ -253,8 +293,8 @@ FROM ({HITS}) JOIN ({BOOSTS}) USING (query, item_id) WHERE item_id % 13 <> 5"""
 @query(f"SELECT query, rank, item_id, score, why FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier <= 2 DESC, CASE WHEN tier <= 2 THEN tier ELSE 99 END, score DESC, tier, item_id)::INTEGER AS rank FROM ({PERSONAL})) WHERE rank <= 10")
 def personalized_rank(spark, sf_dir):
     rows, hits, pinned, demoted, hidden = preferences_of(spark, sf_dir)
-    boosts = P.history_boost(P.pairs(rows), P.usage(rows), NOW)
-    return P.rerank(P.personalize(hits, boosts, pinned, demoted, hidden), 10).select("query", "rank", "item_id", "score", "why")
+    hits = P.with_boosts(hits, P.pairs(rows), P.usage(rows), NOW)
+    return P.rerank(P.personalize(hits, pinned, demoted, hidden), 10).select("query", "rank", "item_id", "score", "why")
 
 
 @query(f"SELECT coalesce(m.new_id, u.item_id) AS item_id, sum(launches)::BIGINT AS launches, max(last_used) AS last_used FROM ({USAGE}) u LEFT JOIN (SELECT DISTINCT item_id AS old_id, item_id // 2 AS new_id FROM ({USAGE}) WHERE item_id % 2 = 1) m ON m.old_id = u.item_id GROUP BY 1")
@@ -278,7 +318,8 @@ def empty_query_sections(spark, sf_dir):
 
 SOURCES = "CASE p_partkey % 4 WHEN 0 THEN 'start-menu' WHEN 1 THEN 'desktop' WHEN 2 THEN 'commands' ELSE 'uninstall' END"
 ROWS = f"SELECT p_partkey AS id, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' (x64)' ELSE '' END AS name, 'C:\\' || p_type || '\\' || (p_partkey % 97) || '.exe' AS target, CASE WHEN p_partkey % 2 = 0 THEN ' -v ' END AS args, {SOURCES} AS source FROM part"
-RANK = "CASE source WHEN 'start-menu' THEN 0 WHEN 'desktop' THEN 1 WHEN 'commands' THEN 5 WHEN 'uninstall' THEN 100 ELSE 8 END"
+RANK = "CASE source WHEN 'start-menu' THEN 1 WHEN 'desktop' THEN 2 WHEN 'uninstall' THEN 4 WHEN 'commands' THEN 7 END"
+LAUNCHED = "lower(target) || chr(31) || trim(coalesce(args, ''))"
 
 
 def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,19 +334,28 @@ def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH r AS (SELECT *, lower(target) AS key, trim(coalesce(args, '')) AS ka FROM ({ROWS})), b AS (SELECT *, row_number() OVER (PARTITION BY key, ka ORDER BY {RANK}, id) AS k FROM r),
-n AS (SELECT key, ka, list_distinct(list(name)) AS names FROM r GROUP BY key, ka)
-SELECT id, name, target, source, array_to_string(list_sort(list_filter(names, lambda x: lower(x) <> lower(name))), '|') AS keywords FROM b JOIN n USING (key, ka) WHERE k = 1""")
+@query(f"""WITH r AS (SELECT *, {LAUNCHED} AS key, row_number() OVER (PARTITION BY {LAUNCHED} ORDER BY {RANK}, lower(target), coalesce(args, ''), name, id) AS k FROM ({ROWS})),
+n AS (SELECT key, list(name ORDER BY k) AS names FROM r GROUP BY key)
+SELECT id, name, target, source, array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i AND lower(x) <> lower(name)), '|') AS keywords FROM r JOIN n USING (key) WHERE k = 1""")
 def dedupe_best_source(spark, sf_dir):
     return C.dedupe(catalog_rows(spark, sf_dir)).select("id", "name", "target", "source", F.array_join("keywords", "|").alias("keywords"))
 
 
-@query(f"SELECT source, CASE source WHEN 'commands' THEN 'CommandAlias' WHEN 'uninstall' THEN 'Supplemental' ELSE 'Formal' END AS layer, count(*) AS n FROM ({ROWS}) GROUP BY ALL")
+ALL_SOURCES = "start-menu desktop uwp apps-folder portable manual builtin builtin-system win-settings app-paths uninstall commands scoop protocols test".split()
+LAYER_TABLE = "(VALUES ('start-menu', 'Formal', 1), ('desktop', 'Formal', 1), ('uwp', 'Formal', 1), ('apps-folder', 'Formal', 1), ('portable', 'Formal', 1), ('manual', 'Formal', 1), ('builtin', 'System', 0), ('builtin-system', 'System', 0), ('win-settings', 'System', 0), ('app-paths', 'Supplemental', 1), ('uninstall', 'Supplemental', 1), ('commands', 'CommandAlias', 1), ('scoop', 'CommandAlias', 1), ('protocols', 'Supplemental', 1), ('test', 'Supplemental', 0)) AS t(source, layer, hideable)"
+
+
+@query(f"WITH t AS (SELECT *, row_number() OVER () - 1 AS k FROM {LAYER_TABLE}) SELECT source, layer, hideable = 1 AS hideable, count(*) AS n FROM part JOIN t ON t.k = p_partkey % 15 GROUP BY ALL")
 def source_layers(spark, sf_dir):
-    return catalog_rows(spark, sf_dir).groupBy("source", C.layer(F.col("source")).alias("layer")).agg(F.count("*").alias("n"))
+    source = F.get(F.array(*map(F.lit, ALL_SOURCES)), (F.col("p_partkey") % 15).cast("int"))
+    rows = table(spark, sf_dir, "part").select(source.alias("source"))
+    return rows.groupBy("source", C.layer(F.col("source")).alias("layer"), F.col("source").isin(*C.HIDEABLE).alias("hideable")).agg(F.count("*").alias("n"))
 
 
-GROUP_KEYS = f"SELECT id, unnest(['t:' || lower(target), 'f:' || lower(regexp_replace(target, '\\\\[^\\\\]*$', '')) || '|' || trim(regexp_replace(lower(name), '\\s*[(\\[][^)\\]]*[)\\]]\\s*$', ''))]) AS key FROM ({ROWS})"
+FAMILY = "trim(regexp_replace(lower(name), '\\s*\\([^)]*\\)$', ''))"
+ROOT = "lower(regexp_replace(target, '\\\\[^\\\\]*$', ''))"
+GROUP_KEYS = f"""SELECT id, 'l' || {LAUNCHED} AS key FROM ({ROWS}) UNION ALL
+SELECT id, key FROM (SELECT id, 'r' || {ROOT} || chr(31) || {FAMILY} AS key, min(lower(target)) OVER (PARTITION BY {ROOT}, {FAMILY}) AS p, max(lower(target)) OVER (PARTITION BY {ROOT}, {FAMILY}) AS q FROM ({ROWS})) WHERE p <> q"""
 GROUPS = f"""WITH RECURSIVE k AS MATERIALIZED ({GROUP_KEYS}), h AS MATERIALIZED (SELECT k.id, m.head FROM k JOIN (SELECT key, min(id) AS head FROM k GROUP BY key) m USING (key) WHERE k.id <> m.head),
 e AS MATERIALIZED (SELECT id AS a, head AS b FROM h UNION SELECT head, id FROM h), g(id, root) AS (SELECT id, id FROM ({ROWS}) UNION SELECT e.a, g.root FROM g JOIN e ON e.b = g.id WHERE g.root < e.a)
 SELECT id, min(root) AS group_id FROM g GROUP BY id"""
@@ -316,18 +366,47 @@ def launch_groups(spark, sf_dir):
     return C.launch_groups(catalog_rows(spark, sf_dir))
 
 
-@query(f"WITH g AS ({GROUPS}) SELECT group_id, id FROM (SELECT group_id, r.id, row_number() OVER (PARTITION BY group_id ORDER BY {RANK}, r.id) AS k FROM ({ROWS}) r JOIN g ON g.id = r.id) WHERE k = 1")
+@query(f"WITH g AS ({GROUPS}) SELECT group_id, id FROM (SELECT group_id, r.id, row_number() OVER (PARTITION BY group_id ORDER BY CASE source WHEN 'start-menu' THEN 2 WHEN 'desktop' THEN 3 WHEN 'commands' THEN 7 ELSE 100 END, r.id) AS k FROM ({ROWS}) r JOIN g ON g.id = r.id) WHERE k = 1")
 def group_representatives(spark, sf_dir):
     rows = catalog_rows(spark, sf_dir)
     return C.representatives(rows, C.launch_groups(rows))
 
 
-@query(f"""WITH d AS (SELECT s_suppkey AS id, p_name AS name FROM supplier JOIN part ON p_partkey = s_suppkey * 3), m AS (SELECT d.id, (SELECT min(r.id) FROM ({ROWS}) r WHERE r.source IN ('start-menu', 'desktop') AND replace(lower(r.name), ' ', '') = replace(lower(d.name), ' ', '')) AS host_id FROM d)
-SELECT host_id, array_to_string(list_sort(list(id)), ',') AS absorbed FROM m WHERE host_id IS NOT NULL GROUP BY host_id""")
+@query(f"""WITH r AS (SELECT *, {LAUNCHED} AS launch, lower(target) AS path, {ROOT} AS root, {FAMILY} AS family, trim(coalesce(args, '')) AS a FROM ({ROWS})),
+m AS (SELECT d.id AS loser, min(h.id) AS winner FROM r d JOIN r h ON d.source = 'uninstall' AND h.source IN ('start-menu', 'desktop') AND d.a = h.a AND (d.launch = h.launch OR d.root = h.root AND d.family = h.family) GROUP BY d.id),
+n AS (SELECT winner, list(d.name ORDER BY loser) AS names FROM m JOIN r d ON d.id = m.loser GROUP BY winner)
+SELECT r.id, array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i AND lower(x) <> lower(r.name)), '|') AS keywords FROM r JOIN n ON n.winner = r.id""")
 def discovery_absorb(spark, sf_dir):
-    found = table(spark, sf_dir, "supplier").join(parts(spark, sf_dir).withColumnRenamed("id", "p"), F.expr("p = s_suppkey * 3")).select(F.col("s_suppkey").alias("id"), "name")
-    hosts, _ = C.absorb(found, catalog_rows(spark, sf_dir))
-    return hosts.where("absorbed is not null").select(F.col("id").alias("host_id"), F.array_join("absorbed", ",").alias("absorbed"))
+    rows = catalog_rows(spark, sf_dir)
+    hosts = C.absorb(rows)
+    gone = rows.join(hosts.select("id"), "id", "left_anti").select(F.col("id").alias("lost"))
+    met = C.keys_of(rows.join(gone, rows["id"] == gone["lost"], "left_semi"), "a").select(F.col("a_root").alias("root"), F.col("a_family").alias("family"), T.arguments_core(F.col("a_args")).alias("a"), F.col("a_launch").alias("launch"))
+    keyed = hosts.where("source in ('start-menu', 'desktop')").select("id", "search_keywords", F.explode(F.array(F.concat(F.lit("r"), T.install_root(F.col("target")), F.lit("|"), T.family_key(F.col("name")), F.lit("|"), T.arguments_core(F.col("args"))), F.concat(F.lit("l"), T.launch_identity(F.col("target"), F.col("args"))))).alias("k"))
+    took = met.select(F.explode(F.array(F.concat(F.lit("r"), "root", F.lit("|"), "family", F.lit("|"), "a"), F.concat(F.lit("l"), "launch"))).alias("k")).distinct()
+    first = keyed.groupBy("k").agg(F.min("id").alias("id")).join(took, "k", "left_semi").select("id").distinct()
+    return hosts.join(first, "id", "left_semi").select("id", F.array_join("search_keywords", "|").alias("keywords"))
+
+
+@query(f"SELECT id FROM ({ROWS}) c WHERE source <> 'commands' OR NOT EXISTS (SELECT 1 FROM ({ROWS}) o WHERE o.source <> 'commands' AND replace(lower(o.name), ' ', '') = replace(lower(c.name), ' ', ''))")
+def command_merge(spark, sf_dir):
+    rows = catalog_rows(spark, sf_dir)
+    # few names stand for many parts: half of the commands get a name of their own
+    return C.merge_commands(rows).select("id")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN true WHEN c_custkey % 5 = 1 THEN false WHEN c_custkey % 5 = 2 THEN false WHEN c_custkey % 5 = 3 THEN true ELSE false END AS helper, c_custkey % 5 IN (2, 4) AS command, c_custkey % 5 = 3 AS skippable FROM customer")
+def name_filters(spark, sf_dir):
+    """Helpers, commands and shortcuts that start no program, by name."""
+    k = F.col("c_custkey") % 5
+    name = F.when(k == 0, F.concat(F.lit("Crash-Pad "), F.col("c_custkey").cast("string"))).when(k == 1, F.concat(F.lit("a very long command name "), F.col("c_custkey").cast("string"))).when(k == 2, F.concat(F.lit("tool-x64 "), F.col("c_custkey").cast("string"))).when(k == 3, "Setup guide").otherwise(F.concat(F.lit("git"), F.col("c_custkey").cast("string")))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), C.is_helper(name).alias("helper"), C.is_command(name).alias("command"), C.is_skippable(name).alias("skippable"))
+
+
+@query("SELECT p_partkey AS id, 'c:\\program files\\' || lower(p_brand) AS root, left(sha256('c:\\program files\\' || lower(p_brand) || '\\' || CASE p_partkey % 3 WHEN 0 THEN 'bin\\' WHEN 1 THEN '1.2.3\\x64\\' ELSE '' END || 'app.exe' || chr(0) || '-v' || chr(0)), 32) AS item_id FROM part")
+def install_roots(spark, sf_dir):
+    inner = F.when(F.col("p_partkey") % 3 == 0, "bin/").when(F.col("p_partkey") % 3 == 1, "1.2.3\\x64\\").otherwise("")
+    target = F.concat(F.lit("C:\\Program Files\\"), "p_brand", F.lit("\\"), inner, F.lit("App.exe"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.install_root(target).alias("root"), T.stable_item_id(target, F.lit("-v")).alias("item_id"))
 
 
 # --- paths and addresses -----------------------------------------------------------------------
@@ -343,7 +422,7 @@ def path_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(k.alias("frn"), F.concat(path, end).alias("path"), (k % 10 == 3).alias("is_dir"))
 
 
-@query(f"SELECT kind, frn FROM (SELECT frn, is_dir, CASE WHEN contains({BASE}, '.') THEN lower(string_split({BASE}, '.')[-1]) ELSE '' END AS x FROM ({PATHS})), (VALUES ('images', 'png'), ('documents', 'pdf'), ('audio', 'mp3'), ('archives', 'zip'), ('documents', 'html')) AS t(kind, e) WHERE x = e AND NOT is_dir UNION ALL SELECT 'folders', frn FROM ({PATHS}) WHERE is_dir")
+@query(f"SELECT kind, frn FROM (SELECT frn, is_dir, CASE WHEN contains({BASE}, '.') THEN lower(string_split({BASE}, '.')[-1]) ELSE '' END AS x FROM ({PATHS})), (VALUES ('images', 'png'), ('documents', 'pdf'), ('audio', 'mp3'), ('archives', 'zip')) AS t(kind, e) WHERE x = e AND NOT is_dir UNION ALL SELECT 'folders', frn FROM ({PATHS}) WHERE is_dir")
 def file_types(spark, sf_dir):
     rows = path_rows(spark, sf_dir)
     kinds = ("images", "documents", "audio", "archives", "folders")
@@ -411,14 +490,104 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
+EXTENSIONS = "jpg:images jpeg:images png:images gif:images webp:images bmp:images ico:images svg:images heic:images heif:images avif:images tif:images tiff:images pdf:documents doc:documents docx:documents xls:documents xlsx:documents ppt:documents pptx:documents txt:documents md:documents rtf:documents odt:documents ods:documents odp:documents csv:documents mp4:videos mkv:videos mov:videos avi:videos wmv:videos webm:videos flv:videos m4v:videos mpeg:videos mpg:videos mp3:audio wav:audio flac:audio aac:audio m4a:audio ogg:audio wma:audio opus:audio zip:archives 7z:archives rar:archives tar:archives gz:archives bz2:archives xz:archives iso:archives html: exe: rs:".split()
+EXTENSION_TABLE = "(VALUES " + ", ".join("({}, '{}', '{}')".format(k, *x.split(":")) for k, x in enumerate(EXTENSIONS)) + ") AS t(k, e, kind)"
+
+
+@query(f"SELECT p_partkey AS id, kind FROM part JOIN {EXTENSION_TABLE} ON t.k = p_partkey % {len(EXTENSIONS)} WHERE kind <> ''")
+def every_file_type(spark, sf_dir):
+    """All extensions of all types, against a list of its own."""
+    ext = F.get(F.array(*(F.lit(x.split(":")[0].upper()) for x in EXTENSIONS)), (F.col("p_partkey") % len(EXTENSIONS)).cast("int"))
+    path = F.concat(F.lit("C:\\a.b\\"), "p_name", F.lit("."), ext)
+    held = F.array_compact(F.array(*(F.when(files.of_type(path, F.lit(False), k), F.lit(k)) for k in files.TYPES)))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(held).alias("kind"))
+
+
+@query(f"SELECT origin, position, path FROM (SELECT 0 AS origin, frn AS position, 'moved' || substr(path, length(string_split(path, '\\')[1]) + 1) AS path FROM ({PATHS}) WHERE contains(lower({BASE}), 'p') AND contains(lower({BASE}), '1') AND lower(string_split({BASE}, '.')[-1]) = 'png' AND contains({BASE}, '.') AND frn % 9 <> 4 AND NOT is_dir QUALIFY row_number() OVER (PARTITION BY lower('moved' || substr(path, length(string_split(path, '\\')[1]) + 1)) ORDER BY frn) = 1) ORDER BY position LIMIT 20")
+def file_query(spark, sf_dir):
+    """Names in the base, the type on the present path, twenty hits in order."""
+    rows = path_rows(spark, sf_dir).withColumns({"ordinal": F.col("frn"), "shadowed": F.col("frn") % 9 == 4})
+    moves = rows.select(F.element_at(F.split("path", r"\\"), 1).alias("base"), F.lit("moved").alias("now")).distinct()
+    nothing = spark.createDataFrame([], "volume string, frn bigint, path string, is_dir boolean")
+    hits, _ = files.found_paths(rows, moves, nothing, F.lit("P 1"), "images", spark.createDataFrame([], "folder string"), 20)
+    return hits
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'C:\\x ' || page_id WHEN page_id % 3 = 1 THEN '\\\\srv\\s' || page_id END AS path, page_id % 3 = 0 AS plugin FROM pages")
+def direct_paths(spark, sf_dir):
+    k = F.col("page_id")
+    text = F.when(k % 3 == 0, F.concat(F.lit(' "C:\\x '), k.cast("string"), F.lit('" '))).when(k % 3 == 1, F.concat(F.lit("\\\\srv\\s"), k.cast("string"))).otherwise(F.lit("\\\\?\\C:\\x"))
+    plugin = F.when(k % 3 == 0, F.concat(F.lit("C:/x"), k.cast("string"))).when(k % 3 == 1, "C:\\a|b").otherwise("shell:x")
+    return table(spark, sf_dir, "pages").select("page_id", T.direct_path(text).alias("path"), T.plugin_path_allowed(plugin).alias("plugin"))
+
+
+@query("SELECT p_partkey AS id, p_size * 2 + p_partkey / 4.0 AS value FROM part")
+def calculated(spark, sf_dir):
+    text = F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit("×2)+"), F.col("p_partkey").cast("string"), F.lit("÷4"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), calculator.calculate(text)["value"].alias("value"))
+
+
+# --- result lists ------------------------------------------------------------------------------
+
+
+@query(f"""SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, strlen(name), lower(name), id)::INTEGER AS rank FROM
+  (SELECT query_id, id, name, CASE WHEN norm = q THEN 4 WHEN starts_with(norm, q) THEN 3 WHEN contains(norm, q) THEN 1 END AS score FROM ({DOCS}), {TABLE_OF_BATCH}) WHERE score IS NOT NULL) WHERE rank <= 7""")
+def name_candidates(spark, sf_dir):
+    return S.name_candidates(parts(spark, sf_dir), batch(spark), 7)
+
+
+@query("""SELECT query_id, id, score FROM (SELECT a.r_regionkey::INTEGER AS query_id, 'cmd' || c.r_regionkey AS id, CASE WHEN lower(c.r_name) = a.q THEN 940 ELSE 800 END AS score, row_number() OVER (PARTITION BY a.r_regionkey ORDER BY CASE WHEN lower(c.r_name) = a.q THEN 940 ELSE 800 END DESC, 'cmd' || c.r_regionkey) AS k
+  FROM (SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN lower(r_name) ELSE lower(left(r_name, 1)) END AS q FROM region) a JOIN region c ON c.r_regionkey <> 3 AND (contains(lower(c.r_name), a.q) OR starts_with(lower(c.r_name), a.q))) WHERE k <= 8""")
+def command_hits(spark, sf_dir):
+    k = F.col("r_regionkey")
+    asked_for = table(spark, sf_dir, "region").select(k.cast("int").alias("query_id"), F.when(k % 2 == 0, F.col("r_name")).otherwise(F.left("r_name", F.lit(1))).alias("text"))
+    commands = table(spark, sf_dir, "region").select(F.concat(F.lit("cmd"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("title"), F.array("r_name").alias("keywords"), F.when(F.col("r_regionkey") == 3, "disabled").otherwise("ready").alias("phase"))
+    return results.command_hits(asked_for, commands)
+
+
+@query(f"""WITH h AS (SELECT query_id, rank::INTEGER AS place, CAST(id AS VARCHAR) AS id, score FROM ({RANKED}) WHERE rank <= 6), n AS (SELECT b.query_id, b.q, count(h.id) AS n FROM {TABLE_OF_BATCH} LEFT JOIN h USING (query_id) GROUP BY ALL)
+SELECT query_id, CASE WHEN place > 4 THEN place + 1 ELSE place END AS place, id, score FROM h
+UNION ALL SELECT query_id, (least(n, 4) + 1)::INTEGER, 'websearch:two:' || q, 920 FROM n WHERE n > 0
+UNION ALL SELECT query_id, k, 'websearch:' || browser || ':' || q, s FROM n, (VALUES (1, 'two', 920), (2, 'one', 900), (3, 'default', 900)) AS w(k, browser, s) WHERE n = 0""")
+def merged_results(spark, sf_dir):
+    """Search hits with a web search in the fifth place, or web searches alone."""
+    hits = S.search(parts(spark, sf_dir), batch(spark), k=6, fuzzy=False).select("query_id", F.col("id").cast("string").alias("id"), "score", F.col("rank").cast("long").alias("place"))
+    browsers = spark.createDataFrame([("one", 1), ("two", 2)], "browser string, position int")
+    return results.merged(hits, hits.limit(0), batch(spark), browsers, "two")
+
+
+@query(f"""WITH used AS (SELECT item_id, 0 AS fill, -last_used AS ord FROM ({USAGE}) WHERE item_id IN (SELECT c_custkey FROM customer) AND item_id % 11 <> 3), fill AS (SELECT c_custkey AS item_id, 1 AS fill, 0 AS ord FROM customer WHERE c_custkey % 4 < 2 AND NOT (c_custkey % 11 = 3 AND c_custkey IN (SELECT item_id FROM ({USAGE})))),
+r AS (SELECT item_id, fill, ord FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY fill, ord) AS k FROM (SELECT * FROM used UNION ALL SELECT * FROM fill)) WHERE k = 1 ORDER BY fill, ord, item_id LIMIT 16)
+SELECT 'recent' AS section, row_number() OVER (ORDER BY fill, ord, item_id)::INTEGER AS place, item_id, CASE WHEN fill = 0 THEN 1 ELSE 0 END AS score, CASE WHEN fill = 0 THEN 'recent' ELSE 'default' END AS tag FROM r
+UNION ALL SELECT 'pinned', row_number() OVER (ORDER BY launches DESC, item_id)::INTEGER, item_id, 2, 'pinned' FROM (SELECT * FROM ({USAGE}) WHERE item_id % 11 = 3 AND item_id IN (SELECT c_custkey FROM customer) ORDER BY launches DESC, item_id LIMIT 8)""")
+def empty_query_dashboard(spark, sf_dir):
+    used = P.usage(log(spark, sf_dir))
+    k = F.col("c_custkey")
+    source = F.when(k % 4 == 0, "start-menu").when(k % 4 == 1, "desktop").when(k % 4 == 2, "commands").otherwise("app-paths")
+    items = table(spark, sf_dir, "customer").select(k.alias("item_id"), source.alias("source"), F.lit("C:\\x.exe").alias("target"))
+    pinned = used.where("item_id % 11 = 3").select("item_id", F.col("launches").alias("pinned_at"))
+    return P.dashboard(items, used, pinned)
+
+
+@query(f"""WITH m AS (SELECT item_id, CASE WHEN item_id % 2 = 1 THEN item_id // 2 ELSE item_id END AS new_id, query, moment FROM ({LOG}))
+SELECT 'pairs' AS kind, query AS key, new_id AS item_id, count(*) AS n, max(moment) AS at FROM m GROUP BY ALL UNION ALL SELECT 'pinned', '', new_id, 1, max(moment) FROM m WHERE item_id % 3 = 0 GROUP BY new_id""")
+def id_remap_tables(spark, sf_dir):
+    """Pairs and pins after ids were replaced."""
+    rows = log(spark, sf_dir)
+    ids = rows.where("item_id % 2 = 1").select(F.col("item_id").alias("old_id"), F.expr("item_id div 2").alias("new_id")).distinct()
+    pinned = rows.where("item_id % 3 = 0").groupBy("item_id").agg(F.max("at").alias("pinned_at"))
+    out = P.remap_all({"pairs": P.pairs(rows).select("query", "item_id", "n", "last_used"), "pinned": pinned}, ids)
+    left = out["pairs"].select(F.lit("pairs").alias("kind"), F.col("query").alias("key"), "item_id", "n", F.col("last_used").alias("at"))
+    return left.unionByName(out["pinned"].select(F.lit("pinned").alias("kind"), F.lit("").alias("key"), "item_id", F.lit(1).cast("long").alias("n"), F.col("pinned_at").alias("at")))
+
+
 # --- evaluation and streams --------------------------------------------------------------------
 
 
 @query(f"""WITH x AS (SELECT query_id, min(id) AS id FROM ({SCORED}) GROUP BY query_id), p AS (SELECT x.query_id, min(r.rank) AS r FROM x LEFT JOIN (SELECT * FROM ({RANKED}) WHERE rank <= 10) r USING (query_id, id) GROUP BY x.query_id)
 SELECT count(*) AS cases, avg(coalesce(r = 1, false)::INTEGER) AS top1, avg(coalesce(r <= 5, false)::INTEGER) AS recall_at_5, avg(coalesce(1.0 / r, 0)) AS mrr FROM p""")
 def eval_metrics(spark, sf_dir):
-    docs, parsed = S.enrich(parts(spark, sf_dir)), S.parse(batch(spark))
-    expected = S.verify(docs.join(F.broadcast(parsed)), fuzzy=False).groupBy("query_id").agg(F.min("id").alias("id"))
+    expected = accepted(spark, sf_dir).groupBy("query_id").agg(F.min("id").alias("id"))
     return evaluate.metrics(S.search(parts(spark, sf_dir), batch(spark), fuzzy=False), expected)
 
 
@@ -428,3 +597,47 @@ def stream_latest_state(spark, sf_dir):
     source = new_folder(spark, "events")
     table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value").write.parquet(source)
     return changes.latest_state(spark, source, "user_id bigint, event_id bigint, event_type string, value double", "user_id", ["event_id"])
+
+
+@query("SELECT event_type, list_sort(list(value))[round((count(*) - 1) * 0.5)::BIGINT + 1] AS p50, list_sort(list(value))[round((count(*) - 1) * 0.95)::BIGINT + 1] AS p95 FROM events GROUP BY event_type")
+def value_percentiles(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    half, most = (evaluate.percentile(rows, "value", ["event_type"], p).withColumnRenamed("value", name) for p, name in ((0.5, "p50"), (0.95, "p95")))
+    return half.join(most, "event_type")
+
+
+OVERLAID = f"""SELECT frn, CASE WHEN frn % 7 = 0 THEN 'new\\' || frn ELSE 'x' || path END AS path FROM ({PATHS}) WHERE frn % 11 <> 0 AND (frn % 7 = 0 OR NOT starts_with(lower(path), lower(string_split(path, '\\')[1]) || '\\en\\'))"""
+
+
+@query(f"SELECT frn, path FROM ({OVERLAID}) QUALIFY row_number() OVER (PARTITION BY path ORDER BY frn % 7 = 0, frn) = 1")
+def stream_overlay(spark, sf_dir):
+    """Hosts renamed, their folder ``en`` deleted, files moved and deleted, in rounds read as a stream; the
+    last round has no commit and does not count."""
+    rows = path_rows(spark, sf_dir)
+    hosts = rows.select(F.element_at(F.split("path", r"\\"), 1).alias("host")).distinct().select("host", F.xxhash64("host").alias("id"))
+    base = rows.select(F.col("frn").alias("ordinal"), F.lit("v").alias("volume"), "frn", F.lit(False).alias("is_dir"), "path")
+    folder = lambda name, path: hosts.select(F.xxhash64("host", F.lit(name)).alias("ordinal"), F.lit("v").alias("volume"), F.xxhash64("host", F.lit(name)).alias("frn"), F.lit(True).alias("is_dir"), path.alias("path"))
+    base = base.unionByName(folder("host", F.col("host"))).unionByName(folder("en", F.concat("host", F.lit("\\en"))))
+
+    def change(df: DataFrame, number: int, frn: Column, is_dir: bool, paths: Column) -> DataFrame:
+        return df.select(F.lit("change").alias("kind"), F.lit(number).cast("long").alias("round"), frn.alias("frn"), F.lit(is_dir).alias("is_dir"), paths.alias("paths"))
+
+    none = F.array().cast("array<string>")
+    parts_of = [
+        change(hosts, 1, F.xxhash64("host", F.lit("host")), True, F.array(F.concat(F.lit("x"), "host"))),
+        change(hosts, 2, F.xxhash64("host", F.lit("en")), True, none),
+        change(rows.where("frn % 7 = 0 and frn % 11 <> 0"), 3, F.col("frn"), False, F.array(F.concat(F.lit("new\\"), F.col("frn").cast("string")))),
+        change(rows.where("frn % 11 = 0"), 3, F.col("frn"), False, none),
+        change(rows.where("frn % 5 = 1"), 4, F.col("frn"), False, none),
+    ]
+    whole = parts_of[0]
+    for part in parts_of[1:]:
+        whole = whole.unionByName(part)
+    commits = spark.range(1, 4).select(F.lit("round_commit").alias("kind"), F.col("id").alias("round"), F.lit(0).cast("long").alias("frn"), F.lit(False).alias("is_dir"), none.alias("paths"))
+    order = F.row_number().over(Window.orderBy("round", F.col("kind") == "round_commit", "frn", "kind"))
+    frames = whole.unionByName(commits).withColumn("seq", order.cast("long"))
+    frames = frames.withColumns({"ordinal": F.col("seq"), "volume": F.lit("v"), "identity_only": F.lit(False)})
+    source = new_folder(spark, "frames")
+    frames.coalesce(1).write.json(source)
+    shown, _ = overlay.follow(base, source)
+    return shown.where("not is_dir").select("frn", "path")
