@@ -38,7 +38,7 @@ class WordTokenizer:
     to ``tokenizers`` itself.
     """
 
-    def __init__(self, path: str, cache_words: int = 150_000):
+    def __init__(self, path: str, cache_words: int = 60_000):
         import json
         import unicodedata
 

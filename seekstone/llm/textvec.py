@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Bytes of text that are handled at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Rows that go to a Python worker at once: whole texts, of which a worker holds several copies.
 ROWS_AT_ONCE = 1000
 SHINGLE_WORDS = 5
