@@ -9,15 +9,18 @@ length is a sum over its ``ORDER + 1``-grams, each with a code length of its own
 Texts are scored in their canonical form: words in lower case joined by single spaces, closed by an
 end symbol, which no word can hold.
 
-The trie is never gathered in one place. Gram counts are dealt by the last two bytes of their
-context, so that all contexts that an escape can lead to, down to two bytes, lie together; contexts
-of one byte and of none are a table of fixed size. Texts are dealt into blocks; a block tells once
-what grams and words it holds, and gets their code lengths and counts back. What moves is packed
-arrays, never a row for each occurrence.
+The trie is never gathered in one place. Gram counts are dealt by the last three bytes of their
+context over a number of buckets that grows with the input, so that all contexts that an escape can
+lead to, down to three bytes, lie together; shorter contexts are a table that three bytes bound. Texts
+are dealt into blocks of fixed size; a block tells once what grams and words it holds, and gets their
+code lengths and counts back. What moves is packed arrays, never a row for each occurrence, and at
+most a row for each distinct gram and word of a block. Only a bucket that holds far more than its
+share is summed and answered in several groups, each with a copy of the bucket's own list.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +35,10 @@ ORDER = 5
 END = 0x0A
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 24 << 20
-#: So many blocks' parts of a bucket are summed or answered in one group.
-TOGETHER = 64
-#: Buckets of grams at most: there are 65,536 pairs of context bytes.
-GRAM_BUCKETS = 4096
+#: Bytes of a bucket's parts that are summed or answered in one group, about.
+BUCKET_BYTES = 64 << 20
+#: Tables of large buckets with more rows are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 SMOOTHING = 0.1
 GRAM, WORD = 0, 1
 EXTRACT = "kind int, bucket int, salt int, block int, keys binary, counts binary"
@@ -98,7 +101,7 @@ def sorted_counts(x: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def buckets_of(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
     if kind == GRAM:
-        return ((keys >> 8 & 0xFFFF) * 40503 >> 4) % min(buckets, GRAM_BUCKETS)
+        return ((keys >> 8 & 0xFFFFFF) * 2654435761 >> 8) % buckets
     return (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
 
 
@@ -142,31 +145,34 @@ def rows_out(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 EXTRACT_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("salt", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
+def level_of(grams: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted grams with their counts, and for each context where its grams begin, their sum and number."""
+    contexts, first = np.unique(grams >> 8, return_index=True)
+    return {"grams": grams, "n": n, "contexts": contexts, "first": first, "total": np.add.reduceat(n, first) if len(first) else n, "kinds": np.diff(np.append(first, len(grams)))}
+
+
+def add_under(level: dict[str, np.ndarray], n: np.ndarray) -> dict[str, np.ndarray]:
+    """What a context's symbols count for in the next shorter one."""
+    return level | {"under": np.add.reduceat(n, level["first"]) if len(level["first"]) else np.zeros(0, np.int64)}
+
+
+class ShortContexts:
+    """Contexts of two bytes, of one and of none, from the counts of all runs of three bytes."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.pairs = np.bincount(keys & 0xFFFF, weights=counts, minlength=1 << 16).astype(np.int64).reshape(256, 256)  # [context byte, symbol]
+        self.two = add_under(level_of(keys, counts), self.pairs[keys >> 8 & 0xFF, keys & 0xFF])
+
+
 class Trie:
-    """Contexts of two bytes and more of one bucket; shorter ones from the table of byte pairs."""
+    """Contexts of three bytes and more of one bucket over the short ones that all share."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray):
-        self.pairs = pairs  # [context byte, symbol]
-        self.levels = {}
-        for k in range(ORDER, 1, -1):
-            grams, n = add_up([keys & ((1 << 8 * (k + 1)) - 1)], [counts])
-            contexts, first = np.unique(grams >> 8, return_index=True)
-            self.levels[k] = {
-                "grams": grams,
-                "n": n,
-                "contexts": contexts,
-                "first": first,
-                "total": np.add.reduceat(n, first) if len(first) else n,
-                "kinds": np.diff(np.append(first, len(grams))),
-            }
-        for k in range(ORDER, 1, -1):  # what a context's symbols count for in the next shorter one
-            level = self.levels[k]
-            if k > 2:
-                below = self.levels[k - 1]
-                n = below["n"][np.searchsorted(below["grams"], level["grams"] & ((1 << 8 * k) - 1))]
-            else:
-                n = pairs[level["grams"] >> 8 & 0xFF, level["grams"] & 0xFF]
-            level["under"] = np.add.reduceat(n, level["first"]) if len(level["first"]) else np.zeros(0, np.int64)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, short: ShortContexts):
+        self.pairs = short.pairs
+        self.levels = {k: level_of(*add_up([keys & ((1 << 8 * (k + 1)) - 1)], [counts])) for k in range(ORDER, 2, -1)} | {2: short.two}
+        for k in range(ORDER, 2, -1):
+            level, below = self.levels[k], self.levels[k - 1]
+            self.levels[k] = add_under(level, below["n"][np.searchsorted(below["grams"], level["grams"] & ((1 << 8 * k) - 1))] if len(level["grams"]) else level["n"])
 
     def code(self, grams: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's last byte after the others."""
@@ -204,7 +210,7 @@ class Trie:
         return out
 
 
-def merged(parts: DataFrame, salts: int) -> DataFrame:
+def merged(parts: DataFrame, split: bool) -> DataFrame:
     """``(kind, bucket, keys, counts)``: sums over all blocks, in groups of bounded size."""
 
     def add(table: pa.Table) -> pa.Table:
@@ -213,24 +219,51 @@ def merged(parts: DataFrame, salts: int) -> DataFrame:
         kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
         return rows_out([(kind, bucket, 0, 0, pack(keys[some]), pack(counts[some]))], EXTRACT_ARROW)
 
-    if salts > 1:
+    if split:
         parts = parts.groupBy("kind", "bucket", "salt").applyInArrow(add, EXTRACT)
     return parts.groupBy("kind", "bucket").applyInArrow(add, EXTRACT).select("kind", "bucket", "keys", "counts")
 
 
-def byte_pairs(totals: DataFrame) -> np.ndarray:
-    """Counts of all pairs of bytes, [context byte, symbol]: a table of fixed size."""
+def short_contexts(totals: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of three bytes with their counts: at most 2 to the 24th, whatever the input's size."""
+    schema = "first int, keys binary, counts binary"
+    out_arrow = pa.schema([("first", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+    def by_first(keys: np.ndarray, counts: np.ndarray) -> pa.Table:
+        edges = np.flatnonzero(np.diff(keys >> 16)) + 1
+        groups = [r for r in np.split(np.arange(len(keys)), edges) if len(r)]
+        return rows_out([(int(keys[r[0]] >> 16), keys[r].tobytes(), counts[r].tobytes()) for r in groups], out_arrow)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros(1 << 16, np.int64)
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys = unpack(keys, np.int64) & 0xFFFF
-                pairs += np.bincount(keys, weights=unpack(counts, np.int64), minlength=1 << 16).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([pairs.tobytes()], pa.binary())], names=["pairs"])
+            for own, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys, counts = add_up([keys, unpack(own, np.int64) & 0xFFFFFF], [counts, unpack(n, np.int64)])
+        yield from by_first(keys, counts).to_batches()
+
+    def add(table: pa.Table) -> pa.Table:
+        return by_first(*add_up(*([np.frombuffer(x, np.int64) for x in table[c].to_pylist()] for c in ("keys", "counts"))))
+
+    parts = totals.where(f"kind = {GRAM}").select("keys", "counts").mapInArrow(count, schema)
+    rows = sorted(parts.groupBy("first").applyInArrow(add, schema).collect(), key=lambda r: r["first"])  # 256 rows
+    return tuple(np.concatenate([np.frombuffer(r[c], np.int64) for r in rows] or [np.zeros(0, np.int64)]) for c in ("keys", "counts"))
+
+
+def large_buckets(parts: DataFrame, most: int) -> DataFrame:
+    """``(kind, bucket, salts)`` of the buckets whose parts are more than one group should hold."""
+    sizes = parts.groupBy("kind", "bucket").agg(F.sum(F.octet_length("keys") + F.octet_length("counts")).alias("size"))
+    return stage(sizes.where(F.col("size") > most).select("kind", "bucket", F.ceil(F.col("size") / most).cast("int").alias("salts")), "large-buckets")
+
+
+_SHORT: dict[str, ShortContexts] = {}
+
 
-    parts = totals.where(f"kind = {GRAM}").select("keys", "counts").repartition(16).mapInArrow(count, "pairs binary")
-    return sum((np.frombuffer(r["pairs"], np.int64) for r in parts.collect()), np.zeros(1 << 16, np.int64)).reshape(256, 256)
+def short_of(shared) -> ShortContexts:
+    """A Python worker's tables of the short contexts, made once for each broadcast."""
+    if shared.value[0] not in _SHORT:
+        _SHORT.clear()
+        _SHORT[shared.value[0]] = ShortContexts(*shared.value[1:])
+    return _SHORT[shared.value[0]]
 
 
 def word_totals(totals: DataFrame) -> tuple[int, int]:
@@ -245,7 +278,7 @@ def word_totals(totals: DataFrame) -> tuple[int, int]:
     return row[0], row[1]
 
 
-def score(documents: DataFrame, folds: int = 10, held_fold: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(documents: DataFrame, folds: int = 10, held_fold: int = 0, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row.
 
     Rows whose crc32(doc_id as text) mod ``folds`` is ``held_fold`` are held out, all others are
@@ -263,21 +296,26 @@ def score(documents: DataFrame, folds: int = 10, held_fold: int = 0, block_bytes
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0))).first()
     blocks = max(1, -(-size[0] // block_bytes))
     trained_texts = size[1]
-    salts = max(1, -(-blocks // TOGETHER))
+    buckets = 2 * blocks
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(blocks)).cast("int"))
 
     def extract(table: pa.Table) -> pa.Table:
         block, out = table["block"][0].as_py(), []
         for kind, (keys, counts) in holdings(table).items():
-            out += [(kind, bucket, block % salts, block, pack(keys[r]), pack(counts[r])) for bucket, r in in_buckets(kind, keys, blocks)]
+            out += [(kind, bucket, 0, block, pack(keys[r]), pack(counts[r])) for bucket, r in in_buckets(kind, keys, buckets)]
         return rows_out(out, EXTRACT_ARROW)
 
     parts = stage(rows.groupBy("block").applyInArrow(extract, EXTRACT), "parts")
-    totals = stage(merged(parts, salts), "totals")
+    large = large_buckets(parts, bucket_bytes)
+    n_large = large.count()
+    many = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
+    if n_large:
+        parts = parts.join(many, ["kind", "bucket"], "left").withColumn("salt", F.pmod("block", F.coalesce("salts", F.lit(1)))).drop("salts")
+    totals = stage(merged(parts, n_large > 0), "totals")
     n_words, distinct = word_totals(totals)
     # the end is one more token, with a count of its own
     n, v = n_words + trained_texts, distinct + (trained_texts > 0)
-    pairs = spark.sparkContext.broadcast(byte_pairs(totals))
+    short = spark.sparkContext.broadcast((uuid.uuid4().hex, *short_contexts(totals)))
 
     answer_arrow = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("values", pa.binary())])
 
@@ -286,7 +324,7 @@ def score(documents: DataFrame, folds: int = 10, held_fold: int = 0, block_bytes
         if asked.num_rows:
             kind, bucket = asked["kind"][0].as_py(), asked["bucket"][0].as_py()
             keys, counts = (unpack(total[c][0].as_py(), np.int64) for c in ("keys", "counts")) if total.num_rows else (np.zeros(0, np.int64),) * 2
-            trie = Trie(keys, counts, pairs.value) if kind == GRAM else None
+            trie = Trie(keys, counts, short_of(short)) if kind == GRAM else None
             for block, wanted in zip(asked["block"].to_pylist(), asked["keys"].to_pylist()):
                 wanted = unpack(wanted, np.int64)
                 if kind == GRAM:
@@ -297,7 +335,9 @@ def score(documents: DataFrame, folds: int = 10, held_fold: int = 0, block_bytes
                 out.append((block, kind, bucket, values))
         return rows_out(out, answer_arrow)
 
-    replicas = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    replicas = totals.withColumn("salt", F.lit(0))
+    if n_large:
+        replicas = totals.join(many, ["kind", "bucket"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     keys = ("kind", "bucket", "salt")
     answers = parts.drop("counts").groupBy(*keys).cogroup(replicas.groupBy(*keys)).applyInArrow(answer, "block int, kind int, bucket int, values binary")
 
@@ -312,7 +352,7 @@ def score(documents: DataFrame, folds: int = 10, held_fold: int = 0, block_bytes
         known = {}
         for kind, (keys, _) in holdings(table, True).items():
             values = np.zeros(len(keys), np.float64 if kind == GRAM else np.int64)
-            for bucket, r in in_buckets(kind, keys, blocks):
+            for bucket, r in in_buckets(kind, keys, buckets):
                 values[r] = unpack(given[kind, bucket], values.dtype.type)
             known[kind] = (keys, values)
         texts = table.num_rows

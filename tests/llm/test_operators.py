@@ -90,7 +90,8 @@ def test_positional_filter_keeps_every_link():
         assert ngram_join.judged(a, b, 75, True) == int(100 * i >= 75 * (len(a) + len(b) - i))
 
 
-def test_ppm_equals_brute_force(spark):
+@pytest.mark.parametrize("bucket_bytes", [1 << 20, 700])
+def test_ppm_equals_brute_force(spark, bucket_bytes):
     texts = ["The cat sat. the CAT", "", None, "a", "the cat ate the cat", "zzz \x00 é ünïcode", LONG[:5000], "x " * 50] + [f"doc {i} the cat {i * i}" for i in range(30)]
     docs = documents(spark, texts)
     train = [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(len(texts))]
@@ -119,7 +120,7 @@ def test_ppm_equals_brute_force(spark):
             gone |= set(seen)
         return out - math.log10(256 - len(trie[b""]))
 
-    for r in ppm.score(docs, block_bytes=3000).collect():
+    for r in ppm.score(docs, block_bytes=3000, bucket_bytes=bucket_bytes).collect():
         i = r["doc_id"]
         padded = b"\n" * ppm.ORDER + canon[i]
         assert r["held_out"] == (not train[i]) and r["n_tokens"] == len(tokens[i]) and r["train_tokens"] == n
