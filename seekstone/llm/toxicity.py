@@ -424,8 +424,8 @@ def count_words(sample: DataFrame, training: Training) -> WordCounts:
 def learn(counts: WordCounts, training: Training) -> Machine:
     """The machine from word counts, without its calibration.
 
-    A word counts as toxic if it, or the words that the kernel holds near to it, come in toxic texts
-    far more often than chance would bring any of the words seen.
+    A word counts as toxic if it comes in toxic texts far more often than chance would bring any of the
+    words seen, or nearly so and the words that the kernel holds near to it do.
     """
     if not counts.t_sum or not counts.c_sum or not counts.toxic:
         return Machine()
@@ -442,7 +442,7 @@ def learn(counts: WordCounts, training: Training) -> Machine:
     near_toxic, near_clean = np.where(among > training.near, 1, 0) @ tox, np.where(against > training.near, 1, 0) @ (cl * scale)
     family = np.where(near_toxic > training.purity * (near_toxic + near_clean), surprise(near_toxic, near_clean, share), 0)
     least = np.log(counts.words / training.chance)
-    keep = np.flatnonzero((own > 3 * least) | ((own > least) & (near_toxic > near_clean)) | (family > 1.5 * least))
+    keep = np.flatnonzero((own > 3 * least) | ((own > least) & (near_toxic > near_clean)) | ((family > 1.5 * least) & (own > 0.6 * least)))
     if not len(keep):
         keep = np.arange(min(len(positive), 20))
     positive, among = [positive[i] for i in keep], among[np.ix_(keep, keep)]

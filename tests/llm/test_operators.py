@@ -613,3 +613,11 @@ def test_warc_compressed_round_trip_and_empty(spark, tmp_path):
     got = warc.read_archive(spark, path)
     assert {(r["target_uri"], bytes(r["payload"]).decode()) for r in got.collect()} == {(u, h) for _, u, h in rows}
     assert warc.page_digests(warc.archive_pages(table.limit(0).drop("payload"))).count() == 0
+
+
+def test_toxicity_on_few_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    held = toxicity.score_documents(docs, labels).where("held_out").join(labels.where("toxic in (0, 1)"), "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("share")).collect()
+    share = {r["toxic"]: r["share"] for r in held}
+    assert share[1] >= 0.7 and share[0] <= 0.02
