@@ -166,14 +166,19 @@ def same_program(a: str, b: str) -> Column:
     return (c(a, "launch") == c(b, "launch")) | (by_path & equal_args) | (~by_path & (c(a, "root") == c(b, "root")) & equal_args & family)
 
 
-def absorb(rows: DataFrame) -> DataFrame:
-    """Discovered rows (app paths, uninstall entries) go into the first formal or system row that is the
-    same program. Both sides meet on their launch, path or installation, never pairwise."""
+def absorb_pairs(rows: DataFrame) -> DataFrame:
+    """``(winner, loser)``: discovered rows (app paths, uninstall entries) and the first formal or system
+    row that is the same program. Both sides meet on their launch, path or installation, never pairwise."""
     found = keys_of(rows.where(F.col("source").isin(*SUPPLEMENTAL)), "a")
     hosts = keys_of(rows.where(layer(F.col("source")).isin("Formal", "System")), "b")
     keyed = lambda df, s: df.withColumn("k", F.explode(F.array_compact(F.array(F.concat(F.lit("l"), f"{s}_launch"), F.concat(F.lit("p"), f"{s}_path"), F.concat(F.lit("r"), f"{s}_root")))))
     met = keyed(found, "a").join(keyed(hosts, "b"), "k").where(same_program("a", "b"))
-    return absorbed(rows, met.groupBy(F.col("a_id").alias("loser")).agg(F.min("b_id").alias("winner")))
+    return met.groupBy(F.col("a_id").alias("loser")).agg(F.min("b_id").alias("winner"))
+
+
+def absorb(rows: DataFrame) -> DataFrame:
+    """Discovered rows go into the first formal or system row that is the same program."""
+    return absorbed(rows, absorb_pairs(rows))
 
 
 def merge_formal(rows: DataFrame) -> DataFrame:

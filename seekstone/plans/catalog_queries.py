@@ -378,19 +378,14 @@ n AS (SELECT winner, list(d.name ORDER BY loser) AS names FROM m JOIN r d ON d.i
 SELECT r.id, array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i AND lower(x) <> lower(r.name)), '|') AS keywords FROM r JOIN n ON n.winner = r.id""")
 def discovery_absorb(spark, sf_dir):
     rows = catalog_rows(spark, sf_dir)
-    hosts = C.absorb(rows)
-    gone = rows.join(hosts.select("id"), "id", "left_anti").select(F.col("id").alias("lost"))
-    met = C.keys_of(rows.join(gone, rows["id"] == gone["lost"], "left_semi"), "a").select(F.col("a_root").alias("root"), F.col("a_family").alias("family"), T.arguments_core(F.col("a_args")).alias("a"), F.col("a_launch").alias("launch"))
-    keyed = hosts.where("source in ('start-menu', 'desktop')").select("id", "search_keywords", F.explode(F.array(F.concat(F.lit("r"), T.install_root(F.col("target")), F.lit("|"), T.family_key(F.col("name")), F.lit("|"), T.arguments_core(F.col("args"))), F.concat(F.lit("l"), T.launch_identity(F.col("target"), F.col("args"))))).alias("k"))
-    took = met.select(F.explode(F.array(F.concat(F.lit("r"), "root", F.lit("|"), "family", F.lit("|"), "a"), F.concat(F.lit("l"), "launch"))).alias("k")).distinct()
-    first = keyed.groupBy("k").agg(F.min("id").alias("id")).join(took, "k", "left_semi").select("id").distinct()
-    return hosts.join(first, "id", "left_semi").select("id", F.array_join("search_keywords", "|").alias("keywords"))
+    pairs = C.absorb_pairs(rows)
+    hosts = C.absorbed(rows, pairs).join(pairs.select(F.col("winner").alias("id")).distinct(), "id", "left_semi")
+    return hosts.select("id", F.array_join("search_keywords", "|").alias("keywords"))
 
 
 @query(f"SELECT id FROM ({ROWS}) c WHERE source <> 'commands' OR NOT EXISTS (SELECT 1 FROM ({ROWS}) o WHERE o.source <> 'commands' AND replace(lower(o.name), ' ', '') = replace(lower(c.name), ' ', ''))")
 def command_merge(spark, sf_dir):
     rows = catalog_rows(spark, sf_dir)
-    # few names stand for many parts: half of the commands get a name of their own
     return C.merge_commands(rows).select("id")
 
 
