@@ -99,7 +99,7 @@ class WarcWriter(DataSourceWriter):
                     out = None
                 if out is None:
                     name, size, marks = f"{uuid.uuid4().hex}.warc" + ".gz" * self.compress, 0, [0]
-                    out = fs.open_output_stream(f"{base}/{name}", buffer_size=1 << 20)
+                    out = fs.open_output_stream(f"{base}/{name}", compression=None, buffer_size=1 << 20)
                 if size - marks[-1] >= self.stretch:
                     marks.append(size)
                 out.write(record)
