@@ -126,6 +126,30 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     assert read() == {(1, 2, "c"), (2, 5, "z"), (3, 1, "d")}
 
 
+def test_stream_rewrites_touched_parts_only(spark, tmp_path):
+    """Equal to brute force after each run; null keys, a column named part, untouched parts as they were."""
+    schema, home, source = "k long, n long, part string", f"file://{tmp_path}/home", f"{tmp_path}/in"
+    state = {}
+    runs = [[(k, 1, f"a{k}") for k in range(40)] + [(None, 1, "null")], [(3, 2, "b"), (3, 1, "old"), (None, 3, "n")], [(7, 9, "c"), (99, 1, "new")]]
+    for i, rows in enumerate(runs):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{source}/{i}")
+        for k, n, v in rows:
+            state[k] = max(state.get(k, (0, "")), (n, v))
+        got = changes.latest_state(spark, f"{source}/*", schema, "k", ["n"], home, 8)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((k, *v)) for k, v in state.items())
+    folders = lambda b: {x.name for x in (tmp_path / "home" / "state" / str(b)).iterdir() if "=" in x.name}
+    assert len(folders(0)) == 8 and len(folders(1)) <= 2 and len(folders(2)) <= 2
+    stale = len(folders(1))  # their versions of batch 0 are listed neither after batch 1 nor after batch 2
+    assert changes.remove_superseded(spark, home, 2) == stale and len(folders(0)) == 8 - stale
+    again = changes.latest_state(spark, f"{source}/*", schema, "k", ["n"], home, 8)
+    assert sorted(map(str, map(tuple, again.collect()))) == sorted(str((k, *v)) for k, v in state.items())
+
+
+def test_stream_of_no_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    assert changes.latest_state(spark, f"{tmp_path}/in", "k long, n long", "k", ["n"], f"file://{tmp_path}/home").count() == 0
+
+
 def plain(x):
     if isinstance(x, float):
         return round(x, 9)
