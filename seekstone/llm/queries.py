@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seekstone.llm import chat, decontamination, html_text, ngram_join, packing, pii, ppm, topk, toxicity, warc
+from seekstone.llm import chat, decontamination, html_text, idblocks, negatives, ngram_join, packing, pii, ppm, sortmeans, topk, toxicity, warc
 from seekstone.sources.tables import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +68,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(warc.archive_pages(table(spark, sf_dir, "pages")))
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rounds of eight centroids over all vectors of 64 components."""
+    found, centres = sortmeans.sort_means(table(spark, sf_dir, "embeddings"))
+    return sortmeans.digests(spark, found, centres)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector's positives; each seventh vector has a shifted label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return negatives.hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op13_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents as files of coded token ids, and read them back."""
+    return idblocks.digests(idblocks.write_documents(table(spark, sf_dir, "documents"), TOKENIZER))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_ppm": op2_ppm,
@@ -79,8 +97,28 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_ngram_join": op9_ngram_join,
     "op10_warc": op10_warc,
+    "op11_sort_means": op11_sort_means,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_token_blocks": op13_token_blocks,
 }
 
+
+def sort_means_sql(k: int = 8, rounds: int = 10, dims: int = 64, seed: int = 3) -> str:
+    """Lloyd rounds in SQL, one query a round; every vector meets every centroid."""
+    parts = [f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1)::INTEGER AS c, x FROM v ORDER BY sha256('{seed}:' || vec_id) LIMIT {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, x, m.c AS c, m.d AS d FROM (SELECT vec_id, any_value(v.x) AS x, min({{'d': list_sum(list_transform(list_zip(v.x, c{r}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'c': c}}) AS m
+  FROM v CROSS JOIN c{r} GROUP BY vec_id))""")
+        if r < rounds:
+            parts.append(f"""s{r} AS (SELECT c, i, sum(y) AS s, count(*)::HUGEINT AS n FROM (SELECT c, unnest(x) AS y, unnest(range({dims})) AS i FROM a{r}) GROUP BY c, i),
+n{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(n{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN n{r} ON n{r}.c = c{r}.c)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, a.c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(f.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} f ON f.c = a.c"""
+
 ESCAPED_SQL = r"""regexp_replace(regexp_replace(regexp_replace(replace({0}, '\', '\5c'), '<(\||/?s>)', '\\3c\1', 'g'), '<(</?SYS>>)', '\\3c\1', 'g'), '\[(/?INST\])', '\\5b\1', 'g')"""
 
 ORACLE_SQL = {
@@ -117,4 +155,18 @@ f AS (SELECT *, CASE WHEN strlen(html) >= 100 THEN min(page_id) OVER (PARTITION
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes, d AS payload_digest,
   CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
+    "op11_sort_means": sort_means_sql(),
+    "op12_hard_negatives": """
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike,
+    list_sum(list_transform(list_zip(a.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM
+  (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE alike) WHERE r <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
 }

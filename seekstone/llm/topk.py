@@ -101,11 +101,11 @@ def whole_numbers(x: list[list[int]], keys: np.ndarray, query: list[int], k: int
     return [r for _, _, r in best], [-s for s, _, _ in best]
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """``(vec_id, x)`` with components as doubles of the rows that take part."""
+def usable(vectors: DataFrame, *more: str) -> DataFrame:
+    """``(vec_id, x)`` with components as doubles of the rows that take part, and columns named besides."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return vectors.where("vec_id is not null and embedding is not null").select("vec_id", x.alias("x")).where(~bad)
+    return vectors.where("vec_id is not null and embedding is not null").select("vec_id", x.alias("x"), *more).where(~bad)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, block_rows: int = 8192, query_block_rows: int = 2048) -> DataFrame:
