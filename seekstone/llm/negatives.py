@@ -68,12 +68,13 @@ class Best:
         self.least = np.full(n, LEAST)
 
     def add(self, scores: np.ndarray, allowed: np.ndarray, ids: np.ndarray) -> None:
-        """``scores`` and ``allowed`` have a row for each list and a column for each of ``ids``."""
+        """``scores`` and ``allowed`` have a row for each list and a column for each of ``ids``, which rise."""
         keep = allowed & (scores >= self.least[:, None])
         if keep.sum() > 16 * self.k * len(self.least) and scores.shape[1] > self.k:
             at = scores.shape[1] - self.k
-            cut = np.partition(np.where(keep, scores, LEAST), at, axis=1)[:, at]
-            keep &= scores >= cut[:, None]
+            cut = np.partition(np.where(keep, scores, LEAST), at, axis=1)[:, at, None]
+            ties = keep & (scores == cut)  # of a common vector's rows only the first ids can stay
+            keep = keep & (scores > cut) | ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= self.k)
         lists, columns = np.nonzero(keep)
         if len(lists):
             self.merge(lists, ids[columns], scores[lists, columns])
@@ -120,7 +121,7 @@ def search_block(candidates: DataFrame, block: Anchors, k: int, scale: int) -> D
         rows_at_once = max(64, CELLS // max(1, n))
         for batch in batches:
             for start in range(0, len(batch), rows_at_once):
-                part = batch.slice(start, rows_at_once)
+                part = batch.slice(start, rows_at_once).sort_by("vec_id")
                 ids, labels = (part[c].to_numpy(zero_copy_only=False) for c in ("vec_id", "label"))
                 x = rows_of(part["x"])
                 dims = max([1, *map(len, x), *map(len, b.vectors)])
