@@ -71,9 +71,9 @@ def osa_distance(a: Column, b: Column) -> Column:
 
         def cell(out: Column, j: Column) -> Column:
             x, y = F.substr(a, i, F.lit(1)), F.substr(b, j, F.lit(1))
-            best = F.least(F.element_at(out, -1) + 1, F.get(row, j) + 1, F.get(row, j - 1) + (x != y).cast("int"))
             swapped = (i > 1) & (j > 1) & (x == F.substr(b, F.greatest(j - 1, F.lit(1)), F.lit(1))) & (F.substr(a, F.greatest(i - 1, F.lit(1)), F.lit(1)) == y)
-            return F.array_append(out, F.when(swapped, F.least(best, F.get(above, j - 2) + 1)).otherwise(best))
+            # of the least, what is null does not count
+            return F.array_append(out, F.least(F.element_at(out, -1) + 1, F.get(row, j) + 1, F.get(row, j - 1) + (x != y).cast("int"), F.when(swapped, F.get(above, j - 2) + 1)))
 
         steps = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
         return F.struct(row.alias("above"), F.aggregate(steps, F.array(i), cell).alias("row"))
@@ -93,8 +93,8 @@ def fuzzy_score(query: Column, word: Column) -> Column:
     budget = fuzzy_budget(query)
     strange = F.size(F.filter(F.split(query, ""), lambda ch: ~F.contains(word, ch)))
     near = (F.abs(F.length(query) - F.length(word)) <= budget) & (strange <= budget)
-    d = F.when(near, osa_distance(query, word))
-    return F.when((d > 0) & (d <= budget), F.when(d == 1, 400).when(d == 2, 280))
+    distance = F.array(F.when(near, osa_distance(query, word)))  # worked out once
+    return F.get(F.transform(distance, lambda d: F.when((d > 0) & (d <= budget), F.when(d == 1, 400).when(d == 2, 280))), 0)
 
 
 CJK, CJK_WEB = "\\u3400-\\u4dbf\\u4e00-\\u9fff", "\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff\\u3000-\\u303f"

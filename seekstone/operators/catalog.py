@@ -106,19 +106,31 @@ def names_of(rows: DataFrame) -> Column:
     return F.array_compact(F.concat(said, F.coalesce("search_keywords", F.array().cast("array<string>"))) if "search_keywords" in has else said)
 
 
+def names_in_order(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """``(key, _all)``: the distinct ``_names`` of the rows of a key, in the order in which they come first.
+
+    Names that repeat are brought down to one before they meet, however many rows bring them.
+    """
+    named = rows.select(key, order, F.posexplode_outer("_names").alias("_nth", "_name"))
+    first = named.groupBy(key, "_name").agg(F.min(F.struct(order, "_nth")).alias("_at"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("_name").isNotNull(), F.struct("_at", "_name"))))
+    return first.groupBy(key).agg(F.transform(listed, lambda x: x["_name"]).alias("_all"))
+
+
 def dedupe(rows: DataFrame) -> DataFrame:
-    """One row for each launch identity of ``rows``.
+    """One row for each launch identity of ``rows``; a row without a target is one of its own.
 
     The best source's row stays (ties: the least key of target, arguments, name and id) and takes the
     other rows' names as ``keywords``, in order of those rows.
     """
     order = F.struct(order_of(F.col("source"), DEDUPE_ORDER).alias("r"), T.path_key(F.col("target")).alias("t"), F.coalesce("args", F.lit("")).alias("a"), F.col("name").alias("n"), F.col("id").alias("i"))
-    keyed = rows.select("*", T.launch_identity(F.col("target"), F.col("args")).alias("key"), order.alias("_order"), names_of(rows).alias("_names"))
+    key = F.coalesce(T.launch_identity(F.col("target"), F.col("args")), F.concat(F.lit("\x1e"), F.col("id").cast("string")))
+    keyed = rows.select("*", key.alias("key"), order.alias("_order"), names_of(rows).alias("_names"))
     kept = [c for c in rows.columns if c != "keywords"]
-    best = keyed.groupBy("key").agg(F.min_by(F.struct(*kept), "_order").alias("b"), F.array_sort(F.collect_list(F.struct("_order", "_names"))).alias("all"))
+    best = keyed.groupBy("key").agg(F.min_by(F.struct(*kept), "_order").alias("b")).join(names_in_order(keyed, "key", "_order"), "key")
     display = F.col("b.display_name") if "display_name" in kept else F.lit(None).cast("string")
     own = F.col("b.search_keywords") if "search_keywords" in kept else F.array().cast("array<string>")
-    return best.select(*(F.col(f"b.{c}").alias(c) for c in kept), merged_keywords(F.col("b.name"), display, own, F.flatten(F.transform("all", lambda x: x["_names"]))).alias("keywords"))
+    return best.select(*(F.col(f"b.{c}").alias(c) for c in kept), merged_keywords(F.col("b.name"), display, own, F.col("_all")).alias("keywords"))
 
 
 def absorbed(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -128,7 +140,7 @@ def absorbed(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     pairs = pairs.groupBy("loser").agg(F.min("winner").alias("winner"))
     given = pairs.join(rows.select(F.col("id").alias("loser"), names_of(rows).alias("_names")), "loser")
-    given = given.groupBy("winner").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("loser", "_names"))), lambda x: x["_names"])).alias("_given"))
+    given = names_in_order(given, "winner", "loser").withColumnRenamed("_all", "_given")
     left = rows.join(pairs.select(F.col("loser").alias("id")), "id", "left_anti").join(given, F.col("id") == F.col("winner"), "left").drop("winner")
     own = F.col("search_keywords") if "search_keywords" in rows.columns else F.array().cast("array<string>")
     display = F.col("display_name") if "display_name" in rows.columns else F.lit(None).cast("string")
@@ -204,7 +216,7 @@ def drop_system_names(rows: DataFrame) -> DataFrame:
 
 def with_metadata(rows: DataFrame, metadata: DataFrame) -> DataFrame:
     """``rows`` with a program's own texts (``metadata(target, texts)``) as further keywords."""
-    said = metadata.groupBy(T.path_key(F.col("target")).alias("k")).agg(F.array_sort(F.flatten(F.collect_list("texts"))).alias("_texts"))
+    said = metadata.select(T.path_key(F.col("target")).alias("k"), F.explode("texts").alias("t")).groupBy("k").agg(F.array_sort(F.collect_set("t")).alias("_texts"))
     joined = rows.join(said, T.path_key(F.col("target")) == F.col("k"), "left").drop("k")
     own = F.col("search_keywords") if "search_keywords" in rows.columns else F.array().cast("array<string>")
     display = F.col("display_name") if "display_name" in rows.columns else F.lit(None).cast("string")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from seekstone.operators.ordered import running_sum
+
 
 def metrics(results: DataFrame, expected: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``(cases, top1, recall_at_5, mrr)`` of ``results(query_id, rank, id)`` and ``expected(query_id, id)``;
@@ -18,6 +20,8 @@ def percentile(rows: DataFrame, column: str, by: list[str], p: float) -> DataFra
     """``(by..., value)``: the value at place round((n - 1) p) of each group's sorted values, without
     interpolation, by counting from the least value up: no group is gathered."""
     counts = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*by).orderBy(column)) if by else F.sum("n").over(Window.orderBy(column))
-    total = F.sum("n").over(Window.partitionBy(*by)) if by else F.sum("n").over(Window.partitionBy())
-    return counts.withColumns({"upto": upto, "total": total}).where(F.col("upto") > F.round((F.col("total") - 1) * p)).groupBy(*by).agg(F.min(column).alias("value"))
+    if by:
+        known = counts.withColumns({"upto": F.sum("n").over(Window.partitionBy(*by).orderBy(column)), "total": F.sum("n").over(Window.partitionBy(*by))})
+    else:
+        known = running_sum(counts, [column], F.col("n"), "upto").join(F.broadcast(counts.agg(F.sum("n").alias("total"))))  # one row
+    return known.where(F.col("upto") > F.round((F.col("total") - 1) * p)).groupBy(*by).agg(F.min(column).alias("value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seekstone.functions import text as T
+from seekstone.operators.ordered import numbered
 from seekstone.operators.catalog import HIDEABLE, hidden_on_empty_query
 
 DAY = 86_400
@@ -217,9 +218,9 @@ def save_manual(apps: DataFrame, rows: DataFrame) -> DataFrame:
     new = rows.select("path", T.path_key(F.col("path")).alias("path_key"), "display_name", "item_id")
     for key in ("path_key", "item_id"):
         new = new.join(apps.select(key).distinct(), key, "left_anti").groupBy(key).agg(F.min(F.struct(*(c for c in ("path", "path_key", "display_name", "item_id") if c != key))).alias("r")).select(key, "r.*")
-    last = apps.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    numbered = new.join(F.broadcast(last)).select((F.col("last") + F.row_number().over(Window.orderBy("path", "item_id"))).alias("id"), "path", "path_key", "display_name", "item_id")
-    return apps.unionByName(numbered.select(*apps.columns))
+    last = apps.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))  # one row
+    placed = numbered(new, ["path", "item_id"], "_place").join(F.broadcast(last)).withColumn("id", F.col("last") + F.col("_place"))
+    return apps.unionByName(placed.select(*apps.columns))
 
 
 def settings_row(settings: DataFrame, defaults: dict[str, str]) -> DataFrame:

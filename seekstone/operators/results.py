@@ -15,12 +15,13 @@ def is_http(target: Column) -> Column:
     return F.coalesce(F.rlike(F.trim(target), F.lit("^(?i)https?://")), F.lit(False))
 
 
-def result_source(tag: Column, item: Column, source: Column, target: Column) -> Column:
-    """file, web, builtin or app: by how a row was found, then its id, its source, its target."""
+def result_source(tag: Column, item: Column, source: Column, target: Column, own: str = "builtin:") -> Column:
+    """file, web, builtin or app: by how a row was found, then its id (``own`` begins those of functions
+    that the engine itself offers), its source, its target."""
     web, files, builtin = F.lit("web"), F.lit("file"), F.lit("builtin")
     return (
         F.when(tag == "file", files).when(tag == "file-search-status", builtin).when(tag.isin("websearch", "url"), web).when(tag.isin("builtin", "win-settings", "builtin-system"), builtin)
-        .when(F.startswith(item, F.lit("file:")), files).when(F.rlike(item, F.lit("^(url|websearch):")), web).when(F.startswith(item, F.lit("kite:")), builtin)
+        .when(F.startswith(item, F.lit("file:")), files).when(F.rlike(item, F.lit("^(url|websearch):")), web).when(F.startswith(item, F.lit(own)), builtin)
         .when(source.isin("file-search", "file-search-raw"), files).when(source.isin("websearch", "url", "browser"), web).when(source.isin("builtin", "builtin-system", "win-settings", "file-search-status"), builtin)
         .when(is_http(target), web).otherwise("app")
     )

@@ -11,6 +11,8 @@ A catalog has ``id`` and ``name``; the other fields of ``OPTIONAL`` take part wh
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seekstone.functions import text as T
@@ -94,11 +96,16 @@ def quality_tier(score: Column) -> Column:
 # --- scoring -----------------------------------------------------------------------------------
 
 
-def hit(condition: str, score: int | str, tag: str, field: int, kind: int, start: str = "0", span: str = "length(q)", gaps: str = "0", edit: str = "0") -> str:
+def hit(condition: str, score: int | str, tag: str, field: int | str, kind: int | str, start: str = "0", span: str = "length(q)", gaps: str = "0", edit: str = "0") -> str:
     """SQL of a branch: what it gives where its condition holds, else null. Of equal scores the earlier
     start wins, then fewer gaps, fewer edits, the longer span, the field, the kind of match."""
     return f"""CASE WHEN {condition} THEN struct(CAST({score} AS INT) AS score, -CAST({start} AS INT) AS early, -CAST({gaps} AS INT) AS tight, -CAST({edit} AS INT) AS true_to,
-      CAST({span} AS INT) AS span, -{field} AS field, -{kind} AS kind, '{tag}' AS tag) END"""
+      CAST({span} AS INT) AS span, -CAST({field} AS INT) AS field, -CAST({kind} AS INT) AS kind, {tag} AS tag) END"""
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` standing for a value that is worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
 def place(source: str, nth: str) -> str:
@@ -106,23 +113,95 @@ def place(source: str, nth: str) -> str:
     return f"(get(filter(sequence(1, length({source})), j -> substr({source}, j, 1) <> ' '), {nth}) - 1)"
 
 
-def plain(text: str, exact: int, prefix: int, inside: int, tags: str, field: int) -> str:
-    """A text that is, begins with or holds the query."""
-    at = f"instr({text}, q)"
-    return "CASE " + " ".join(f"WHEN {c} THEN {h}" for c, h in (
-        (f"{text} = q", hit("true", exact, f"{tags}exact", field, WHOLE, span=str(UNKNOWN))),
-        (f"startswith({text}, q)", hit("true", prefix, f"{tags}prefix", field, START)),
-        (f"contains({text}, q)", hit("true", inside, f"{tags}substring", field, INSIDE, f"{at} - 1")),
-    )) + " END"
+@dataclass(frozen=True)
+class Kind:
+    """How a kind of text is scored that is the query (whole), begins with it or holds it.
 
+    No score means no such branch. ``least`` are the shortest queries in characters, or in bytes for
+    texts without spaces, which are compared with the query without spaces.
+    """
 
-def squeezed(compact: str, source: str, exact: int, inside: int, tags: str, field: int) -> str:
-    """A text without spaces that is or holds the query without spaces; places are those in the text."""
-    first, last = place(source, f"instr({compact}, c) - 1"), place(source, f"instr({compact}, c) + length(c) - 2")
-    return "CASE " + " ".join(f"WHEN {c} THEN {h}" for c, h in (
-        (f"octet_length(c) >= 2 AND {compact} = c", hit("true", exact, f"{tags}compact-exact", field, WHOLE, span=str(UNKNOWN))),
-        (f"octet_length(c) >= 3 AND contains({compact}, c)", hit("true", inside, f"{tags}compact-substring", field, INSIDE, first, f"{last} - {first} + 1")),
-    )) + " END"
+    tag: str
+    field: int
+    scores: tuple[int, int, int]
+    least: tuple[int, int, int] = (1, 1, 1)
+    squeezed: bool = False
+    names: tuple[str, str, str] = ("exact", "prefix", "substring")
+    single: tuple[int, int, int] | None = None  # scores of queries of one character
+    whole_kind: int = WHOLE
+    whole_span: str = "unknown"  # or "query", "name"
+    mapped: bool = False  # places are those of letters in the name
+
+
+def squeezed(tag: str, field: int, exact: int, inside: int, least: int = 2) -> Kind:
+    return Kind(tag, field, (exact, inside, inside), (max(least, 2), 3, 3), True, ("compact-exact", "compact-substring", "compact-substring"))
+
+
+READ, CALLED = ("reading-exact", "reading-prefix", ""), ("initials-exact", "initials-prefix", "initials-inner")
+#: By column of the catalog; scores as above (fixed values).
+KINDS = {
+    "norm": Kind("", NAME, (EXACT, PREFIX, SUBSTRING)),
+    "display": Kind("", DISPLAY, (EXACT, PREFIX, SUBSTRING)),
+    "comp": squeezed("", NAME, COMPACT_EXACT, COMPACT_SUBSTRING),
+    "comp_display": squeezed("", NAME, COMPACT_EXACT, COMPACT_SUBSTRING),
+    "words": Kind("", NAME, (WORD_EXACT, WORD_PREFIX, 0), (1, 2, 1), names=("word-exact", "word-prefix", "")),
+    "acro": Kind("", NAME, (ACRONYM, 0, 0), (2, 1, 1), names=("acronym", "", ""), whole_kind=LETTERS, whole_span="query"),
+    "keywords": Kind("keyword-", KEYWORD, (WORD_EXACT, WORD_PREFIX, SUBSTRING - 40)),
+    "keyword_comps": squeezed("keyword-", KEYWORD, WORD_EXACT, COMPACT_SUBSTRING - 60),
+    "reading": Kind("", READING, (READING_EXACT, READING_EXACT - 50, 0), names=READ, whole_span="name"),
+    "initials": Kind("", READING, (INITIALS, INITIALS - 40, INITIALS_INNER), names=CALLED, single=(INITIALS, INITIALS - 60, INITIALS_INNER + 40), whole_span="name", mapped=True),
+    "keyword_readings": Kind("keyword-", KEYWORD, (KEYWORD_READING, KEYWORD_READING_PREFIX, 0), (2, 2, 2), names=READ),
+    "keyword_initials": Kind("keyword-", KEYWORD, (KEYWORD_READING, KEYWORD_READING_PREFIX, KEYWORD_INITIALS_INNER), (2, 2, 2), names=CALLED),
+    "contexts": Kind("context-", CONTEXT, (WORD_EXACT - CONTEXT_DISCOUNT, WORD_PREFIX - CONTEXT_DISCOUNT, SUBSTRING - CONTEXT_DISCOUNT), (2, 2, 2)),
+    "context_terms": Kind("context-", CONTEXT, (WORD_EXACT - CONTEXT_DISCOUNT, WORD_PREFIX - CONTEXT_DISCOUNT, 0), (2, 2, 2), names=("word-exact", "word-prefix", "")),
+    "context_comps": squeezed("context-", CONTEXT, COMPACT_EXACT - CONTEXT_COMPACT_DISCOUNT, COMPACT_SUBSTRING - CONTEXT_COMPACT_DISCOUNT),
+    "context_readings": Kind("context-", CONTEXT, (READING_EXACT - CONTEXT_READING_DISCOUNT, READING_EXACT - CONTEXT_READING_DISCOUNT - 40, 0), (2, 2, 2), names=READ),
+    "context_initials": Kind("context-", CONTEXT, (INITIALS - CONTEXT_READING_DISCOUNT, INITIALS - CONTEXT_READING_DISCOUNT - 40, INITIALS_INNER - CONTEXT_READING_DISCOUNT), (2, 2, 2), names=CALLED),
+}
+#: Columns that hold one text; the others are arrays. Texts without spaces come with what they stand for.
+SINGLE, SOURCE_OF = ("norm", "display", "comp", "comp_display", "acro", "reading", "initials"), {"comp": "norm", "comp_display": "display", "keyword_comps": "keywords", "context_comps": "contexts"}
+
+
+def texts_of(has: set[str]) -> str:
+    """SQL of all texts of a row: ``array<struct<code, text, source>>``."""
+    parts = []
+    for code, column in enumerate(KINDS):
+        if column not in has:
+            continue
+        source = SOURCE_OF.get(column)
+        if column in SINGLE:
+            parts.append(f"array(struct({code} AS code, {column} AS text, {source or 'CAST(NULL AS STRING)'} AS source))")
+        elif source:
+            parts.append(f"transform(arrays_zip({column}, {source}), x -> struct({code} AS code, x.{column} AS text, x.{source} AS source))")
+        else:
+            parts.append(f"transform({column}, x -> struct({code} AS code, x AS text, CAST(NULL AS STRING) AS source))")
+    return "concat(" + ", ".join(f"coalesce({p}, array())" for p in parts) + ")"
+
+
+def met_texts(has: set[str]) -> str:
+    """SQL of what the texts of a row give: each is looked at once, and what it is worth stands in
+    tables of constants by its kind and by how it meets the query."""
+    kinds = list(KINDS.values())
+
+    def constants(value) -> str:
+        return "array(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for k in kinds for v in value(k)) + ")"
+
+    scores, single = constants(lambda k: k.scores), constants(lambda k: k.single or k.scores)
+    least, tags = constants(lambda k: k.least), constants(lambda k: [k.tag + n for n in k.names])
+    fields, forms = constants(lambda k: [k.field]), constants(lambda k: [int(k.squeezed) + 2 * int(k.mapped)])
+    matches = constants(lambda k: [k.whole_kind, INSIDE if k.squeezed else START, INSIDE])
+    spans = constants(lambda k: [("unknown", "query", "name").index(k.whole_span)])
+    first, last = place("t.source", "instr(t.text, c) - 1"), place("t.source", "instr(t.text, c) + length(c) - 2")
+    inner = f"CASE get({forms}, t.code) WHEN 1 THEN {first} WHEN 2 THEN coalesce({place('norm', 'instr(t.text, q) - 1')}, {UNKNOWN}) ELSE instr(t.text, q) - 1 END"
+    # a text without spaces that begins with the query holds it; its places are those in the text with spaces
+    start = f"CASE WHEN m.how = 0 OR (m.how = 1 AND get({forms}, t.code) <> 1) THEN 0 ELSE {inner} END"
+    span = f"CASE WHEN m.how > 0 AND get({forms}, t.code) = 1 THEN {last} - {first} + 1 WHEN m.how > 0 THEN length(q) ELSE CASE get({spans}, t.code) WHEN 0 THEN {UNKNOWN} WHEN 1 THEN length(q) ELSE length(name) END END"
+    score = f"CASE WHEN length(q) = 1 THEN get({single}, m.at) ELSE get({scores}, m.at) END"
+    found = hit(f"m.how IS NOT NULL AND {score} > 0 AND m.n >= get({least}, m.at)", score, f"get({tags}, m.at)", f"get({fields}, t.code)", f"get({matches}, m.at)", start, span)
+    how = "CASE WHEN t.text = x THEN 0 WHEN startswith(t.text, x) THEN 1 WHEN contains(t.text, x) THEN 2 END"
+    size = f"CASE WHEN get({forms}, t.code) = 1 THEN octet_length(x) ELSE length(x) END"
+    meeting = let("h", how, f"struct(h AS how, 3 * t.code + h AS at, {size} AS n)")
+    return f"transform({texts_of(has)}, t -> " + let("m", let("x", f"CASE WHEN get({forms}, t.code) = 1 THEN c ELSE q END", meeting), found) + ")"
 
 
 def token_sequence() -> str:
@@ -133,7 +212,7 @@ def token_sequence() -> str:
       CASE WHEN j IS NULL OR NOT s.met THEN struct(s.next AS next, s.gaps AS gaps, s.first AS first, false AS met)
         ELSE struct(j + CASE WHEN startswith(words[j], t) THEN 1 ELSE length(t) END AS next, s.gaps + j - s.next AS gaps, CASE WHEN s.first < 0 THEN j ELSE s.first END AS first, true AS met) END)[0]"""
     walk = f"aggregate(q_tokens, struct(0 AS next, 0 AS gaps, -1 AS first, true AS met), (s, t) -> {step})"
-    met = hit("s.met", TOKEN_SEQUENCE, "token-seq", NAME, INSIDE, f"coalesce(get({starts}, s.first) - 1, {UNKNOWN})", gaps="s.gaps")
+    met = hit("s.met", TOKEN_SEQUENCE, "'token-seq'", NAME, INSIDE, f"coalesce(get({starts}, s.first) - 1, {UNKNOWN})", gaps="s.gaps")
     return f"CASE WHEN size(q_tokens) >= 2 AND size(words) > 0 THEN transform(array({letters}), letters -> transform(array({walk}), s -> {met})[0])[0] END"
 
 
@@ -150,104 +229,81 @@ def by_any_reading() -> str:
         CAST(struct(o AS at, s.n + 1 AS n, {part} OR exists(o, p -> p >= length(q)) AS done) AS {state}))[0] END"""
     walk = f"aggregate(slice(char_readings, i + 1, size(char_readings)), CAST(struct(array(0) AS at, 0 AS n, false AS done) AS {state}), (s, ch) -> {step})"
     found = f"get(filter(transform(sequence(0, size(char_readings) - 1), i -> transform(array({walk}), s -> CASE WHEN s.done THEN struct(i AS i, s.n AS n) END)[0]), x -> x IS NOT NULL), 0)"
-    met = hit("x IS NOT NULL", READING_EXACT - 20, "reading-any", READING, INSIDE, "x.i", "greatest(x.n, length(q))")
+    met = hit("x IS NOT NULL", READING_EXACT - 20, "'reading-any'", READING, INSIDE, "x.i", "greatest(x.n, length(q))")
     wanted = "length(q) >= 2 AND rlike(q, '[A-Za-z0-9]') AND size(char_readings) > 0 AND exists(char_readings, x -> size(x.readings) > 0)"
     return f"CASE WHEN {wanted} THEN transform(array({found}), x -> {met})[0] END"
 
 
-def strict_branches(has: set[str]) -> tuple[list[str], list[str]]:
-    """SQL of all branches of the fields that there are: single ones, and arrays of them."""
-    one = [
-        plain("norm", EXACT, PREFIX, SUBSTRING, "", NAME),
-        squeezed("comp", "norm", COMPACT_EXACT, COMPACT_SUBSTRING, "", NAME),
-        hit("array_contains(words, q)", WORD_EXACT, "word-exact", NAME, WHOLE, span=str(UNKNOWN)),
-        hit("length(q) >= 2 AND exists(words, w -> w <> q AND startswith(w, q))", WORD_PREFIX, "word-prefix", NAME, START),
-        token_sequence(),
-        hit("length(q) >= 2 AND acro = q", ACRONYM, "acronym", NAME, LETTERS),
-    ]
-    many: list[str] = []
-    if "display" in has:
-        one += [plain("display", EXACT, PREFIX, SUBSTRING, "", DISPLAY), squeezed("comp_display", "display", COMPACT_EXACT, COMPACT_SUBSTRING, "", NAME)]
+def other_branches(has: set[str]) -> list[str]:
+    """SQL of the branches that look at more than one text."""
+    out = [token_sequence()]
     if "user_alias" in has:
-        one.append(hit("user_alias", USER_ALIAS, "user-alias-exact", ALIAS, WHOLE, span=str(UNKNOWN)))
+        out.append(hit("user_alias", USER_ALIAS, "'user-alias-exact'", ALIAS, WHOLE, span=str(UNKNOWN)))
     if "builtin_alias" in has:
-        one.append(hit("builtin_alias", BUILTIN_ALIAS, "alias-exact", ALIAS, WHOLE, span=str(UNKNOWN)))
-    if "keywords" in has:
-        many.append(f"transform(keywords, x -> {plain('x', WORD_EXACT, WORD_PREFIX, SUBSTRING - 40, 'keyword-', KEYWORD)})")
-        many.append(f"transform(arrays_zip(keyword_comps, keywords), x -> {squeezed('x.keyword_comps', 'x.keywords', WORD_EXACT, COMPACT_SUBSTRING - 60, 'keyword-', KEYWORD)})")
-    if "reading" in has:
-        one.append(hit("reading <> '' AND reading = q", READING_EXACT, "reading-exact", READING, WHOLE, span="length(name)"))
-        one.append(hit("reading <> '' AND reading <> q AND startswith(reading, q)", READING_EXACT - 50, "reading-prefix", READING, START))
-    if "initials" in has:
-        one.append(hit("initials <> '' AND initials = q", INITIALS, "initials-exact", READING, WHOLE, span="length(name)"))
-        one.append(hit("initials <> q AND startswith(initials, q)", f"CASE WHEN length(q) = 1 THEN {INITIALS - 60} ELSE {INITIALS - 40} END", "initials-prefix", READING, START))
-        at = place("norm", "instr(initials, q) - 1")
-        one.append(hit("NOT startswith(initials, q) AND contains(initials, q)", f"CASE WHEN length(q) = 1 THEN {INITIALS_INNER + 40} ELSE {INITIALS_INNER} END", "initials-inner", READING, INSIDE, f"coalesce({at}, {UNKNOWN})"))
+        out.append(hit("builtin_alias", BUILTIN_ALIAS, "'alias-exact'", ALIAS, WHOLE, span=str(UNKNOWN)))
     if "char_readings" in has:
-        one.append(by_any_reading())
-    two = "length(q) >= 2 AND "
-    for field, prefix, name, full, begun, inner, short in (
-        ("keyword", "keyword-", KEYWORD, KEYWORD_READING, KEYWORD_READING_PREFIX, KEYWORD_INITIALS_INNER, (KEYWORD_READING, KEYWORD_READING_PREFIX)),
-        ("context", "context-", CONTEXT, READING_EXACT - CONTEXT_READING_DISCOUNT, READING_EXACT - CONTEXT_READING_DISCOUNT - 40, INITIALS_INNER - CONTEXT_READING_DISCOUNT, (INITIALS - CONTEXT_READING_DISCOUNT, INITIALS - CONTEXT_READING_DISCOUNT - 40)),
-    ):
-        if f"{field}_readings" in has:
-            many.append(f"transform({field}_readings, x -> coalesce({hit(two + 'x = q', full, prefix + 'reading-exact', name, WHOLE, span=str(UNKNOWN))}, {hit(two + 'startswith(x, q)', begun, prefix + 'reading-prefix', name, START)}))")
-        if f"{field}_initials" in has:
-            many.append(f"transform({field}_initials, x -> coalesce({hit(two + 'x = q', short[0], prefix + 'initials-exact', name, WHOLE, span=str(UNKNOWN))}, {hit(two + 'startswith(x, q)', short[1], prefix + 'initials-prefix', name, START)}, {hit(two + 'contains(x, q)', inner, prefix + 'initials-inner', name, INSIDE, 'instr(x, q) - 1')}))")
-    if "contexts" in has:
-        long = lambda array: f"CASE WHEN length(q) >= 2 THEN {array} END"
-        many.append(long(f"transform(contexts, x -> {plain('x', WORD_EXACT - CONTEXT_DISCOUNT, WORD_PREFIX - CONTEXT_DISCOUNT, SUBSTRING - CONTEXT_DISCOUNT, 'context-', CONTEXT)})"))
-        many.append(f"transform(context_terms, x -> coalesce({hit(two + 'x = q', WORD_EXACT - CONTEXT_DISCOUNT, 'context-word-exact', CONTEXT, WHOLE, span=str(UNKNOWN))}, {hit(two + 'startswith(x, q)', WORD_PREFIX - CONTEXT_DISCOUNT, 'context-word-prefix', CONTEXT, START)}))")
-        many.append(long(f"transform(arrays_zip(context_comps, contexts), x -> {squeezed('x.context_comps', 'x.contexts', COMPACT_EXACT - CONTEXT_COMPACT_DISCOUNT, COMPACT_SUBSTRING - CONTEXT_COMPACT_DISCOUNT, 'context-', CONTEXT)})"))
-    return one, many
-
-
-def skipped(text: str, off: int, tag: str, field: int) -> str:
+        out.append(by_any_reading())
+    return out
+
+
+def loose_texts(has: set[str], edits: bool) -> str:
+    """SQL of the texts that skips and edits look at, in their order: ``array<struct<place, text, off, tag, field>>``."""
+    one = lambda place, text, off, tag, field: f"struct({place} AS place, {text} AS text, {off} AS off, '{tag}' AS tag, {field} AS field)"
+    parts = [f"array({one(0, 'norm', 0, '', NAME)})"]
+    if "display" in has:
+        parts.append(f"array({one(1, 'display', 0, '', NAME if edits else DISPLAY)})")
+    if "keywords" in has:
+        parts.append(f"transform(coalesce(keywords, array()), x -> {one(2, 'x', 30, 'keyword-', KEYWORD)})")
+    if edits:
+        parts += [f"array({one(3, c, 20, 'reading-', READING)})" for c in ("reading", "initials") if c in has and "reading" in has]
+    return f"filter(concat({', '.join(parts)}), t -> t.text <> '')"
+
+
+def skipped(texts: str) -> str:
     """The query's characters in order with one to three others between: the shortest such stretch of a
-    text, the first among equals; none where the shortest has no others."""
-    end = f"""aggregate(sequence(i, least(length({text}), i + length(q) + {SKIP_GAPS - 1})), struct(0 AS k, CAST(NULL AS INT) AS at), (s, j) ->
-      CASE WHEN s.at IS NULL AND substr({text}, j, 1) = substr(q, s.k + 1, 1) THEN struct(s.k + 1 AS k, CASE WHEN s.k + 1 = length(q) THEN j END AS at) ELSE s END).at"""
-    best = f"array_min(filter(transform(filter(sequence(1, length({text})), i -> substr({text}, i, 1) = left(q, 1)), i -> struct({end} - i + 1 AS span, i AS i)), x -> x.span IS NOT NULL))"
-    met = hit(f"x.span BETWEEN length(q) + 1 AND length(q) + {SKIP_GAPS}", f"greatest({SKIP_LEAST}, {SKIP} - 8 * (x.span - length(q))) - {off}", tag, field, SKIPPED, "x.i - 1", "x.span", "x.span - length(q)")
-    return f"CASE WHEN length({text}) > length(q) THEN transform(array({best}), x -> {met})[0] END"
+    text, the first among equals; none where the shortest has no others. The first text that has one counts."""
+    end = f"""aggregate(sequence(i, least(length(t.text), i + length(q) + {SKIP_GAPS - 1})), struct(0 AS k, CAST(NULL AS INT) AS at), (s, j) ->
+      CASE WHEN s.at IS NULL AND substr(t.text, j, 1) = substr(q, s.k + 1, 1) THEN struct(s.k + 1 AS k, CASE WHEN s.k + 1 = length(q) THEN j END AS at) ELSE s END).at"""
+    best = f"array_min(filter(transform(filter(sequence(1, length(t.text)), i -> substr(t.text, i, 1) = left(q, 1)), i -> struct({end} - i + 1 AS span, i AS i)), x -> x.span IS NOT NULL))"
+    met = hit(f"x.span BETWEEN length(q) + 1 AND length(q) + {SKIP_GAPS}", f"greatest({SKIP_LEAST}, {SKIP} - 8 * (x.span - length(q))) - t.off", "concat(t.tag, 'skip')", "t.field", SKIPPED, "x.i - 1", "x.span", "x.span - length(q)")
+    return f"get(filter(transform(filter({texts}, t -> length(t.text) > length(q)), t -> {let('x', best, met)}), x -> x IS NOT NULL), 0)"
 
 
-def near(text: Column, off: int, tag: str, field: int) -> Column:
-    """One or two edits away from a text as a whole, else from one of its words."""
+def near(texts: Column) -> Column:
+    """One or two edits away from a text as a whole, else from one of its words: of the texts of the first
+    place that has such a text the nearest."""
     q = F.col("q")
-    score = F.coalesce(T.fuzzy_score(q, text), F.array_max(F.array_compact(F.transform(T.tokens(text), lambda w: T.fuzzy_score(q, w)))))
-    found = F.when(score.isNotNull(), score)
-    edits = F.when(found == 400, 1).otherwise(2)
-    return F.when(found.isNotNull(), F.struct((found - off).cast("int").alias("score"), F.lit(-UNKNOWN).alias("early"), F.lit(0).alias("tight"), (-edits).alias("true_to"), F.greatest(F.length(q) - edits, F.lit(0)).cast("int").alias("span"), F.lit(-field).alias("field"), F.lit(-NEAR).alias("kind"), F.lit(tag).alias("tag")))
+
+    def of(t: Column) -> Column:
+        scores = F.transform(F.concat(F.array(t["text"]), T.tokens(t["text"])), lambda w: T.fuzzy_score(q, w))
+        found = F.get(F.transform(F.array(scores), lambda f: F.coalesce(F.get(f, 0), F.array_max(f))), 0)
+        return F.struct(t.alias("t"), found.alias("found"))
+
+    def shown(x: Column) -> Column:
+        t, edits = x["t"], F.when(x["found"] == 400, 1).otherwise(2)
+        return F.struct((-t["place"]).alias("place"), F.struct((x["found"] - t["off"]).cast("int").alias("score"), F.lit(-UNKNOWN).alias("early"), F.lit(0).alias("tight"), (-edits).alias("true_to"), F.greatest(F.length(q) - edits, F.lit(0)).cast("int").alias("span"), (-t["field"]).alias("field"), F.lit(-NEAR).alias("kind"), F.concat(t["tag"], F.lit("fuzzy")).alias("tag")).alias("hit"))
+
+    return F.array_max(F.transform(F.filter(F.transform(texts, of), lambda x: x["found"].isNotNull()), shown))["hit"]
 
 
 def verify(candidates: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Candidates with ``score``, ``tag``, ``tier`` and evidence (``start``, ``gaps``, ``edits``, ``span``,
     ``field``, ``kind``); those without any branch go.
 
-    Skips are only looked for below 320, edits (of queries of three characters or more) below 400: each
-    is worked out where nothing better is.
+    All texts of a row are one array that one expression goes over, so that the plan does not grow with
+    the fields. Skips are only looked for below 320, edits (of queries of two characters or more) below
+    400: each is worked out where nothing better is.
     """
     has = set(candidates.columns)
-    one, many = strict_branches(has)
-    # each kind of branch is a column of its own, so that no expression grows too large for one method
-    parts = {f"b{k}": F.expr(f"array_max(array_compact(array({sql})))") for k, sql in enumerate(one)} | {f"m{k}": F.expr(f"array_max(array_compact({sql}))") for k, sql in enumerate(many)}
-    scored = candidates.where("q <> ''").withColumns(parts)
-    scored = scored.withColumn("best", F.array_max(F.array_compact(F.array(*parts)))).drop(*parts)
+    strict = f"array_max(array_compact(concat({met_texts(has)}, array({', '.join(other_branches(has))}))))"
+    scored = candidates.where("q <> ''").withColumn("best", F.expr(strict))
     if fuzzy:
-        skips = [skipped("norm", 0, "skip", NAME)] + [skipped("display", 0, "skip", DISPLAY)] * ("display" in has)
-        if "keywords" in has:
-            skips.append(f"get(filter(transform(keywords, x -> {skipped('x', 30, 'keyword-skip', KEYWORD)}), x -> x IS NOT NULL), 0)")
-        skip = f"CASE WHEN length(q) >= 4 AND (best IS NULL OR best.score < {SKIP}) THEN coalesce({', '.join(skips)}) END"
+        skip = f"CASE WHEN length(q) >= 4 AND (best IS NULL OR best.score < {SKIP}) THEN {skipped(loose_texts(has, False))} END"
         scored = scored.withColumn("best", F.expr(f"array_max(array_compact(array(best, {skip})))"))
-        found = [near(F.col("norm"), 0, "fuzzy", NAME)] + [near(F.col("display"), 0, "fuzzy", NAME)] * ("display" in has)
-        if "keywords" in has:
-            found.append(F.array_max(F.array_compact(F.transform("keywords", lambda k: near(k, 30, "keyword-fuzzy", KEYWORD)))))
-        if "reading" in has:
-            found.append(F.array_max(F.array_compact(F.transform(F.array("reading", "initials") if "initials" in has else F.array("reading"), lambda k: near(k, 20, "reading-fuzzy", READING)))))
-        loose = F.when((F.length("q") >= 3) & (F.col("best").isNull() | (F.col("best.score") < 400)), F.coalesce(*found))
+        loose = F.when((F.length("q") >= 2) & (F.col("best").isNull() | (F.col("best.score") < 400)), near(F.expr(loose_texts(has, True))))
         scored = scored.withColumn("best", F.array_max(F.array_compact(F.array("best", loose))))
-    scored = scored.where("best is not null")
+    # a generator, for a filter would be pushed below and carry a copy of the whole expression with it
+    scored = scored.select(*(c for c in scored.columns if c != "best"), F.explode(F.array_compact(F.array("best"))).alias("best"))
     evidence = {"start": -F.col("best.early"), "gaps": -F.col("best.tight"), "edits": -F.col("best.true_to"), "span": F.col("best.span"), "field": -F.col("best.field"), "kind": -F.col("best.kind")}
     return scored.withColumns({"score": F.col("best.score"), "tag": F.col("best.tag"), **evidence}).drop("best").withColumn("tier", quality_tier(F.col("score")))
 
@@ -342,7 +398,7 @@ def query_keys(parsed: DataFrame, fuzzy: bool = True, aliases: DataFrame | None
     ]
     if fuzzy:
         out.append(channel("skip", True, _keyed("g1", T.grams(q, 1)), "length(q) >= 4"))
-        out.append(channel("edits", False, _keyed("d", many_edits(q)), "length(q) >= 3"))
+        out.append(channel("edits", False, _keyed("d", many_edits(q)), "length(q) >= 2 AND octet_length(q) >= 3"))
         # of five pieces of a longer text two edits, swaps of neighbours even, leave one as it is
         size = F.floor(F.length(q) / 5).cast("int")
         pieces = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat(F.lit("g2"), F.substr(q, i * size + 1, F.lit(2))))
@@ -369,11 +425,17 @@ def recall(docs: DataFrame, parsed: DataFrame, fuzzy: bool = True, aliases: Data
     kinds = asked.select(F.when(F.left("key", F.lit(1)).isin("g", "k"), F.left("key", F.lit(2))).otherwise(F.left("key", F.lit(1))).alias("kind")).groupBy("kind").count().collect()  # nine at most
     wanted = asked.select("key").distinct()
     keys = docs.select("id", F.explode(doc_keys(docs, {r["kind"] for r in kinds})).alias("key"))
-    held = stage(keys.join(small(wanted, sum(r["count"] for r in kinds)), "key"), "held-keys")
+    many = sum(r["count"] for r in kinds)
+    return followed_ids(asked, stage(keys.join(small(wanted, many), "key"), "held-keys"), many)
+
+
+def followed_ids(asked: DataFrame, held: DataFrame, many: int) -> DataFrame:
+    """``(query_id, id)`` of the rows that ``held(key, id)`` lists under the keys that are followed of the
+    ``many`` ones ``asked``."""
     sizes = held.groupBy("key").agg(F.count("*").alias("rows"))
     rarest = asked.where("rarest").join(sizes, "key").groupBy("query_id", "channel").agg(F.min_by("key", F.struct("rows", "key")).alias("key"))
     followed = asked.where("not rarest").select("query_id", "key").unionByName(rarest.select("query_id", "key")).distinct()
-    return held.join(small(followed, sum(r["count"] for r in kinds)), "key").select("query_id", "id").distinct()
+    return held.join(small(followed, many), "key").select("query_id", "id").distinct()
 
 
 def with_aliases(candidates: DataFrame, aliases: DataFrame | None) -> DataFrame:
@@ -413,7 +475,12 @@ def search(catalog: DataFrame, queries: DataFrame, k: int = TOP_K, pruned: bool
     names are never hit but by their other fields; repeated ids are rows of their own.
     """
     docs, parsed = enrich(catalog), parse(queries)
-    hits = rank(verify(candidates_of(docs, parsed, pruned, fuzzy, aliases), fuzzy), k).select("query_id", "rank", "id", "name", "score", "tag", "tier")
+    return with_empty(rank(verify(candidates_of(docs, parsed, pruned, fuzzy, aliases), fuzzy), k), catalog, parsed, k)
+
+
+def with_empty(hits: DataFrame, catalog: DataFrame, parsed: DataFrame, k: int) -> DataFrame:
+    """Ranked hits, and for empty queries the catalog's first rows."""
+    hits = hits.select("query_id", "rank", "id", "name", "score", "tag", "tier")
     first = catalog.select("id", "name").orderBy("id").limit(k)
     place_of = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
     empty = parsed.where("q = ''").select("query_id").join(F.broadcast(first))  # k rows

@@ -12,17 +12,19 @@ from seekstone.functions import text as T
 from seekstone.operators import catalog as C
 from seekstone.shared import stage
 
-#: Which sources a pass takes, and its limits: rows of a folder, rows in all, depth (fixed values).
+#: Which sources a pass takes, and its limits: rows of a folder, rows in all, depth below the start menu
+#: and below other roots (fixed values).
 PASSES = {
-    "bootstrap": {"without": ("app-paths", "uninstall", "scoop", "commands", "protocols", "uwp", "apps-folder"), "per_folder": 400, "total": 1500, "depth": 8},
-    "fast": {"without": ("uwp", "apps-folder"), "per_folder": 400, "total": 1500, "depth": 8},
-    "full": {"without": (), "per_folder": 2000, "total": 8000, "depth": 16},
+    "bootstrap": {"without": ("app-paths", "uninstall", "scoop", "commands", "protocols", "uwp", "apps-folder"), "per_folder": 400, "total": 1500, "depth": (5, 2)},
+    "fast": {"without": ("uwp", "apps-folder"), "per_folder": 400, "total": 1500, "depth": (5, 2)},
+    "full": {"without": (), "per_folder": 2000, "total": 8000, "depth": (16, 8)},
 }
 #: Schemes of web shortcuts that open no program (fixed values).
 WEB_SHORTCUTS = ("http", "https", "ftp", "file", "mailto", "data", "javascript")
 #: Schemes that are no program's own (fixed values).
 WEB_SCHEMES = "http https ftp file mailto data javascript vbscript about blob ws wss gopher gopher+ news nntp telnet wais irc ircs webcal webcals tel callto sms sip sips geo maps market itms-services intent chrome edge view-source ms-browser-extension".split()
 INNER_SCHEMES = "shell res resource search query run appx ms-appx ms-appx-web ms-resource ms-settings ms-settingsfile ms-uup ms-windows-store ms-gamebarservices ms-gamingoverlay ms-xbox ms-screenclip".split()
+#: Words in names of commands that are no program of their own, and files that are commands (fixed values).
 AUXILIARY = "update helper daemon handler selector server host service runtime webview bootstrap".split()
 COMMAND_FILES = ("exe", "cmd", "bat", "com", "lnk")
 
@@ -32,7 +34,8 @@ def file_rows(files: DataFrame, profile: str) -> DataFrame:
     names that are worth it, within depth, each folder's and the whole's limits."""
     limits = PASSES[profile]
     depth = F.size(F.split(F.substr("path", F.length("root") + 2), r"[\\/]"))
-    kept = files.where(~F.col("source").isin(*limits["without"]) if limits["without"] else F.lit(True)).where(depth <= limits["depth"])
+    deepest = F.when(F.col("source") == "start-menu", limits["depth"][0]).otherwise(limits["depth"][1])
+    kept = files.where(~F.col("source").isin(*limits["without"]) if limits["without"] else F.lit(True)).where(depth <= deepest)
     kept = kept.where(T.extension(F.col("path")).isin("lnk", "url", "appref-ms", "exe")).withColumns({"name": T.stem(F.col("path")), "folder": T.parent(F.col("path"))})
     return C.keep_per_folder(kept.where(~C.is_skippable(F.col("name"))), limits["per_folder"], limits["total"])
 

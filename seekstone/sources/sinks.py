@@ -23,7 +23,13 @@ def publish(df: DataFrame, home: str, version: int) -> str:
     """
     spark, name = df.sparkSession, f"generation-{uuid.uuid4().hex}"
     df.withColumn("version", F.lit(version)).write.parquet(f"{home}/{name}")
-    text = json.dumps({"generation": name, "version": version})
+    move_pointer(spark, home, {"generation": name, "version": version})
+    return f"{home}/{name}"
+
+
+def move_pointer(spark: SparkSession, home: str, value: dict) -> None:
+    """Let the pointer hold ``value``, in one step: readers find the one before or this one."""
+    text = json.dumps(value)
     new, fs = _fs(spark, f"{home}/{POINTER}-{uuid.uuid4().hex}")
     out = fs.create(new)
     out.write(bytearray(text.encode()))
@@ -33,16 +39,18 @@ def publish(df: DataFrame, home: str, version: int) -> str:
     how = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
     how[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     context.rename(new, old, how)
-    return f"{home}/{name}"
+
+
+def pointed(spark: SparkSession, home: str) -> dict | None:
+    """What the pointer holds; null before the first."""
+    at, fs = _fs(spark, f"{home}/{POINTER}")
+    return json.loads("".join(r["value"] for r in spark.read.text(f"{home}/{POINTER}").collect())) if fs.exists(at) else None  # one line
 
 
 def published(spark: SparkSession, home: str) -> tuple[str, int] | None:
     """Folder and version of the generation that the pointer names; null before the first."""
-    at, fs = _fs(spark, f"{home}/{POINTER}")
-    if not fs.exists(at):
-        return None
-    found = json.loads("".join(r["value"] for r in spark.read.text(f"{home}/{POINTER}").collect()))  # one line
-    return f"{home}/{found['generation']}", found["version"]
+    found = pointed(spark, home)
+    return (f"{home}/{found['generation']}", found["version"]) if found else None
 
 
 def drop_old(spark: SparkSession, home: str) -> int:

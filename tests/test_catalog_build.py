@@ -142,7 +142,7 @@ def test_result_lists(spark):
     got = [(r["id"], r["score"]) for r in R.merged(hits.limit(1), hits.limit(0), address, browsers, "two").orderBy("place").collect()]
     assert got[:3] == [("url:two:https://example.com", 980), ("url:one:https://example.com", 960), ("url:default:https://example.com", 960)] and got[3][0] == "1"
     source = lambda *x: one(spark, R.result_source(*map(F.lit, x)))
-    assert [source("file", "x", "x", "x"), source("exact", "kite:x", "x", "x"), source("exact", "x", "browser", "x"), source("exact", "x", "desktop", "HTTPS://a"), source("exact", "x", "desktop", "C:\\a")] == ["file", "builtin", "web", "web", "app"]
+    assert [source("file", "x", "x", "x"), source("exact", "builtin:x", "x", "x"), source("exact", "x", "browser", "x"), source("exact", "x", "desktop", "HTTPS://a"), source("exact", "x", "desktop", "C:\\a")] == ["file", "builtin", "web", "web", "app"]
     score = lambda q, n, k, page=False: one(spark, R.system_entry_score(F.lit(q), F.lit(n), F.array(*map(F.lit, k)), F.lit("xianshi"), F.lit("xs"), page))
     assert [score("display", "Display", []), score("disp", "Display", []), score("the display x", "Display", []), score("xian", "Display", []), score("x", "Display", ["q"]), score("scr", "Display", ["screen size"]), score("zz", "Display", ["q"])] == [900, 860, 860, 840, 840, 820, None]
 
