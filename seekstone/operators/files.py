@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seekstone.functions import text as T
+from seekstone.operators.ordered import last_before
 from seekstone.shared import stage
 
+#: So many folders become a condition of the scan; more are sorted together with the rows.
+FEW = 64
+
 #: Extensions of each type (fixed values).
 TYPES = {
     "images": "jpg jpeg png gif webp bmp ico svg heic heif avif tif tiff".split(),
@@ -36,6 +40,63 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "\\"))
 
 
+def order_key(path: Column, volume: Column | None = None) -> Column:
+    """A text in whose order a folder is followed by all that lies in it, before anything else: what lies
+    in folder k are the keys from k up to ``end_of(k)``. Volumes follow one another."""
+    key = F.translate(F.rtrim(T.path_key(path), F.lit("\\")), "\\", "\x01")
+    return key if volume is None else F.concat(volume.cast("string"), F.lit("\x00"), key)
+
+
+def end_of(key: Column) -> Column:
+    return F.concat(key, F.lit("\x02"))
+
+
+def enclosing(folders: DataFrame) -> DataFrame:
+    """``folders(key)`` with ``outer``: the innermost other folder of them that holds it, or null."""
+    parts = F.split("key", "\x01")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "\x01"))
+    keys = folders.select("key").distinct()
+    climbed = keys.select("key", F.explode(F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))).alias("outer"))
+    best = climbed.join(keys.select(F.col("key").alias("outer")), "outer").groupBy("key").agg(F.max_by("outer", F.length("outer")).alias("outer"))
+    return folders.join(best, "key", "left")
+
+
+def within(rows: DataFrame, key: Column, folders: DataFrame, few: int = FEW) -> DataFrame:
+    """``rows`` that lie in any of ``folders(key)``, the folders themselves too; no row's ancestors are listed.
+
+    Only outermost folders count, so their ranges are apart. Few of them become a condition on the key
+    that reaches a scan of sorted files; more are marks that rows and they are sorted together for.
+    """
+    outermost = stage(enclosing(folders.select("key").distinct()).where("outer is null").select("key"), "folders")
+    if outermost.count() <= few:
+        ranges = [r["key"] for r in outermost.orderBy("key").collect()]
+        inside = F.lit(False)
+        for k in ranges:
+            inside = inside | key.between(k, k + "\x02")
+        return rows.where(inside)
+    marks = outermost.select("key", F.lit(True).alias("value")).unionByName(outermost.select(end_of(F.col("key")).alias("key"), F.lit(False).alias("value")))
+    return last_before(rows.withColumn("_key", key), "_key", marks, "_in").where("_in").drop("_key", "_in")
+
+
+def innermost(rows: DataFrame, key: Column, folders: DataFrame, name: str, few: int = FEW) -> DataFrame:
+    """``rows`` with ``name``: ``value`` of the innermost of ``folders(key, value)`` that holds a row, or null.
+
+    Nested ranges become stretches, each with its innermost folder; a row takes the last stretch that
+    begins before it.
+    """
+    held = stage(enclosing(folders), "folders")
+    values = held.select(F.col("key").alias("outer"), F.col("value").alias("_outer"))
+    ends = held.join(values, "outer", "left").select(end_of(F.col("key")).alias("key"), F.col("_outer").alias("value"))
+    marks = held.select("key", "value").unionByName(ends)
+    if held.count() <= few:
+        # stretches of few folders, each up to where the next begins: a row lies in one at most
+        upto = F.lead("key").over(Window.orderBy("key"))
+        listed = stage(marks.select(F.col("key").alias("_from"), upto.alias("_to"), F.col("value").alias(name)), "stretches").where(F.col(name).isNotNull())
+        keyed = rows.withColumn("_key", key)
+        return keyed.join(F.broadcast(listed), (F.col("_key") >= F.col("_from")) & (F.col("_key") < F.col("_to")), "left").drop("_key", "_from", "_to")
+    return last_before(rows.withColumn("_key", key), "_key", marks, name).drop("_key")
+
+
 def excludable(folder: Column) -> Column:
     """Whether a folder may be excluded: an absolute drive path without NUL and without dot parts."""
     path = F.translate(folder, "/", "\\")
@@ -44,24 +105,23 @@ def excludable(folder: Column) -> Column:
 
 
 def outside(rows: DataFrame, excluded: DataFrame, checked: bool = False) -> DataFrame:
-    """``rows(path, ...)`` that lie in none of ``excluded(folder)``: an equi join on the folders above.
+    """``rows(path, ...)`` that lie in none of ``excluded(folder)``; rows without a path lie in none.
 
     With ``checked`` a folder that may not be excluded is an error of the query.
     """
     if checked:
         wrong = F.raise_error(F.concat(F.lit("not an absolute folder: "), F.coalesce("folder", F.lit("null"))))
         excluded = excluded.withColumn("folder", F.when(excludable(F.col("folder")), F.col("folder")).otherwise(wrong))
-    marks = rows.select("path", F.explode(ancestors(F.col("path"))).alias("above")).distinct()
-    keys = excluded.select(F.rtrim(T.path_key(F.col("folder")), F.lit("\\")).alias("above")).distinct()
-    return rows.join(marks.join(keys, "above", "left_semi").select("path").distinct(), "path", "left_anti")
+    marked = innermost(rows, order_key(F.col("path")), excluded.where("folder is not null").select(order_key(F.col("folder")).alias("key"), F.lit(True).alias("value")).distinct(), "_out")
+    return marked.where("_out is null").drop("_out")
 
 
 def renamed(rows: DataFrame, moves: DataFrame) -> DataFrame:
-    """``rows`` with ``current``: the longest renamed folder above a path replaced (``moves(base, now)``)."""
-    above = rows.select("path", F.explode(ancestors(F.col("path"))).alias("key")).distinct()
-    best = above.join(moves.select(T.path_key(F.col("base")).alias("key"), "base", "now"), "key").groupBy("path").agg(F.max(F.struct(F.length("base").alias("n"), "now")).alias("m"))
-    out = rows.join(best, "path", "left")
-    return out.withColumn("current", F.when(F.col("m").isNull(), F.col("path")).otherwise(F.concat("m.now", F.substr(F.col("path"), F.col("m.n") + 1)))).drop("m")
+    """``rows`` with ``current``: the longest renamed folder above a path replaced (``moves(base, now)``;
+    of moves of one folder the last by name counts)."""
+    folders = moves.select(order_key(F.col("base")).alias("key"), F.struct(F.length("base").alias("n"), "now").alias("value")).groupBy("key").agg(F.max("value").alias("value"))
+    out = innermost(rows, order_key(F.col("path")), folders, "_m")
+    return out.withColumn("current", F.when(F.col("_m").isNull(), F.col("path")).otherwise(F.concat("_m.now", F.substr(F.col("path"), F.col("_m.n") + 1)))).drop("_m")
 
 
 def overlaid(base: DataFrame, changes: DataFrame) -> DataFrame:
@@ -98,24 +158,51 @@ def found_paths(base: DataFrame, moves: DataFrame, overlay: DataFrame, query: Co
     return once.orderBy("origin", "volume", "position").limit(limit).select("origin", "position", "path"), fits.agg(F.count("*").alias("total"))
 
 
-def tree_paths(nodes: DataFrame, max_depth: int = 32_768) -> DataFrame:
-    """``(frn, path)`` of ``nodes(frn, parent_frn, name)``; roots have no parent.
+def with_a_way_up(nodes: DataFrame, max_depth: int = 32_768) -> DataFrame:
+    """``(frn)`` of ``nodes(frn, parent_frn)`` that some way leads to a root.
 
-    Each step joins the paths found last with their children and stages the level, so that no plan
-    grows with the depth. Steps end with the deepest level; nodes of a cycle or without a way to a
-    root get no path (``tree_faults`` names them). A tree deeper than ``max_depth`` is an error.
+    Pointers double: after n rounds a node's pointer leads 2**n steps up, so the rounds are the
+    logarithm of the depth. Only pointers travel. Nodes of a cycle, or below one or below a missing
+    parent, never end; once no node ends in a round none will in a later one.
     """
-    below = nodes.select(F.col("frn").alias("child"), "parent_frn", "name")
-    level = stage(nodes.where("parent_frn is null").select("frn", F.col("name").alias("path")), "tree-level")
-    out = [level]
-    for _ in range(max_depth):
-        level = stage(level.join(below, level["frn"] == below["parent_frn"]).select(F.col("child").alias("frn"), F.concat_ws("\\", "path", "name").alias("path")), "tree-level")
-        if level.isEmpty():
+    step = stage(nodes.select("frn", F.col("parent_frn").alias("up")).distinct().withColumn("steps", F.lit(1)), "tree-ways")
+    while True:
+        deepest, waiting = step.agg(F.max(F.when(F.col("up").isNull(), F.col("steps"))), F.count_if(F.col("up").isNotNull())).first()
+        if (deepest or 0) > max_depth:
+            raise RuntimeError(f"a tree deeper than {max_depth} levels")
+        ended = step.where("up is null")
+        if not waiting:
             break
-        out.append(level)
-    else:
-        raise RuntimeError(f"a tree deeper than {max_depth} levels")
-    return nodes.sparkSession.read.schema(level.schema).parquet(*(f.rpartition("/")[0] for x in out for f in x.inputFiles()[:1]))
+        beyond = step.select(F.col("frn").alias("up"), F.col("up").alias("_next"), F.col("steps").alias("_more"))
+        moved = step.where("up is not null").join(beyond, "up").groupBy("frn", F.col("_next").alias("up")).agg(F.min(F.col("steps") + F.col("_more")).alias("steps"))
+        moved = stage(moved, "tree-ways")
+        if moved.where("up is null").isEmpty():
+            break
+        step = stage(ended.unionByName(moved), "tree-ways")
+    return ended.select("frn").distinct()
+
+
+def tree_paths(nodes: DataFrame, max_depth: int = 32_768, overrides: DataFrame | None = None) -> DataFrame:
+    """``(frn, path)`` of ``nodes(frn, parent_frn, name)``; roots have no parent.
+
+    ``overrides(frn, path)`` state the path of some nodes, whatever their parents; what lies below
+    follows it. Nodes without a way to a root get no path (``tree_faults`` names them), a node of several
+    names one for each. A tree deeper than ``max_depth`` is an error. Pointers double, with the names
+    that they pass: the logarithm of the depth in rounds, each a join and a staged table.
+    """
+    nodes = nodes.select("frn", "parent_frn", "name")
+    if overrides is not None:
+        stated = overrides.select("frn", F.lit(None).cast(nodes.schema["parent_frn"].dataType).alias("parent_frn"), F.col("path").alias("name"))
+        nodes = nodes.join(overrides.select("frn"), "frn", "left_anti").unionByName(stated)
+    sound = with_a_way_up(nodes, max_depth)
+    known = nodes.join(sound, "frn", "left_semi")
+    lasting = known.where("parent_frn is null").unionByName(known.join(sound.select(F.col("frn").alias("parent_frn")), "parent_frn", "left_semi").select(*known.columns))
+    step = stage(lasting.select("frn", F.col("parent_frn").alias("up"), F.col("name").alias("path")), "tree-paths")
+    while not step.where("up is not null").isEmpty():
+        beyond = step.select(F.col("frn").alias("up"), F.col("up").alias("_next"), F.col("path").alias("_above"))
+        moved = step.where("up is not null").join(beyond, "up").select("frn", F.col("_next").alias("up"), F.concat_ws("\\", "_above", "path").alias("path"))
+        step = stage(step.where("up is null").unionByName(moved), "tree-paths")
+    return step.select("frn", "path")
 
 
 def tree_faults(nodes: DataFrame) -> DataFrame:
@@ -134,6 +221,6 @@ def tree_faults(nodes: DataFrame) -> DataFrame:
     # below a missing parent a node has no way to a root either, but no cycle: those are reached from it
     starts = nodes.where("parent_frn is null").select("frn", "parent_frn", "name").unionByName(known.where("parent_frn is not null and p is null").select("frn", F.lit(None).cast("long").alias("parent_frn"), "name"))
     rest = nodes.join(starts.select("frn"), "frn", "left_anti").select("frn", "parent_frn", "name")
-    reached = tree_paths(starts.unionByName(rest)).select("frn").distinct()
+    reached = with_a_way_up(starts.unionByName(rest))
     lost = nodes.select("frn").distinct().join(reached, "frn", "left_anti").select("frn", F.lit("cycle").alias("fault"))
     return direct.unionByName(lost).groupBy("frn").agg(F.min_by("fault", order).alias("fault"))

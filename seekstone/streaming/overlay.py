@@ -13,13 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from seekstone.functions import text as T
-from seekstone.operators.files import ancestors
+from seekstone.operators.files import innermost, order_key, within
 from seekstone.shared import new_folder, stage
 
 FRAME = "seq bigint, kind string, round bigint, ordinal bigint, volume string, frn bigint, is_dir boolean, paths array<string>, identity_only boolean"
 OBJECTS = "volume string, frn bigint, is_dir boolean, paths array<string>"
 PREFIXES = "volume string, base string, current string"
 SHADOW = "ordinal bigint"
+#: Folder changes of longer rounds are joined by a shuffle.
+BROADCAST_CHANGES = 10_000
 OPS = "array<struct<old:string,new:string>>"
 
 
@@ -35,13 +37,22 @@ def folded(path: str, ops: str) -> str:
 
 def current_paths(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
     """``rows(volume, path, ...)`` with ``current``: under the nearest renamed folder's present name."""
-    above = rows.select("volume", "path", F.explode(ancestors(F.col("path"))).alias("key")).distinct()
-    moved = prefixes.select("volume", T.path_key(F.col("base")).alias("key"), "base", F.col("current").alias("now"))
-    best = above.join(moved, ["volume", "key"]).groupBy("volume", "path").agg(F.max_by(F.struct("base", "now"), F.length("base")).alias("m"))
-    out = rows.join(best, ["volume", "path"], "left")
+    folders = prefixes.select(order_key(F.col("base"), F.col("volume")).alias("key"), F.struct("base", F.col("current").alias("now")).alias("value")).groupBy("key").agg(F.max("value").alias("value"))
+    out = innermost(rows, order_key(F.col("path"), F.col("volume")), folders, "m")
     return out.withColumn("current", F.when(F.col("m").isNull(), F.col("path")).otherwise(F.concat("m.now", F.substr(F.col("path"), F.length("m.base") + 1)))).drop("m")
 
 
+def based_folders(touched: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``(key)``: folders of the base in which all rows lie whose present path is in one of
+    ``touched(volume, folder)``: the folder itself, and what renamed folders have put there."""
+    moved = prefixes.join(touched, "volume")  # a round's folders with the renamed folders of their volume
+    now, folder = T.path_key(F.col("current")), T.path_key(F.col("folder"))
+    inside = lambda x, outer: (x == outer) | F.startswith(x, F.concat(outer, F.lit("\\")))
+    back = F.when(inside(now, folder), F.col("base")).when(inside(folder, now), F.concat("base", F.substr("folder", F.length("current") + 1)))
+    of = touched.select("volume", "folder").unionByName(moved.select("volume", back.alias("folder")).where("folder is not null"))
+    return of.select(order_key(F.col("folder"), F.col("volume")).alias("key")).distinct()
+
+
 def folder_changes(base: DataFrame, state: dict[str, DataFrame], changes: DataFrame) -> DataFrame:
     """``(volume, ops)``: a round's folder moves and deletions in order, each from where its folder stands
     after those before it. One row a volume; a round's folders are as many as its producer sent at once."""
@@ -74,14 +85,14 @@ def apply_round(base: DataFrame, state: dict[str, DataFrame], changes: DataFrame
     ops = stage(folder_changes(base, state, changes), "folder-ops")
     objects, prefixes, shadow = state["objects"], state["prefixes"], state["shadow"]
     if not ops.isEmpty():
-        few = F.broadcast(ops)  # a row a volume
+        few = F.broadcast(ops) if changes.count() <= BROADCAST_CHANGES else ops  # a row a volume, as long as the round
         objects = objects.join(few, "volume", "left").withColumn("paths", F.expr(f"CASE WHEN ops IS NULL THEN paths ELSE filter(transform(paths, x -> {folded('x', 'ops')}), x -> x IS NOT NULL) END")).drop("ops").where("size(paths) > 0")
         prefixes = prefixes.join(few, "volume", "left").withColumn("current", F.expr(f"CASE WHEN ops IS NULL THEN current ELSE {folded('current', 'ops')} END")).drop("ops").where("current is not null")
-        # base rows below a deleted folder: those whose way up meets a folder that changed, then by the changes in order
-        touched = ops.select("volume", F.explode("ops").alias("o")).select("volume", T.path_key(F.col("o.old")).alias("key")).distinct()
+        # base rows below a deleted folder: ranges of the base hold all that may be, the changes in order decide
+        touched = ops.select("volume", F.explode("ops").alias("o")).select("volume", F.col("o.old").alias("folder")).distinct()
         if not ops.where("exists(ops, o -> o.new is null)").isEmpty():
-            live = current_paths(base.join(shadow, "ordinal", "left_anti"), state["prefixes"])
-            near = live.select("volume", "ordinal", "current", F.explode(ancestors(F.col("current"))).alias("key")).join(touched, ["volume", "key"], "left_semi").select("volume", "ordinal", "current").distinct()
+            reach = within(base, order_key(F.col("path"), F.col("volume")), based_folders(touched, state["prefixes"]))
+            near = current_paths(reach.join(shadow, "ordinal", "left_anti"), state["prefixes"]).select("volume", "ordinal", "current")
             shadow = shadow.unionByName(near.join(few, "volume").where(F.expr(f"{folded('current', 'ops')} IS NULL")).select("ordinal"))
     records = base.join(changes.select("volume", "frn", "paths"), ["volume", "frn"])
     shadow = shadow.unionByName(records.select("ordinal")).distinct()
