@@ -161,25 +161,21 @@ def hard_negatives(vectors: DataFrame, anchors: DataFrame, positives: int = 5, n
     tables give no rows; other columns are ignored, and so is a positive without negatives.
 
     A pass reads all candidates once for each block of anchors and moves none of them; the driver
-    holds one block and its positives, ``block_rows`` x (1 + ``positives``) rows at most.
+    holds one block and its positives, ``block_rows`` x (1 + ``positives``) rows at most, besides a partition of sorted anchors.
     """
     spark = vectors.sparkSession
     rows = stage(labelled(vectors), "candidates")
     asking = labelled(anchors).groupBy("vec_id").agg(F.min(F.struct("label", "x")).alias("a")).select("vec_id", "a.label", "a.x")
-    asking = stage(asking, "anchors")
-    blocks = asking.repartitionByRange(max(1, -(-asking.count() // block_rows)), "vec_id").withColumn("block", F.spark_partition_id())
-    blocks = stage(blocks, "blocks")
     found = []
-    for b in [r["block"] for r in blocks.select("block").distinct().orderBy("block").collect()]:
-        for part in parts_of(blocks.where(F.col("block") == b).drop("block"), block_rows):
-            first = merged(search_block(rows, part, positives, scale), positives, "anchor_id").drop("rank").distinct().collect()
-            at = {int(key): k for k, key in enumerate(part.ids)}
-            part.at = np.array([at[r["anchor_id"]] for r in first], np.int64)
-            part.positives, part.scores = (np.array([r[c] for r in first], np.int64) for c in ("positive_id", "positive_score"))
-            part.least = np.array([low_end(r["positive_score"], window) for r in first], np.int64)
-            if first:
-                best = merged(search_block(rows, part, negatives, scale), negatives, "anchor_id", "positive_id", "positive_score")
-                found.append(stage(best, "negatives"))
+    for part in blocks_of(stage(asking, "anchors"), block_rows):
+        first = merged(search_block(rows, part, positives, scale), positives, "anchor_id").drop("rank").distinct().collect()
+        at = {int(key): k for k, key in enumerate(part.ids)}
+        part.at = np.array([at[r["anchor_id"]] for r in first], np.int64)
+        part.positives, part.scores = (np.array([r[c] for r in first], np.int64) for c in ("positive_id", "positive_score"))
+        part.least = np.array([low_end(r["positive_score"], window) for r in first], np.int64)
+        if first:
+            best = merged(search_block(rows, part, negatives, scale), negatives, "anchor_id", "positive_id", "positive_score")
+            found.append(stage(best, "negatives"))
     if not found:
         return spark.createDataFrame([], "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint")
     out = found[0]
@@ -193,15 +189,15 @@ def labelled(vectors: DataFrame) -> DataFrame:
     return usable(vectors, "label").where("label is not null").select("vec_id", F.col("label").cast("bigint").alias("label"), "x")
 
 
-def parts_of(block: DataFrame, block_rows: int) -> Iterator[Anchors]:
-    """A block's anchors, ``block_rows`` at a time: ranges of ids come out uneven."""
+def blocks_of(anchors: DataFrame, block_rows: int) -> Iterator[Anchors]:
+    """All anchors in order of their ids, ``block_rows`` at a time; the driver reads one partition after another."""
     none = np.zeros(0, np.int64)
     rows: list = []
 
     def made() -> Anchors:
         return Anchors(np.array([r["vec_id"] for r in rows], np.int64), np.array([r["label"] for r in rows], np.int64), [list(r["x"]) for r in rows], none, none, none, none)
 
-    for r in block.orderBy("vec_id").toLocalIterator():
+    for r in anchors.orderBy("vec_id").toLocalIterator():
         rows.append(r)
         if len(rows) == block_rows:
             yield made()
