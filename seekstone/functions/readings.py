@@ -40,7 +40,7 @@ def _solid(chars: Column) -> Column:
 
 
 def attach(catalog: DataFrame, readings: DataFrame) -> DataFrame:
-    """``catalog`` with ``reading``, ``initials``, ``char_readings`` of its display names, and where it has
+    """``catalog`` with ``reading``, ``initials``, ``char_readings``, ``syllables`` of its display names, and where it has
     keywords or context the readings of those."""
     shown = F.coalesce("display_name", "name") if "display_name" in catalog.columns else F.col("name")
     lists = [(c, n) for c, n in (("search_keywords", "keyword"), ("search_context", "context")) if c in catalog.columns]
@@ -49,11 +49,11 @@ def attach(catalog: DataFrame, readings: DataFrame) -> DataFrame:
         texts = texts.unionByName(catalog.select(F.explode(c).alias("text")))
     known = char_readings(texts, readings)
     han = F.exists("char_readings", lambda x: F.size(x["readings"]) > 0)
-    known = known.select("text", F.when(han, full(F.col("char_readings"))).otherwise("").alias("_full"), F.when(han, initials(F.col("char_readings"))).otherwise("").alias("_short"), F.when(han, F.col("char_readings")).alias("char_readings"))
+    known = known.select("text", F.when(han, full(F.col("char_readings"))).otherwise("").alias("_full"), F.when(han, initials(F.col("char_readings"))).otherwise("").alias("_short"), F.when(han, F.col("char_readings")).alias("char_readings"), F.when(han, syllables(F.col("char_readings"))).alias("syllables"))
     out = catalog.withColumn("_text", shown).join(known.withColumnRenamed("text", "_text"), "_text", "left").drop("_text").withColumnsRenamed({"_full": "reading", "_short": "initials"})
     out = out.fillna("", ["reading", "initials"])
     for c, name in lists:
-        met = catalog.select("id", F.explode(F.array_distinct(c)).alias("text")).join(known.drop("char_readings"), "text").where("_full <> ''")
+        met = catalog.select("id", F.explode(F.array_distinct(c)).alias("text")).join(known.drop("char_readings", "syllables"), "text").where("_full <> ''")
         met = met.groupBy("id").agg(F.array_sort(F.collect_set("_full")).alias(f"{name}_readings"), F.array_sort(F.collect_set("_short")).alias(f"{name}_initials"))
         out = out.join(met, "id", "left")
     return out

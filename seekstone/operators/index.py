@@ -157,11 +157,11 @@ def kept_hits(index: Index, queries: DataFrame, fuzzy: bool = True) -> DataFrame
     """
     spark, home = index.spark, f"{index.home}/hits-{index.version}-{int(fuzzy)}"
     parsed = S.parse(queries)
-    wanted = stage(parsed.where("q <> ''").select("q", "c", "q_tokens").dropDuplicates(["q"]), "wanted")
+    wanted = stage(parsed.where("q <> ''").select("q", "c", "q_tokens", "q_parts").dropDuplicates(["q"]), "wanted")
     known = _known(spark, home)
     fresh = wanted if known is None else stage(wanted.join(known.select("q"), "q", "left_anti"), "fresh")
     if not fresh.isEmpty():
-        asking = fresh.select(F.xxhash64("q").alias("query_id"), "q", "c", "q_tokens")
+        asking = fresh.select(F.xxhash64("q").alias("query_id"), "q", "c", "q_tokens", "q_parts")
         found = hits(index, asking, fuzzy).select(*KEPT)
         # queries without hits are known as well
         whole = fresh.select("q").join(found, "q", "left")

@@ -24,6 +24,9 @@ COMPACT_SUBSTRING, KEYWORD_READING, KEYWORD_READING_PREFIX, READING_EXACT, WORD_
 ACRONYM, INITIALS_INNER, KEYWORD_INITIALS_INNER, SUBSTRING, SKIP, SKIP_LEAST = 680, 620, 600, 550, 320, 280
 CONTEXT_DISCOUNT, CONTEXT_COMPACT_DISCOUNT, CONTEXT_READING_DISCOUNT = 160, 220, 130
 PROTECTED_TIER, MAX_PREFIX_TERMS, TOP_K, SKIP_GAPS = 2, 512, 10, 3
+#: What scattered characters give at least, and what makes up their score: characters met, at a word's
+#: start, right behind another; a gap, and each further character of it.
+SCATTERED, MEETS, STARTS, RUNS_ON, GAP, GAP_MORE = 100, 16, 8, 4, 3, 1
 #: Least score of each quality tier, from 0 on (fixed values).
 TIERS = (1100, 1000, 920, 850, 800, 700, 680, 550, 225)
 #: Order of fields and of kinds of match among equal evidence (fixed values).
@@ -34,7 +37,7 @@ UNKNOWN = 2_147_483_647
 #: Batches of keys or queries of more rows are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
-OPTIONAL = ("display_name", "search_keywords", "search_context", "reading", "initials", "char_readings", "keyword_readings", "keyword_initials", "context_readings", "context_initials", "source", "target")
+OPTIONAL = ("display_name", "search_keywords", "search_context", "reading", "initials", "char_readings", "syllables", "keyword_readings", "keyword_initials", "context_readings", "context_initials", "source", "target")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -81,9 +84,12 @@ def enrich(catalog: DataFrame) -> DataFrame:
 
 
 def parse(queries: DataFrame) -> DataFrame:
-    """``queries(query_id, text)`` with ``q``, ``c`` and ``q_tokens``."""
+    """``queries(query_id, text)`` with ``q``, ``c``, ``q_tokens``, and for a query of Chinese characters and
+    Latin letters or digits ``q_parts``, its runs of either."""
     out = queries.select("query_id", T.normalize(F.col("text")).alias("q"))
-    return out.select("query_id", "q", T.compact(F.col("q")).alias("c"), T.tokens(F.col("q")).alias("q_tokens"))
+    mixed = T.contains_cjk(F.col("q")) & F.rlike("q", F.lit("[A-Za-z0-9]"))
+    parts = F.when(mixed, T.script_parts(F.col("q"))).otherwise(F.array().cast("array<string>"))
+    return out.select("query_id", "q", T.compact(F.col("q")).alias("c"), T.tokens(F.col("q")).alias("q_tokens"), parts.alias("q_parts"))
 
 
 def quality_tier(score: Column) -> Column:
@@ -234,9 +240,39 @@ def by_any_reading() -> str:
     return f"CASE WHEN {wanted} THEN transform(array({found}), x -> {met})[0] END"
 
 
+def mixed_scripts(source: str, field: int, has: set[str]) -> str:
+    """Runs of Chinese characters and of Latin letters one after another: in the text itself, Latin ones
+    also in what its characters are read as, never behind where the run before ended.
+
+    Two streams are walked together. A run met in the text moves the place in the reading to where that
+    character's syllable ends, one met in the reading moves the place in the text to the character that
+    its last letter belongs to; without a syllable for every character, to the text's end. Where the
+    order does not hold, runs that are there at all still count, for less.
+    """
+    text_of = lambda c: f"coalesce({c}, '')" if c in has else "''"
+    reading, letters = text_of("reading"), text_of("initials")
+    syllables = "coalesce(syllables, array())" if "syllables" in has else "CAST(array() AS array<string>)"
+    ends = f"CASE WHEN size({syllables}) = length({source}) THEN transform(sequence(0, length({source})), k -> aggregate(slice({syllables}, 1, k), 0, (n, x) -> n + length(x))) END"
+    state = "struct<at:int,read:int,first:int,upto:int,gaps:int,met:boolean>"
+    latin = "rlike(p, '^[A-Za-z0-9]')"
+    in_text = "struct(n - 1 + length(p), coalesce(get(ends, n - 1 + length(p)), s.read), coalesce(s.first, n - 1), greatest(s.upto, n - 1 + length(p)), s.gaps + CASE WHEN n - 1 > s.at THEN 1 ELSE 0 END, true)"
+    reached = f"greatest(s.at, CASE WHEN ends IS NULL THEN length({source}) ELSE size(filter(slice(ends, 1, size(ends) - 1), x -> x < e)) END)"
+    in_reading = let("e", f"locate(p, {reading}, s.read + 1) - 1 + length(p)", let("i", reached, f"CAST(struct(i, e, coalesce(s.first, {UNKNOWN}), greatest(s.upto, i), s.gaps, true) AS {state})"))
+    step = let("n", f"locate(p, {source}, s.at + 1)", f"""CASE WHEN NOT s.met THEN s WHEN n > 0 THEN CAST({in_text} AS {state})
+      WHEN {latin} AND locate(p, {reading}, s.read + 1) > 0 THEN {in_reading} ELSE CAST(struct(s.at, s.read, s.first, s.upto, s.gaps, false) AS {state}) END""")
+    walk = f"aggregate(q_parts, CAST(struct(0, 0, NULL, 0, 0, true) AS {state}), (s, p) -> {step})"
+    ordered = hit("true", WORD_EXACT, "'mixed-ordered'", field, INSIDE, "s.first", f"CASE WHEN s.first = {UNKNOWN} THEN greatest(length({source}), 1) ELSE greatest(s.upto - s.first, 1) END", "s.gaps")
+    there = f"forall(q_parts, p -> contains({source}, p) OR ({latin} AND (contains({reading}, p) OR contains({letters}, p) OR exists(words, w -> contains(w, p)))))"
+    chinese = f"filter(q_parts, p -> NOT {latin})"
+    loose = hit(there, WORD_PREFIX - 40, "'mixed-loose'", field, INSIDE, f"instr({source}, {chinese}[0]) - 1", f"aggregate({chinese}, 0, (n, p) -> n + length(p))", str(UNKNOWN // 4))
+    return f"CASE WHEN size(q_parts) > 1 AND {source} <> '' THEN " + let("ends", ends, let("s", walk, f"CASE WHEN s.met AND s.first IS NOT NULL THEN {ordered} ELSE {loose} END")) + " END"
+
+
 def other_branches(has: set[str]) -> list[str]:
     """SQL of the branches that look at more than one text."""
-    out = [token_sequence()]
+    out = [token_sequence(), mixed_scripts("norm", NAME, has)]
+    if "display" in has:
+        out.append(mixed_scripts("display", DISPLAY, has))
     if "user_alias" in has:
         out.append(hit("user_alias", USER_ALIAS, "'user-alias-exact'", ALIAS, WHOLE, span=str(UNKNOWN)))
     if "builtin_alias" in has:
@@ -286,13 +322,36 @@ def near(texts: Column) -> Column:
     return F.array_max(F.transform(F.filter(F.transform(texts, of), lambda x: x["found"].isNotNull()), shown))["hit"]
 
 
-def verify(candidates: DataFrame, fuzzy: bool = True) -> DataFrame:
+def subsequence(text: str) -> str:
+    """SQL of how well the query's characters stand in order in a text, from 0 to 200; null where they do not.
+
+    Every character met gives 16, 8 more where a word begins and 4 more right behind the one before; a
+    gap costs 3 and 1 for each further character. The best way counts, as a share of what a query gives
+    that begins a word and runs on. One fold over the query keeps the best score for every place that
+    its last character may have; within, a fold over the text keeps the best open gap.
+    """
+    begins = f"CASE WHEN j = 1 OR rlike(substr({text}, j - 1, 1), '[^\\\\p{{L}}\\\\p{{N}}]') THEN {STARTS} ELSE 0 END"
+    row = "struct<out:array<int>,gap:int>"
+    before = "get(r, j - 2)"  # the best way that ends right before place j
+    value = f"CASE WHEN substr({text}, j, 1) = ch.c THEN {MEETS} + {begins} + CASE WHEN ch.n = 0 THEN 0 ELSE greatest({before} + {RUNS_ON}, o.gap) END END"
+    # a gap behind place j - 1 opens for place j + 1
+    gap = f"greatest(o.gap - {GAP_MORE}, {before} - {GAP})"
+    places = f"sequence(1, length({text}))"
+    inner = f"aggregate({places}, CAST(struct(array(), NULL) AS {row}), (o, j) -> CAST(struct(array_append(o.out, {value}), {gap}) AS {row})).out"
+    letters = "transform(sequence(1, length(q)), n -> struct(n - 1 AS n, substr(q, n, 1) AS c))"
+    best = f"array_max(aggregate({letters}, CAST(array() AS array<int>), (r, ch) -> {inner}))"
+    whole = f"({MEETS} * length(q) + {STARTS} + {RUNS_ON} * (length(q) - 1))"
+    return f"CASE WHEN length({text}) >= length(q) THEN {let('x', best, f'CASE WHEN x IS NOT NULL THEN greatest(0, least(200, 200 * x div {whole})) END')} END"
+
+
+def verify(candidates: DataFrame, fuzzy: bool = True, scattered: bool = False) -> DataFrame:
     """Candidates with ``score``, ``tag``, ``tier`` and evidence (``start``, ``gaps``, ``edits``, ``span``,
     ``field``, ``kind``); those without any branch go.
 
     All texts of a row are one array that one expression goes over, so that the plan does not grow with
     the fields. Skips are only looked for below 320, edits (of queries of two characters or more) below
-    400: each is worked out where nothing better is.
+    400: each is worked out where nothing better is; with ``scattered`` also the query's characters
+    anywhere in order in the name, below 300.
     """
     has = set(candidates.columns)
     strict = f"array_max(array_compact(concat({met_texts(has)}, array({', '.join(other_branches(has))}))))"
@@ -300,6 +359,10 @@ def verify(candidates: DataFrame, fuzzy: bool = True) -> DataFrame:
     if fuzzy:
         skip = f"CASE WHEN length(q) >= 4 AND (best IS NULL OR best.score < {SKIP}) THEN {skipped(loose_texts(has, False))} END"
         scored = scored.withColumn("best", F.expr(f"array_max(array_compact(array(best, {skip})))"))
+    if scattered:
+        found = let("x", subsequence("norm"), hit("x IS NOT NULL", f"{SCATTERED} + x", "'subsequence'", NAME, SKIPPED, str(UNKNOWN), gaps="1"))
+        scored = scored.withColumn("best", F.expr(f"array_max(array_compact(array(best, CASE WHEN length(q) >= 2 AND (best IS NULL OR best.score < {SCATTERED + 200}) THEN {found} END)))"))
+    if fuzzy:
         loose = F.when((F.length("q") >= 2) & (F.col("best").isNull() | (F.col("best.score") < 400)), near(F.expr(loose_texts(has, True))))
         scored = scored.withColumn("best", F.array_max(F.array_compact(F.array("best", loose))))
     # a generator, for a filter would be pushed below and carry a copy of the whole expression with it
@@ -375,7 +438,7 @@ def doc_keys(docs: DataFrame, kinds: set[str]) -> Column:
     return F.array_distinct(F.concat(*out)) if out else empty
 
 
-def query_keys(parsed: DataFrame, fuzzy: bool = True, aliases: DataFrame | None = None) -> DataFrame:
+def query_keys(parsed: DataFrame, fuzzy: bool = True, aliases: DataFrame | None = None, scattered: bool = False) -> DataFrame:
     """``(query_id, channel, rarest, key)``: a row is a candidate if it holds any key of a channel, or, of
     a channel with ``rarest``, the one that fewest rows hold."""
 
@@ -396,6 +459,10 @@ def query_keys(parsed: DataFrame, fuzzy: bool = True, aliases: DataFrame | None
         channel("acronym", False, F.array(F.concat(F.lit("a"), q)), "length(q) >= 2"),
         channel("reading", False, F.array(F.concat(F.lit("h"), F.left(q, F.lit(1)))), "length(q) >= 2 AND rlike(q, '[A-Za-z0-9]')"),
     ]
+    chinese = F.filter("q_parts", lambda p: ~F.rlike(p, F.lit("^[A-Za-z0-9]")))
+    out.append(channel("mixed", True, F.flatten(F.transform(chinese, lambda p: inside("g", p))), "size(q_parts) > 1"))
+    if scattered:
+        out.append(channel("scattered", True, _keyed("g1", T.grams(q, 1)), "length(q) >= 2"))
     if fuzzy:
         out.append(channel("skip", True, _keyed("g1", T.grams(q, 1)), "length(q) >= 4"))
         out.append(channel("edits", False, _keyed("d", many_edits(q)), "length(q) >= 2 AND octet_length(q) >= 3"))
@@ -414,14 +481,14 @@ def query_keys(parsed: DataFrame, fuzzy: bool = True, aliases: DataFrame | None
     return whole
 
 
-def recall(docs: DataFrame, parsed: DataFrame, fuzzy: bool = True, aliases: DataFrame | None = None) -> DataFrame:
+def recall(docs: DataFrame, parsed: DataFrame, fuzzy: bool = True, aliases: DataFrame | None = None, scattered: bool = False) -> DataFrame:
     """``(query_id, id)``: every row that any branch could accept, each once.
 
     One pass over the rows' keys keeps those that some query asks for; how many rows hold each of them
     decides which key of a channel is followed. A key that many rows hold is never gathered: only
     counted, and joined by broadcast where the batch of queries is small.
     """
-    asked = stage(query_keys(parsed, fuzzy, aliases), "asked")
+    asked = stage(query_keys(parsed, fuzzy, aliases, scattered), "asked")
     kinds = asked.select(F.when(F.left("key", F.lit(1)).isin("g", "k"), F.left("key", F.lit(2))).otherwise(F.left("key", F.lit(1))).alias("kind")).groupBy("kind").count().collect()  # nine at most
     wanted = asked.select("key").distinct()
     keys = docs.select("id", F.explode(doc_keys(docs, {r["kind"] for r in kinds})).alias("key"))
@@ -458,24 +525,26 @@ def with_aliases(candidates: DataFrame, aliases: DataFrame | None) -> DataFrame:
     return out.withColumns(flags).drop("targets")
 
 
-def candidates_of(docs: DataFrame, parsed: DataFrame, pruned: bool = True, fuzzy: bool = True, aliases: DataFrame | None = None) -> DataFrame:
+def candidates_of(docs: DataFrame, parsed: DataFrame, pruned: bool = True, fuzzy: bool = True, aliases: DataFrame | None = None, scattered: bool = False) -> DataFrame:
     """Rows and queries that meet; unpruned, every row for every query of a short batch."""
     if pruned:
-        met = recall(docs, parsed, fuzzy, aliases)
+        met = recall(docs, parsed, fuzzy, aliases, scattered)
         return with_aliases(met.join(docs, "id").join(small(parsed, parsed.count()), "query_id"), aliases)
     if parsed.count() > BROADCAST_ROWS:
         raise ValueError("the unpruned search takes short batches of queries only")
     return with_aliases(docs.join(F.broadcast(parsed)), aliases)
 
 
-def search(catalog: DataFrame, queries: DataFrame, k: int = TOP_K, pruned: bool = True, fuzzy: bool = True, aliases: DataFrame | None = None) -> DataFrame:
+def search(catalog: DataFrame, queries: DataFrame, k: int = TOP_K, pruned: bool = True, fuzzy: bool = True, aliases: DataFrame | None = None, scattered: bool = False) -> DataFrame:
     """``(query_id, rank, id, name, score, tag, tier)``: the k best hits of each query.
 
+    With ``fuzzy`` skipped characters and edits count, with ``scattered`` characters anywhere in order.
+
     An empty query gives the catalog in the order of its ids, with score 0 and tag ``default``. Null
     names are never hit but by their other fields; repeated ids are rows of their own.
     """
     docs, parsed = enrich(catalog), parse(queries)
-    return with_empty(rank(verify(candidates_of(docs, parsed, pruned, fuzzy, aliases), fuzzy), k), catalog, parsed, k)
+    return with_empty(rank(verify(candidates_of(docs, parsed, pruned, fuzzy, aliases, scattered), fuzzy, scattered), k), catalog, parsed, k)
 
 
 def with_empty(hits: DataFrame, catalog: DataFrame, parsed: DataFrame, k: int) -> DataFrame:
