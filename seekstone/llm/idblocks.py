@@ -49,22 +49,33 @@ TOTAL_BITS = FREQUENCY_BITS + WEIGHT_BITS
 #: Slots of the order-2 table, and the highest surety of a prediction.
 CONTEXT_BITS, SURE = 18, 15
 #: Order-0 frequencies are worked out anew after steps 1, 2, 4, ... and then every so many.
-REFRESH = 32
+REFRESH = 64
 MOST_LANES, LANE_IDS = 4096, 256
+#: Words whose ids a worker keeps.
+CACHE_WORDS = 600_000
+
+
+def read(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return table.take(at, mode="clip")
 
 
 class Model:
-    """Predictions of orders 0 to 2 and their weights; coder and decoder feed it alike."""
+    """Predictions of orders 0 to 2 and their weights; coder and decoder feed it alike.
+
+    Ids and states are 32-bit, which halves what passes through the processor's cache; places in
+    tables are of the size that ``take`` wants.
+    """
 
     def __init__(self, vocabulary: int, lanes: int):
         self.vocabulary = vocabulary
         self.counts = np.zeros(vocabulary, np.int64)
-        self.second = np.zeros(1 << CONTEXT_BITS, np.int64)  # surety in the low four bits, the id above
-        self.first = np.zeros(vocabulary + 1, np.int64)
+        self.second = np.zeros(1 << CONTEXT_BITS, np.int32)  # surety in the low four bits, the id above
+        self.first = np.zeros(vocabulary + 1, np.int32)
         # of each pair of sureties, and whether both orders agree: how often it came, and which order was right
-        self.came, self.right2, self.right1 = (np.full(512, x, np.int64) for x in (4, 2, 1))
-        self.before1 = np.full(lanes, vocabulary, np.int64)
-        self.before2 = self.before1.copy()
+        self.seen = np.zeros(2048, np.int64)
+        self.before = np.full(lanes, vocabulary, np.intp)
+        self.mixed = np.zeros(lanes, np.intp)
+        self.slot = self.mixed
         self.steps, self.pending = 0, []
         self.refresh()
         self.weigh()
@@ -76,47 +87,53 @@ class Model:
             self.pending = []
         spare, seen = (1 << FREQUENCY_BITS) - self.vocabulary, int(self.counts.sum())
         extra = self.counts * spare // seen if seen else np.zeros(self.vocabulary, np.int64)
-        self.frequency = 1 + extra
-        self.frequency[int(self.counts.argmax())] += spare - int(extra.sum())
-        self.below = np.concatenate([[0], np.cumsum(self.frequency)])
-        self.slots = np.repeat(np.arange(self.vocabulary), self.frequency)
+        frequency = 1 + extra
+        frequency[int(self.counts.argmax())] += spare - int(extra.sum())
+        self.below = np.concatenate([[0], np.cumsum(frequency)]).astype(np.int32)
+        self.slots = np.repeat(np.arange(self.vocabulary, dtype=np.int32), frequency)
+        self.frequency = frequency.astype(np.int32)
 
     def weigh(self) -> None:
         """Weights of orders 2 (high bits) and 1 by pair of sureties; order 0 always keeps some, and
         where orders 2 and 1 agree order 1 has none."""
         most = (1 << WEIGHT_BITS) - 8
-        self.weights = (most * self.right2 // self.came) << 16
-        self.weights[::2] |= most * self.right1[::2] // self.came[::2]
+        seen = self.seen.reshape(16, 2, 16, 2, 2)  # surety and success of order 2, of order 1, whether they agree
+        came = seen.sum(axis=(1, 3)) + 4
+        weights = (most * (seen[:, 1].sum(axis=2) + 2) // came) << 16
+        weights[..., 0] |= (most * (seen[:, :, :, 1].sum(axis=1) + 1) // came)[..., 0]
+        self.weights = weights.astype(np.int32).ravel()
 
     def predict(self) -> "Mixture":
         """What orders 2 and 1 predict for each lane, and the weights of the three orders."""
-        slot = (self.before1 * 2654435761 + self.before2 * 2246822519) >> (32 - CONTEXT_BITS) & ((1 << CONTEXT_BITS) - 1)
-        state2, state1 = self.second.take(slot), self.first.take(self.before1)
+        state2, state1 = read(self.second, self.slot), read(self.first, self.before)
         two, one, sure2, sure1 = state2 >> 4, state1 >> 4, state2 & SURE, state1 & SURE
-        pair = sure2 * 32 + sure1 * 2 + (two == one)
-        weights = self.weights.take(pair)
+        pair = (sure2 << 5) + (sure1 << 1) + (two == one)
+        weights = read(self.weights, pair.astype(np.intp))
         weight2, weight1 = weights >> 16, weights & 0xFFFF
-        return Mixture(self, slot, state2, state1, sure2, sure1, two, one, pair, weight2, weight1, (1 << WEIGHT_BITS) - weight2 - weight1)
+        return Mixture(self, state2, state1, sure2, sure1, two, one, pair, weight2, weight1, (1 << WEIGHT_BITS) - weight2 - weight1)
 
     def learn(self, ids: np.ndarray, said: "Mixture") -> None:
-        came = np.bincount(said.pair * 4 + said.hit2 + 2 * said.hit1, minlength=2048).reshape(512, 4)
-        self.came += came.sum(axis=1)
-        self.right2 += came[:, 1] + came[:, 3]
-        self.right1 += came[:, 2] + came[:, 3]
-        fresh = ids * 16 + 1
-        for table, at, state, sure, hit in ((self.second, said.slot, said.state2, said.sure2, said.hit2), (self.first, self.before1, said.state1, said.sure1, said.hit1)):
-            turn = sure * 2 + hit
-            table[at] = np.where(turn, state + TURNS.take(turn), fresh)  # of lanes in one place the last one stays
-        self.before2, self.before1 = self.before1, ids
+        turn2, turn1 = (said.sure2 << 1) + said.hit2, (said.sure1 << 1) + said.hit1
+        self.seen += np.bincount((turn2 << 6) + (turn1 << 1) + (said.pair & 1), minlength=2048)
+        fresh = (said.ids << 4) + 1
+        for table, at, state, turn in ((self.second, self.slot, said.state2, turn2), (self.first, self.before, said.state1, turn1)):
+            turn = turn.astype(np.intp)
+            state += read(TURNS, turn)
+            np.putmask(state, turn == 0, fresh)
+            table[at] = state  # of lanes in one place the last one stays
+        now = ids * 2654435761 & 0xFFFFFFFF
+        self.slot = (now ^ (self.mixed >> 5)) >> (32 - CONTEXT_BITS)
+        self.mixed, self.before = now, ids
         self.pending.append(ids)
         self.steps += 1
         if self.steps % REFRESH == 0 or self.steps & (self.steps - 1) == 0:
             self.refresh()
-        self.weigh()
+        if self.steps % 4 == 0 or self.steps < 16:
+            self.weigh()
 
 
 #: Change of surety by (surety, whether the prediction came true): up by one, or down to half.
-TURNS = np.array([change for sure in range(SURE + 1) for change in (sure // 2 - sure, int(sure < SURE))], np.int64)
+TURNS = np.array([change for sure in range(SURE + 1) for change in (sure // 2 - sure, int(sure < SURE))], np.int32)
 
 
 @dataclass
@@ -125,7 +142,6 @@ class Mixture:
     2**FREQUENCY_BITS times their weights to the ids that orders 2 and 1 name."""
 
     model: Model
-    slot: np.ndarray
     state2: np.ndarray
     state1: np.ndarray
     sure2: np.ndarray
@@ -139,27 +155,31 @@ class Mixture:
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of each id's part of the whole."""
-        self.hit2, self.hit1 = ids == self.two, ids == self.one
-        start = self.weight0 * self.model.below.take(ids) + ((self.weight2 * (ids > self.two) + self.weight1 * (ids > self.one)) << FREQUENCY_BITS)
-        size = self.weight0 * self.model.frequency.take(ids) + ((self.weight2 * self.hit2 + self.weight1 * self.hit1) << FREQUENCY_BITS)
-        return start.view(U), size.view(U)
+        self.ids = ids.astype(np.int32)
+        self.hit2, self.hit1 = self.ids == self.two, self.ids == self.one
+        start = self.weight0 * read(self.model.below, ids) + ((self.weight2 * (self.ids > self.two) + self.weight1 * (self.ids > self.one)) << FREQUENCY_BITS)
+        size = self.weight0 * read(self.model.frequency, ids) + ((self.weight2 * self.hit2 + self.weight1 * self.hit1) << FREQUENCY_BITS)
+        return start.astype(U), size.astype(U)
 
     def pick(self, value: np.ndarray) -> np.ndarray:
         """The id whose part of the whole holds each value."""
         below = self.model.below
         low, high = np.minimum(self.two, self.one), np.maximum(self.two, self.one)
-        own_low = np.where(self.two > self.one, self.weight1, self.weight2)
+        at_low, at_high = low.astype(np.intp), high.astype(np.intp)
+        own_low = self.weight2.copy()
+        np.putmask(own_low, self.two > self.one, self.weight1)
         own_high = (self.weight2 + self.weight1 - own_low) << FREQUENCY_BITS
         own_low <<= FREQUENCY_BITS
-        low_end = self.weight0 * below.take(low + 1) + own_low
-        high_start = self.weight0 * below.take(high) + own_low
-        high_end = self.weight0 * below.take(high + 1) + own_low + own_high
+        low_end = self.weight0 * read(below, at_low + 1) + own_low
+        high_start = self.weight0 * read(below, at_high) + own_low
+        high_end = self.weight0 * read(below, at_high + 1) + own_low + own_high
         past_low = value >= low_end
         past_high = value >= high_end
         rest = value - own_low * past_low - own_high * past_high
-        out = self.model.slots.take(rest // self.weight0, mode="clip")
-        out = np.where((value >= self.weight0 * below.take(low)) & ~past_low, low, out)
-        return np.where((value >= high_start) & ~past_high, high, out)
+        out = read(self.model.slots, (rest // self.weight0).astype(np.intp))
+        np.putmask(out, (value >= self.weight0 * read(below, at_low)) & ~past_low, low)
+        np.putmask(out, (value >= high_start) & ~past_high, high)
+        return out.astype(np.intp)
 
 
 def lanes_of(n: int) -> tuple[int, int]:
@@ -229,7 +249,7 @@ def decode(n: int, vocabulary: int, lanes: int, sizes: np.ndarray, words: np.nda
     for t in range(length):
         said = model.predict()
         part = span >> U(TOTAL_BITS)
-        symbols = said.pick((code // part).view(np.int64))
+        symbols = said.pick((code // part).astype(np.int32))
         start, size = said.interval(symbols)
         code -= part * start
         span = part * size
@@ -274,13 +294,15 @@ class Written(WriterCommitMessage):
 
 
 class IdWriter(DataSourceArrowWriter):
-    """Each task writes one file under a name that no other attempt uses; rows are ``doc_id, ids``."""
+    """Each task writes one file under a name that no other attempt uses; rows are ``doc_id, ids``, or with
+    a tokenizer ``doc_id, text``: texts then need no worker of their own before the writer's."""
 
     def __init__(self, options: dict, overwrite: bool):
         self.path = options["path"].rstrip("/")
         self.vocabulary = int(options["vocabulary"])
         self.block_ids = int(options.get("blockids", 1 << 20))
         self.stretch = int(options.get("stretchids", 4 << 20))
+        self.tokenizer, self.end = options.get("tokenizer"), struct.pack("<I", int(options.get("endid", 2)))
         if overwrite:
             raise ValueError("files of token ids are only appended to")
         if not 0 < self.vocabulary <= 1 << (FREQUENCY_BITS - 1):
@@ -292,10 +314,11 @@ class IdWriter(DataSourceArrowWriter):
         texts: list[bytes] = []
         waiting = 0
         fs, base = open_fs(self.path)
+        known = _tokenizer(self.tokenizer, CACHE_WORDS) if self.tokenizer else None
         try:
-            for key, ids in (x for b in iterator for x in zip(b["doc_id"].to_pylist(), b["ids"])):
+            for key, value in (x for b in iterator for x in zip(b["doc_id"].to_pylist(), b["text" if known else "ids"])):
                 keys.append(key)
-                texts.append(ids.as_py() or b"")
+                texts.append(known.ids(value.as_py() or "") + self.end if known else value.as_py() or b"")
                 waiting += len(texts[-1]) // 4
                 if waiting >= self.block_ids:
                     out = out or self.open(fs, base, name)
@@ -407,22 +430,10 @@ def in_order(documents: DataFrame) -> DataFrame:
     return keys.repartitionByRange("doc_id", "_h", "_n").sortWithinPartitions("doc_id", "_h", "_n").select("doc_id", "text")
 
 
-def token_ids(documents: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
-    """``(doc_id, ids)`` of whole texts (null: empty), ``end_id`` last, as little-endian unsigned 32-bit ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = _tokenizer(tokenizer_path), struct.pack("<I", end_id)
-        for batch in batches:
-            ids = [tokenizer.ids(text or "") + end for text in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary")
-
-
-def write_ids(rows: DataFrame, path: str, vocabulary: int, block_ids: int = 1 << 20) -> None:
+def write_ids(rows: DataFrame, path: str, vocabulary: int, block_ids: int = 1 << 20, **options: str) -> None:
     """Write ``(doc_id, ids)`` in the order in which they stand."""
     rows.sparkSession.dataSource.register(IdDataSource)
-    rows.write.format("token_ids").option("vocabulary", vocabulary).option("blockids", block_ids).mode("append").save(path)
+    rows.write.format("token_ids").options(vocabulary=vocabulary, blockids=block_ids, **options).mode("append").save(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -447,7 +458,7 @@ def write_documents(documents: DataFrame, tokenizer_path: str, path: str | None
     spark = documents.sparkSession
     bound_batches(spark)
     path = path or new_folder(spark, "ids")
-    write_ids(token_ids(in_order(documents), tokenizer_path, end_id), path, vocabulary_of(tokenizer_path), block_ids)
+    write_ids(in_order(documents), path, vocabulary_of(tokenizer_path), block_ids, tokenizer=tokenizer_path, endid=str(end_id))
     return read_ids(spark, path)
 
 

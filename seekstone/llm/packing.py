@@ -25,6 +25,8 @@ from seekstone.shared import stage
 END_ID = 1
 #: Words whose characters all lie in these ranges take the fast path of the tokenizer.
 PLAIN_WORD = r"[!-~\u00a1-\u024f]+"
+#: The last letter of these ranges, and signs that often follow a word.
+LAST_LETTER, SIGNS = "\u024f", ",.!?;:*%&#$"
 #: The tokenizer file's own pattern of pieces inside a word (fixed values).
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -61,7 +63,7 @@ class WordTokenizer:
         self.pieces = regex.compile(WORD_PIECES).findall
         self.separators = regex.compile(r"[\x1c-\x1f]").search
         self.normal = unicodedata.normalize
-        self.limit = cache_words
+        self.limit, self.part_limit = cache_words, min(cache_words, 100_000)
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -69,34 +71,40 @@ class WordTokenizer:
         ids = self.parts.get(part)
         if ids is None:
             ids = array("I", self.bpe.encode_single_piece(part.encode() + b"\xff")).tobytes()
-            if len(self.parts) >= self.limit:
+            if len(self.parts) >= self.part_limit:
                 self.parts.clear()
             self.parts[part] = ids
         return ids
 
     def word(self, word: str) -> bytes:
-        if word.isalpha() and word.isascii():
-            return self.part(word.lower())
-        if word[:-1].isalpha() and word[-1] in ",." and word.isascii():
-            return self.part(word[:-1].lower()) + self.part(word[-1])
+        low = word.lower()
+        body = low.rstrip(SIGNS)
+        if body.isalpha() and (body.isascii() or max(body) <= LAST_LETTER):  # one run of letters, and one of signs
+            if len(body) < len(low):
+                return (self.words.get(body) or self.part(body)) + self.part(low[len(body):])
+            return array("I", self.bpe.encode_single_piece(body.encode() + b"\xff")).tobytes()  # kept by words, so not by parts
         if not self.plain(word) or "<|" in word:
             return array("I", self.slow.encode(word, add_special_tokens=False).ids).tobytes()
         return b"".join([self.part(x) for x in self.pieces(self.normal("NFC", word).lower())])
 
     def ids(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        known, out = self.words, []
+        known = self.words
         if self.separators(text):  # white space to Python, not to the file's splitter
             return array("I", self.slow.encode(text, add_special_tokens=False).ids).tobytes()
         if "<|" not in text and "\u03a3" not in text:
             text = text.lower()  # else special strings could appear, or a final sigma
-        for w in text.split():
-            ids = known.get(w)
-            if ids is None:
-                if len(known) >= self.limit:
-                    known.clear()
-                ids = known[w] = self.word(w)
-            out.append(ids)
+        words = text.split()
+        out = list(map(known.get, words))
+        if None in out:
+            for i, w in enumerate(words):
+                if out[i] is None:
+                    ids = known.get(w)
+                    if ids is None:
+                        if len(known) >= self.limit:
+                            known.clear()
+                        ids = known[w] = self.word(w)
+                    out[i] = ids
         return b"".join(out)
 
 
@@ -108,8 +116,8 @@ def _byte_symbols() -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def _tokenizer(path: str, cache_words: int = 60_000) -> WordTokenizer:
+    return WordTokenizer(path, cache_words)
 
 
 def tokenize_pieces(documents: DataFrame, tokenizer_path: str, max_tokens: int = 4096, id_column: str = "doc_id") -> DataFrame:
