@@ -23,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -38,6 +39,8 @@ VERSION = "WARC/1.1"
 MANIFEST = "_manifest-"
 #: Header of the HTTP block that keeps the size of the decoded payload, also where it is left out.
 SIZE_HEADER = "X-Payload-Bytes"
+#: Field that names the fields whose values are escaped, and the format's profile of equal payloads (a fixed value).
+ESCAPED, IDENTICAL = "X-Escaped-Fields", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEADER_OF = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
 
 
@@ -45,13 +48,24 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-def clean(value: str) -> str:
-    """A header value on one line: line ends and percent signs before hex digits are escaped."""
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+def one_line(fields: dict[str, str]) -> dict[str, str]:
+    """Header fields on one line each. A value with line ends is escaped, and a field of our own says
+    which are; all others, percent signs included, stand as they are."""
+    out, escaped = {}, []
+    for name, value in fields.items():
+        if "\r" in value or "\n" in value or value != value.strip():
+            escaped.append(name)
+            value = re.sub(r"[%\s]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
+        out[name] = value
+    return out | ({ESCAPED: ", ".join(escaped)} if escaped else {})
 
 
-def unclean(value: str) -> str:
-    return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def as_written(head: dict[str, str]) -> dict[str, str]:
+    """Fields by their names in lower case, with what ``one_line`` escaped undone, and nothing else."""
+    for name in filter(None, (n.strip().lower() for n in head.get(ESCAPED.lower(), "").split(","))):
+        if name in head:
+            head[name] = unquote(head[name])
+    return head
 
 
 def encode_record(row: dict, date: str) -> bytes:
@@ -62,8 +76,12 @@ def encode_record(row: dict, date: str) -> bytes:
         body = payload
         if len(payload) >= 100 and len(packed := gzip.compress(payload, 1, mtime=0)) < len(payload):
             body, coding = packed, "Content-Encoding: gzip\r\n"
-    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{coding}{SIZE_HEADER}: {len(payload)}\r\n\r\n".encode() + body
-    head = [f"{HEADER_OF[k]}: {clean(str(row[k]))}" for k in ("record_id", "record_type", "target_uri", "payload_digest", "refers_to") if row.get(k) is not None]
+    length = f"Content-Length: {len(body)}\r\n" if row["record_type"] == "response" else ""
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{coding}{length}{SIZE_HEADER}: {len(payload)}\r\n\r\n".encode() + body
+    fields = {HEADER_OF[k]: str(row[k]) for k in ("record_id", "record_type", "target_uri", "payload_digest", "refers_to") if row.get(k) is not None}
+    if row["record_type"] == "revisit":
+        fields["WARC-Profile"] = IDENTICAL
+    head = [f"{name}: {value}" for name, value in one_line(fields).items()]
     head += [f"WARC-Date: {date}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join([VERSION, *head]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -289,8 +307,8 @@ def read_head(f: io.BufferedReader, starts: str, most: int | None = None) -> tup
             continue
         name, _, value = text.partition(":")
         name = name.strip().lower()
-        head[name] = unclean(value.strip()) if name.startswith("warc-") else value.strip()
-    return head, n
+        head[name] = value.strip()
+    return as_written(head), n
 
 
 class WarcDataSource(DataSource):
@@ -353,7 +371,12 @@ def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFr
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Write ``pages(page_id, url, html)`` as an archive and return its records, read back."""
+    """Write ``pages(page_id, url, html)`` as an archive and return its records, read back.
+
+    A null html is an empty payload, a null url leaves its field out, a null id makes a record without a
+    number that nothing refers to; rows that repeat are records each. An empty table gives an archive
+    without records; other columns are ignored.
+    """
     spark = pages.sparkSession
     path = path or new_folder(spark, "warc")
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")

@@ -615,6 +615,23 @@ def test_warc_compressed_round_trip_and_empty(spark, tmp_path):
     assert warc.page_digests(warc.archive_pages(table.limit(0).drop("payload"))).count() == 0
 
 
+def test_warc_fields_of_other_writers_stay(spark, tmp_path):
+    urls = ["http://x/a%20b", "http://x/%25b%0Ac", "http://x/100%", "two\r\nlines % of %41", " edge ", "plain"]
+    pages = spark.createDataFrame([(i, u, f"page {i} " * 40) for i, u in enumerate(urls)] + [(90, "again", "page 0 " * 40)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/own"
+    got = {r["record_id"]: r["target_uri"] for r in warc.archive_pages(pages, path).collect()}
+    assert got == {f"<urn:page:{i}>": u for i, u in enumerate(urls)} | {"<urn:page:90>": "again"}
+    written = b"".join(p.read_bytes() for p in (tmp_path / "own").glob("*.warc"))
+    assert b"WARC-Target-URI: http://x/a%20b\r\n" in written and b"WARC-Target-URI: http://x/%25b%0Ac\r\n" in written
+    assert written.count(b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n") == 1
+    heads = re.findall(rb"HTTP/1\.1 200 OK\r\n(?:.+\r\n)*?Content-Length: (\d+)\r\n", written)
+    assert len(heads) == len(urls)
+    foreign = tmp_path / "foreign"
+    foreign.mkdir()
+    (foreign / "x.warc").write_bytes(foreign_record("resource", {"Content-Type": "text/plain", "WARC-Target-URI": "http://x/%25b%0Ac%2525"}, b"x"))
+    assert [r["target_uri"] for r in warc.read_archive(spark, f"file://{foreign}").collect()] == ["http://x/%25b%0Ac%2525"]
+
+
 def test_toxicity_on_few_labels(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
