@@ -604,10 +604,12 @@ def value_percentiles(spark, sf_dir):
 OVERLAID = f"""SELECT frn, CASE WHEN frn % 7 = 0 THEN 'new\\' || frn ELSE 'x' || path END AS path FROM ({PATHS}) WHERE frn % 11 <> 0 AND (frn % 7 = 0 OR NOT starts_with(lower(path), lower(string_split(path, '\\')[1]) || '\\en\\'))"""
 
 
-@query(f"SELECT frn, path FROM ({OVERLAID}) QUALIFY row_number() OVER (PARTITION BY path ORDER BY frn % 7 = 0, frn) = 1")
-def stream_overlay(spark, sf_dir):
-    """Hosts renamed, their folder ``en`` deleted, files moved and deleted, in rounds read as a stream; the
-    last round has no commit and does not count."""
+VIEWED = f"SELECT frn, path FROM ({OVERLAID}) QUALIFY row_number() OVER (PARTITION BY path ORDER BY frn % 7 = 0, frn) = 1"
+
+
+def changed_hosts(spark, sf_dir):
+    """A base of pages' paths, and frames: hosts renamed, their folder ``en`` deleted, files moved and
+    deleted, in rounds; the last round has no commit and does not count."""
     rows = path_rows(spark, sf_dir)
     hosts = rows.select(F.element_at(F.split("path", r"\\"), 1).alias("host")).distinct().select("host", F.xxhash64("host").alias("id"))
     base = rows.select(F.col("frn").alias("ordinal"), F.lit("v").alias("volume"), "frn", F.lit(False).alias("is_dir"), "path")
@@ -631,7 +633,14 @@ def stream_overlay(spark, sf_dir):
     commits = spark.range(1, 4).select(F.lit("round_commit").alias("kind"), F.col("id").alias("round"), F.lit(0).cast("long").alias("frn"), F.lit(False).alias("is_dir"), none.alias("paths"))
     order = F.row_number().over(Window.orderBy("round", F.col("kind") == "round_commit", "frn", "kind"))
     frames = whole.unionByName(commits).withColumn("seq", order.cast("long"))
-    frames = frames.withColumns({"ordinal": F.col("seq"), "volume": F.lit("v"), "identity_only": F.lit(False)})
+    frames = frames.withColumns({"ordinal": F.col("seq"), "volume": F.lit("v"), "identity_only": F.lit(False), "cursors": F.when(F.col("kind") == "round_commit", F.array(F.struct(F.lit("v").alias("volume"), F.col("seq").alias("usn"))))})
+    return base, frames
+
+
+@query(VIEWED)
+def stream_overlay(spark, sf_dir):
+    """The view after rounds that are read as a stream of frame files."""
+    base, frames = changed_hosts(spark, sf_dir)
     source = new_folder(spark, "frames")
     frames.coalesce(1).write.json(source)
     shown, _ = overlay.follow(base, source)

@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seekstone.operators import index as I, preferences as P
-from seekstone.plans.catalog_queries import RANKED, batch, parts, query
+from seekstone.functions import providers as V, readings
+from seekstone.operators import files, index as I, preferences as P, search as S
+from seekstone.plans.catalog_queries import DOCS, RANKED, TIER, VIEWED, batch, changed_hosts, parts, query
 from seekstone.shared import new_folder
+from seekstone.sources.tables import table
+from seekstone.streaming import feed, overlay
 
 
 def updated_index(spark, sf_dir):
@@ -38,3 +41,124 @@ def search_kept_hits(spark, sf_dir):
     items = lambda condition: parts(spark, sf_dir).where(condition).select(F.col("id").alias("item_id"))
     lifted = P.personalize(hits, items("id % 11 = 3"), items("id % 13 = 5"), items("id % 7 = 2"))
     return P.rerank(lifted, 10).select("query_id", "rank", "id", "score", "tier")
+
+
+# --- feeds ---------------------------------------------------------------------------------------
+
+
+@query(VIEWED)
+def stream_feed(spark, sf_dir):
+    """The same changes through a feed of rotating segments, in two runs of the reader, shown once every
+    volume has reached its target."""
+    base, frames = changed_hosts(spark, sf_dir)
+    source, home = new_folder(spark, "feed"), new_folder(spark, "overlay")
+    frames = frames.select(*(c.split()[0] for c in feed.FRAME.replace("array<struct<volume:string,usn:bigint>>", "x").split(", ")))
+    half = frames.where("kind = 'round_commit' and round = 2").agg(F.max("seq")).first()[0]
+    targets = frames.select(F.explode("cursors").alias("c")).groupBy("c.volume").agg(F.max("c.usn").alias("usn"))
+    overlay.freeze(targets, home)
+    for piece in (frames.where(F.col("seq") <= half), frames.where(F.col("seq") > half)):
+        feed.write_feed(piece, source, segment_bytes=64 << 10)
+        overlay.follow(base, source, home, from_feed=True)
+    return overlay.present(base, home, source, timeout=3600).where("not is_dir").select("frn", "path")
+
+
+# --- trees ---------------------------------------------------------------------------------------
+
+CHAIN = "SELECT o_orderkey AS frn, (row_number() OVER (ORDER BY o_orderkey) - 1) AS k FROM orders"
+
+
+@query(f"""WITH n AS (SELECT frn, k, lag(frn) OVER (ORDER BY k) AS parent FROM ({CHAIN}) QUALIFY true),
+t AS (SELECT frn, k, k % 1000 AS depth FROM n)
+SELECT frn, (depth + 1)::BIGINT AS depth, repeat('d\\', depth) || 'd' AS path FROM t""")
+def deep_tree_paths(spark, sf_dir):
+    """Paths in chains of a thousand folders each."""
+    from seekstone.operators.ordered import numbered
+
+    chain = numbered(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frn")), ["frn"], "n").select("frn", (F.col("n") - 1).alias("k"))
+    above = chain.select(F.col("frn").alias("parent_frn"), (F.col("k") + 1).alias("k"))
+    nodes = chain.join(above, "k", "left").select("frn", F.when(F.col("k") % 1000 != 0, F.col("parent_frn")).alias("parent_frn"), F.lit("d").alias("name"))
+    return files.tree_paths(nodes).select("frn", F.size(F.split("path", r"\\")).cast("bigint").alias("depth"), "path")
+
+
+# --- alignments ----------------------------------------------------------------------------------
+
+SCATTERED = ("rdwg", "slt", "bgr", "ngr", "wx")
+SCATTERED_TABLE = "(VALUES " + ", ".join(f"({k}, '{q}')" for k, q in enumerate(SCATTERED)) + ") AS b(query_id, q)"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT DISTINCT norm FROM ({DOCS})),
+w AS (SELECT query_id, norm, q, 1 AS i, j, 16 + CASE WHEN j = 1 OR norm[j - 1] = ' ' THEN 8 ELSE 0 END AS s
+  FROM (SELECT query_id, norm, q, unnest(range(1, length(norm) + 1)) AS j FROM d, {SCATTERED_TABLE}) WHERE norm[j] = q[1]
+  UNION ALL
+  SELECT query_id, norm, q, i + 1, n, s + 16 + CASE WHEN norm[n - 1] = ' ' THEN 8 ELSE 0 END + CASE WHEN n = j + 1 THEN 4 ELSE j - n - 1 END
+  FROM (SELECT *, unnest(range(j + 1, length(norm) + 1)) AS n FROM w WHERE i < length(q)) WHERE norm[n] = q[i + 1]),
+b AS (SELECT query_id, norm, greatest(0, least(200, max(200 * s // (20 * length(q) + 4)))) AS x FROM w WHERE i = length(q) GROUP BY query_id, norm, q)
+SELECT query_id, id, (100 + x)::INTEGER AS score FROM b JOIN ({DOCS}) USING (norm)""")
+def scattered_scores(spark, sf_dir):
+    """Names that hold a query's characters in order, scored by the best way."""
+    docs, parsed = S.enrich(parts(spark, sf_dir)), S.parse(batch(spark, SCATTERED))
+    met = S.candidates_of(docs, parsed, fuzzy=False, scattered=True)
+    return met.select("query_id", "id", (F.expr(S.subsequence("norm")) + S.SCATTERED).alias("score")).where("score is not null")
+
+
+#: Readings of four characters, which stand for the first words of the parts' names in a mixed catalog.
+CHARS = {"\u5fae": "wei", "\u4fe1": "xin", "\u652f": "zhi", "\u4ed8": "fu"}
+MIXED = ("\u5faexin", "\u5fae", "xin \u652f", "\u652ffu", "\u5faeb", "b\u4ed8", "\u4ed8wei", "\u5fae\u4fe1wid")
+
+
+def mixed_catalog(spark, sf_dir):
+    """The parts with two of the characters before their names, by their number."""
+    chars = F.array(*map(F.lit, CHARS))
+    name = F.concat(F.get(chars, (F.col("id") % 4).cast("int")), F.get(chars, (F.col("id") % 3).cast("int")), F.when(F.col("id") % 2 == 0, " ").otherwise(""), F.col("name"))
+    known = spark.createDataFrame([(c, [r]) for c, r in CHARS.items()], "ch string, readings array<string>")
+    return readings.attach(parts(spark, sf_dir).withColumn("name", name), known)
+
+
+CHAR_LIST = "[" + ", ".join(f"'{c}'" for c in CHARS) + "]"
+READ_LIST = "[" + ", ".join(f"'{r}'" for r in CHARS.values()) + "]"
+RUNS = "regexp_extract_all(q, '[\u4e00-\u9fff]+|[a-z0-9]+')"
+MIXED_TABLE = "(VALUES " + ", ".join(f"({k}, '{q}')" for k, q in enumerate(MIXED)) + ") AS b(query_id, q)"
+
+
+@query(f"""WITH d AS (SELECT p_partkey AS id, lower({CHAR_LIST}[p_partkey % 4 + 1] || {CHAR_LIST}[p_partkey % 3 + 1] || CASE WHEN p_partkey % 2 = 0 THEN ' ' ELSE '' END || p_name) AS norm,
+  {READ_LIST}[p_partkey % 4 + 1] || {READ_LIST}[p_partkey % 3 + 1] || replace(lower(p_name), ' ', '') AS reading FROM part),
+r AS (SELECT query_id, id, norm, reading, {RUNS}[1] AS a, {RUNS}[2] AS z FROM d, {MIXED_TABLE} WHERE len({RUNS}) = 2),
+-- a first run in the text, or a Latin one in the reading (then the place in the text is its end); the second run behind it
+f AS (SELECT *, CASE WHEN instr(norm, a) > 0 THEN instr(norm, a) - 1 + length(a) WHEN regexp_matches(a, '^[a-z]') AND instr(reading, a) > 0 THEN length(norm) END AS upto,
+  CASE WHEN instr(norm, a) > 0 THEN 0 WHEN regexp_matches(a, '^[a-z]') AND instr(reading, a) > 0 THEN instr(reading, a) - 1 + length(a) END AS read FROM r),
+o AS (SELECT *, upto IS NOT NULL AND (instr(substr(norm, upto + 1), z) > 0 OR (regexp_matches(z, '^[a-z]') AND instr(substr(reading, read + 1), z) > 0)) AS ordered,
+  (contains(norm, a) OR (regexp_matches(a, '^[a-z]') AND contains(reading, a))) AND (contains(norm, z) OR (regexp_matches(z, '^[a-z]') AND contains(reading, z))) AS there FROM f)
+SELECT query_id, id, CASE WHEN ordered THEN 850 ELSE 680 END::INTEGER AS score, CASE WHEN ordered THEN 'mixed-ordered' ELSE 'mixed-loose' END AS tag
+FROM o WHERE (ordered OR there) AND NOT contains(norm, a || z)""")
+def mixed_script_hits(spark, sf_dir):
+    """Hits of queries of characters and letters that no name holds as they stand."""
+    docs, parsed = S.enrich(mixed_catalog(spark, sf_dir)), S.parse(batch(spark, MIXED))
+    hits = S.verify(S.candidates_of(docs, parsed, fuzzy=False), fuzzy=False)
+    return hits.where("size(q_parts) = 2 and not contains(norm, q)").select("query_id", "id", "score", "tag")
+
+
+# --- providers -----------------------------------------------------------------------------------
+
+
+def words_of(text: str) -> list[dict]:
+    return [{"id": k, "title": w, "priority": len(w)} for k, w in enumerate(text.split(" "))]
+
+
+def size_of(text: str) -> dict:
+    return {"blocks": [{"type": "value", "value": str(len(text))}]}
+
+
+ASKED = "SELECT p_partkey AS query_id, p_name, p_partkey % 3 AS kind FROM part"
+
+
+@query(f"""WITH w AS (SELECT query_id, unnest(string_split(p_name, ' ')) AS title, unnest(range(len(string_split(p_name, ' ')))) AS k FROM ({ASKED}) WHERE kind = 0),
+l AS (SELECT query_id, 'plugin:text.tools:words:' || k AS id, title, (900 + least(length(title), 100))::INTEGER AS score FROM w)
+SELECT query_id, id, title, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS place FROM l
+UNION ALL SELECT query_id, 'panel', length(p_name)::VARCHAR, 0, 0 FROM ({ASKED}) WHERE kind = 1""")
+def provider_answers(spark, sf_dir):
+    """Parts' names as queries: a third asks a list provider, a third a panel provider, a third none."""
+    some = V.install(V.Installed(spark), {"schema_version": 1, "api_version": 1, "id": "text.tools", "entry": "bin/tools"}, [V.Provider("words", "list", words_of, (("keyword", "words"),)), V.Provider("size", "panel", size_of, (("prefix", "#"),))])
+    start = F.when(F.col("id") % 3 == 0, "words ").when(F.col("id") % 3 == 1, "#").otherwise("")
+    lists, panels, _ = V.answers(some, parts(spark, sf_dir).select(F.col("id").alias("query_id"), F.concat(start, "name").alias("text")))
+    shown = panels.select("query_id", F.lit("panel").alias("id"), F.col("panel.blocks")[0]["value"].alias("title"), F.lit(0).alias("score"), F.lit(0).alias("place"))
+    return lists.select("query_id", "id", "title", "score", "place").unionByName(shown)

@@ -71,11 +71,6 @@ def append_log(rows: DataFrame, path: str, recording: bool = True) -> None:
         rows.where("item_id is not null").select("query", "item_id", "at").write.mode("append").parquet(path)
 
 
-def write_feed(frames: DataFrame, path: str, segment_rows: int = 100_000) -> None:
-    """Frames as segments of JSON lines in order of ``seq``."""
-    frames.repartitionByRange("seq").sortWithinPartitions("seq").write.mode("append").option("maxRecordsPerFile", segment_rows).json(path)
-
-
 def health(runs: DataFrame) -> DataFrame:
     """``(source, successes, failures, last_success, failures_since)`` of ``runs(source, at, ok)``."""
     last = runs.groupBy("source").agg(F.max(F.when(F.col("ok"), F.col("at"))).alias("last_success"))

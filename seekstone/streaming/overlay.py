@@ -10,18 +10,27 @@ Frames are JSON lines ``seq, kind, round, ordinal, volume, frn, is_dir, paths, i
 
 from __future__ import annotations
 
+import re
+import threading
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from seekstone.functions import text as T
 from seekstone.operators.files import innermost, order_key, within
 from seekstone.shared import new_folder, stage
+from seekstone.sources.sinks import move_pointer, pointed
+from seekstone.streaming import feed
+from seekstone.streaming.feed import FRAME, TIMEOUT
 
-FRAME = "seq bigint, kind string, round bigint, ordinal bigint, volume string, frn bigint, is_dir boolean, paths array<string>, identity_only boolean"
 OBJECTS = "volume string, frn bigint, is_dir boolean, paths array<string>"
 PREFIXES = "volume string, base string, current string"
 SHADOW = "ordinal bigint"
+CURSORS = "volume string, usn bigint"
 #: Folder changes of longer rounds are joined by a shuffle.
 BROADCAST_CHANGES = 10_000
+SAYING = threading.Lock()
 OPS = "array<struct<old:string,new:string>>"
 
 
@@ -111,51 +120,167 @@ def view(base: DataFrame, state: dict[str, DataFrame]) -> DataFrame:
     return once.select("volume", "m.frn", "m.is_dir", "path")
 
 
-def _saved(spark: SparkSession, home: str, number: int) -> tuple[dict[str, DataFrame], DataFrame, int]:
+class StaleFeed(RuntimeError):
+    """The view may lag behind or be wrong; readers get this instead of rows."""
+
+
+class NotReady(RuntimeError):
+    """Not every volume has been read up to where the base was taken."""
+
+
+def _saved(spark: SparkSession, home: str, number: int) -> tuple[dict[str, DataFrame], DataFrame, DataFrame, int]:
     read = lambda name, schema: spark.read.schema(schema).parquet(f"{home}/state/{number}/{name}")
     last = read("position", "seq bigint").first()["seq"]
-    return {"objects": read("objects", OBJECTS), "prefixes": read("prefixes", PREFIXES), "shadow": read("shadow", SHADOW)}, read("pending", FRAME), last
+    return {"objects": read("objects", OBJECTS), "prefixes": read("prefixes", PREFIXES), "shadow": read("shadow", SHADOW)}, read("pending", FRAME), read("cursors", CURSORS), last
+
+
+def _start(spark: SparkSession) -> tuple[dict[str, DataFrame], DataFrame, DataFrame, int]:
+    return empty_state(spark), spark.createDataFrame([], FRAME), spark.createDataFrame([], CURSORS), 0
+
+
+def _applied(spark: SparkSession, home: str, number: int) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{home}/state/{number}/position/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def advance(base: DataFrame, home: str, batch: DataFrame, number: int) -> None:
+    """Apply a batch of frames to the state of the batch before and save it under the batch's number."""
+    spark = base.sparkSession
+    state, pending, cursors, last = _saved(spark, home, number - 1) if number else _start(spark)
+    new = stage(batch, "frames")
+    least, most, n, distinct = new.agg(F.min("seq"), F.max("seq"), F.count("*"), F.count_distinct("seq")).first()
+    if n and (least != last + 1 or most - least + 1 != n or distinct != n):
+        raise RuntimeError(f"frames {least} to {most} do not follow {last} without a gap")
+    frames = stage(pending.unionByName(new), "open-frames")
+    rounds = [r["round"] for r in frames.where("kind = 'round_commit'").select("round", "seq").orderBy("seq").collect()]  # one a round
+    for r in rounds:
+        state = apply_round(base, state, frames.where((F.col("round") == r) & (F.col("kind") == "change")).drop("seq", "kind", "round", "cursors"))
+    left = frames.where(~F.col("round").isin(rounds)) if rounds else frames
+    read = frames.where("kind = 'round_commit'").select(F.explode("cursors").alias("c")).select("c.volume", "c.usn")
+    cursors = cursors.unionByName(read).groupBy("volume").agg(F.max("usn").alias("usn"))
+    for name, table in (*state.items(), ("pending", left), ("cursors", cursors), ("position", spark.range(1).select(F.lit(most if n else last).cast("long").alias("seq")))):
+        table.write.mode("overwrite").parquet(f"{home}/state/{number}/{name}")
+
+
+def cause(message: str) -> str:
+    """Of an error with all that it went through, the line that says what happened first."""
+    said = [x.strip() for x in message.splitlines() if re.match(r"\s*[\w.]*(Error|Rebuild)\b[^:]*: ", x)]
+    return (said[0] if said else message)[:500]
+
+
+def say(spark: SparkSession, home: str, **what) -> None:
+    """Replace the status that readers look at; the listener's thread and a run's own take turns."""
+    with SAYING:
+        move_pointer(spark, f"{home}/status", (pointed(spark, f"{home}/status") or {}) | what)
+
+
+class Watch(StreamingQueryListener):
+    """Writes the status of a running overlay: live with each progress, stale once it fails."""
 
+    def __init__(self, spark: SparkSession, home: str, name: str):
+        self.spark, self.home, self.name = spark, home, name
 
-def follow(base: DataFrame, source: str, home: str | None = None, files_at_once: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Read all new frame files in folder ``source`` and return the present view, and frames still
-    waiting for their commit.
+    def onQueryStarted(self, event) -> None:
+        if event.name == self.name:
+            self.run = event.runId
+            say(self.spark, self.home, state="live", at=time.time())
+
+    def onQueryProgress(self, event) -> None:
+        if event.progress.name == self.name:
+            say(self.spark, self.home, state="live", at=time.time(), batch=event.progress.batchId)
+
+    def onQueryIdle(self, event) -> None:
+        if event.runId == getattr(self, "run", None):
+            say(self.spark, self.home, state="live", at=time.time())
+
+    def onQueryTerminated(self, event) -> None:
+        if event.runId == getattr(self, "run", None) and event.exception:
+            say(self.spark, self.home, state="stale", reason=cause(event.exception))
+
+
+def start(base: DataFrame, source: str, home: str, files_at_once: int = 4, from_feed: bool = False, once: bool = False) -> tuple[StreamingQuery, Watch]:
+    """Follow frame files in folder ``source``, or a feed there, as a streaming query over ``home``."""
+    spark = base.sparkSession
+    if from_feed:
+        feed.register(spark)
+        frames = spark.readStream.format("feed").load(source)
+    else:
+        frames = spark.readStream.schema(FRAME).option("maxFilesPerTrigger", files_at_once).json(source)
+    name = "overlay-" + home.rstrip("/").rpartition("/")[2]
+    watch = Watch(spark, home, name)
+    spark.streams.addListener(watch)
+    writer = frames.writeStream.queryName(name).foreachBatch(lambda batch, number: advance(base, home, batch, number)).option("checkpointLocation", f"{home}/checkpoint")
+    # a Python data source takes part in plain triggers only: it stops when it has caught up
+    return (writer.trigger(availableNow=True) if once and not from_feed else writer.trigger(processingTime="200 milliseconds")).start(), watch
+
+
+def _latest(spark: SparkSession, home: str) -> int:
+    """The number of the last batch that was applied in full, -1 before the first."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{home}/state")
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    numbers = sorted((int(s.getPath().getName()) for s in fs.listStatus(fs_path)), reverse=True) if fs.exists(fs_path) else []
+    return next((n for n in numbers if _applied(spark, home, n)), -1)
+
+
+def saved(spark: SparkSession, home: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame, int]:
+    """State, open frames, cursors and position after the last batch that was applied in full."""
+    last = _latest(spark, home)
+    return _saved(spark, home, last) if last >= 0 else _start(spark)
+
+
+def follow(base: DataFrame, source: str, home: str | None = None, files_at_once: int = 4, from_feed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Read all new frames in folder ``source`` (with ``from_feed`` a feed's) and return the present view,
+    and frames still waiting for their commit.
 
     A batch's state is a folder named by its number: a batch that runs again replaces its own result.
     Sequence numbers run without a gap over all batches; a gap is an error and leaves the last state as
-    it is, so that no reader sees rows that may be wrong. With the ``home`` of an earlier run only new
-    files are read.
+    it is, so that no reader sees rows that may be wrong: the status says that the view is stale. With
+    the ``home`` of an earlier run only new frames are read.
     """
     spark = base.sparkSession
     home = home or new_folder(spark, "overlay")
-
-    def done(number: int) -> bool:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{home}/state/{number}/position/_SUCCESS")
-        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
-    def apply(batch: DataFrame, number: int) -> None:
-        state, pending, last = _saved(spark, home, number - 1) if number else (empty_state(spark), spark.createDataFrame([], FRAME), 0)
-        new = stage(batch, "frames")
-        least, most, n, distinct = new.agg(F.min("seq"), F.max("seq"), F.count("*"), F.count_distinct("seq")).first()
-        if n and (least != last + 1 or most - least + 1 != n or distinct != n):
-            raise RuntimeError(f"frames {least} to {most} do not follow {last} without a gap")
-        frames = stage(pending.unionByName(new), "open-frames")
-        rounds = [r["round"] for r in frames.where("kind = 'round_commit'").select("round", "seq").orderBy("seq").collect()]  # one a round
-        for r in rounds:
-            state = apply_round(base, state, frames.where((F.col("round") == r) & (F.col("kind") == "change")).drop("seq", "kind", "round"))
-        left = frames.where(~F.col("round").isin(rounds)) if rounds else frames
-        for name, table in (*state.items(), ("pending", left), ("position", spark.range(1).select(F.lit(most if n else last).cast("long").alias("seq")))):
-            table.write.mode("overwrite").parquet(f"{home}/state/{number}/{name}")
-
-    query = spark.readStream.schema(FRAME).option("maxFilesPerTrigger", files_at_once).json(source).writeStream.foreachBatch(apply).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else -1
-    while last >= 0 and not done(last):
-        last -= 1
-    state, pending, _ = _saved(spark, home, last) if last >= 0 else (empty_state(spark), spark.createDataFrame([], FRAME), 0)
+    query, watch = start(base, source, home, files_at_once, from_feed, once=True)
+    try:
+        if from_feed:
+            query.processAllAvailable()
+            query.stop()
+        query.awaitTermination()
+        if from_feed and (ends := [p.sources[0].endOffset for p in query.recentProgress if p.numInputRows]):
+            feed.acknowledge(source, int(re.search(r"\d+", str(ends[-1]))[0]))
+    except Exception as failed:
+        say(spark, home, state="stale", reason=cause(str(failed)))
+        raise
+    finally:
+        query.stop()
+        spark.streams.removeListener(watch)
+    state, pending, _, _ = saved(spark, home)
+    say(spark, home, state="live", at=time.time())
     return view(base, state), pending
 
 
+def freeze(targets: DataFrame, home: str) -> None:
+    """Keep how far each volume had been read when the base was taken (``volume, usn``)."""
+    targets.select("volume", "usn").write.mode("overwrite").parquet(f"{home}/targets")
+
+
+def present(base: DataFrame, home: str, source: str | None = None, now: float | None = None, timeout: float = TIMEOUT) -> DataFrame:
+    """The view, if it may be shown: the overlay runs or ended well, its producer (the feed ``source``)
+    gave a sign of life within ``timeout`` seconds, and every volume has reached its frozen target."""
+    spark = base.sparkSession
+    status = pointed(spark, f"{home}/status")
+    if status is None:
+        raise NotReady("nothing has been followed yet")
+    if status["state"] != "live":
+        raise StaleFeed(status.get("reason", "the overlay stopped"))
+    alive = feed.manifest(source)["at"] if source is not None else status["at"]
+    if (time.time() if now is None else now) - alive > timeout:
+        raise StaleFeed(f"no sign of life for more than {timeout} seconds")
+    state, _, cursors, _ = saved(spark, home)
+    if not caught_up(cursors, spark.read.schema(CURSORS).parquet(f"{home}/targets")):
+        raise NotReady("a volume has not reached its target")
+    return view(base, state)
+
+
 def caught_up(cursors: DataFrame, targets: DataFrame) -> Column | bool:
     """Whether every volume's cursor has reached its target (``volume, usn``)."""
     return targets.join(cursors.withColumnRenamed("usn", "_at"), "volume", "left").where("_at is null or _at < usn").isEmpty()
