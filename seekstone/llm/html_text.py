@@ -3,9 +3,11 @@
 A page becomes a tree of elements. Every container outside the prose gets a hash of its subtree;
 Spark counts, for each host, on how many different pages a subtree stands, and those that recur on
 many pages are the site's template and are deleted. Pages count as different when their article's
-largest block differs, so that copies of one article never make its text a template. What no count can know,
-because it differs from page to page, goes by its element or its stated role: scripts, forms, menus,
-sidebars, notices, adverts, reader comments.
+largest block differs, so that copies of one article never make its text a template. Subtrees within
+an article are counted too; they go when the articles around them have nothing in common, so that
+what near copies of an article share is never taken for a box that the site puts into each. What no
+count can know, because it differs from page to page, goes by its element or its stated role:
+scripts, forms, menus, sidebars, notices, adverts, reader comments.
 """
 
 from __future__ import annotations
@@ -52,10 +54,15 @@ BODY_LIKE = frozenset(("html", "body", "article", "main"))
 
 @dataclass(frozen=True)
 class Recurrence:
-    """A subtree is template if it stands on ``pages`` different pages of its host, however many it has."""
+    """A subtree is template if it stands on ``pages`` different pages of its host, however many it has.
+
+    Within articles also no passage of five words may stand in more than one of ``pages`` of the articles
+    around it, as far as the ``sketch`` least hashes of each article's passages tell.
+    """
 
     pages: int = 4
     broadcast_rows: int = 1_000_000
+    sketch: int = 16
 
 
 class Node:
@@ -240,15 +247,23 @@ def roots(node: Node, tag: str) -> list[Node]:
     return out
 
 
-def main_blocks(tree: Node, template: frozenset) -> list[str]:
+def main_elements(tree: Node, tag: str, boxes: frozenset) -> list[list[str]]:
+    """Blocks of the largest article (or main element) and of those at least half as long: a card that
+    leads to another story is no article of the page."""
+    found = [blocks_of(n, boxes) for n in roots(tree, tag)]
+    sizes = [sum(map(len, b)) for b in found]
+    return [b for b, size in zip(found, sizes) if size and 2 * size >= max(sizes)]
+
+
+def main_blocks(tree: Node, template: frozenset, boxes: frozenset = frozenset()) -> list[str]:
     """Blocks of the article if the page names one, else of its main element, else of what is left, or,
-    where nothing is, of what was dropped by its name."""
+    where nothing is, of what was dropped by its name. Within articles only ``boxes`` are deleted."""
     for tag in ("article", "main"):
-        found = [b for n in roots(tree, tag) for b in blocks_of(n, frozenset())]  # no count deletes prose here
+        found = [b for blocks in main_elements(tree, tag, boxes) for b in blocks]
         if found:
             return found
     found = blocks_of(tree, template)
-    return found or (main_blocks(tree, template) if restore(tree) else [])
+    return found or (main_blocks(tree, template, boxes) if restore(tree) else [])
 
 
 def restore(tree: Node) -> int:
@@ -263,18 +278,30 @@ def restore(tree: Node) -> int:
     return n
 
 
-def extract(html: str, template: frozenset = frozenset()) -> str:
-    """The main text of one page, given the digests of its host's template subtrees."""
+def extract(html: str, template: frozenset = frozenset(), boxes: frozenset = frozenset()) -> str:
+    """The main text of one page, given the digests of its host's template subtrees, outside and within
+    articles."""
     tree = parse(html)
-    if template:
+    if template or boxes:
         digest_tree(tree)
-    return "\n\n".join(main_blocks(tree, template))
+    return "\n\n".join(main_blocks(tree, template, boxes))
 
 
-def digest_tree(tree: Node) -> dict[int, int]:
-    """Digests of all nodes, without deep recursion; returns those of containers that may be template:
-    none within an article or main element."""
+def article_sketch(html: str, without: frozenset, size: int) -> list[int]:
+    """The least hashes of the passages of five words of a page's article, some subtrees left out; of a
+    shorter text the hash of all of it, of none the hash of nothing."""
+    tree = parse(html)
+    digest_tree(tree)
+    words = " ".join(b for tag in ("article", "main") for n in roots(tree, tag) for b in blocks_of(n, without)).lower().split()
+    passages = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    return sorted(xxhash.xxh3_64_intdigest(p) - (1 << 63) for p in passages)[:size]
+
+
+def digest_tree(tree: Node) -> tuple[dict[int, int], dict[int, int]]:
+    """Digests of all nodes, without deep recursion; returns those of containers that may be template,
+    outside and within article and main elements."""
     found: dict[int, int] = {}
+    inner: dict[int, int] = {}
     order, todo, prose = [], [(tree, False)], set()
     while todo:
         n, within = todo.pop()
@@ -296,16 +323,16 @@ def digest_tree(tree: Node) -> dict[int, int]:
                 parts.append(f"\x00{child.digest}")
         sizes[id(n)] = size
         n.digest = xxhash.xxh3_64_intdigest("\x01".join(parts)) - (1 << 63)
-        if n.tag in CONTAINERS and size and id(n) not in prose:
-            found[n.digest] = size  # paragraphs are no containers: what articles share stays
-    return found
+        if n.tag in CONTAINERS and size:  # paragraphs are no containers: what articles share stays
+            (inner if id(n) in prose else found)[n.digest] = size
+    return found, inner
 
 
 def page_mark(tree: Node) -> int:
     """A digest that tells pages apart: of an article's largest block, which near copies mostly share,
     or, where no article or main element is named, of the whole text."""
     for tag in ("article", "main"):
-        blocks = [b for n in roots(tree, tag) for b in blocks_of(n, frozenset())]
+        blocks = [b for of in main_elements(tree, tag, frozenset()) for b in of]
         if blocks:
             return xxhash.xxh3_64_intdigest(max(blocks, key=len)) - (1 << 63)
     return xxhash.xxh3_64_intdigest("\n".join(blocks_of(tree, frozenset()))) - (1 << 63)
@@ -320,35 +347,74 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """``(host, digest, page, own)`` of every container subtree; ``page`` stands for the page's main
-    text, ``own`` for its host and html."""
+    """``(host, digest, page, own, inner)`` of every container subtree; ``page`` stands for the page's main
+    text, ``own`` for its host and html, ``inner`` is whether it lies within an article."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, digests, marks, owns = [], [], [], []
+            hosts, digests, marks, owns, inside = [], [], [], [], []
             for host, html, own in zip(*(c.to_pylist() for c in batch.columns)):
                 tree = parse(html)
-                found = digest_tree(tree)
+                outer, inner = digest_tree(tree)
                 mark = page_mark(tree)
-                hosts += [host] * len(found)
-                digests += found
-                marks += [mark] * len(found)
-                owns += [own] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (digests, marks, owns))], names=["host", "digest", "page", "own"])
+                for found, within in ((outer, False), (inner, True)):
+                    hosts += [host] * len(found)
+                    digests += found
+                    marks += [mark] * len(found)
+                    owns += [own] * len(found)
+                    inside += [within] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (digests, marks, owns)), pa.array(inside, pa.bool_())], names=["host", "digest", "page", "own", "inner"])
+
+    return pages.where("host <> ''").select("host", "html", "own").mapInArrow(run, "host string, digest bigint, page bigint, own bigint, inner boolean")
+
+
+def article_boxes(pages: DataFrame, seen: DataFrame, rule: Recurrence) -> DataFrame:
+    """``(host, digest)``: subtrees within articles that recur in articles that have nothing in common.
+
+    Of each page with subtrees that recur, all of these are left out, and what remains of the article
+    is sketched. A subtree's pages are different if no hash of the sketches stands on more than one of
+    ``rule.pages`` of them: near copies share most hashes. Counts are partially aggregated by subtree
+    and hash; no page list is gathered.
+    """
+    inside = seen.where("inner").select("host", "digest", "own").distinct()
+    recurring = inside.groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= rule.pages)
+    recurring = stage(recurring, "recurring")
+    if recurring.isEmpty():
+        return recurring.select("host", "digest")
+    held = inside.join(F.broadcast(recurring.select("host", "digest")) if recurring.count() <= rule.broadcast_rows else recurring.select("host", "digest"), ["host", "digest"])
+    by_page = held.groupBy("own").agg(F.collect_set("digest").alias("digests"))  # bounded by the page
+    asked = pages.select("own", "host", "html").dropDuplicates(["own"]).join(by_page, "own").select("host", "html", "digests")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, digests, values = [], [], []
+            for host, html, held in zip(*(c.to_pylist() for c in batch.columns)):
+                sketch = article_sketch(html, frozenset(held), rule.sketch)
+                for digest in held:
+                    hosts += [host] * len(sketch)
+                    digests += [digest] * len(sketch)
+                    values += sketch
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(values, pa.int64())], names=["host", "digest", "value"])
 
-    return pages.where("host <> ''").select("host", "html", "own").mapInArrow(run, "host string, digest bigint, page bigint, own bigint")
+    counts = asked.mapInArrow(run, "host string, digest bigint, value bigint").groupBy("host", "digest", "value").agg(F.count("*").alias("on"))
+    most = counts.groupBy("host", "digest").agg(F.max("on").alias("most"))
+    return recurring.join(most, ["host", "digest"]).where(F.col("most") * rule.pages <= F.col("n")).select("host", "digest")
 
 
 def templates(pages: DataFrame, rule: Recurrence) -> DataFrame:
-    """``(own, digests)``: of each page that holds any, the template subtrees of its host that it holds.
+    """``(own, digests, boxes)``: of each page that holds any, the template subtrees of its host that it
+    holds, outside and within its article.
 
     A page's array is bounded by the page, not by what its host has.
     """
     seen = stage(subtrees(pages), "subtrees")
-    often = stage(seen.select("host", "digest", "page").distinct().groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= rule.pages).select("host", "digest"), "often")
+    outside = seen.where("not inner").select("host", "digest", "page").distinct().groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= rule.pages)
+    often = outside.select("host", "digest", F.lit(False).alias("inner")).unionByName(article_boxes(pages, seen, rule).withColumn("inner", F.lit(True)))
+    often = stage(often, "often")
     often = F.broadcast(often) if often.count() <= rule.broadcast_rows else often
-    held = seen.select("host", "digest", "own").join(often, ["host", "digest"])
-    return stage(held.groupBy("own").agg(F.collect_set("digest").alias("digests")), "templates")
+    held = seen.select("host", "digest", "own", "inner").join(often, ["host", "digest", "inner"])
+    of = lambda inner: F.collect_set(F.when(F.col("inner") == inner, F.col("digest")))
+    return stage(held.groupBy("own").agg(of(False).alias("digests"), of(True).alias("boxes")), "templates")
 
 
 def extract_pages(pages: DataFrame, rule: Recurrence = Recurrence()) -> DataFrame:
@@ -361,12 +427,12 @@ def extract_pages(pages: DataFrame, rule: Recurrence = Recurrence()) -> DataFram
     bound_batches(pages.sparkSession)
     pages = with_host(pages)
     known = templates(pages, rule)
-    n = known.agg(F.coalesce(F.sum(F.size("digests")), F.lit(0))).first()[0]
+    n = known.agg(F.coalesce(F.sum(F.size("digests") + F.size("boxes")), F.lit(0))).first()[0]
     given = pages.join(F.broadcast(known) if n <= rule.broadcast_rows else known, "own", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(html, frozenset(digests or ())) for html, digests in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [extract(html, frozenset(digests or ()), frozenset(boxes or ())) for html, digests, boxes in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return given.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "digests").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return given.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "digests", "boxes").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

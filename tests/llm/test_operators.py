@@ -158,6 +158,50 @@ def test_html_text_keeps_what_articles_share(spark, tag):
         assert r["text"].split("\n\n") == [f"The longest paragraph, edited in copy {r['page_id']}", "one", "two", "cell", "passage", "more"]
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_html_text_boxes_within_articles(spark, most):
+    """Boxes that a site puts into different stories go by counts; what near copies share stays."""
+    rng = random.Random(21)
+    story = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    box, second = "<div>Sign our petition <b>now</b></div>", "<section><p>Read on</p></section>"
+    rows, want = [], {}
+
+    def page(i, host, body, text):
+        rows.append((i, f"http://{host}/{i}", f"<body><div>menu</div><article>{body}</article><article><h3>Other headline</h3></article>"))
+        want[i] = text
+
+    for i in range(12):  # two boxes in twelve stories, wrapped or not
+        a, b = story(30), story(30)
+        inner = f"<p>{a}</p>{box}<p>{b}</p>{second}"
+        page(i, "news", f"<div class=entry>{inner}</div>" if i % 2 else inner, f"{a}\n\n{b}")
+    base = [story(12) for _ in range(4)]
+    for i in range(100, 140):  # near copies of one story that hold the same table
+        own = [*base[:3], base[3] + f" edit {i}"]
+        page(i, "copies", "".join(f"<p>{x}</p>" for x in own) + "<table><tr><td>cell</table>", "\n\n".join([*own, "cell"]))
+    for i in range(200, 203):  # three stories are too few
+        a = story(20)
+        page(i, "few", f"<p>{a}</p>{box}", f"{a}\n\nSign our petition now")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rule = html_text.Recurrence(broadcast_rows=most)
+    assert {r["page_id"]: r["text"] for r in html_text.extract_pages(pages, rule).collect()} == want
+    # the counts alone, by brute force over (host, subtree)
+    seen = {}
+    for i, url, source in rows:
+        tree = html_text.parse(source)
+        for digest in html_text.digest_tree(tree)[1]:
+            seen.setdefault((url.split("/")[2], digest), []).append(source)
+    recurring = {k for k, v in seen.items() if len(set(v)) >= rule.pages}
+    boxes = set()
+    for k in recurring:
+        sketches = [set(html_text.article_sketch(s, frozenset(d for h, d in recurring if h == k[0]), rule.sketch)) for s in seen[k]]
+        counts = collections.Counter(x for s in sketches for x in s)
+        if max(counts.values()) * rule.pages <= len(sketches):
+            boxes.add(k)
+    known = html_text.with_host(pages)
+    got = html_text.article_boxes(known, html_text.subtrees(known), rule)
+    assert {(r["host"], r["digest"]) for r in got.collect()} == boxes and len(boxes) >= 2
+
+
 @pytest.mark.parametrize("most", [1_000_000, 0])
 def test_html_text_counts_alike_on_large_hosts(spark, most):
     box = lambda i: "<div>Links of one section</div>" if i < 5 else ""
