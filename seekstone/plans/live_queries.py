@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seekstone.functions import providers as V, readings
-from seekstone.operators import files, index as I, preferences as P, search as S
-from seekstone.plans.catalog_queries import DOCS, RANKED, TIER, VIEWED, batch, changed_hosts, parts, query
+from seekstone.operators import catalog as C, files, index as I, preferences as P, ranking, search as S
+from seekstone.operators.ordered import numbered
+from seekstone.plans.catalog_queries import DOCS, GROUPS, PLACE, RANKED, ROWS, SCORED, TABLE_OF_BATCH, VIEWED, batch, catalog_rows, changed_hosts, parts, query
 from seekstone.shared import new_folder
 from seekstone.sources.tables import table
 from seekstone.streaming import feed, overlay
@@ -72,8 +73,6 @@ t AS (SELECT frn, k, k % 1000 AS depth FROM n)
 SELECT frn, (depth + 1)::BIGINT AS depth, repeat('d\\', depth) || 'd' AS path FROM t""")
 def deep_tree_paths(spark, sf_dir):
     """Paths in chains of a thousand folders each."""
-    from seekstone.operators.ordered import numbered
-
     chain = numbered(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frn")), ["frn"], "n").select("frn", (F.col("n") - 1).alias("k"))
     above = chain.select(F.col("frn").alias("parent_frn"), (F.col("k") + 1).alias("k"))
     nodes = chain.join(above, "k", "left").select("frn", F.when(F.col("k") % 1000 != 0, F.col("parent_frn")).alias("parent_frn"), F.lit("d").alias("name"))
@@ -162,3 +161,61 @@ def provider_answers(spark, sf_dir):
     lists, panels, _ = V.answers(some, parts(spark, sf_dir).select(F.col("id").alias("query_id"), F.concat(start, "name").alias("text")))
     shown = panels.select("query_id", F.lit("panel").alias("id"), F.col("panel.blocks")[0]["value"].alias("title"), F.lit(0).alias("score"), F.lit(0).alias("place"))
     return lists.select("query_id", "id", "title", "score", "place").unionByName(shown)
+
+
+# --- all fields of a row, and whole lists ----------------------------------------------------------
+
+FIELD_QUERIES = ("economy", "eco", "conom", "toolkit", "tool", "ool k", "steel", "madeof", "ste", "st", "xx", "yy", "widget", "e")
+FIELD_TABLE = "(VALUES " + ", ".join(f"({k}, '{q}')" for k, q in enumerate(FIELD_QUERIES)) + ") AS b(query_id, q)"
+
+
+@query(f"""WITH d AS MATERIALIZED (SELECT p_partkey AS id, lower(p_name) AS norm, lower(p_name) || ' ' || lower(p_type) AS display,
+  CASE WHEN p_partkey % 3 = 0 THEN [lower(p_type), 'tool kit'] ELSE [lower(p_type)] END AS kw FROM part),
+-- a text, what it gives as a whole, at its start and inside, the least lengths, and whether spaces count
+t AS (SELECT id, norm AS x, 1000 AS w, 800 AS s, 550 AS i, 1 AS lw, 1 AS l, true AS spaced FROM d
+  UNION ALL SELECT id, display, 1000, 800, 550, 1, 1, true FROM d
+  UNION ALL SELECT id, unnest(list_distinct(string_split(norm || ' ' || display || ' ' || array_to_string(kw, ' '), ' '))), 850, 720, 0, 1, 2, true FROM d
+  UNION ALL SELECT id, unnest(kw), 850, 720, 510, 1, 1, true FROM d
+  UNION ALL SELECT id, unnest(['made of steel']), 690, 560, 390, 2, 2, true FROM d
+  UNION ALL SELECT id, unnest(['made of steel', 'made', 'of', 'steel']), 690, 560, 0, 2, 2, true FROM d
+  UNION ALL SELECT id, replace(norm, ' ', ''), 920, 780, 780, 2, 3, false FROM d
+  UNION ALL SELECT id, replace(display, ' ', ''), 920, 780, 780, 2, 3, false FROM d
+  UNION ALL SELECT id, replace(unnest(kw), ' ', ''), 850, 720, 720, 2, 3, false FROM d
+  UNION ALL SELECT id, 'madeofsteel', 700, 560, 560, 2, 3, false FROM d),
+m AS (SELECT query_id, id, w, s, i, lw, l, x, CASE WHEN spaced THEN q ELSE replace(q, ' ', '') END AS y FROM t, {FIELD_TABLE}),
+h AS (SELECT query_id, id, CASE WHEN x = y THEN CASE WHEN length(y) >= lw THEN w END WHEN length(y) < l THEN NULL WHEN starts_with(x, y) THEN s WHEN contains(x, y) THEN nullif(i, 0) END AS score FROM m
+  UNION ALL SELECT query_id, id, 1100 FROM d, {FIELD_TABLE} WHERE q = 'xx' AND contains(norm, 'bolt')
+  UNION ALL SELECT query_id, id, 950 FROM d, {FIELD_TABLE} WHERE q = 'yy' AND contains(norm, 'rod')
+  UNION ALL SELECT query_id, id, 1100 FROM d, {FIELD_TABLE} WHERE q = 'yy' AND id = 7)
+SELECT query_id, id, max(score)::INTEGER AS score FROM h WHERE score IS NOT NULL GROUP BY query_id, id""")
+def search_fields(spark, sf_dir):
+    """Scores by name, display name, keywords, context and aliases."""
+    part = table(spark, sf_dir, "part")
+    kind = F.lower("p_type")
+    rows = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat("p_name", F.lit(" "), kind).alias("display_name"), F.when(F.col("p_partkey") % 3 == 0, F.array(kind, F.lit("tool kit"))).otherwise(F.array(kind)).alias("search_keywords"), F.array(F.lit("made of steel")).alias("search_context"))
+    aliases = spark.createDataFrame([("xx", None, "bolt", False), ("yy", None, "rod", True), ("yy", 7, "", False)], "alias string, target_id long, target_name string, builtin boolean")
+    parsed = S.parse(batch(spark, FIELD_QUERIES))
+    return S.verify(S.candidates_of(S.enrich(rows), parsed, fuzzy=False, aliases=aliases), fuzzy=False).select("query_id", "id", "score")
+
+
+PLAIN_ROWS = f"SELECT id, p_name AS name, target, args, source FROM ({ROWS}) JOIN part ON p_partkey = id"
+PLAIN_SCORED = SCORED.replace("FROM part", f"FROM (SELECT id AS p_partkey, name AS p_name FROM ({PLAIN_ROWS}))")
+SHOWN = PLACE.replace("AS rank", "AS place")
+
+
+@query(f"""WITH g AS MATERIALIZED ({GROUPS.replace(ROWS, PLAIN_ROWS)}), r AS MATERIALIZED ({PLAIN_ROWS}),
+rep AS (SELECT group_id, id, name FROM (SELECT group_id, r.id, r.name, row_number() OVER (PARTITION BY group_id ORDER BY CASE source WHEN 'start-menu' THEN 2 WHEN 'desktop' THEN 3 WHEN 'commands' THEN 7 ELSE 100 END, r.id) AS k FROM r JOIN g ON g.id = r.id) WHERE k = 1),
+h AS (SELECT s.*, b.q, g.group_id, r.source IN ('commands', 'uninstall') AND tier > 2 AND (tier >= 5 OR length(b.q) <= 2) AS weak FROM ({PLAIN_SCORED}) s JOIN {TABLE_OF_BATCH} ON b.query_id = s.query_id JOIN g ON g.id = s.id JOIN r ON r.id = s.id),
+n AS (SELECT query_id, id, name, b, tag, group_id, CASE WHEN weak THEN score - 250 ELSE score END AS score, CASE WHEN weak THEN 9 ELSE tier END AS tier FROM h),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY tier <= 2 DESC, CASE WHEN tier <= 2 THEN tier ELSE 99 END, score DESC, b.start, b.gaps, b.edits, b.span DESC, b.kind, strlen(name), lower(name), id) AS k FROM n) WHERE k = 1),
+f AS (SELECT best.query_id, rep.id, rep.name, best.b, score, tier, tag FROM best JOIN rep USING (group_id))
+SELECT query_id, place AS rank, id, name, score::INTEGER AS score, tier, tag FROM (SELECT *, {SHOWN} FROM f) WHERE place <= 20""")
+def collapsed_lists(spark, sf_dir):
+    """Final lists: noise sinks, launch groups collapse to the row that is launched."""
+    rows = catalog_rows(spark, sf_dir).drop("name").join(parts(spark, sf_dir), "id")
+    docs, parsed = S.enrich(rows), S.parse(batch(spark))
+    hits = S.verify(S.candidates_of(docs, parsed, fuzzy=False), fuzzy=False)
+    none = lambda schema: spark.createDataFrame([], schema)
+    ids = none("item_id long")
+    chosen, used = none("query string, item_id long, n long, share double, last_used long"), none("item_id long, launches long, last_used long")
+    return ranking.finish(hits, rows, C.launch_groups(rows), chosen, used, ids, ids, ids, 0, 20).select("query_id", "rank", "id", "name", "score", "tier", "tag")
