@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seekstone.functions import text as T
+from seekstone.operators.ordered import numbered
 from seekstone.graph import connected_components
 
 #: Sources by layer (fixed values).
@@ -224,6 +225,13 @@ def with_metadata(rows: DataFrame, metadata: DataFrame) -> DataFrame:
     return joined.withColumn("search_keywords", merged_keywords(F.col("name"), display, own, short)).drop("_texts")
 
 
+def in_output_order(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``place`` from 1 by name, source, target, arguments and id, as a catalog is listed."""
+    order = [F.lower("name"), F.col("source"), T.path_key(F.col("target")), F.coalesce("args", F.lit("")), F.col("id")]
+    named = {f"_o{k}": c for k, c in enumerate(order)}
+    return numbered(rows.withColumns(named), list(named), "place").drop(*named)
+
+
 def build(rows: DataFrame) -> DataFrame:
     """All steps in their order: dedupe, commands, discoveries, formal names, system names."""
     once = dedupe(rows)

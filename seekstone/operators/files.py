@@ -132,6 +132,12 @@ def overlaid(base: DataFrame, changes: DataFrame) -> DataFrame:
     return both.groupBy("path").agg(F.min(F.struct("late", "frn")).alias("m")).select(F.col("m.frn").alias("frn"), "path")
 
 
+def identities(base: DataFrame) -> DataFrame:
+    """``base(volume, frn, ordinal, ...)`` dealt and sorted by identity, so that a written table finds an
+    object's paths by its files' and row groups' bounds."""
+    return base.repartitionByRange("volume", "frn", "ordinal").sortWithinPartitions("volume", "frn", "ordinal")
+
+
 def snapshots_merged(snapshots: DataFrame, bases: DataFrame) -> DataFrame:
     """``snapshots(volume, ordinal, path)`` as one table whose ordinals run through: each volume's begin
     where the volumes before it end (``bases(volume, rows)``)."""

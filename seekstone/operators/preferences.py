@@ -223,6 +223,29 @@ def save_manual(apps: DataFrame, rows: DataFrame) -> DataFrame:
     return apps.unionByName(placed.select(*apps.columns))
 
 
+def rename_manual(apps: DataFrame, names: DataFrame) -> DataFrame:
+    """``apps`` with the display names of ``names(id, display_name)``; an empty name is an error."""
+    checked = F.when(F.trim("display_name") != "", F.trim("display_name")).otherwise(F.raise_error(F.lit("a manual entry needs a name")))
+    given = names.groupBy(F.col("id").alias("_id")).agg(F.max("display_name").alias("display_name")).select("_id", checked.alias("_name"))
+    out = apps.join(given, apps["id"] == F.col("_id"), "left")
+    return out.withColumn("display_name", F.coalesce("_name", "display_name")).select(*apps.columns)
+
+
+def refresh_manual(apps: DataFrame, identities: DataFrame) -> DataFrame:
+    """``apps`` with the item ids that their present targets have (``identities(id, item_id)``; null or
+    empty: the entry is not valid now). History stays with the ids it was written under."""
+    given = identities.groupBy(F.col("id").alias("_id")).agg(F.max(F.trim(F.coalesce("item_id", F.lit("")))).alias("_item"))
+    out = apps.join(given, apps["id"] == F.col("_id"), "left")
+    return out.withColumn("item_id", F.coalesce("_item", "item_id")).select(*apps.columns)
+
+
+def save_settings(settings: DataFrame, changes: DataFrame) -> DataFrame:
+    """``settings(key, value)`` with ``changes(key, value, at)`` put in, of one key's the latest; a null
+    value takes a setting out."""
+    last = changes.groupBy("key").agg(F.max_by("value", "at").alias("value"))
+    return upserted(settings, last, "key").where("value is not null")
+
+
 def settings_row(settings: DataFrame, defaults: dict[str, str]) -> DataFrame:
     """One row of all settings by name (``settings(key, value)``), defaults where one is not stored."""
     return settings.groupBy().agg(*(F.coalesce(F.max(F.when(F.col("key") == k, F.col("value"))), F.lit(v)).alias(k) for k, v in defaults.items()))

@@ -133,6 +133,14 @@ def merged(hits: DataFrame, files: DataFrame, queries: DataFrame, browsers: Data
     return at_slot(shown, primary).unionByName(alone).select("query_id", F.col("place").cast("int").alias("place"), "id", F.col("score").cast("int").alias("score"))
 
 
+def window_rows(windows: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(query_id, id, title)``: open windows (``windows(id, title)``, one machine's) whose title holds the
+    query, case ignored; an empty query shows all, windows without a title are never shown."""
+    shown = windows.where("trim(title) <> ''").select("id", "title")
+    asked = queries.select("query_id", F.lower(F.trim(F.coalesce("text", F.lit("")))).alias("_q"))
+    return asked.join(F.broadcast(shown) if shown.count() <= MAX_RESULTS else shown, F.contains(F.lower("title"), F.col("_q"))).select("query_id", "id", "title")
+
+
 def system_entry_score(q: Column, name: Column, keywords: Column, reading: Column, initials: Column, page: bool = False) -> Column:
     """How a tool's or a settings page's entry meets a query: name, a word's start (also the other way
     round: the query holds the name), reading, initials, keyword; null for none."""

@@ -341,7 +341,8 @@ def subsequence(text: str) -> str:
     letters = "transform(sequence(1, length(q)), n -> struct(n - 1 AS n, substr(q, n, 1) AS c))"
     best = f"array_max(aggregate({letters}, CAST(array() AS array<int>), (r, ch) -> {inner}))"
     whole = f"({MEETS} * length(q) + {STARTS} + {RUNS_ON} * (length(q) - 1))"
-    return f"CASE WHEN length({text}) >= length(q) THEN {let('x', best, f'CASE WHEN x IS NOT NULL THEN greatest(0, least(200, 200 * x div {whole})) END')} END"
+    there = f"forall(split(q, ''), x -> contains({text}, x))"  # most texts lack one of the characters
+    return f"CASE WHEN length({text}) >= length(q) AND {there} THEN {let('x', best, f'CASE WHEN x IS NOT NULL THEN greatest(0, least(200, 200 * x div {whole})) END')} END"
 
 
 def verify(candidates: DataFrame, fuzzy: bool = True, scattered: bool = False) -> DataFrame:
@@ -381,9 +382,19 @@ def final_order() -> list[Column]:
     return [shielded.desc(), F.when(shielded, F.col("tier")).otherwise(99), F.desc("score"), *evidence_order(), F.octet_length("name"), F.lower("name"), F.col("id")]
 
 
-def rank(hits: DataFrame, k: int = TOP_K) -> DataFrame:
-    """The k best of each query with ``rank`` from 1; ids make the order total."""
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(*final_order()))
+def tier_order() -> list[Column]:
+    """By tier alone, without evidence: tier, score, length of the name in bytes, name, id."""
+    return [F.col("tier"), F.desc("score"), F.octet_length("name"), F.lower("name"), F.col("id")]
+
+
+def score_order() -> list[Column]:
+    """By score alone: score, length of the name in characters, name, id."""
+    return [F.desc("score"), F.length("name"), F.lower("name"), F.col("id")]
+
+
+def rank(hits: DataFrame, k: int = TOP_K, order: list[Column] | None = None) -> DataFrame:
+    """The k best of each query with ``rank`` from 1, in the final order or another; ids make it total."""
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(*(final_order() if order is None else order)))
     return hits.withColumn("rank", best).where(F.col("rank") <= k)
 
 
@@ -547,6 +558,18 @@ def search(catalog: DataFrame, queries: DataFrame, k: int = TOP_K, pruned: bool
     return with_empty(rank(verify(candidates_of(docs, parsed, pruned, fuzzy, aliases, scattered), fuzzy, scattered), k), catalog, parsed, k)
 
 
+def search_all(catalog: DataFrame, system: DataFrame, queries: DataFrame, k: int = TOP_K, fuzzy: bool = True, aliases: DataFrame | None = None, scattered: bool = False) -> DataFrame:
+    """Search of a catalog and of system entries in one ranking.
+
+    Both have ``id``, ``name`` and any of ``OPTIONAL``; what one lacks is null there. System entries
+    take part in no empty query: that one shows the catalog alone.
+    """
+    both = catalog.unionByName(system, allowMissingColumns=True)
+    parsed = parse(queries)
+    hits = rank(verify(candidates_of(enrich(both), parsed, True, fuzzy, aliases, scattered), fuzzy, scattered), k)
+    return with_empty(hits, catalog, parsed, k)
+
+
 def with_empty(hits: DataFrame, catalog: DataFrame, parsed: DataFrame, k: int) -> DataFrame:
     """Ranked hits, and for empty queries the catalog's first rows."""
     hits = hits.select("query_id", "rank", "id", "name", "score", "tag", "tier")

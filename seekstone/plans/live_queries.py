@@ -219,3 +219,44 @@ def collapsed_lists(spark, sf_dir):
     ids = none("item_id long")
     chosen, used = none("query string, item_id long, n long, share double, last_used long"), none("item_id long, launches long, last_used long")
     return ranking.finish(hits, rows, C.launch_groups(rows), chosen, used, ids, ids, ids, 0, 20).select("query_id", "rank", "id", "name", "score", "tier", "tag")
+
+
+# --- other orders, entries of two kinds, counts ----------------------------------------------------
+
+
+@query(f"""SELECT query_id, id, legacy::INTEGER AS legacy, plain::INTEGER AS plain FROM (SELECT query_id, id,
+  row_number() OVER (PARTITION BY query_id ORDER BY tier, score DESC, strlen(name), lower(name), id) AS legacy,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(name), lower(name), id) AS plain FROM ({SCORED})) WHERE legacy <= 10 OR plain <= 10""")
+def other_orders(spark, sf_dir):
+    """The ten best by tier alone, and by score alone."""
+    hits = S.verify(S.candidates_of(S.enrich(parts(spark, sf_dir)), S.parse(batch(spark)), fuzzy=False), fuzzy=False)
+    every = 1 << 30
+    ranks = S.rank(S.rank(hits, every, S.tier_order()).withColumnRenamed("rank", "legacy"), every, S.score_order()).withColumnRenamed("rank", "plain")
+    return ranks.where("legacy <= 10 or plain <= 10").select("query_id", "id", "legacy", "plain")
+
+
+@query(f"SELECT id, row_number() OVER (ORDER BY lower(name), source, lower(target), coalesce(args, ''), id)::BIGINT AS place FROM ({ROWS})")
+def catalog_order(spark, sf_dir):
+    return C.in_output_order(catalog_rows(spark, sf_dir)).select("id", "place")
+
+
+BOTH = "SELECT p_partkey AS p_partkey, p_name FROM part UNION ALL SELECT -s_suppkey - 1, 'red rod ' || s_suppkey FROM supplier"
+BOTH_SCORED = SCORED.replace("FROM part", f"FROM ({BOTH})")
+
+
+@query(f"SELECT query_id, rank, id, name, score, tag, tier FROM (SELECT *, {PLACE} FROM ({BOTH_SCORED})) WHERE rank <= 10")
+def search_with_entries(spark, sf_dir):
+    """Parts and another kind of entries in one ranking."""
+    key = F.col("s_suppkey")
+    entries = table(spark, sf_dir, "supplier").select((-key - 1).alias("id"), F.concat(F.lit("red rod "), key.cast("string")).alias("name"))
+    return S.search_all(parts(spark, sf_dir), entries, batch(spark), fuzzy=False)
+
+
+@query("""WITH e AS (SELECT *, lower(event_type) AS k FROM events),
+s AS (SELECT k AS key, max(event_id)::VARCHAR AS value FROM e WHERE event_id % 2 = 0 GROUP BY k)
+SELECT coalesce(s.key, n.key) AS key, coalesce(n.value, s.value) AS value FROM s FULL JOIN (SELECT k AS key, arg_max('n' || user_id, event_id) AS value FROM e WHERE event_id % 7 = 0 GROUP BY k) n ON n.key = s.key""")
+def saved_settings(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("key", F.lower("event_type"))
+    held = events.where("event_id % 2 = 0").groupBy("key").agg(F.max("event_id").cast("string").alias("value"))
+    changes = events.where("event_id % 7 = 0").select("key", F.concat(F.lit("n"), F.col("user_id").cast("string")).alias("value"), F.col("event_id").alias("at"))
+    return P.save_settings(held, changes)

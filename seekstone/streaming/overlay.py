@@ -152,11 +152,15 @@ def advance(base: DataFrame, home: str, batch: DataFrame, number: int) -> None:
     if n and (least != last + 1 or most - least + 1 != n or distinct != n):
         raise RuntimeError(f"frames {least} to {most} do not follow {last} without a gap")
     frames = stage(pending.unionByName(new), "open-frames")
-    rounds = [r["round"] for r in frames.where("kind = 'round_commit'").select("round", "seq").orderBy("seq").collect()]  # one a round
+    # a frame of kind batch is a unit of its own, committed as it comes
+    alone = F.col("kind") == "batch"
+    frames = frames.withColumns({"round": F.when(alone, -F.col("seq")).otherwise(F.col("round"))})
+    ends = frames.where("kind in ('round_commit', 'batch')")
+    rounds = [r["round"] for r in ends.select("round", "seq").orderBy("seq").collect()]  # one a round
     for r in rounds:
-        state = apply_round(base, state, frames.where((F.col("round") == r) & (F.col("kind") == "change")).drop("seq", "kind", "round", "cursors"))
+        state = apply_round(base, state, frames.where((F.col("round") == r) & F.col("kind").isin("change", "batch")).drop("seq", "kind", "round", "cursors"))
     left = frames.where(~F.col("round").isin(rounds)) if rounds else frames
-    read = frames.where("kind = 'round_commit'").select(F.explode("cursors").alias("c")).select("c.volume", "c.usn")
+    read = ends.select(F.explode("cursors").alias("c")).select("c.volume", "c.usn")
     cursors = cursors.unionByName(read).groupBy("volume").agg(F.max("usn").alias("usn"))
     for name, table in (*state.items(), ("pending", left), ("cursors", cursors), ("position", spark.range(1).select(F.lit(most if n else last).cast("long").alias("seq")))):
         table.write.mode("overwrite").parquet(f"{home}/state/{number}/{name}")
@@ -168,6 +172,12 @@ def cause(message: str) -> str:
     return (said[0] if said else message)[:500]
 
 
+def counters(state: dict[str, DataFrame]) -> DataFrame:
+    """One row of how many objects, renamed folders and superseded base rows a state holds."""
+    counts = [t.agg(F.count("*").alias(name)) for name, t in state.items()]
+    return counts[0].join(F.broadcast(counts[1])).join(F.broadcast(counts[2]))  # a row each
+
+
 def say(spark: SparkSession, home: str, **what) -> None:
     """Replace the status that readers look at; the listener's thread and a run's own take turns."""
     with SAYING:
