@@ -110,7 +110,8 @@ def browser_rows(queries: DataFrame, browsers: DataFrame, preferred: str | None,
     known = browsers.select("browser", F.col("position").cast("int").alias("position")).unionByName(default)
     order = F.row_number().over(Window.orderBy((F.col("browser") != F.lit(preferred)).cast("int") if preferred else F.lit(0), "position"))  # a machine's browsers
     ranked = known.select("browser", order.cast("long").alias("n"), F.when((order == 1) & (F.col("browser") != "default"), first).otherwise(other).alias("score"))
-    rows = queries.join(F.broadcast(ranked))
+    few = browsers.count() < MAX_RESULTS  # a machine has a handful; each query gets a row for each
+    rows = queries.join(F.broadcast(ranked) if few else ranked)
     return rows.select("query_id", T.web_id(F.lit("websearch" if search else "url"), F.col("browser"), F.col("value")).alias("id"), "score", F.col("n").alias("place"))
 
 
