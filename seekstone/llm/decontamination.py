@@ -156,10 +156,11 @@ def row_of(documents: DataFrame) -> Column:
 def without_leaks(documents: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of ``documents`` in which no benchmark item is found, with all their columns.
 
-    Each row is judged by its own text, whether its ``doc_id`` is null or stands on several rows.
+    Each row is judged by its own text, whether its ``doc_id`` is null or stands on several rows; columns
+    may have any names.
     """
     found = stage(leaking_windows(documents, benchmark, limits).select(F.col("row").alias("_leak")).distinct(), "leaks")
-    return documents.join(small(found, found.count(), limits.broadcast_rows), row_of(documents) == F.col("_leak"), "left_anti").select(*documents.columns)
+    return documents.join(small(found, found.count(), limits.broadcast_rows), row_of(documents) == found["_leak"], "left_anti").select(*documents.columns)
 
 
 def leaking_windows(documents: DataFrame, benchmark: DataFrame, limits: Limits) -> DataFrame:

@@ -327,7 +327,9 @@ def find_in_documents(documents: DataFrame, fitting: Fitting = Fitting()) -> Dat
 def redact_documents(documents: DataFrame, fitting: Fitting = Fitting()) -> DataFrame:
     """``documents`` with personal data in ``text`` replaced, ``n_chars`` (if there) brought up to date.
 
-    Null texts become empty ones; other columns stay as they are.
+    Null texts become empty ones; other columns, whatever their names, stay as they are. Rows that repeat
+    are each redacted alike; of spans that overlap the selection of ``find`` decides, ties included; an
+    empty table gives no rows.
     """
     model = fit(documents, fitting)
     others = [c for c in documents.columns if c != "text"]

@@ -282,8 +282,8 @@ def score(documents: DataFrame, folds: int = 10, held_fold: int = 0, block_bytes
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row.
 
     Rows whose crc32(doc_id as text) mod ``folds`` is ``held_fold`` are held out, all others are
-    trained on. ``score`` is log10 of the model's probability of the text's canonical form with its
-    end; ``base_score`` that of single tokens with added 0.1 (one end a text is a token too). A null
+    trained on. ``score`` is log10 of the model's probability of the text's canonical form (words
+    in lower case between single spaces) with its end: what white space a text has itself costs nothing; ``base_score`` that of single tokens with added 0.1 (one end a text is a token too). A null
     text is empty; a null ``doc_id`` is kept and trained on; rows that repeat count as often as they
     come. Without training texts all symbols are equally likely. Other columns are ignored, and an
     empty table gives no rows.

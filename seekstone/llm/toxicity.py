@@ -511,7 +511,9 @@ def score_documents(documents: DataFrame, labels: DataFrame, threshold: float =
     """``(doc_id, held_out, score, predicted)`` of every row of ``documents``.
 
     Labels are learned only from rows whose crc32(doc_id as text) mod 3 is not 1. A null or empty
-    text scores as a text without toxic units; a null ``doc_id`` is kept and not held out.
+    text scores as a text without toxic units; a null ``doc_id`` is kept and not held out. Rows that
+    repeat are scored as often as they come, equal texts alike; other columns, whatever their names, are
+    ignored; an empty table of documents gives no rows, without labels all texts score alike.
     """
     part = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 3
     machine = train(documents, labels, part("doc_id") != 1, training)
@@ -522,7 +524,8 @@ def score_documents(documents: DataFrame, labels: DataFrame, threshold: float =
 def reject_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, training: Training = Training()) -> DataFrame:
     """The rows of ``documents`` that score below ``threshold``, with all their columns.
 
-    Learns as ``score_documents`` does. Null and empty texts have no toxic units and stay.
+    Learns as ``score_documents`` does. Null and empty texts have no toxic units and stay. Each row is
+    judged by its own text, rows that repeat alike; columns may have any names; an empty table gives no rows.
     """
     machine = train(documents, labels, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1, training)
     at = documents.columns.index("text")

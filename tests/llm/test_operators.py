@@ -272,6 +272,14 @@ def test_decontamination_equals_brute_force(spark):
     assert decontamination.find_leaks(docs.limit(0), bench).count() == 0 and decontamination.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_go_whatever_the_columns_are_called(spark):
+    item = "the quick brown fox jumps over the lazy dog while seven wizards brew ale"
+    rows = [(1, f"see {item} here", 5, "a", 7), (1, "clean text of some words", 5, "a", 7), (None, item, 6, "b", 8), (3, None, 6, "b", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _leak int, row string, item_id int")
+    left = decontamination.without_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted([rows[1], rows[3]], key=repr)
+
+
 def test_multi_index_finds_all_within_the_radius(spark):
     rng = random.Random(9)
     base = [rng.getrandbits(64) - 2**63 for _ in range(20)]
