@@ -5,10 +5,9 @@ lists has to give these results.
 """
 
 import pytest
-from pyspark.sql import functions as F
 
 from seekstone.functions import readings
-from seekstone.operators import catalog as C, evaluate, preferences as P, ranking, search as S
+from seekstone.operators import catalog as C, evaluate, ranking, search as S
 
 #: id, name, target, arguments, source (fixed values).
 ROWS = [

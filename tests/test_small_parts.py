@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seekstone.operators import files, preferences as P, results as R, search as S
+from seekstone.functions import text as T
+from seekstone.operators import catalog as C, files, preferences as P, results as R, search as S
 from seekstone.shared import new_folder
 from seekstone.streaming import feed, overlay
 
@@ -62,3 +63,29 @@ def test_entries_of_two_kinds(spark):
     queries = spark.createDataFrame([(0, "display"), (1, "screen"), (2, "")], "query_id int, text string")
     got = {(r["query_id"], r["rank"]): r["id"] for r in S.search_all(apps, system, queries).collect()}
     assert got == {(0, 1): 10, (0, 2): 1, (1, 1): 10, (2, 1): 1, (2, 2): 2}
+
+
+def test_texts_that_name_things(spark):
+    def told(column, *values):
+        frame = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x string")
+        return [r["y"] for r in frame.select("k", column(F.col("x")).alias("y")).orderBy("k").collect()]
+
+    templates = ["https://a.example/?q={searchTerms}", "http://a.example/%s/x", "https://a.example/?q=", "https://a.example/x", "ftp://a/?q=", "https:// a/?q=", " ", None]
+    assert told(T.valid_template, *templates) == [True, True, True, False, False, False, False, False]
+    assert told(T.plugin_url_allowed, "https://a", " HTTP://b ", "file:///c", "https://a\nb", None) == [True, True, False, False, False]
+    ids = lambda source: told(lambda x: T.legacy_item_id(x, F.lit(None), F.lit(source)), "C:\\A.exe", "c:/a.exe", "C:\\B.exe")
+    one, two = ids("desktop"), ids("start-menu")
+    assert one[0] == one[1] != one[2] and one[0] != two[0]  # ids of an earlier form also name the source
+
+
+def test_candidates_by_channel(spark):
+    docs = S.enrich(spark.createDataFrame([(1, "Visual Studio"), (2, "vs tool"), (3, "Other")], "id long, name string"))
+    stats = S.channel_stats(docs, S.parse(spark.createDataFrame([(0, "vs")], "query_id int, text string")), fuzzy=False)
+    assert {r["channel"]: r["candidates"] for r in stats.collect()} == {"text": 1, "compact": 1, "acronym": 1}
+
+
+def test_a_programs_own_texts(spark):
+    rows_ = spark.createDataFrame([(1, "Tool", "C:\\t.exe", ["own"]), (2, "Other", None, None)], "id long, name string, target string, search_keywords array<string>")
+    said = spark.createDataFrame([("c:/T.exe", ["Maker", "Tool", " "]), ("c:\\t.exe", ["Maker", "x" * 600])], "target string, texts array<string>")
+    got = {r["id"]: r["search_keywords"] for r in C.with_metadata(rows_, said).collect()}
+    assert got == {1: ["own", "Maker"], 2: []}
