@@ -37,6 +37,9 @@ UNKNOWN = 2_147_483_647
 #: Batches of keys or queries of more rows are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
+#: Sources whose entries are also searched by their address.
+SYSTEM_SOURCES = ("win-settings", "builtin-system")
+
 OPTIONAL = ("display_name", "search_keywords", "search_context", "reading", "initials", "char_readings", "syllables", "keyword_readings", "keyword_initials", "context_readings", "context_initials", "source", "target")
 
 
@@ -46,13 +49,17 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 def extra_keywords(catalog: DataFrame) -> Column:
     """Keywords that a system entry's address holds: a settings page's or a tool's name, dashes as spaces."""
-    system = F.col("source").isin("win-settings", "builtin-system")
+    system = F.col("source").isin(*SYSTEM_SOURCES)
     page = F.when(system & F.startswith("target", F.lit("ms-settings:")), F.replace(F.substr("target", F.lit(13)), F.lit("-"), F.lit(" ")))
     key = F.col("id").cast("string")
     tool = F.when(system & F.startswith(key, F.lit("system-tool:")), F.replace(F.substr(key, F.lit(13)), F.lit("-"), F.lit(" ")))
     return F.array_compact(F.array(page, tool))
 
 
+#: What ``enrich`` adds.
+DERIVED = ("norm", "display", "comp", "comp_display", "keywords", "keyword_comps", "contexts", "context_comps", "context_terms", "words", "acro")
+
+
 def enrich(catalog: DataFrame) -> DataFrame:
     """``catalog`` with normalized and compact names, words, acronym, and the same of its other fields."""
     has, raw = set(catalog.columns), [F.col("name")]
@@ -546,6 +553,61 @@ def candidates_of(docs: DataFrame, parsed: DataFrame, pruned: bool = True, fuzzy
     return with_aliases(docs.join(F.broadcast(parsed)), aliases)
 
 
+def text_id(fields: dict[str, Column], kinds: dict[str, str]) -> Column:
+    """A digest of a row's texts: rows have one only if all fields are the same, byte by byte."""
+    sized = lambda x: F.coalesce(F.concat(F.octet_length(x).cast("string"), F.lit(":"), x), F.lit("-"))
+    said = []
+    for name, c in fields.items():
+        if kinds[name] == "array<string>":
+            c = F.concat(F.size(c).cast("string"), F.lit("["), F.array_join(F.transform(c, sized), ""))
+        elif kinds[name] != "string":
+            c = F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"})
+        said += [F.lit(f"{name}="), sized(c)]
+    return F.sha2(F.concat(*said).cast("binary"), 256)
+
+
+def by_text(catalog: DataFrame, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What the rows of a catalog are searched by, each once, with ``text_id`` and an ``id`` of its own,
+    ready for the search; and the catalog with ``text_id``.
+
+    Many rows of a large catalog have the same texts, and what a query finds in them is the same. Rows
+    that count by their id, as system entries and those that an alias names, have texts of their own.
+    """
+    has, kinds = set(catalog.columns), dict(catalog.dtypes)
+    rows, own = catalog, F.lit(None).cast("string")
+    fields = {c: F.col(c) for c in ("name", *OPTIONAL) if c in has and c not in ("source", "target")}
+    if aliases is not None:
+        named = aliases.where("target_id is not null").select(F.col("target_id").cast("string").alias("_named")).distinct()
+        rows = rows.join(small(named, named.count()), rows["id"].cast("string") == named["_named"], "left")
+        own = F.col("_named")
+    if {"search_keywords", "source", "target"} <= has:
+        system = F.col("source").isin(*SYSTEM_SOURCES)
+        own = F.coalesce(F.when(system, F.col("id").cast("string")), own)
+        fields |= {c: F.when(system, F.col(c)) for c in ("source", "target")}
+    rows = rows.withColumn("text_id", text_id(fields | {"_own": own}, kinds | {"_own": "string"}))
+    texts = rows.select(F.coalesce(own, "text_id").alias("id"), "text_id", *(c.alias(n) for n, c in fields.items())).distinct()
+    return enrich(stage(texts, "texts")).drop("source", "target"), rows.select("text_id", *catalog.columns)
+
+
+def of_rows(hits: DataFrame, rows: DataFrame) -> DataFrame:
+    """Hits of texts as hits of the ``rows(text_id, id, ...)`` that have them."""
+    held = stage(hits, "text-hits")
+    own = [c for c in rows.columns if c != "text_id"]
+    return rows.join(small(held.drop(*own), held.count()), "text_id").drop("text_id")
+
+
+def spread(candidates: DataFrame) -> DataFrame:
+    """Candidates dealt evenly: a few megabytes of names are hours of scoring, and would be one task."""
+    return candidates.repartition(4 * candidates.sparkSession.sparkContext.defaultParallelism)
+
+
+def hits(catalog: DataFrame, parsed: DataFrame, pruned: bool = True, fuzzy: bool = True, aliases: DataFrame | None = None, scattered: bool = False) -> DataFrame:
+    """All scored hits of parsed queries, as ``verify`` gives them; texts that many rows have are looked
+    at once."""
+    texts, rows = by_text(catalog, aliases)
+    return of_rows(verify(spread(candidates_of(texts, parsed, pruned, fuzzy, aliases, scattered)), fuzzy, scattered), rows)
+
+
 def search(catalog: DataFrame, queries: DataFrame, k: int = TOP_K, pruned: bool = True, fuzzy: bool = True, aliases: DataFrame | None = None, scattered: bool = False) -> DataFrame:
     """``(query_id, rank, id, name, score, tag, tier)``: the k best hits of each query.
 
@@ -554,8 +616,8 @@ def search(catalog: DataFrame, queries: DataFrame, k: int = TOP_K, pruned: bool
     An empty query gives the catalog in the order of its ids, with score 0 and tag ``default``. Null
     names are never hit but by their other fields; repeated ids are rows of their own.
     """
-    docs, parsed = enrich(catalog), parse(queries)
-    return with_empty(rank(verify(candidates_of(docs, parsed, pruned, fuzzy, aliases, scattered), fuzzy, scattered), k), catalog, parsed, k)
+    parsed = parse(queries)
+    return with_empty(rank(hits(catalog, parsed, pruned, fuzzy, aliases, scattered), k), catalog, parsed, k)
 
 
 def search_all(catalog: DataFrame, system: DataFrame, queries: DataFrame, k: int = TOP_K, fuzzy: bool = True, aliases: DataFrame | None = None, scattered: bool = False) -> DataFrame:
@@ -566,8 +628,7 @@ def search_all(catalog: DataFrame, system: DataFrame, queries: DataFrame, k: int
     """
     both = catalog.unionByName(system, allowMissingColumns=True)
     parsed = parse(queries)
-    hits = rank(verify(candidates_of(enrich(both), parsed, True, fuzzy, aliases, scattered), fuzzy, scattered), k)
-    return with_empty(hits, catalog, parsed, k)
+    return with_empty(rank(hits(both, parsed, True, fuzzy, aliases, scattered), k), catalog, parsed, k)
 
 
 def with_empty(hits: DataFrame, catalog: DataFrame, parsed: DataFrame, k: int) -> DataFrame:

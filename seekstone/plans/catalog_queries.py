@@ -203,8 +203,7 @@ def search_unpruned(spark, sf_dir):
 
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows that a branch accepts, found by recall."""
-    docs, parsed = S.enrich(parts(spark, sf_dir)), S.parse(batch(spark))
-    return S.verify(S.candidates_of(docs, parsed, fuzzy=False), fuzzy=False)
+    return S.hits(parts(spark, sf_dir), S.parse(batch(spark)), fuzzy=False)
 
 
 @query(f"SELECT query_id, tag, tier, count(*) AS hits FROM ({SCORED}) GROUP BY ALL")
