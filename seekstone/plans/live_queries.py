@@ -95,9 +95,10 @@ b AS (SELECT query_id, norm, greatest(0, least(200, max(200 * s // (20 * length(
 SELECT query_id, id, (100 + x)::INTEGER AS score FROM b JOIN ({DOCS}) USING (norm)""")
 def scattered_scores(spark, sf_dir):
     """Names that hold a query's characters in order, scored by the best way."""
-    docs, parsed = S.enrich(parts(spark, sf_dir)), S.parse(batch(spark, SCATTERED))
-    met = S.candidates_of(docs, parsed, fuzzy=False, scattered=True)
-    return met.select("query_id", "id", (F.expr(S.subsequence("norm")) + S.SCATTERED).alias("score")).where("score is not null")
+    texts, rows = S.by_text(parts(spark, sf_dir))
+    met = S.spread(S.candidates_of(texts, S.parse(batch(spark, SCATTERED)), fuzzy=False, scattered=True))
+    scored = met.select("query_id", "text_id", (F.expr(S.subsequence("norm")) + S.SCATTERED).alias("score")).where("score is not null")
+    return S.of_rows(scored, rows.select("text_id", "id")).select("query_id", "id", "score")
 
 
 #: Readings of four characters, which stand for the first words of the parts' names in a mixed catalog.
@@ -131,8 +132,7 @@ SELECT query_id, id, CASE WHEN ordered THEN 850 ELSE 680 END::INTEGER AS score,
 FROM o WHERE (ordered OR there) AND NOT contains(norm, a || z)""")
 def mixed_script_hits(spark, sf_dir):
     """Hits of queries of characters and letters that no name holds as they stand."""
-    docs, parsed = S.enrich(mixed_catalog(spark, sf_dir)), S.parse(batch(spark, MIXED))
-    hits = S.verify(S.candidates_of(docs, parsed, fuzzy=False), fuzzy=False)
+    hits = S.hits(mixed_catalog(spark, sf_dir), S.parse(batch(spark, MIXED)), fuzzy=False)
     return hits.where("size(q_parts) = 2 and not contains(norm, q)").select("query_id", "id", "score", "tag")
 
 
@@ -194,8 +194,7 @@ def search_fields(spark, sf_dir):
     kind = F.lower("p_type")
     rows = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat("p_name", F.lit(" "), kind).alias("display_name"), F.when(F.col("p_partkey") % 3 == 0, F.array(kind, F.lit("tool kit"))).otherwise(F.array(kind)).alias("search_keywords"), F.array(F.lit("made of steel")).alias("search_context"))
     aliases = spark.createDataFrame([("xx", None, "bolt", False), ("yy", None, "rod", True), ("yy", 7, "", False)], "alias string, target_id long, target_name string, builtin boolean")
-    parsed = S.parse(batch(spark, FIELD_QUERIES))
-    return S.verify(S.candidates_of(S.enrich(rows), parsed, fuzzy=False, aliases=aliases), fuzzy=False).select("query_id", "id", "score")
+    return S.hits(rows, S.parse(batch(spark, FIELD_QUERIES)), fuzzy=False, aliases=aliases).select("query_id", "id", "score")
 
 
 PLAIN_ROWS = f"SELECT id, p_name AS name, target, args, source FROM ({ROWS}) JOIN part ON p_partkey = id"
@@ -213,8 +212,7 @@ SELECT query_id, place AS rank, id, name, score::INTEGER AS score, tier, tag FRO
 def collapsed_lists(spark, sf_dir):
     """Final lists: noise sinks, launch groups collapse to the row that is launched."""
     rows = catalog_rows(spark, sf_dir).drop("name").join(parts(spark, sf_dir), "id")
-    docs, parsed = S.enrich(rows), S.parse(batch(spark))
-    hits = S.verify(S.candidates_of(docs, parsed, fuzzy=False), fuzzy=False)
+    hits = S.hits(rows, S.parse(batch(spark)), fuzzy=False)
     none = lambda schema: spark.createDataFrame([], schema)
     ids = none("item_id long")
     chosen, used = none("query string, item_id long, n long, share double, last_used long"), none("item_id long, launches long, last_used long")
@@ -229,7 +227,7 @@ def collapsed_lists(spark, sf_dir):
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(name), lower(name), id) AS plain FROM ({SCORED})) WHERE legacy <= 10 OR plain <= 10""")
 def other_orders(spark, sf_dir):
     """The ten best by tier alone, and by score alone."""
-    hits = S.verify(S.candidates_of(S.enrich(parts(spark, sf_dir)), S.parse(batch(spark)), fuzzy=False), fuzzy=False)
+    hits = S.hits(parts(spark, sf_dir), S.parse(batch(spark)), fuzzy=False)
     every = 1 << 30
     ranks = S.rank(S.rank(hits, every, S.tier_order()).withColumnRenamed("rank", "legacy"), every, S.score_order()).withColumnRenamed("rank", "plain")
     return ranks.where("legacy <= 10 or plain <= 10").select("query_id", "id", "legacy", "plain")

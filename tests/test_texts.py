@@ -52,3 +52,9 @@ def test_a_text_is_scored_once(spark, monkeypatch):
     got = S.search(catalog, queries, 5, pruned=False).orderBy("query_id", "rank").collect()
     assert [r["id"] for r in got] == [0, 2, 4, 6, 8, 1, 3, 5, 7, 9] and seen == [4]
     assert S.search(catalog, queries, 1000).count() == 300 and seen[1] <= 4
+
+
+def test_texts_of_all_fields_are_scored_once(spark, asked, aliases, monkeypatch):
+    seen = scored_rows(monkeypatch)
+    few, many = (found(S.hits(spark.createDataFrame(rows_of(n), SCHEMA).where("source not like 'win%'"), asked, False, False, aliases)) for n in (300, 600))
+    assert seen[0] == seen[1] and len(many) > 1.9 * len(few)
