@@ -1,7 +1,9 @@
 """Texts that many rows have are searched once; every row still gets its hits."""
 
 import pytest
+
 from seekstone.operators import search as S
+from seekstone.plans import live_queries
 
 SCHEMA = "id string, name string, search_keywords array<string>, source string, target string"
 NAMES = ["red widget", "Red widget", "blue ring", None, "redwidget"]
@@ -58,3 +60,11 @@ def test_texts_of_all_fields_are_scored_once(spark, asked, aliases, monkeypatch)
     seen = scored_rows(monkeypatch)
     few, many = (found(S.hits(spark.createDataFrame(rows_of(n), SCHEMA).where("source not like 'win%'"), asked, False, False, aliases)) for n in (300, 600))
     assert seen[0] == seen[1] and len(many) > 1.9 * len(few)
+
+
+def test_mixed_scripts_are_scored_by_text(spark, monkeypatch, tmp_path):
+    seen = scored_rows(monkeypatch)
+    rows = spark.createDataFrame([(k, "red widget") for k in range(240)], "p_partkey long, p_name string")
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    live_queries.mixed_script_hits(spark, str(tmp_path)).count()
+    assert seen[0] <= 12 * len(live_queries.MIXED)
