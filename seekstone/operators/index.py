@@ -1,8 +1,8 @@
 """A search index that is written once and kept: postings by key, rows by id, in published generations.
 
-A generation is a list of segments. A segment holds enriched rows, their postings ``(key, id)`` dealt
-into folders by a hash of the key and sorted by key, and the ids whose rows in earlier segments no
-longer count. A batch of queries reads the folders of its own keys only. An update writes one more
+A generation is a list of segments. A segment holds the distinct texts of its rows, enriched, the rows
+themselves, postings ``(key, id)`` of the texts dealt into folders by a hash of the key and sorted by
+key, and the ids whose rows in earlier segments no longer count. A batch of queries reads the folders of its own keys only. An update writes one more
 segment with the keys of the changed rows and nothing else; ``compact`` makes one segment of all.
 Readers see a generation only when the pointer names it, so a search that runs goes on with its own.
 """
@@ -42,8 +42,7 @@ class Index:
         for n, folder in enumerate(self.segments):
             reader = self.spark.read
             if name == "postings":  # a table without rows has no file that says its columns
-                kind = self.spark.read.parquet(f"{folder}/gone").schema["id"].dataType.simpleString()
-                reader = reader.schema(f"key string, id {kind}, part int")
+                reader = reader.schema("key string, id string, part int")
             rows = reader.parquet(f"{folder}/{name}").withColumn("_segment", F.lit(n))
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
         return out
@@ -56,15 +55,23 @@ class Index:
         gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
         return rows.join(gone, (F.col("id") == F.col("_gone")) & (F.col("_segment") < F.col("_since")), "left_anti")
 
+    def members(self) -> DataFrame:
+        """Living rows without their texts, with ``text_id``."""
+        return self.living(self.read("members")).drop("_segment")
+
+    def texts(self) -> DataFrame:
+        """The texts of all segments, each once; some may have no living row."""
+        return self.read("texts").drop("_segment").dropDuplicates(["text_id"])
+
     def rows(self) -> DataFrame:
-        return self.living(self.read("rows")).drop("_segment")
+        return self.members().join(self.texts().drop("id"), "text_id").drop("text_id")
 
     def postings(self, keys: DataFrame) -> DataFrame:
-        """``(key, id)`` of ``keys(key)``: only their folders are read."""
+        """``(key, id)`` of ``keys(key)`` by texts: only their folders are read."""
         of = part_of(F.col("key"), self.parts)
         wanted = [r["part"] for r in keys.select(of.alias("part")).distinct().orderBy("part").collect()]  # ``parts`` at most
         held = self.read("postings").where(F.col("part").isin(wanted))
-        return self.living(held.join(keys.select("key").distinct(), "key", "left_semi")).select("key", "id")
+        return held.join(keys.select("key").distinct(), "key", "left_semi").select("key", "id").distinct()
 
 
 def part_of(key: Column, parts: int) -> Column:
@@ -72,11 +79,13 @@ def part_of(key: Column, parts: int) -> Column:
 
 
 def write_segment(rows: DataFrame, gone: DataFrame, home: str, parts: int) -> str:
-    """A segment of enriched ``rows`` and the ids that it supersedes; its folder."""
+    """A segment of a catalog's ``rows`` and the ids that it supersedes; its folder."""
     folder = f"{home}/segment-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{folder}/rows")
-    rows = rows.sparkSession.read.parquet(f"{folder}/rows")
-    keys = rows.select("id", F.explode(S.doc_keys(rows, KINDS)).alias("key")).withColumn("part", part_of(F.col("key"), parts))
+    texts, members = S.by_text(rows)
+    texts.write.parquet(f"{folder}/texts")
+    texts = rows.sparkSession.read.schema(texts.schema).parquet(f"{folder}/texts")
+    members.select("text_id", *(c for c in rows.columns if c not in texts.columns or c == "id")).write.parquet(f"{folder}/members")
+    keys = S.spread(texts).select("id", F.explode(S.doc_keys(texts, KINDS)).alias("key")).withColumn("part", part_of(F.col("key"), parts))
     # a key that most rows hold is dealt over several files of its folder
     dealt = keys.repartition("part", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("part", "key", "id")
     dealt.write.partitionBy("part").parquet(f"{folder}/postings")
@@ -93,7 +102,7 @@ def build(catalog: DataFrame, home: str, parts: int = PARTS) -> Index:
     """The first generation (or a new one that replaces all) of ``catalog`` in the folder ``home``."""
     spark = catalog.sparkSession
     before = pointed(spark, home)
-    folder = write_segment(S.enrich(catalog), catalog.select("id").limit(0), home, parts)
+    folder = write_segment(catalog, catalog.select("id").limit(0), home, parts)
     return _publish(spark, home, before["version"] + 1 if before else 1, [folder], parts)
 
 
@@ -110,29 +119,37 @@ def update(index: Index, changed: DataFrame, removed: DataFrame | None = None) -
     new, ids of ``removed(id)`` go. Only changed rows are keyed; no earlier file is written again."""
     ids = changed.select("id")
     gone = ids if removed is None else ids.unionByName(removed.select("id"))
-    folder = write_segment(S.enrich(changed), gone, index.home, index.parts)
+    folder = write_segment(changed, gone, index.home, index.parts)
     return _publish(index.spark, index.home, index.version + 1, [*index.segments, folder], index.parts)
 
 
 def compact(index: Index) -> Index:
     """The same rows as one segment."""
-    rows = index.rows()
+    rows = stage(index.rows().drop(*S.DERIVED), "rows")
     folder = write_segment(rows, rows.select("id").limit(0), index.home, index.parts)
     return _publish(index.spark, index.home, index.version + 1, [folder], index.parts)
 
 
 def recall(index: Index, parsed: DataFrame, fuzzy: bool = True, aliases: DataFrame | None = None) -> DataFrame:
-    """``(query_id, id)`` as ``search.recall`` finds them, from stored postings."""
+    """``(query_id, id)`` of texts as ``search.recall`` finds them, from stored postings."""
     asked = stage(S.query_keys(parsed, fuzzy, aliases), "asked")
     return S.followed_ids(asked, stage(index.postings(asked), "held-keys"), asked.count())
 
 
 def hits(index: Index, parsed: DataFrame, fuzzy: bool = True, aliases: DataFrame | None = None) -> DataFrame:
     """All scored hits of parsed queries, with evidence."""
+    members, own = index.members(), None
+    if aliases is not None:
+        # rows that an alias names by their id are texts of their own, which no stored posting knows
+        ids = aliases.where("target_id is not null").select(F.col("target_id").cast("string").alias("_named")).distinct()
+        named = F.col("id").cast("string") == F.col("_named")
+        own = S.hits(index.rows().join(ids, named, "left_semi").drop(*S.DERIVED), parsed, fuzzy=fuzzy, aliases=aliases)
+        members = members.join(ids, named, "left_anti")
     met = stage(recall(index, parsed, fuzzy, aliases), "met")
-    rows = index.rows().join(met.select("id").distinct(), "id", "left_semi")
-    joined = met.join(rows, "id").join(S.small(parsed, parsed.count()), "query_id")
-    return S.verify(S.with_aliases(joined, aliases), fuzzy)
+    texts = index.texts().join(met.select("id").distinct(), "id", "left_semi")
+    joined = met.join(texts, "id").join(S.small(parsed, parsed.count()), "query_id")
+    found = S.of_rows(S.verify(S.spread(S.with_aliases(joined, aliases)), fuzzy), members)
+    return found if own is None else found.unionByName(own, allowMissingColumns=True)
 
 
 def search(index: Index, queries: DataFrame, k: int = S.TOP_K, fuzzy: bool = True, aliases: DataFrame | None = None) -> DataFrame:

@@ -1,9 +1,11 @@
 """Texts that many rows have are searched once; every row still gets its hits."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from seekstone.operators import search as S
+from seekstone.operators import index as I, search as S
 from seekstone.plans import live_queries
+from seekstone.shared import new_folder
 
 SCHEMA = "id string, name string, search_keywords array<string>, source string, target string"
 NAMES = ["red widget", "Red widget", "blue ring", None, "redwidget"]
@@ -68,3 +70,18 @@ def test_mixed_scripts_are_scored_by_text(spark, monkeypatch, tmp_path):
     rows.write.parquet(f"{tmp_path}/part.parquet")
     live_queries.mixed_script_hits(spark, str(tmp_path)).count()
     assert seen[0] <= 12 * len(live_queries.MIXED)
+
+
+def test_index_keeps_texts_once(spark, asked, aliases, monkeypatch):
+    catalog = spark.createDataFrame(rows_of(200), SCHEMA)
+    index = I.build(catalog, new_folder(spark, "test-index"), parts=8)
+    held = spark.read.parquet(f"{index.segments[0]}/postings").select("id").distinct().count()
+    assert held == 5 * 3 + 3  # names, keywords, entries that count by their id
+    assert set(found(I.hits(index, asked, True, aliases))) == set(found(S.hits(catalog, asked, True, True, aliases)))
+    assert set(found(I.hits(I.compact(index), asked, True, aliases))) == set(found(S.hits(catalog, asked, True, True, aliases)))
+    index = I.update(index, catalog.where("id = '6'").withColumn("name", F.lit("blue ring")), spark.createDataFrame([("7",), ("s",)], "id string"))
+    now = catalog.where("id not in ('6', '7', 's')").unionByName(catalog.where("id = '6'").withColumn("name", F.lit("blue ring")))
+    assert set(found(I.hits(index, asked, True, aliases))) == set(found(S.hits(now, asked, True, True, aliases)))
+    seen = scored_rows(monkeypatch)
+    I.kept_hits(index, spark.createDataFrame([(0, "ring")], "query_id int, text string"), fuzzy=False)
+    assert seen[0] <= held
