@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from seekstone.functions import text as T
 from seekstone.operators.ordered import numbered
 from seekstone.graph import connected_components
+from seekstone.shared import stage
 
 #: Sources by layer (fixed values).
 FORMAL = ("start-menu", "desktop", "uwp", "apps-folder", "portable", "manual")
@@ -181,12 +182,31 @@ def same_program(a: str, b: str) -> Column:
 
 def absorb_pairs(rows: DataFrame) -> DataFrame:
     """``(winner, loser)``: discovered rows (app paths, uninstall entries) and the first formal or system
-    row that is the same program. Both sides meet on their launch, path or installation, never pairwise."""
-    found = keys_of(rows.where(F.col("source").isin(*SUPPLEMENTAL)), "a")
-    hosts = keys_of(rows.where(layer(F.col("source")).isin("Formal", "System")), "b")
-    keyed = lambda df, s: df.withColumn("k", F.explode(F.array_compact(F.array(F.concat(F.lit("l"), f"{s}_launch"), F.concat(F.lit("p"), f"{s}_path"), F.concat(F.lit("r"), f"{s}_root")))))
-    met = keyed(found, "a").join(keyed(hosts, "b"), "k").where(same_program("a", "b"))
-    return met.groupBy(F.col("a_id").alias("loser")).agg(F.min("b_id").alias("winner"))
+    row that is the same program.
+
+    Each way to be the same program is a key, of which only the first such row's is kept: a folder in
+    which very many rows lie is never paired with itself. A file name that begins a name meets one of
+    the name's own beginnings.
+    """
+    found = keys_of(rows.where(F.col("source").isin(*SUPPLEMENTAL)), "a").transform(program_keys, "a", True)
+    hosts = keys_of(rows.where(layer(F.col("source")).isin("Formal", "System")), "b").transform(program_keys, "b", False)
+    first = hosts.groupBy("k").agg(F.min("id").alias("winner"))
+    return stage(found.join(first, "k").groupBy(F.col("id").alias("loser")).agg(F.min("winner").alias("winner")), "pairs")
+
+
+def program_keys(keyed: DataFrame, side: str, discovered: bool) -> DataFrame:
+    """``(k, id)``: what a row and another meet on if and only if they are of ``same_program``."""
+    c = lambda k: F.col(f"{side}_{k}")
+    key = lambda kind, *parts: F.concat(F.lit(kind), *(x for p in parts for x in (F.lit("\x1f"), p)))
+    core, plain = T.arguments_core(c("args")), F.regexp_replace(T.normalize(c("name")), "[^A-Za-z0-9]", "")
+    none = F.array().cast("array<string>")
+    begins = F.when(F.length(plain) >= 3, F.transform(F.sequence(F.lit(3), F.greatest(F.length(plain), F.lit(3))), lambda n: F.left(plain, n))).otherwise(none)
+    stems = F.when(F.octet_length(c("stem")) >= 3, F.array(c("stem"))).otherwise(none)
+    own, other = ("s", "t") if discovered else ("t", "s")
+    inside = lambda kind, texts: F.transform(texts, lambda x: key(kind, c("root"), core, x))
+    keys = F.array(key("l", c("launch")), F.when(c("path") != "", key("p", c("path"), core)), F.when(c("family") != "", key("r", c("root"), core, c("family"))))
+    keys = F.concat(keys, F.coalesce(inside(own, stems), none), F.coalesce(inside(other, begins), none))
+    return keyed.select(F.explode(F.array_distinct(F.array_compact(keys))).alias("k"), c("id").alias("id"))
 
 
 def absorb(rows: DataFrame) -> DataFrame:
