@@ -267,12 +267,19 @@ def launch_groups(rows: DataFrame) -> DataFrame:
     formal path sources and app paths that have no installation folder of their own. Each rule is a
     key: rows of a key are linked to its smallest id, never pairwise; groups are the components.
     """
-    t, family = F.col("target"), T.family_key(F.col("name"))
-    path, root = T.path_key(F.trim(T.shell_body(t))), T.install_root(t)
-    core = T.arguments_core(F.col("args"))
-    stem, first = F.lower(T.stem(T.shell_body(t))), F.substring_index(family, " ", 1)
+    # rows that say the same are linked alike: one of them stands for them, and keys are worked out once
+    said = ["name", "target", "args", "source"]
+    sized = [F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in said]
+    rows = rows.select("id", *said, F.sha2(F.concat(*sized).cast("binary"), 256).alias("alike"))
+    alike = rows.groupBy("alike", *said).agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    alike = stage(alike.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism), "alike")
+    t = F.col("target")
+    read = {"family": T.family_key(F.col("name")), "path": T.path_key(F.trim(T.shell_body(t))), "root": T.install_root(t), "core": T.arguments_core(F.col("args")), "stem": F.lower(T.stem(T.shell_body(t))), "shell": T.is_shell_package(t)}
+    read = alike.withColumns(read)
+    family, path, root, core, stem, shell = (F.col(c) for c in ("family", "path", "root", "core", "stem", "shell"))
+    first = F.substring_index(family, " ", 1)
     named = (F.octet_length(stem) >= 3) & ~F.contains(stem, F.lit(" "))
-    shell, friendly = T.is_shell_package(t), F.col("source").isin("start-menu", "desktop", "portable", "manual", "app-paths")
+    friendly = F.col("source").isin("start-menu", "desktop", "portable", "manual", "app-paths")
     key = lambda kind, role, *parts: F.struct(F.concat(F.lit(kind), *(x for p in parts for x in (F.lit("\x1f"), p))).alias("key"), F.lit(role).alias("role"))
     keys = F.array(
         key("l", 0, T.launch_identity(t, F.col("args"))),
@@ -282,14 +289,17 @@ def launch_groups(rows: DataFrame) -> DataFrame:
         F.when(named, key("s", 2, root, stem)),
         F.when((family != "") & (shell | (friendly & root.isNotNull())), key("f", 0, family)),
     )
-    keyed = rows.select("id", shell.alias("shell"), path.alias("path"), F.explode(F.filter(keys, lambda k: k["key"].isNotNull())).alias("k")).select("id", "shell", "path", "k.key", "k.role")
-    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last"), F.min("path").alias("p"), F.max("path").alias("q"), F.max("shell").alias("any_shell"), F.min("role").alias("r"), F.max("role").alias("t"))
+    keyed = read.select("id", "last", "shell", "path", F.explode(F.filter(keys, lambda k: k["key"].isNotNull())).alias("k")).select("id", "last", "shell", "path", "k.key", "k.role")
+    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.max("last").alias("last"), F.min("path").alias("p"), F.max("path").alias("q"), F.max("shell").alias("any_shell"), F.min("role").alias("r"), F.max("role").alias("t"))
     # rows of one file are one only with equal arguments, so a family must hold several files; a file's
     # name links rows of a family to the file's rows; path rows of a family are linked by a packaged one
     heads = heads.where("head <> last AND (left(key, 1) IN ('l', 'e') OR p <> q) AND (left(key, 1) <> 's' OR (r = 1 AND t = 2)) AND (left(key, 1) <> 'f' OR any_shell)")
-    edges = keyed.join(heads.select("key", "head"), "key").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    edges = stage(keyed.join(heads.select("key", "head"), "key").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "edges")
+    linked = edges.select(F.col("b").alias("id")).distinct()
     found = connected_components(edges)
-    return rows.select("id").join(found, rows["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("group_id"))
+    found = linked.join(found, linked["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("group_id"))
+    of_class = alike.select("alike", "id").join(found, "id").select("alike", "group_id")
+    return rows.select("id", "alike").join(of_class, "alike", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
 
 
 def launch_rank(rows: DataFrame) -> Column:

@@ -20,3 +20,13 @@ def test_program_keys_equal_pairwise_tests(spark, monkeypatch):
     monkeypatch.setattr(C, "same_program", None)  # no pair of rows is compared
     got = sorted((r["loser"], r["winner"]) for r in C.absorb_pairs(catalog).collect())
     assert got == want and len(got) > 20
+
+
+def test_rows_that_say_the_same_are_one_node(spark, monkeypatch):
+    edges, components = [], C.connected_components
+    monkeypatch.setattr(C, "connected_components", lambda e: edges.append(e.count()) or components(e))
+    alike = [(k, ["Edit", "Edit (x64)"][k % 2], f"C:\\A\\{k % 2}.exe", None, "desktop") for k in range(400)]
+    rows = spark.createDataFrame([*alike, (900, "Edit", None, None, "desktop"), (901, "Edit", None, None, "desktop"), (902, "x", "C:\\z.exe", "", "desktop"), (903, "x", "C:\\z.exe", "", "desktop")], SCHEMA)
+    got = {r["id"]: r["group_id"] for r in C.launch_groups(rows).collect()}
+    assert got == {k: 0 for k in range(400)} | {900: 900, 901: 901, 902: 902, 903: 902}
+    assert edges[0] <= 12
