@@ -10,6 +10,8 @@ from seekstone.shared import stage
 
 #: So many folders become a condition of the scan; more are sorted together with the rows.
 FEW = 64
+#: Bytes of paths that a task of a round of doubling joins, about.
+TASK_BYTES = 32 << 20
 
 #: Extensions of each type (fixed values).
 TYPES = {
@@ -204,11 +206,15 @@ def tree_paths(nodes: DataFrame, max_depth: int = 32_768, overrides: DataFrame |
     known = nodes.join(sound, "frn", "left_semi")
     lasting = known.where("parent_frn is null").unionByName(known.join(sound.select(F.col("frn").alias("parent_frn")), "parent_frn", "left_semi").select(*known.columns))
     step = stage(lasting.select("frn", F.col("parent_frn").alias("up"), F.col("name").alias("path")), "tree-paths")
-    while not step.where("up is not null").isEmpty():
-        beyond = step.select(F.col("frn").alias("up"), F.col("up").alias("_next"), F.col("path").alias("_above"))
-        moved = step.where("up is not null").join(beyond, "up").select("frn", F.col("_next").alias("up"), F.concat_ws("\\", "_above", "path").alias("path"))
+    while True:
+        waiting, size = step.agg(F.count_if(F.col("up").isNotNull()), F.coalesce(F.sum(F.octet_length("path")), F.lit(0))).first()
+        if not waiting:
+            return step.select("frn", "path")
+        # stored paths are a small part of their size in memory: by it they would be broadcast, or one task
+        n = max(nodes.sparkSession.sparkContext.defaultParallelism, 2 * size // TASK_BYTES)
+        beyond = step.select(F.col("frn").alias("up"), F.col("up").alias("_next"), F.col("path").alias("_above")).repartition(n, "up").hint("merge")
+        moved = step.where("up is not null").repartition(n, "up").join(beyond, "up").select("frn", F.col("_next").alias("up"), F.concat_ws("\\", "_above", "path").alias("path"))
         step = stage(step.where("up is null").unionByName(moved), "tree-paths")
-    return step.select("frn", "path")
 
 
 def tree_faults(nodes: DataFrame) -> DataFrame:
