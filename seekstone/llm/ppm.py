@@ -34,7 +34,7 @@ from seekstone.shared import stage
 ORDER = 5
 END = 0x0A
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 18 << 20
 #: Bytes of a bucket's parts that are summed or answered in one group, about.
 BUCKET_BYTES = 64 << 20
 #: Tables of large buckets with more rows are joined by a shuffle.
@@ -353,7 +353,7 @@ def score(documents: DataFrame, folds: int = 10, held_fold: int = 0, block_bytes
         for kind, (keys, _) in holdings(table, True).items():
             values = np.zeros(len(keys), np.float64 if kind == GRAM else np.int64)
             for bucket, r in in_buckets(kind, keys, buckets):
-                values[r] = unpack(given[kind, bucket], values.dtype.type)
+                values[r] = unpack(given.pop((kind, bucket)), values.dtype.type)
             known[kind] = (keys, values)
         texts = table.num_rows
         total, base, tokens, found = np.zeros(texts), np.zeros(texts), np.zeros(texts, np.int64), np.zeros(texts, np.int64)
