@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seekstone.functions import calculator, routing, text as T
 from seekstone.operators import catalog as C, evaluate, files, preferences as P, results, search as S
+from seekstone.operators.ordered import numbered
 from seekstone.shared import new_folder
 from seekstone.sources.tables import table
 from seekstone.streaming import changes, overlay
@@ -630,8 +631,8 @@ def changed_hosts(spark, sf_dir):
     for part in parts_of[1:]:
         whole = whole.unionByName(part)
     commits = spark.range(1, 4).select(F.lit("round_commit").alias("kind"), F.col("id").alias("round"), F.lit(0).cast("long").alias("frn"), F.lit(False).alias("is_dir"), none.alias("paths"))
-    order = F.row_number().over(Window.orderBy("round", F.col("kind") == "round_commit", "frn", "kind"))
-    frames = whole.unionByName(commits).withColumn("seq", order.cast("long"))
+    placed = whole.unionByName(commits).withColumn("last", F.col("kind") == "round_commit")
+    frames = numbered(placed, ["round", "last", "frn", "kind"], "seq").drop("last")
     frames = frames.withColumns({"ordinal": F.col("seq"), "volume": F.lit("v"), "identity_only": F.lit(False), "cursors": F.when(F.col("kind") == "round_commit", F.array(F.struct(F.lit("v").alias("volume"), F.col("seq").alias("usn"))))})
     return base, frames
 
@@ -641,6 +642,6 @@ def stream_overlay(spark, sf_dir):
     """The view after rounds that are read as a stream of frame files."""
     base, frames = changed_hosts(spark, sf_dir)
     source = new_folder(spark, "frames")
-    frames.coalesce(1).write.json(source)
-    shown, _ = overlay.follow(base, source)
+    frames.repartitionByRange("seq").write.json(source)
+    shown, _ = overlay.follow(base, source, files_at_once=1 << 20)  # files of one write come in no order
     return shown.where("not is_dir").select("frn", "path")

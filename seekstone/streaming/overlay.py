@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from seekstone.functions import text as T
-from seekstone.operators.files import innermost, order_key, within
+from seekstone.operators.files import ancestors, innermost, order_key, within
 from seekstone.shared import new_folder, stage
 from seekstone.sources.sinks import move_pointer, pointed
 from seekstone.streaming import feed
@@ -30,6 +30,10 @@ SHADOW = "ordinal bigint"
 CURSORS = "volume string, usn bigint"
 #: Folder changes of longer rounds are joined by a shuffle.
 BROADCAST_CHANGES = 10_000
+#: A path that this many changes of a round have moved takes the rest of them one by one.
+ROUNDS = 32
+#: Over how many tasks a joined folder that very many rows lie in is dealt.
+SALTS = 32
 SAYING = threading.Lock()
 OPS = "array<struct<old:string,new:string>>"
 
@@ -54,14 +58,48 @@ def current_paths(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
 def based_folders(touched: DataFrame, prefixes: DataFrame) -> DataFrame:
     """``(key)``: folders of the base in which all rows lie whose present path is in one of
     ``touched(volume, folder)``: the folder itself, and what renamed folders have put there."""
-    moved = prefixes.join(touched, "volume")  # a round's folders with the renamed folders of their volume
-    now, folder = T.path_key(F.col("current")), T.path_key(F.col("folder"))
-    inside = lambda x, outer: (x == outer) | F.startswith(x, F.concat(outer, F.lit("\\")))
-    back = F.when(inside(now, folder), F.col("base")).when(inside(folder, now), F.concat("base", F.substr("folder", F.length("current") + 1)))
-    of = touched.select("volume", "folder").unionByName(moved.select("volume", back.alias("folder")).where("folder is not null"))
+    # a round's folders and the renamed ones meet on what is above either, never each with each
+    folder, current = T.path_key(F.col("folder")), T.path_key(F.col("current"))
+    below = prefixes.select("volume", "base", F.explode(ancestors(F.col("current"))).alias("k")).join(touched.select("volume", folder.alias("k")), ["volume", "k"]).select("volume", F.col("base").alias("folder"))
+    above = touched.select("volume", "folder", F.explode(ancestors(F.col("folder"))).alias("k")).join(prefixes.select("volume", "base", "current", current.alias("k")), ["volume", "k"])
+    back = above.select("volume", F.concat("base", F.substr(F.col("folder"), F.length("current") + 1)).alias("folder"))
+    of = touched.select("volume", "folder").unionByName(below).unionByName(back)
     return of.select(order_key(F.col("folder"), F.col("volume")).alias("key")).distinct()
 
 
+def moves(paths: DataFrame, ops: DataFrame) -> DataFrame:
+    """``(volume, path, now)`` of the ``paths(volume, path)`` that a round's folder changes ``ops(volume,
+    ops)`` touch: where they stand after all of them in their order, null once deleted.
+
+    A path looks up the folders above it and takes the first change behind its last one, until none
+    is left: changes that it does not lie in are never looked at.
+    """
+    # changes of a folder are found by its name in lower case, as ``folded`` compares
+    steps = stage(ops.select("volume", F.posexplode("ops").alias("n", "o")).select("volume", "n", "o.old", "o.new", F.lower("o.old").alias("key")), "steps")
+    many = steps.count() > BROADCAST_CHANGES
+    parts = F.split(F.lower("now"), r"\\")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "\\"))
+    salt = F.pmod(F.xxhash64("path"), F.lit(SALTS)) if many else F.lit(0).cast("bigint")
+    asked = steps.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))) if many else F.broadcast(steps.withColumn("salt", salt))
+    left = paths.where("path is not null").select("volume", "path", F.col("path").alias("now"), F.lit(-1).alias("at"))
+    found = []
+    while True:
+        met = left.select("*", salt.alias("salt"), F.explode(above).alias("key")).join(asked, ["volume", "key", "salt"]).where("n > at")
+        first = met.groupBy("volume", "path").agg(F.min_by(F.struct("now", "old", "new", "n"), "n").alias("m"))
+        found.append(stage(first.select("volume", "path", F.when(F.col("m.new").isNotNull(), F.concat("m.new", F.expr("substr(m.now, length(m.old) + 1)"))).alias("now"), F.col("m.n").alias("at")), "moves"))
+        left = found[-1].where("now is not null")
+        if left.isEmpty():
+            break
+        if len(found) == ROUNDS:
+            rest = left.join(ops, "volume").withColumn("now", F.expr(folded("now", "filter(ops, (o, i) -> i > at)")))
+            found.append(stage(rest.select("volume", "path", "now", F.size("ops").alias("at")), "moves"))
+            break
+    whole = found[0]
+    for x in found[1:]:
+        whole = whole.unionByName(x)
+    return whole.groupBy("volume", "path").agg(F.max_by(F.struct("now"), "at").alias("m")).select("volume", "path", "m.now")
+
+
 def folder_changes(base: DataFrame, state: dict[str, DataFrame], changes: DataFrame) -> DataFrame:
     """``(volume, ops)``: a round's folder moves and deletions in order, each from where its folder stands
     after those before it. One row a volume; a round's folders are as many as its producer sent at once."""
@@ -94,15 +132,27 @@ def apply_round(base: DataFrame, state: dict[str, DataFrame], changes: DataFrame
     ops = stage(folder_changes(base, state, changes), "folder-ops")
     objects, prefixes, shadow = state["objects"], state["prefixes"], state["shadow"]
     if not ops.isEmpty():
-        few = F.broadcast(ops) if changes.count() <= BROADCAST_CHANGES else ops  # a row a volume, as long as the round
-        objects = objects.join(few, "volume", "left").withColumn("paths", F.expr(f"CASE WHEN ops IS NULL THEN paths ELSE filter(transform(paths, x -> {folded('x', 'ops')}), x -> x IS NOT NULL) END")).drop("ops").where("size(paths) > 0")
-        prefixes = prefixes.join(few, "volume", "left").withColumn("current", F.expr(f"CASE WHEN ops IS NULL THEN current ELSE {folded('current', 'ops')} END")).drop("ops").where("current is not null")
-        # base rows below a deleted folder: ranges of the base hold all that may be, the changes in order decide
-        touched = ops.select("volume", F.explode("ops").alias("o")).select("volume", F.col("o.old").alias("folder")).distinct()
+        of = ops.select("volume", F.lit(True).alias("_any"))
+        of = F.broadcast(of) if changes.count() <= BROADCAST_CHANGES else of  # a row a volume
+        # every path that stands in the state, and base rows below a deleted folder, of which ranges of the base hold all that may be
+        held = objects.select("volume", F.explode("paths").alias("path")).unionByName(prefixes.select("volume", F.col("current").alias("path")))
+        reach = None
         if not ops.where("exists(ops, o -> o.new is null)").isEmpty():
+            touched = ops.select("volume", F.explode("ops").alias("o")).select("volume", F.col("o.old").alias("folder")).distinct()
             reach = within(base, order_key(F.col("path"), F.col("volume")), based_folders(touched, state["prefixes"]))
-            near = current_paths(reach.join(shadow, "ordinal", "left_anti"), state["prefixes"]).select("volume", "ordinal", "current")
-            shadow = shadow.unionByName(near.join(few, "volume").where(F.expr(f"{folded('current', 'ops')} IS NULL")).select("ordinal"))
+            reach = stage(current_paths(reach.join(shadow, "ordinal", "left_anti"), state["prefixes"]).select("volume", "ordinal", F.col("current").alias("path")), "reach")
+            held = held.unionByName(reach.select("volume", "path"))
+        moved = stage(moves(held, ops), "moved")
+        put = objects.select("volume", "frn", F.explode("paths").alias("path")).join(moved, ["volume", "path"])
+        put = put.groupBy("volume", "frn").agg(F.map_from_entries(F.collect_set(F.struct("path", "now"))).alias("_put"))
+        objects = objects.join(put, ["volume", "frn"], "left").join(of, "volume", "left")
+        replaced = F.expr("transform(paths, x -> CASE WHEN map_contains_key(_put, x) THEN _put[x] ELSE x END)")
+        paths = F.when(F.col("_put").isNotNull(), replaced).otherwise(F.col("paths"))
+        objects = objects.withColumn("paths", F.when(F.col("_any").isNull(), F.col("paths")).otherwise(F.array_compact(paths))).drop("_put", "_any").where("size(paths) > 0")
+        prefixes = prefixes.join(moved.withColumnRenamed("path", "current").withColumn("_moved", F.lit(True)), ["volume", "current"], "left")
+        prefixes = prefixes.select("volume", "base", F.when(F.col("_moved"), F.col("now")).otherwise(F.col("current")).alias("current")).where("current is not null")
+        if reach is not None:
+            shadow = shadow.unionByName(reach.join(moved.where("now is null"), ["volume", "path"], "left_semi").select("ordinal"))
     records = base.join(changes.select("volume", "frn", "paths"), ["volume", "frn"])
     shadow = shadow.unionByName(records.select("ordinal")).distinct()
     nth = F.row_number().over(Window.partitionBy("volume", "frn").orderBy("ordinal")) - 1
