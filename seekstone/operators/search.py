@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from seekstone.functions import text as T
+from seekstone.functions import readings, text as T
 from seekstone.shared import stage
 
 #: Scores of the branches (fixed values).
@@ -566,12 +566,13 @@ def text_id(fields: dict[str, Column], kinds: dict[str, str]) -> Column:
     return F.sha2(F.concat(*said).cast("binary"), 256)
 
 
-def by_text(catalog: DataFrame, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def by_text(catalog: DataFrame, aliases: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """What the rows of a catalog are searched by, each once, with ``text_id`` and an ``id`` of its own,
     ready for the search; and the catalog with ``text_id``.
 
     Many rows of a large catalog have the same texts, and what a query finds in them is the same. Rows
     that count by their id, as system entries and those that an alias names, have texts of their own.
+    With ``known(ch, readings)`` the texts get what their characters are read as, each once.
     """
     has, kinds = set(catalog.columns), dict(catalog.dtypes)
     rows, own = catalog, F.lit(None).cast("string")
@@ -586,7 +587,10 @@ def by_text(catalog: DataFrame, aliases: DataFrame | None = None) -> tuple[DataF
         fields |= {c: F.when(system, F.col(c)) for c in ("source", "target")}
     rows = rows.withColumn("text_id", text_id(fields | {"_own": own}, kinds | {"_own": "string"}))
     texts = rows.select(F.coalesce(own, "text_id").alias("id"), "text_id", *(c.alias(n) for n, c in fields.items())).distinct()
-    return enrich(stage(texts, "texts")).drop("source", "target"), rows.select("text_id", *catalog.columns)
+    texts = stage(texts, "texts")
+    if known is not None:
+        texts = stage(readings.attach(texts, known), "read-texts")
+    return enrich(texts).drop("source", "target"), rows.select("text_id", *catalog.columns)
 
 
 def of_rows(hits: DataFrame, rows: DataFrame) -> DataFrame:
@@ -601,23 +605,24 @@ def spread(candidates: DataFrame) -> DataFrame:
     return candidates.repartition(4 * candidates.sparkSession.sparkContext.defaultParallelism)
 
 
-def hits(catalog: DataFrame, parsed: DataFrame, pruned: bool = True, fuzzy: bool = True, aliases: DataFrame | None = None, scattered: bool = False) -> DataFrame:
+def hits(catalog: DataFrame, parsed: DataFrame, pruned: bool = True, fuzzy: bool = True, aliases: DataFrame | None = None, scattered: bool = False, known: DataFrame | None = None) -> DataFrame:
     """All scored hits of parsed queries, as ``verify`` gives them; texts that many rows have are looked
-    at once."""
-    texts, rows = by_text(catalog, aliases)
+    at once. ``known(ch, readings)`` is for catalogs without readings of their own."""
+    texts, rows = by_text(catalog, aliases, known)
     return of_rows(verify(spread(candidates_of(texts, parsed, pruned, fuzzy, aliases, scattered)), fuzzy, scattered), rows)
 
 
-def search(catalog: DataFrame, queries: DataFrame, k: int = TOP_K, pruned: bool = True, fuzzy: bool = True, aliases: DataFrame | None = None, scattered: bool = False) -> DataFrame:
+def search(catalog: DataFrame, queries: DataFrame, k: int = TOP_K, pruned: bool = True, fuzzy: bool = True, aliases: DataFrame | None = None, scattered: bool = False, known: DataFrame | None = None) -> DataFrame:
     """``(query_id, rank, id, name, score, tag, tier)``: the k best hits of each query.
 
-    With ``fuzzy`` skipped characters and edits count, with ``scattered`` characters anywhere in order.
+    With ``fuzzy`` skipped characters and edits count, with ``scattered`` characters anywhere in order,
+    with ``known(ch, readings)`` what characters are read as.
 
     An empty query gives the catalog in the order of its ids, with score 0 and tag ``default``. Null
     names are never hit but by their other fields; repeated ids are rows of their own.
     """
     parsed = parse(queries)
-    return with_empty(rank(hits(catalog, parsed, pruned, fuzzy, aliases, scattered), k), catalog, parsed, k)
+    return with_empty(rank(hits(catalog, parsed, pruned, fuzzy, aliases, scattered, known), k), catalog, parsed, k)
 
 
 def search_all(catalog: DataFrame, system: DataFrame, queries: DataFrame, k: int = TOP_K, fuzzy: bool = True, aliases: DataFrame | None = None, scattered: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seekstone.functions import providers as V, readings
+from seekstone.functions import providers as V
 from seekstone.operators import catalog as C, files, index as I, preferences as P, ranking, search as S
 from seekstone.operators.ordered import numbered
 from seekstone.plans.catalog_queries import DOCS, GROUPS, PLACE, RANKED, ROWS, SCORED, TABLE_OF_BATCH, VIEWED, batch, catalog_rows, changed_hosts, parts, query
@@ -107,11 +107,11 @@ MIXED = ("\u5faexin", "\u5fae", "xin \u652f", "\u652ffu", "\u5faeb", "b\u4ed8",
 
 
 def mixed_catalog(spark, sf_dir):
-    """The parts with two of the characters before their names, by their number."""
+    """The parts with two of the characters before their names, by their number, and the characters' readings."""
     chars = F.array(*map(F.lit, CHARS))
     name = F.concat(F.get(chars, (F.col("id") % 4).cast("int")), F.get(chars, (F.col("id") % 3).cast("int")), F.when(F.col("id") % 2 == 0, " ").otherwise(""), F.col("name"))
     known = spark.createDataFrame([(c, [r]) for c, r in CHARS.items()], "ch string, readings array<string>")
-    return readings.attach(parts(spark, sf_dir).withColumn("name", name), known)
+    return parts(spark, sf_dir).withColumn("name", name), known
 
 
 CHAR_LIST = "[" + ", ".join(f"'{c}'" for c in CHARS) + "]"
@@ -132,7 +132,8 @@ SELECT query_id, id, CASE WHEN ordered THEN 850 ELSE 680 END::INTEGER AS score,
 FROM o WHERE (ordered OR there) AND NOT contains(norm, a || z)""")
 def mixed_script_hits(spark, sf_dir):
     """Hits of queries of characters and letters that no name holds as they stand."""
-    hits = S.hits(mixed_catalog(spark, sf_dir), S.parse(batch(spark, MIXED)), fuzzy=False)
+    catalog, known = mixed_catalog(spark, sf_dir)
+    hits = S.hits(catalog, S.parse(batch(spark, MIXED)), fuzzy=False, known=known)
     return hits.where("size(q_parts) = 2 and not contains(norm, q)").select("query_id", "id", "score", "tag")
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from seekstone.functions import readings
 from seekstone.operators import index as I, search as S
 from seekstone.plans import live_queries
 from seekstone.shared import new_folder
@@ -85,3 +86,21 @@ def test_index_keeps_texts_once(spark, asked, aliases, monkeypatch):
     seen = scored_rows(monkeypatch)
     I.kept_hits(index, spark.createDataFrame([(0, "ring")], "query_id int, text string"), fuzzy=False)
     assert seen[0] <= held
+
+
+def test_readings_are_attached_by_text(spark, monkeypatch, tmp_path):
+    seen, attach = [], readings.attach
+    monkeypatch.setattr(readings, "attach", lambda rows, known: seen.append(rows.count()) or attach(rows, known))
+    rows = spark.createDataFrame([(k, ["red widget", "blue ring"][k % 2]) for k in range(240)], "p_partkey long, p_name string")
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    assert live_queries.mixed_script_hits(spark, str(tmp_path)).count() > 0 and seen == [12]
+
+
+@pytest.mark.parametrize("pruned", [True, False])
+def test_hits_with_readings_by_text_are_those_of_rows(spark, pruned):
+    known = spark.createDataFrame([("微", ["wei"]), ("信", ["xin", "shen"])], "ch string, readings array<string>")
+    rows = [(str(k), [None, "微信", "微 pay", "red ring", "信x"][k % 5], [None, ["信"], ["pay", "微信"]][k % 3]) for k in range(60)]
+    catalog = spark.createDataFrame(rows, "id string, name string, search_keywords array<string>")
+    asked = S.parse(spark.createDataFrame(list(enumerate(["wx", "weixin", "微xin", "shenx", "pay", "ring"])), "query_id int, text string"))
+    want = found(S.hits(readings.attach(catalog, known), asked, pruned))
+    assert want and found(S.hits(catalog, asked, pruned, known=known)) == want
