@@ -136,8 +136,11 @@ def recall(index: Index, parsed: DataFrame, fuzzy: bool = True, aliases: DataFra
     return S.followed_ids(asked, stage(index.postings(asked), "held-keys"), asked.count())
 
 
-def hits(index: Index, parsed: DataFrame, fuzzy: bool = True, aliases: DataFrame | None = None) -> DataFrame:
-    """All scored hits of parsed queries, with evidence."""
+def hits(index: Index, parsed: DataFrame, fuzzy: bool = True, aliases: DataFrame | None = None, by_row: bool = True) -> DataFrame:
+    """All scored hits of parsed queries, with evidence; without ``by_row`` those of the texts, each once
+    with its ``text_id`` (aliases go by rows)."""
+    if aliases is not None and not by_row:
+        raise ValueError("aliases name rows")
     members, own = index.members(), None
     if aliases is not None:
         # rows that an alias names by their id are texts of their own, which no stored posting knows
@@ -148,7 +151,10 @@ def hits(index: Index, parsed: DataFrame, fuzzy: bool = True, aliases: DataFrame
     met = stage(recall(index, parsed, fuzzy, aliases), "met")
     texts = index.texts().join(met.select("id").distinct(), "id", "left_semi")
     joined = met.join(texts, "id").join(S.small(parsed, parsed.count()), "query_id")
-    found = S.of_rows(S.verify(S.spread(S.with_aliases(joined, aliases)), fuzzy), members)
+    scored = S.verify(S.spread(S.with_aliases(joined, aliases)), fuzzy)
+    if not by_row:
+        return scored
+    found = S.of_rows(scored, members)
     return found if own is None else found.unionByName(own, allowMissingColumns=True)
 
 
@@ -161,16 +167,19 @@ def search(index: Index, queries: DataFrame, k: int = S.TOP_K, fuzzy: bool = Tru
 # --- base hits kept by generation ----------------------------------------------------------------
 
 KEPT = ["q", "id", "name", "score", "tag", "tier", "start", "gaps", "edits", "span", "field", "kind"]
+#: What is stored of a text's hit.
+STORED = ["text_id" if c == "id" else c for c in KEPT]
 
 
 def kept_hits(index: Index, queries: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Base hits of ``queries(query_id, text)``: each distinct normalized query is scored once in a
     generation; later batches read what is stored.
 
-    All hits are stored, for preferences may lift any of them, in a folder of the generation's own
-    number: a new generation begins without any. Preferences that change are applied to what is stored
-    (``preferences.personalize``, ``ranking.finish``) and score nothing again. Two batches that store one query at once store the same rows, and
-    readers take each once.
+    Hits of texts are stored, all of them, for preferences may lift any, in a folder of the generation's
+    own number: a new generation begins without any. A generation's rows do not change, so readers join
+    them to what is stored of their texts. Preferences that change are applied to that
+    (``preferences.personalize``, ``ranking.finish``) and score nothing again. Two batches that store one
+    query at once store the same hits, and readers take each once.
     """
     spark, home = index.spark, f"{index.home}/hits-{index.version}-{int(fuzzy)}"
     parsed = S.parse(queries)
@@ -179,12 +188,13 @@ def kept_hits(index: Index, queries: DataFrame, fuzzy: bool = True) -> DataFrame
     fresh = wanted if known is None else stage(wanted.join(known.select("q"), "q", "left_anti"), "fresh")
     if not fresh.isEmpty():
         asking = fresh.select(F.xxhash64("q").alias("query_id"), "q", "c", "q_tokens", "q_parts")
-        found = hits(index, asking, fuzzy).select(*KEPT)
-        # queries without hits are known as well
+        found = hits(index, asking, fuzzy, by_row=False).select(*STORED)
+        # queries without hits are known as well; one with very many is dealt over several tasks
         whole = fresh.select("q").join(found, "q", "left")
-        whole.withColumn("at", F.pmod(F.xxhash64("q"), F.lit(16))).repartition("at").write.partitionBy("at").mode("append").parquet(home)
-    stored = spark.read.parquet(home).where("id is not null").select(*KEPT).distinct()
-    return parsed.select("query_id", "q").join(stored, "q").select("query_id", *KEPT)
+        whole.withColumn("at", F.pmod(F.xxhash64("q"), F.lit(16))).hint("rebalance", "at").write.partitionBy("at").mode("append").parquet(home)
+    stored = spark.read.parquet(home).where("text_id is not null").select(*STORED)
+    asked = parsed.select("query_id", "q").join(stored.distinct(), "q")
+    return index.members().select("text_id", "id").join(S.small(asked, stored.count()), "text_id").select("query_id", *KEPT)
 
 
 def _known(spark: SparkSession, home: str) -> DataFrame | None:

@@ -104,3 +104,14 @@ def test_hits_with_readings_by_text_are_those_of_rows(spark, pruned):
     asked = S.parse(spark.createDataFrame(list(enumerate(["wx", "weixin", "微xin", "shenx", "pay", "ring"])), "query_id int, text string"))
     want = found(S.hits(readings.attach(catalog, known), asked, pruned))
     assert want and found(S.hits(catalog, asked, pruned, known=known)) == want
+
+
+def test_kept_hits_are_stored_by_text(spark):
+    catalog = spark.createDataFrame([(k, ["red widget", "blue ring"][k % 2]) for k in range(300)] + [(8, "red widget")], "id long, name string")
+    queries = spark.createDataFrame([(0, "ring"), (1, "widget"), (2, "none")], "query_id int, text string")
+    index = I.update(I.build(catalog, new_folder(spark, "test-index"), parts=8), catalog.where("id = 3").withColumn("name", F.lit("ring")), catalog.where("id = 5").select("id"))
+    for _ in range(2):  # stored, then read alone
+        assert found(I.kept_hits(index, queries)) == found(I.hits(index, S.parse(queries)))
+    assert found(I.kept_hits(index, queries))[-1].startswith("Row(query_id=1") and I.kept_hits(index, queries).count() == 149 + 151
+    # two texts and one of the update, and the query without hits
+    assert spark.read.parquet(f"{index.home}/hits-{index.version}-1").count() == 4
