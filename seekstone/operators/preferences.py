@@ -70,12 +70,11 @@ def personalize(hits: DataFrame, pinned: DataFrame, demoted: DataFrame, hidden:
     launch group (``group_id``, if there) by any of its members that is not hidden. Tiers are those of
     the unboosted scores.
     """
-    hide = hidden.select("item_id").distinct()
-    if "source" in hits.columns:
-        hideable = hits["source"].isin(*HIDEABLE)
-        kept = hits.where(~F.coalesce(hideable, F.lit(False))).unionByName(hits.where(F.coalesce(hideable, F.lit(False))).join(hide, "item_id", "left_anti").select(*hits.columns))
-    else:
-        kept = hits.join(hide, "item_id", "left_anti").select(*hits.columns)
+    hide = hidden.select(F.col("item_id").alias("_hidden")).distinct()
+    hides = F.col("item_id") == F.col("_hidden")
+    if "source" in hits.columns:  # one pass: hits are dear, and would be worked out for each branch of a union
+        hides = F.col("source").isin(*HIDEABLE) & hides
+    kept = hits.join(hide, hides, "left_anti")
     flag = lambda df, key, name: df.select(key).distinct().withColumn(name, F.lit(True))
     out = kept.join(flag(pinned, "item_id", "_pin"), "item_id", "left")
     out = out.join(flag(demoted, "group_id" if "group_id" in hits.columns else "item_id", "_low"), "group_id" if "group_id" in hits.columns else "item_id", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from seekstone.operators import preferences as P
 from seekstone.operators.catalog import launch_rank, layer
 from seekstone.operators.search import PROTECTED_TIER, final_order
+from seekstone.shared import stage
 
 #: Weak tiers, the tier of noise, what noise loses, and queries that are short (fixed values).
 WEAK_TIER, NOISE_TIER, NOISE_PENALTY, SHORT_QUERY = 5, 9, 250, 2
@@ -40,7 +41,8 @@ def collapse(hits: DataFrame, catalog: DataFrame, groups: DataFrame, pinned: Dat
     )
     best = F.row_number().over(Window.partitionBy("query_id", "group_id").orderBy(*final_order()))
     evidence = ["query_id", "q", "group_id", "score", "tier", "tag", "start", "gaps", "edits", "span", "field", "kind"]
-    top = hits.join(groups, "id").withColumn("_k", best).where("_k = 1").select(*evidence)
+    met = hits if "group_id" in hits.columns else hits.join(groups, "id")
+    top = met.withColumn("_k", best).where("_k = 1").select(*evidence)
     shown = catalog.select("id", "name", "source", icon.alias("has_icon"))
     out = top.join(launched, "group_id").join(shown, "id")
     return out.withColumn("icon_id", F.when(F.col("has_icon"), F.col("id")).otherwise(F.coalesce("other_icon", "id"))).drop("other_icon", "has_icon")
@@ -52,10 +54,11 @@ def finish(hits: DataFrame, catalog: DataFrame, groups: DataFrame, pairs: DataFr
     In this order: hidden rows go, boosts, noise sinks, groups collapse, ranking, the k best. Tiers
     are those before the boosts. ``hits`` are verified candidates of a catalog with sources.
     """
+    groups = stage(groups, "groups")  # read three times
     asked = hits.withColumns({"query": F.col("q"), "item_id": F.col("id")}).join(groups, "id")
     low = demoted.select("item_id").distinct().join(hidden.select("item_id").distinct(), "item_id", "left_anti").join(groups.withColumnRenamed("id", "item_id"), "item_id").select("group_id").distinct()
     lifted = P.personalize(P.with_boosts(asked, pairs, usage, now), pinned, low, hidden)
-    lifted = lifted.withColumn("tag", F.concat("tag", "why")).drop("group_id", "why", "query", "item_id")
+    lifted = lifted.withColumn("tag", F.concat("tag", "why")).drop("why", "query", "item_id")
     shown = collapse(quieten(lifted), catalog, groups, pinned, hidden)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*final_order()))
     return shown.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "name", "score", "tier", "tag", "icon_id")
