@@ -88,13 +88,24 @@ def fuzzy_budget(query: Column) -> Column:
     return F.when(n <= 2, 0).when(n <= 5, 1).otherwise(2)
 
 
+def swapped(a: Column, b: Column) -> Column:
+    """Whether ``b`` is ``a`` with one pair of neighbours swapped."""
+    with_swap = lambda i: F.concat(F.substr(a, F.lit(1), i - 1), F.substr(a, i + 1, F.lit(1)), F.substr(a, i, F.lit(1)), F.substr(a, i + 2))
+    return (F.length(a) == F.length(b)) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: with_swap(i) == b)
+
+
 def fuzzy_score(query: Column, word: Column) -> Column:
-    """400 for one edit, 280 for two within the budget, else null; lengths and letters decide first."""
+    """400 for one edit, 280 for two within the budget, else null; lengths decide first.
+
+    A swap of neighbours is two edits of the plain distance, so that one tells what most words are: 1
+    is one edit, 2 is two or a swap, over 4 is too far. Only 3 and 4 need the table of swaps.
+    """
     budget = fuzzy_budget(query)
-    strange = F.size(F.filter(F.split(query, ""), lambda ch: ~F.contains(word, ch)))
-    near = (F.abs(F.length(query) - F.length(word)) <= budget) & (strange <= budget)
-    distance = F.array(F.when(near, osa_distance(query, word)))  # worked out once
-    return F.get(F.transform(distance, lambda d: F.when((d > 0) & (d <= budget), F.when(d == 1, 400).when(d == 2, 280))), 0)
+    close = F.abs(F.length(query) - F.length(word)) <= budget
+    plain = F.array(F.when(close, F.levenshtein(query, word, 4)).otherwise(-1))  # worked out once; -1 is over 4
+    lost = F.length(F.call_function("translate", query, word, F.lit("")))  # characters of the query that the word lacks
+    swaps = (budget == 2) & (lost <= 2) & (osa_distance(query, word) == 2)
+    return F.get(F.transform(plain, lambda n: F.when((n == 1) & (budget >= 1), 400).when(n == 2, F.when((budget >= 1) & swapped(query, word), 400).when(budget == 2, 280)).when((n > 2) & swaps, 280)), 0)
 
 
 CJK, CJK_WEB = "\\u3400-\\u4dbf\\u4e00-\\u9fff", "\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff\\u3000-\\u303f"

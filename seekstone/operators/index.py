@@ -19,7 +19,7 @@ from seekstone.shared import stage
 from seekstone.sources.sinks import move_pointer, pointed
 
 #: All kinds of keys that a query may ask for.
-KINDS = {"g1", "g2", "g3", "k1", "k2", "k3", "x", "y", "a", "i", "h", "d"}
+KINDS = {"g1", "g2", "g3", "k1", "k2", "k3", "x", "y", "a", "i", "h", "d", "s"}
 #: Folders of postings, and how many files a folder's rows are dealt over.
 PARTS, SPREAD = 64, 4
 #: Lists of superseded ids of more rows are joined by a shuffle.

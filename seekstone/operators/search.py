@@ -214,7 +214,9 @@ def met_texts(has: set[str]) -> str:
     how = "CASE WHEN t.text = x THEN 0 WHEN startswith(t.text, x) THEN 1 WHEN contains(t.text, x) THEN 2 END"
     size = f"CASE WHEN get({forms}, t.code) = 1 THEN octet_length(x) ELSE length(x) END"
     meeting = let("h", how, f"struct(h AS how, 3 * t.code + h AS at, {size} AS n)")
-    return f"transform({texts_of(has)}, t -> " + let("m", let("x", f"CASE WHEN get({forms}, t.code) = 1 THEN c ELSE q END", meeting), found) + ")"
+    asked = f"CASE WHEN get({forms}, t.code) = 1 THEN c ELSE q END"
+    # what a text is worth is worked out only where it holds the query
+    return f"transform(filter({texts_of(has)}, t -> contains(t.text, {asked})), t -> " + let("m", let("x", asked, meeting), found) + ")"
 
 
 def token_sequence() -> str:
@@ -309,7 +311,8 @@ def skipped(texts: str) -> str:
       CASE WHEN s.at IS NULL AND substr(t.text, j, 1) = substr(q, s.k + 1, 1) THEN struct(s.k + 1 AS k, CASE WHEN s.k + 1 = length(q) THEN j END AS at) ELSE s END).at"""
     best = f"array_min(filter(transform(filter(sequence(1, length(t.text)), i -> substr(t.text, i, 1) = left(q, 1)), i -> struct({end} - i + 1 AS span, i AS i)), x -> x.span IS NOT NULL))"
     met = hit(f"x.span BETWEEN length(q) + 1 AND length(q) + {SKIP_GAPS}", f"greatest({SKIP_LEAST}, {SKIP} - 8 * (x.span - length(q))) - t.off", "concat(t.tag, 'skip')", "t.field", SKIPPED, "x.i - 1", "x.span", "x.span - length(q)")
-    return f"get(filter(transform(filter({texts}, t -> length(t.text) > length(q)), t -> {let('x', best, met)}), x -> x IS NOT NULL), 0)"
+    whole = "length(t.text) > length(q) AND translate(q, t.text, '') = ''"  # most texts lack one of the characters
+    return f"get(filter(transform(filter({texts}, t -> {whole}), t -> {let('x', best, met)}), x -> x IS NOT NULL), 0)"
 
 
 def near(texts: Column) -> Column:
@@ -427,6 +430,33 @@ def many_edits(term: Column) -> Column:
     return F.when(F.length(term).between(1, 12), F.array_distinct(F.concat(F.array(term), once, twice))).otherwise(F.array().cast("array<string>"))
 
 
+def spaced_pairs(text: Column) -> Column:
+    """Keys of kind ``s``: all two characters with one between."""
+    return F.transform(T.grams(text, 3), lambda x: F.concat(F.lit("s"), F.left(x, F.lit(1)), F.substr(x, F.lit(3))))
+
+
+def edit_terms(docs: DataFrame) -> Column:
+    """Texts of a row that a query may be an edit or two away from: whole ones and their words."""
+    has = set(docs.columns)
+    single = [F.coalesce(F.col(c), F.lit("")) for c in ("norm", "display", "reading", "initials") if c in has]
+    lists = [F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("keywords", "contexts", "keyword_readings", "keyword_initials", "context_readings", "context_initials") if c in has]
+    return F.array_distinct(F.concat(F.flatten(F.transform(F.array(*single), T.tokens)), F.array(*single), *(F.flatten(F.transform(a, lambda x: F.concat(F.array(x), T.tokens(x)))) for a in lists)))
+
+
+def edit_keys(docs: DataFrame) -> DataFrame:
+    """``(id, key)``: the keys of kind ``d`` as ``doc_keys`` has them, some repeated; each is a row as soon
+    as it is made, which is several times faster than lists of them."""
+    without = lambda c, i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1))
+    v, i, j, n = F.col("v"), F.col("i"), F.col("j"), F.length("v")
+    terms = docs.select("id", F.explode(edit_terms(docs)).alias("v")).where(n.between(1, 12))
+    # i from 0: nothing is deleted; j from i - 1: no second deletion, or one at or behind the first
+    once = terms.select("id", "v", F.explode(F.sequence(F.lit(0), n)).alias("i")).select("id", F.when(i == 0, v).otherwise(without(v, i)).alias("v"), "i")
+    last = F.when(i == 0, F.lit(-1)).otherwise(F.greatest(n, i - 1))
+    twice = once.select("id", "v", "i", F.explode(F.sequence(i - 1, last)).alias("j"))
+    every = twice.select("id", F.when((j < i) | (i == 0), v).otherwise(without(v, j)).alias("v"))
+    return every.select("id", F.concat(F.lit("d"), "v").alias("key"))
+
+
 def doc_keys(docs: DataFrame, kinds: set[str]) -> Column:
     """All keys of a row of the kinds that queries ask for."""
     has = set(docs.columns)
@@ -440,6 +470,8 @@ def doc_keys(docs: DataFrame, kinds: set[str]) -> Column:
         sizes = {int(k[1]) for k in kinds if k[0] == kind}
         out += _grams(kind, texts, sizes)
         out += [F.flatten(F.transform(a, _grams_of(kind, n))) for a in arrays for n in sorted(sizes)]
+    if "s" in kinds:
+        out += [spaced_pairs(x) for x in single] + [F.flatten(F.transform(a, spaced_pairs)) for a in lists]
     if "x" in kinds:
         out.append(F.flatten(F.transform("words", lambda w: F.array(F.concat(F.lit("x"), F.left(w, F.lit(1))), F.concat(F.lit("x"), F.left(w, F.lit(2)))))))
     if "y" in kinds:
@@ -451,8 +483,7 @@ def doc_keys(docs: DataFrame, kinds: set[str]) -> Column:
     if "h" in kinds and "char_readings" in has:
         out.append(F.flatten(F.transform(F.coalesce("char_readings", F.array().cast("array<struct<ch:string,readings:array<string>>>")), lambda x: F.concat(F.array(F.concat(F.lit("h"), F.lower(x["ch"]))), F.transform(x["readings"], lambda r: F.concat(F.lit("h"), F.left(r, F.lit(1))))))))
     if "d" in kinds:
-        terms = F.array_distinct(F.concat(F.flatten(F.transform(F.array(*single), T.tokens)), F.array(*single), *(F.flatten(F.transform(a, lambda x: F.concat(F.array(x), T.tokens(x)))) for a in lists)))
-        out.append(F.flatten(F.transform(terms, lambda w: _keyed("d", many_edits(w)))))
+        out.append(F.flatten(F.transform(edit_terms(docs), lambda w: _keyed("d", many_edits(w)))))
     return F.array_distinct(F.concat(*out)) if out else empty
 
 
@@ -482,8 +513,15 @@ def query_keys(parsed: DataFrame, fuzzy: bool = True, aliases: DataFrame | None
     if scattered:
         out.append(channel("scattered", True, _keyed("g1", T.grams(q, 1)), "length(q) >= 2"))
     if fuzzy:
-        out.append(channel("skip", True, _keyed("g1", T.grams(q, 1)), "length(q) >= 4"))
-        out.append(channel("edits", False, _keyed("d", many_edits(q)), "length(q) >= 2 AND octet_length(q) >= 3"))
+        # up to three others stand in three of four pieces, or of all pairs of neighbours, at most; four
+        # characters may have one other between each two
+        pairs = F.concat(_keyed("g2", T.grams(q, 2)), F.when(F.length(q) == 4, F.array(F.concat(F.lit("s"), F.left(q, F.lit(2))))).otherwise(F.array().cast("array<string>")))
+        quarter = F.floor(F.length(q) / 4).cast("int")
+        whole = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(quarter >= 3, F.concat(F.lit("g3"), F.substr(q, i * quarter + 1, F.lit(3)))).otherwise(F.concat(F.lit("g2"), F.substr(q, i * quarter + 1, F.lit(2)))))
+        out.append(channel("skip", False, F.when(F.length(q) >= 8, whole).otherwise(pairs), "length(q) >= 4"))
+        # of a single edit each side keeps all but one character
+        kept = F.when(T.fuzzy_budget(q) == 1, F.filter(many_edits(q), lambda v: F.length(v) >= F.length(q) - 1)).otherwise(many_edits(q))
+        out.append(channel("edits", False, _keyed("d", kept), "length(q) >= 2 AND octet_length(q) >= 3"))
         # of five pieces of a longer text two edits, swaps of neighbours even, leave one as it is
         size = F.floor(F.length(q) / 5).cast("int")
         pieces = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat(F.lit("g2"), F.substr(q, i * size + 1, F.lit(2))))
@@ -509,7 +547,10 @@ def recall(docs: DataFrame, parsed: DataFrame, fuzzy: bool = True, aliases: Data
     asked = stage(query_keys(parsed, fuzzy, aliases, scattered), "asked")
     kinds = asked.select(F.when(F.left("key", F.lit(1)).isin("g", "k"), F.left("key", F.lit(2))).otherwise(F.left("key", F.lit(1))).alias("kind")).groupBy("kind").count().collect()  # nine at most
     wanted = asked.select("key").distinct()
-    keys = docs.select("id", F.explode(doc_keys(docs, {r["kind"] for r in kinds})).alias("key"))
+    of = {r["kind"] for r in kinds}
+    keys = docs.select("id", F.explode(doc_keys(docs, of - {"d"})).alias("key"))
+    if "d" in of:  # their repetitions do not count: the channel of edits follows all its keys
+        keys = keys.unionByName(edit_keys(docs))
     many = sum(r["count"] for r in kinds)
     return followed_ids(asked, stage(keys.join(small(wanted, many), "key"), "held-keys"), many)
 
@@ -689,7 +730,7 @@ def channel_stats(docs: DataFrame, parsed: DataFrame, fuzzy: bool = True) -> Dat
     """``(query_id, channel, candidates)``: how many rows each channel's keys meet, each row as often as
     it holds one of them."""
     asked = query_keys(parsed, fuzzy)
-    kinds = {"g1", "g2", "g3", "k1", "k2", "k3", "x", "y", "a", "h"} | ({"d"} if fuzzy else set())
+    kinds = {"g1", "g2", "g3", "k1", "k2", "k3", "x", "y", "a", "h"} | ({"d", "s"} if fuzzy else set())
     keys = docs.select("id", F.explode(doc_keys(docs, kinds)).alias("key"))
     return keys.join(small(asked, asked.count()), "key").groupBy("query_id", "channel").agg(F.count("*").alias("candidates"))
 
