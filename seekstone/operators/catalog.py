@@ -289,11 +289,16 @@ def launch_groups(rows: DataFrame) -> DataFrame:
         F.when(named, key("s", 2, root, stem)),
         F.when((family != "") & (shell | (friendly & root.isNotNull())), key("f", 0, family)),
     )
-    keyed = read.select("id", "last", "shell", "path", F.explode(F.filter(keys, lambda k: k["key"].isNotNull())).alias("k")).select("id", "last", "shell", "path", "k.key", "k.role")
-    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.max("last").alias("last"), F.min("path").alias("p"), F.max("path").alias("q"), F.max("shell").alias("any_shell"), F.min("role").alias("r"), F.max("role").alias("t"))
+    # of a file only whether it is another's counts: 128 bits tell files apart, and numbers are compared
+    # without sorting the keys' rows
+    one, two = (F.when(path.isNotNull(), F.xxhash64(*salt, path)).alias(n) for n, salt in (("one", []), ("two", [F.lit("\x1f")])))
+    keyed = read.select("id", "last", "shell", one, two, F.explode(keys).alias("k")).select("id", "last", "shell", "one", "two", "k.key", "k.role")
+    keyed = stage(keyed.where(F.col("key").isNotNull()), "keys")  # they are read twice
+    of_files = [f(c).alias(f"{n}_{c}") for c in ("one", "two") for n, f in (("p", F.min), ("q", F.max))]
+    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.max("last").alias("last"), *of_files, F.max("shell").alias("any_shell"), F.min("role").alias("r"), F.max("role").alias("t"))
     # rows of one file are one only with equal arguments, so a family must hold several files; a file's
     # name links rows of a family to the file's rows; path rows of a family are linked by a packaged one
-    heads = heads.where("head <> last AND (left(key, 1) IN ('l', 'e') OR p <> q) AND (left(key, 1) <> 's' OR (r = 1 AND t = 2)) AND (left(key, 1) <> 'f' OR any_shell)")
+    heads = heads.where("head <> last AND (left(key, 1) IN ('l', 'e') OR p_one <> q_one OR p_two <> q_two) AND (left(key, 1) <> 's' OR (r = 1 AND t = 2)) AND (left(key, 1) <> 'f' OR any_shell)")
     edges = stage(keyed.join(heads.select("key", "head"), "key").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "edges")
     linked = edges.select(F.col("b").alias("id")).distinct()
     found = connected_components(edges)
